@@ -1,6 +1,7 @@
 """Registered queries: each is ``(spark, sf_dir) -> DataFrame`` over the
-whole given tables.  The matching DuckDB SQL lives in ``oracles.py``; column
-names and rounding (6 decimals for computed doubles) agree between the two.
+whole given tables (or tables Spark derives from them).  The matching DuckDB
+SQL lives in ``oracles.py``; column names and rounding (6 decimals for
+computed doubles) agree between the two.
 """
 
 from __future__ import annotations
@@ -8,33 +9,469 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import asof, pit
+from ..functions.scalars import seconds_between, ts_lit
+from ..operators import asof, features, online, pit, quality, registry as reg, telemetry, upkeep, windows, writes
+from ..sources import adapters as A
+from ..sources.synthetic import seed_history
 from .context import Tables
 
-# Fixed query parameters (shared with the SQL oracles).
+# --- query parameters (shared with the SQL oracles) --------------------------
 AS_OF = "2024-01-20 00:00:00"
+HIST_START, HIST_END = "2024-01-10 00:00:00", "2024-01-12 00:00:00"
+EVENT_FEATURES = ["purchase", "view", "click", "signup", "error"]
 ASOF_FEATURES = ["purchase", "view", "click"]
+SNAPSHOT_AT = "2024-01-15 00:00:00"
+REFRESH_BASE_UNTIL, REFRESH_AT = "2024-01-15 00:00:00", "2024-01-20 12:30:00"
+RETAIN_AT, RETAIN_DAYS = "2024-01-31 12:00:00", 10
+COMPACT_AT, COMPACT_DAYS = "1998-01-01 00:00:00", 7
+REREGISTER_AT = "2024-02-01 00:00:00"
+INVALIDATE_GLOB = "user_1*:purchase"
 
 
 def r6(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-def q_pit_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Tables(spark, sf_dir)
+def T(spark, sf_dir) -> Tables:
+    return Tables(spark, sf_dir)
+
+
+# --- point-in-time reads ----------------------------------------------------------
+def q_pit_lookup(spark, sf_dir):
+    t = T(spark, sf_dir)
     p = pit.point_in_time(t.values, t.registry, AS_OF)
     return p.select("entity_id", "feature_name", r6("value_num").alias("value"), "event_ts",
                     "feature_version", "write_seq")
 
 
-def q_pit_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Tables(spark, sf_dir)
+def q_pit_ttl(spark, sf_dir):
+    t = T(spark, sf_dir)
+    p = pit.point_in_time(t.values, t.registry, AS_OF, apply_ttl=True)
+    return p.select("entity_id", "feature_name", r6("value_num").alias("value"), "event_ts",
+                    "feature_version", "write_seq")
+
+
+def q_pit_latest_version(spark, sf_dir):
+    t = T(spark, sf_dir)
+    p = pit.point_in_time(t.values, t.registry, AS_OF, versions="latest")
+    return p.select("entity_id", "feature_name", r6("value_num").alias("value"), "event_ts",
+                    "feature_version", "write_seq")
+
+
+def q_pit_entity_set(spark, sf_dir):
+    """entities from a DataFrame (users with an error on 2024-01-19),
+    two features by name."""
+    t = T(spark, sf_dir)
+    ents = t.events.where((F.col("event_type") == "error") &
+                          (F.to_date("timestamp") == F.lit("2024-01-19").cast("date"))).select("entity_id")
+    p = pit.point_in_time(t.values, t.registry, AS_OF, entities=ents, features=["purchase", "click"])
+    return p.select("entity_id", "feature_name", r6("value_num").alias("value"), "event_ts")
+
+
+def q_pit_wide(spark, sf_dir):
+    t = T(spark, sf_dir)
+    p = pit.point_in_time(t.values, t.registry, AS_OF, features=EVENT_FEATURES)
+    m = pit.to_matrix(p, EVENT_FEATURES)
+    return m.select("entity_id", *[r6(f).alias(f"{f}_value") for f in EVENT_FEATURES])
+
+
+def q_feature_map(spark, sf_dir):
+    t = T(spark, sf_dir)
+    p = pit.point_in_time(t.values, t.registry, AS_OF)
+    return pit.render_feature_map(pit.to_feature_map(p))
+
+
+def q_freshness(spark, sf_dir):
+    t = T(spark, sf_dir)
+    p = pit.with_freshness(pit.point_in_time(t.values, t.registry, AS_OF), AS_OF)
+    return p.select("entity_id", "feature_name", r6("freshness_seconds").alias("freshness_seconds"))
+
+
+def q_history_range(spark, sf_dir):
+    t = T(spark, sf_dir)
+    h = pit.history(t.values, t.registry, None, ["purchase"], HIST_START, HIST_END)
+    return h.select("entity_id", "feature_name", r6("value_num").alias("value"), "event_ts", "metadata",
+                    "write_seq")
+
+
+def q_pit_asof_join(spark, sf_dir):
+    t = T(spark, sf_dir)
     j = asof.as_of_join(t.spine, t.values, t.registry, ["purchase"])
     return j.select("spine_id", "entity_id", "label_ts", r6("purchase").alias("purchase_value"),
                     F.col("purchase_ts"))
 
 
+def q_pit_asof_wide(spark, sf_dir):
+    t = T(spark, sf_dir)
+    j = asof.as_of_join(t.spine, t.values, t.registry, ASOF_FEATURES)
+    cols = ["spine_id", "entity_id", "label_ts"]
+    for f in ASOF_FEATURES:
+        cols += [r6(f).alias(f"{f}_value"), F.col(f"{f}_ts")]
+    return j.select(*cols)
+
+
+def q_days_since_purchase(spark, sf_dir):
+    t = T(spark, sf_dir)
+    j = asof.as_of_join(t.spine, t.values, t.registry, ["purchase"])
+    return features.days_since(j).select("spine_id", "entity_id", "label_ts", "last_purchase_days")
+
+
+def batch_requests(t: Tables) -> DataFrame:
+    """One batch request per click: the user, three features, as of the click."""
+    return t.events_raw.where(F.col("event_type") == "click").select(
+        F.col("event_id").alias("request_id"), F.array(A.user_entity()).alias("entity_ids"),
+        F.array(*[F.lit(f) for f in ("purchase", "view", "signup")]).alias("feature_names"),
+        F.col("ts").alias("as_of"))
+
+
+def q_batch_retrieval(spark, sf_dir):
+    t = T(spark, sf_dir)
+    hits = pit.batch_retrieval(t.values, t.registry, batch_requests(t))
+    from pyspark.sql import Window
+    n = F.size(F.collect_set("entity_id").over(Window.partitionBy("request_id")))
+    return hits.select("request_id", "entity_id", "feature_name", r6("value_num").alias("value"),
+                       "value_ts", n.alias("entities_returned"))
+
+
+# --- windows ---------------------------------------------------------------------
+def _stats_out(s, suffix):
+    return s.select("entity_id", "event_type", "window_start", "window_end",
+                    *[r6(f"{k}_{suffix}").alias(f"{k}_{suffix}") for k in ("avg", "stddev", "max", "min")],
+                    "n_events")
+
+
+def q_sliding_stats(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return _stats_out(windows.window_stats(t.events, "5 minutes", "1 minute"), "5min")
+
+
+def q_sliding_stats_1d6h(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return _stats_out(windows.window_stats(t.events, "1 day", "6 hours", suffix="1d"), "1d")
+
+
+def q_window_long(spark, sf_dir):
+    t = T(spark, sf_dir)
+    s = windows.window_stats(t.events, "5 minutes", "1 minute")
+    f = windows.stats_to_features(s, stats_kept=("avg", "stddev", "max", "min"))
+    return f.select("entity_id", "feature_name", r6("value_num").alias("value"), "event_ts", "window_start")
+
+
+def q_stream_window_stats(spark, sf_dir):
+    from ..streaming.replay import drain_events_stream
+    t = T(spark, sf_dir)
+    s = drain_events_stream(spark, t.events)
+    return _stats_out(s, "5min")
+
+
+# --- named features ------------------------------------------------------------------
+def q_purchase_count_7d(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return features.purchase_count_7d(t.events).select(
+        "entity_id", F.col("timestamp").alias("event_ts"), "event_id", "purchase_count_7d")
+
+
+def q_product_stats(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return features.product_view_stats(t.products).select(
+        "entity_id", "product_view_count", "purchases",
+        r6("product_conversion_rate").alias("product_conversion_rate"))
+
+
+def q_session_duration(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return features.sessions(t.events, "30 minutes")
+
+
+def q_seed_history(spark, sf_dir):
+    t = T(spark, sf_dir)
+    users = t.events_raw.select("user_id").distinct()
+    return seed_history(users, days_back=30, as_of="2024-01-31 00:00:00") \
+        .select("feature_name", "entity_id", "event_ts", r6("value_num").alias("value"))
+
+
+def q_seed_counts(spark, sf_dir):
+    """Rows, distinct entities and time extent per feature."""
+    t = T(spark, sf_dir)
+    v = pit.resolved_values(t.values, t.registry)
+    return v.groupBy("feature_name").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity_id").alias("n_entities"),
+        F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts"))
+
+
+# --- writes and upkeep -----------------------------------------------------------------
+def _order_history(t: Tables):
+    o = t.orders
+    cols = ["entity_id", "event_ts", "value_num", "write_seq"]
+    return o.where(F.col("status") == "F").select(*cols), o.where(F.col("status") != "F").select(*cols)
+
+
+def q_upsert_last_wins(spark, sf_dir):
+    t = T(spark, sf_dir)
+    hist, upd = _order_history(t)
+    u = writes.upsert(hist, upd, ["entity_id", "event_ts"])
+    return u.select("entity_id", "event_ts", r6("value_num").alias("value"), "write_seq")
+
+
+def q_insert_ignore(spark, sf_dir):
+    t = T(spark, sf_dir)
+    hist, upd = _order_history(t)
+    target = writes.first_writer_wins(hist, ["entity_id", "event_ts"]).select(*hist.columns)
+    u = writes.insert_ignore(target, upd, ["entity_id", "event_ts"])
+    return u.select("entity_id", "event_ts", r6("value_num").alias("value"), "write_seq")
+
+
+def q_compaction(spark, sf_dir):
+    t = T(spark, sf_dir)
+    v = t.orders.select("entity_id", "event_ts", "value_num", "write_seq")
+    c = upkeep.compact(v, COMPACT_AT, COMPACT_DAYS, keys=("entity_id", "event_ts"))
+    return c.select("entity_id", "event_ts", r6("value_num").alias("value"), "write_seq")
+
+
+def q_retention(spark, sf_dir):
+    t = T(spark, sf_dir)
+    r = upkeep.retain(t.values, RETAIN_AT, RETAIN_DAYS)
+    return r.select("feature_id", "entity_id", "event_ts", r6("value_num").alias("value"), "write_seq")
+
+
+def q_hourly_rollup(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return upkeep.hourly_rollup(t.values)
+
+
+def q_rollup_refresh(spark, sf_dir):
+    t = T(spark, sf_dir)
+    base = upkeep.hourly_rollup(t.values.where(F.col("event_ts") < ts_lit(REFRESH_BASE_UNTIL)))
+    return upkeep.refresh_rollup(base, t.values, REFRESH_AT)
+
+
+# --- registry ----------------------------------------------------------------------------
+def q_registry_list(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return reg.list_features(t.registry, "user").select(
+        "feature_id", "name", "version", "dtype", "entity_type", "ttl_hours")
+
+
+def q_registry_latest(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return reg.latest_versions(t.registry).select("name", "version", "feature_id", "ttl_hours")
+
+
+def reregistration(t: Tables) -> DataFrame:
+    """Every event definition re-registered with a 48 h ttl, plus purchase v3."""
+    d = A.event_definitions(t.events_raw).where(F.col("version") == 1)
+    v3 = d.where(F.col("name") == "purchase").withColumn("version", F.lit(3)) \
+        .withColumn("description", F.lit("purchase event value, v3"))
+    return d.withColumn("ttl_hours", F.lit(48)).unionByName(v3)
+
+
+def q_registry_upsert(spark, sf_dir):
+    t = T(spark, sf_dir)
+    r = reg.register(t.registry, reregistration(t), REREGISTER_AT)
+    return r.select("feature_id", "name", "version", "ttl_hours", "description", "created_at", "updated_at")
+
+
+def q_group_members(spark, sf_dir):
+    t = T(spark, sf_dir)
+    members, _ = reg.expand_groups(A.feature_groups(spark), t.registry)
+    return members.select("group", "pos", "member", "feature_id", "version")
+
+
+def q_group_dangling(spark, sf_dir):
+    t = T(spark, sf_dir)
+    _, dangling = reg.expand_groups(A.feature_groups(spark), t.registry)
+    return dangling.select("group", "pos", "member")
+
+
+def q_tag_search(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return reg.tag_search(t.registry, any_of=["revenue", "purchase"]).select("feature_id", "name", "version")
+
+
+# --- quality -------------------------------------------------------------------------------
+def q_orphans(spark, sf_dir):
+    """V5: values left without a definition once ``error`` is deleted."""
+    t = T(spark, sf_dir)
+    remaining = t.registry.where(F.col("name") != "error")
+    return quality.orphans(t.values, remaining).select("feature_id", "entity_id", "event_ts", "write_seq")
+
+
+def q_dtype_violations(spark, sf_dir):
+    """V3: values checked against a registry that declares ``click`` int64."""
+    t = T(spark, sf_dir)
+    redeclared = reg.register(
+        t.registry, t.registry.where(F.col("name") == "click").select(
+            "name", "version", F.lit("int64").alias("dtype"), "entity_type", "ttl_hours", "description", "tags"),
+        REREGISTER_AT)
+    return quality.dtype_violations(t.values, redeclared).select(
+        "feature_name", "feature_version", "dtype", "checked", "violations")
+
+
+def q_json_filter(spark, sf_dir):
+    """values whose metadata has ``k == 42``."""
+    t = T(spark, sf_dir)
+    v = pit.resolved_values(t.values.where(quality.json_path_equals("metadata", "$.k", 42)), t.registry)
+    return v.select("entity_id", "feature_name", "event_ts", r6("value_num").alias("value"))
+
+
+# --- online snapshot -----------------------------------------------------------------------
+def online_requests(t: Tables) -> DataFrame:
+    """One online request per event: the user, three features, at the event time."""
+    return t.events_raw.select(
+        F.col("event_id").alias("request_id"), A.user_entity().alias("entity_id"),
+        F.array(*[F.lit(f) for f in ASOF_FEATURES]).alias("feature_names"), F.col("ts").alias("request_ts"))
+
+
+def warm_snapshot(t: Tables) -> DataFrame:
+    p = pit.point_in_time(t.values, t.registry, SNAPSHOT_AT, features=ASOF_FEATURES)
+    return online.warm_up(p, SNAPSHOT_AT, registry=t.registry)
+
+
+def q_snapshot(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return warm_snapshot(t).select("entity_id", "feature_name", r6("value_num").alias("value"), "value_ts",
+                                   "written_at", "expires_at")
+
+
+def q_cache_probe(spark, sf_dir):
+    t = T(spark, sf_dir)
+    p = online.probe(warm_snapshot(t), online_requests(t))
+    return p.select("request_id", "pos", "feature_name", "hit", r6("cached_value").alias("cached_value"),
+                    "cached_ts")
+
+
+def _replay(t: Tables):
+    return online.replay(warm_snapshot(t), t.values, t.registry, online_requests(t))
+
+
+def q_online_replay(spark, sf_dir):
+    t = T(spark, sf_dir)
+    answers, _ = _replay(t)
+    return answers.select("request_id", "pos", "feature_name", r6("value_num").alias("value"), "value_ts",
+                          "hit", "source", r6("freshness_seconds").alias("freshness_seconds"))
+
+
+def q_snapshot_after_replay(spark, sf_dir):
+    t = T(spark, sf_dir)
+    _, snap = _replay(t)
+    return snap.select("entity_id", "feature_name", r6("value_num").alias("value"), "value_ts",
+                       "written_at", "expires_at")
+
+
+def q_hit_rate(spark, sf_dir):
+    t = T(spark, sf_dir)
+    p = online.probe(warm_snapshot(t), online_requests(t))
+    return telemetry.hit_rate(p).select("feature_name", "hits", "misses", r6("hit_rate_pct").alias("hit_rate_pct"))
+
+
+def q_freshness_gauge(spark, sf_dir):
+    t = T(spark, sf_dir)
+    answers, _ = _replay(t)
+    g = telemetry.freshness_gauge(answers)
+    return g.select("feature_name", r6("freshness_seconds").alias("freshness_seconds"), "observed_at")
+
+
+def q_invalidate(spark, sf_dir):
+    t = T(spark, sf_dir)
+    remaining, _ = online.invalidate(warm_snapshot(t), pattern=INVALIDATE_GLOB)
+    return remaining.select("entity_id", "feature_name", r6("value_num").alias("value"))
+
+
+def q_snapshot_stats(spark, sf_dir):
+    t = T(spark, sf_dir)
+    p = online.probe(warm_snapshot(t), online_requests(t))
+    s = online.snapshot_stats(warm_snapshot(t), p, "2024-01-15 01:00:00")
+    return s.select("total_keys", "memory_mb", "hits", "misses", r6("hit_rate_pct").alias("hit_rate_pct"))
+
+
+# --- serving telemetry --------------------------------------------------------------------
+def q_latency_summary(spark, sf_dir):
+    t = T(spark, sf_dir)
+    s = telemetry.latency_summary(t.request_log)
+    return s.select("endpoint", "n", "errors", *[r6(c).alias(c) for c in (
+        "min_ms", "max_ms", "mean_ms", "stddev_ms", "success_pct", "median_ms", "p90_ms", "p95_ms", "p99_ms")])
+
+
+def q_latency_histogram(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return telemetry.histogram(t.request_log, "latency_ms", telemetry.LATENCY_BUCKETS_S, scale=0.001)
+
+
+def q_histogram_quantile(spark, sf_dir):
+    t = T(spark, sf_dir)
+    h = telemetry.histogram(t.request_log, "latency_ms", telemetry.LATENCY_BUCKETS_S, scale=0.001)
+    return telemetry.histogram_quantile(h, 0.99).select("endpoint", r6("quantile").alias("p99_s"))
+
+
+def q_request_rate(spark, sf_dir):
+    t = T(spark, sf_dir)
+    r = telemetry.request_rate(t.request_log)
+    return r.select("endpoint", F.col("window_start"), "n", r6("rps").alias("rps"))
+
+
+def q_tenant_requests(spark, sf_dir):
+    t = T(spark, sf_dir)
+    a = telemetry.attribute_tenant(t.request_log, A.api_keys(spark))
+    return telemetry.requests_by(a)
+
+
+def q_throughput(spark, sf_dir):
+    t = T(spark, sf_dir)
+    log = t.request_log.withColumn("n_features", F.lit(3))
+    th = telemetry.throughput(log, features_col="n_features")
+    return th.select("endpoint", "requests", r6("elapsed_s").alias("elapsed_s"), r6("rps").alias("rps"),
+                     r6("features_per_s").alias("features_per_s"))
+
+
 QUERIES = {
     "pit_lookup": q_pit_lookup,
+    "pit_ttl": q_pit_ttl,
+    "pit_latest_version": q_pit_latest_version,
+    "pit_entity_set": q_pit_entity_set,
+    "pit_wide": q_pit_wide,
+    "feature_map": q_feature_map,
+    "freshness": q_freshness,
+    "history_range": q_history_range,
     "pit_asof_join": q_pit_asof_join,
+    "pit_asof_wide": q_pit_asof_wide,
+    "days_since_purchase": q_days_since_purchase,
+    "batch_retrieval": q_batch_retrieval,
+    "sliding_stats": q_sliding_stats,
+    "sliding_stats_1d6h": q_sliding_stats_1d6h,
+    "window_long": q_window_long,
+    "stream_window_stats": q_stream_window_stats,
+    "purchase_count_7d": q_purchase_count_7d,
+    "product_stats": q_product_stats,
+    "session_duration": q_session_duration,
+    "seed_history": q_seed_history,
+    "seed_counts": q_seed_counts,
+    "upsert_last_wins": q_upsert_last_wins,
+    "insert_ignore": q_insert_ignore,
+    "compaction": q_compaction,
+    "retention": q_retention,
+    "hourly_rollup": q_hourly_rollup,
+    "rollup_refresh": q_rollup_refresh,
+    "registry_list": q_registry_list,
+    "registry_latest": q_registry_latest,
+    "registry_upsert": q_registry_upsert,
+    "group_members": q_group_members,
+    "group_dangling": q_group_dangling,
+    "tag_search": q_tag_search,
+    "orphans": q_orphans,
+    "dtype_violations": q_dtype_violations,
+    "json_filter": q_json_filter,
+    "snapshot": q_snapshot,
+    "cache_probe": q_cache_probe,
+    "online_replay": q_online_replay,
+    "snapshot_after_replay": q_snapshot_after_replay,
+    "hit_rate": q_hit_rate,
+    "freshness_gauge": q_freshness_gauge,
+    "invalidate": q_invalidate,
+    "snapshot_stats": q_snapshot_stats,
+    "latency_summary": q_latency_summary,
+    "latency_histogram": q_latency_histogram,
+    "histogram_quantile": q_histogram_quantile,
+    "request_rate": q_request_rate,
+    "tenant_requests": q_tenant_requests,
+    "throughput": q_throughput,
 }

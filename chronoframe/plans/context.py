@@ -1,13 +1,40 @@
-"""Per-(session, data folder) access to the adapted domain tables."""
+"""Per-(session, data folder) access to the adapted domain tables.
+
+The registry and the feature history are *stored* tables in a real
+deployment.  Here they are derived from the driver's tables once per Spark
+application and data folder, written to the shared checkpoint folder (which
+also cuts their lineage), and read back by every query.
+"""
 
 from __future__ import annotations
 
+import threading
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.writes import write_history
+from ..session import scratch_path
 from ..sources import adapters as A
 
+_STORED: dict[tuple, str] = {}
+_LOCK = threading.RLock()
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, build, writer=None) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    with _LOCK:
+        path = _STORED.get(key)
+        if path is None:
+            path = scratch_path(spark, name)
+            df = build()
+            if writer is None:
+                df.write.mode("overwrite").parquet(path)
+            else:
+                writer(df, path)
+            _STORED[key] = path
+    return spark.read.parquet(path)
+
 
 class Tables:
     """Lazily built domain tables for one data folder."""
@@ -29,11 +56,14 @@ class Tables:
 
     @cached_property
     def registry(self) -> DataFrame:
-        return A.build_registry(self.spark, self.events_raw)
+        return _stored(self.spark, self.sf_dir, "registry",
+                       lambda: A.build_registry(self.spark, self.events_raw).coalesce(1))
 
     @cached_property
     def values(self) -> DataFrame:
-        return A.values_from_events(self.events_raw, self.registry)
+        """Feature history, day-partitioned (U8)."""
+        return _stored(self.spark, self.sf_dir, "feature_values",
+                       lambda: A.values_from_events(self.events_raw, self.registry), write_history)
 
     @cached_property
     def spine(self) -> DataFrame:

@@ -1,0 +1,45 @@
+"""Seeded synthetic history for the catalogue's stored features.
+
+users x days x features, generated with ``explode`` (no join), values from an
+integer hash of (user, day, feature) so they are the same under any
+partitioning and reproducible in SQL.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.scalars import ts_lit
+
+# Stored features of the catalogue and their value ranges (fixed values).
+SEED_FEATURES = ["user_age", "user_lifetime_value", "last_purchase_days", "avg_5min_purchase_value"]
+
+
+def _mix(user: F.Column, day: F.Column, fidx: F.Column) -> F.Column:
+    x = user.cast("long") * F.lit(1103515245) + day.cast("long") * F.lit(12345) + fidx.cast("long") * F.lit(2654435761)
+    return F.pmod(x, F.lit(2147483648))
+
+
+def seed_history(users: DataFrame, days_back: int = 30, as_of="2024-01-31 00:00:00",
+                 user_col: str = "user_id") -> DataFrame:
+    """Per user, day and feature one value: age 18-75, lifetime value
+    100-10,000, days since purchase 0-365, 5-minute value 0-500 (metadata
+    ``{"window": "5min"}``); timestamp = as_of - (days_back - day) days +
+    a pseudo-random hour."""
+    feats = F.array(*[F.struct(F.lit(i).alias("fidx"), F.lit(n).alias("feature_name"))
+                      for i, n in enumerate(SEED_FEATURES)])
+    g = users.select(F.col(user_col).alias("uid"),
+                     F.explode(F.sequence(F.lit(0), F.lit(days_back - 1))).alias("day")) \
+        .select("uid", "day", F.inline(feats))
+    h = _mix(F.col("uid"), F.col("day"), F.col("fidx"))
+    value = (F.when(F.col("fidx") == 0, (F.lit(18) + F.pmod(h, F.lit(58))).cast("double"))
+              .when(F.col("fidx") == 1, F.round(F.lit(100.0) + F.pmod(h, F.lit(990001)) / F.lit(100.0), 2))
+              .when(F.col("fidx") == 2, F.pmod(h, F.lit(366)).cast("double"))
+              .otherwise(F.round(F.pmod(h, F.lit(50001)) / F.lit(100.0), 2)))
+    ts = F.timestamp_add("HOUR", F.pmod(h, F.lit(24)),
+                         F.timestamp_add("DAY", F.col("day") - F.lit(days_back), ts_lit(as_of)))
+    return g.select(
+        "feature_name", F.concat(F.lit("user_"), F.col("uid").cast("string")).alias("entity_id"),
+        ts.alias("event_ts"), value.alias("value_num"),
+        F.when(F.col("fidx") == 3, F.lit('{"window": "5min"}')).alias("metadata"))

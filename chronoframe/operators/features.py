@@ -61,8 +61,8 @@ def product_view_stats(products: DataFrame) -> DataFrame:
 def sessions(events: DataFrame, gap: str = "30 minutes", entity: str = "entity_id",
              time: str = "timestamp", bucket: str = "1 day") -> DataFrame:
     """Sessions per entity; a new session starts when the gap to the
-    previous event is at least ``gap`` (as ``session_window`` closes a
-    session at ``last + gap``).  Returns entity, session_start, session_end
+    previous event is longer than ``gap`` (``session_window`` keeps an event
+    exactly ``gap`` after the last one in the same session).  Returns entity, session_start, session_end
     (last event), n_events, session_duration_seconds (floor of seconds)."""
     gap_s = interval_seconds(gap)
     b = events.select(entity, time).withColumn("_b", time_bucket(F.col(time), interval_seconds(bucket)))
@@ -73,7 +73,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", entity: str = "entity_i
     w = Window.partitionBy(entity).orderBy("s_start", "s_end")
     prev_end = F.lag("s_end").over(w)
     flagged = part.withColumn("_new", F.when(
-        prev_end.isNull() | (seconds_between(F.col("s_start"), prev_end) >= gap_s), 1).otherwise(0))
+        prev_end.isNull() | (seconds_between(F.col("s_start"), prev_end) > gap_s), 1).otherwise(0))
     sid = flagged.withColumn("_sid", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     out = sid.groupBy(entity, "_sid").agg(
         F.min("s_start").alias("session_start"), F.max("s_end").alias("session_end"),

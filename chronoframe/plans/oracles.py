@@ -291,7 +291,7 @@ FROM events GROUP BY 1""",
     "session_duration": with_ctes(EV_CTE) + """
 , g AS (
   SELECT entity_id, ts,
-         CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTES THEN 1 ELSE 0 END AS new_s
+         CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 30 MINUTES THEN 1 ELSE 0 END AS new_s
   FROM ev WINDOW w AS (PARTITION BY entity_id ORDER BY ts)
 ), s AS (
   SELECT entity_id, ts, sum(new_s) OVER (PARTITION BY entity_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid

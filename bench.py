@@ -37,6 +37,8 @@ def main() -> None:
     t = Tables(spark, sf_dir)
     t.registry.count()
     t.values.count()
+    from chronoframe.plans.catalog import warm_snapshot
+    warm_snapshot(t).count()
     load = time.time() - t0
 
     timings = {}

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import add_seconds, glob_match, online_key, percent_or_zero, seconds_between, ts_lit
+from ..session import cut_lineage
 from .asof import as_of_join_long
-from .writes import last_writer_wins
 
 SNAPSHOT_COLS = ["entity_id", "feature_name", "value_num", "value_ts", "written_at", "expires_at", "write_seq"]
 DEFAULT_TTL_SECONDS = 3600
@@ -89,7 +89,8 @@ def replay(snapshot: DataFrame, values: DataFrame, registry: DataFrame, requests
     freshness recomputed at the request time (R7), the per-row ``hit`` and
     the per-request ``source`` ('cache' only when every feature hit).
     ``write_back``: the snapshot after caching the fetched misses."""
-    probed = probe(snapshot, requests)
+    # the probe feeds hits, misses and the per-request flags: compute it once
+    probed = cut_lineage(probe(snapshot, requests))
     hits = probed.where("hit").select(
         "request_id", "entity_id", "request_ts", "pos", "feature_name",
         F.col("cached_value").alias("value_num"), F.col("cached_ts").alias("value_ts"), "hit")

@@ -323,8 +323,11 @@ def online_requests(t: Tables) -> DataFrame:
 
 
 def warm_snapshot(t: Tables) -> DataFrame:
-    p = pit.point_in_time(t.values, t.registry, SNAPSHOT_AT, features=ASOF_FEATURES)
-    return online.warm_up(p, SNAPSHOT_AT, registry=t.registry)
+    """The online snapshot as the U6 warm-up job writes it (a stored table)."""
+    def build():
+        p = pit.point_in_time(t.values, t.registry, SNAPSHOT_AT, features=ASOF_FEATURES)
+        return online.warm_up(p, SNAPSHOT_AT, registry=t.registry)
+    return t.stored("snapshot", build)
 
 
 def q_snapshot(spark, sf_dir):

@@ -43,6 +43,10 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir
 
+    def stored(self, name: str, build) -> DataFrame:
+        """A derived table written once per application and data folder."""
+        return _stored(self.spark, self.sf_dir, name, build)
+
     def raw(self, name: str) -> DataFrame:
         return A.read_table(self.spark, self.sf_dir, name)
 

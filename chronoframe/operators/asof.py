@@ -98,7 +98,7 @@ def _asof_core(spine: DataFrame, vals: DataFrame, keys: list[str], time: str,
 
 
 def _payload() -> Column:
-    return F.struct("value_num", "event_ts", "feature_version", "write_seq", "ttl_hours", "metadata")
+    return F.struct("value_num", "event_ts", "feature_version", "write_seq", "ttl_hours")
 
 
 def as_of_join(spine: DataFrame, values: DataFrame, registry: DataFrame, features,

@@ -59,16 +59,20 @@ def bound_upper(values: DataFrame, as_of) -> DataFrame:
 
 
 def point_in_time(values: DataFrame, registry: DataFrame, as_of, entities=None,
-                  features=None, versions: str = "all", apply_ttl: bool = False) -> DataFrame:
+                  features=None, versions: str = "all", apply_ttl: bool = False,
+                  columns=None) -> DataFrame:
     """Newest value with ``event_ts <= as_of`` per (entity, feature name).
 
     Versions of one name are pooled (as the reference does); ties on the
     timestamp go to the higher version, then the higher write_seq.  With
     ``apply_ttl`` a chosen value older than its definition's ttl is dropped
     (V4, off by default like the reference).  Inner: missing pairs are absent.
+    ``columns`` narrows the carried payload (default: all of ``PAYLOAD``), so
+    the scan reads only what the caller needs -- e.g. not the metadata JSON.
     """
     v = resolved_values(bound_upper(values, as_of), registry, features, versions, entities)
-    payload = F.struct(*PAYLOAD, "ttl_hours", "dtype")
+    keep = list(PAYLOAD if columns is None else dict.fromkeys(["event_ts", *columns]))
+    payload = F.struct(*keep, "ttl_hours", "dtype")
     order = F.struct("event_ts", "feature_version", "write_seq")
     out = (v.groupBy("entity_id", "feature_name")
             .agg(F.max_by(payload, order).alias("r"))

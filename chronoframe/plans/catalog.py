@@ -37,23 +37,26 @@ def T(spark, sf_dir) -> Tables:
 
 
 # --- point-in-time reads ----------------------------------------------------------
+PIT_COLS = ["value_num", "feature_version", "write_seq"]
+
+
 def q_pit_lookup(spark, sf_dir):
     t = T(spark, sf_dir)
-    p = pit.point_in_time(t.values, t.registry, AS_OF)
+    p = pit.point_in_time(t.values, t.registry, AS_OF, columns=PIT_COLS)
     return p.select("entity_id", "feature_name", r6("value_num").alias("value"), "event_ts",
                     "feature_version", "write_seq")
 
 
 def q_pit_ttl(spark, sf_dir):
     t = T(spark, sf_dir)
-    p = pit.point_in_time(t.values, t.registry, AS_OF, apply_ttl=True)
+    p = pit.point_in_time(t.values, t.registry, AS_OF, apply_ttl=True, columns=PIT_COLS)
     return p.select("entity_id", "feature_name", r6("value_num").alias("value"), "event_ts",
                     "feature_version", "write_seq")
 
 
 def q_pit_latest_version(spark, sf_dir):
     t = T(spark, sf_dir)
-    p = pit.point_in_time(t.values, t.registry, AS_OF, versions="latest")
+    p = pit.point_in_time(t.values, t.registry, AS_OF, versions="latest", columns=PIT_COLS)
     return p.select("entity_id", "feature_name", r6("value_num").alias("value"), "event_ts",
                     "feature_version", "write_seq")
 
@@ -70,7 +73,7 @@ def q_pit_entity_set(spark, sf_dir):
 
 def q_pit_wide(spark, sf_dir):
     t = T(spark, sf_dir)
-    p = pit.point_in_time(t.values, t.registry, AS_OF, features=EVENT_FEATURES)
+    p = pit.point_in_time(t.values, t.registry, AS_OF, features=EVENT_FEATURES, columns=PIT_COLS)
     m = pit.to_matrix(p, EVENT_FEATURES)
     return m.select("entity_id", *[r6(f).alias(f"{f}_value") for f in EVENT_FEATURES])
 
@@ -83,7 +86,7 @@ def q_feature_map(spark, sf_dir):
 
 def q_freshness(spark, sf_dir):
     t = T(spark, sf_dir)
-    p = pit.with_freshness(pit.point_in_time(t.values, t.registry, AS_OF), AS_OF)
+    p = pit.with_freshness(pit.point_in_time(t.values, t.registry, AS_OF, columns=PIT_COLS), AS_OF)
     return p.select("entity_id", "feature_name", r6("freshness_seconds").alias("freshness_seconds"))
 
 

@@ -89,22 +89,21 @@ def replay(snapshot: DataFrame, values: DataFrame, registry: DataFrame, requests
     freshness recomputed at the request time (R7), the per-row ``hit`` and
     the per-request ``source`` ('cache' only when every feature hit).
     ``write_back``: the snapshot after caching the fetched misses."""
-    # the probe feeds hits, misses and the per-request flags: compute it once
-    probed = cut_lineage(probe(snapshot, requests))
+    # The probe feeds hits, misses and the per-request flag: compute it once.
+    # The flag ('cache' only when every requested feature hit) is a window
+    # over one request's rows -- a group bounded by its feature list.
+    all_hit = F.min(F.col("hit").cast("int")).over(Window.partitionBy("request_id"))
+    probed = cut_lineage(probe(snapshot, requests).withColumn("_all", all_hit))
     hits = probed.where("hit").select(
-        "request_id", "entity_id", "request_ts", "pos", "feature_name",
+        "request_id", "entity_id", "request_ts", "pos", "feature_name", "_all",
         F.col("cached_value").alias("value_num"), F.col("cached_ts").alias("value_ts"), "hit")
-    misses = probed.where(~F.col("hit")).select("request_id", "entity_id", "request_ts", "pos", "feature_name")
+    misses = probed.where(~F.col("hit")).select("request_id", "entity_id", "request_ts", "pos",
+                                                "feature_name", "_all")
     fetched = as_of_join_long(misses, values, registry, time="request_ts", bucket=bucket) \
         .where(F.col("value_ts").isNotNull()) \
-        .select("request_id", "entity_id", "request_ts", "pos", "feature_name", "value_num", "value_ts",
-                F.lit(False).alias("hit"))
-    both = hits.unionByName(fetched)
-    # per request: 'cache' only when every requested feature hit (the
-    # partition holds one row per requested feature, a bounded group)
-    all_hit = F.min(F.col("hit").cast("int")).over(Window.partitionBy("request_id"))
-    flags = probed.select("request_id", "pos", all_hit.alias("_all"))
-    answers = both.join(flags, ["request_id", "pos"]) \
+        .select("request_id", "entity_id", "request_ts", "pos", "feature_name", "_all", "value_num",
+                "value_ts", F.lit(False).alias("hit"))
+    answers = hits.unionByName(fetched) \
         .withColumn("source", F.when(F.col("_all") == 1, "cache").otherwise("database")) \
         .withColumn("freshness_seconds", seconds_between("request_ts", "value_ts")) \
         .drop("_all")

@@ -148,6 +148,15 @@ def throughput(log: DataFrame, by=("endpoint",), features_col: str | None = None
     return g
 
 
+def batches_from_log(log: DataFrame, window: str = "1 hour") -> DataFrame:
+    """Group a request log into batches: one batch per entity and time
+    window; size = number of requests, latency = their summed latency.
+    Counts only -- no request list is gathered."""
+    g = log.groupBy("entity_id", F.window("request_ts", window).alias("w")).agg(
+        F.count(F.lit(1)).alias("batch_size"), F.sum("latency_ms").alias("latency_ms"))
+    return g.select("entity_id", F.col("w.start").alias("batch_start"), "batch_size", "latency_ms")
+
+
 def latency_by_batch_size(batches: DataFrame, size_col: str = "batch_size",
                           latency_col: str = "latency_ms") -> DataFrame:
     """Mean latency and latency per entity by batch size."""

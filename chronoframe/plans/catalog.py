@@ -429,6 +429,22 @@ def q_throughput(spark, sf_dir):
                      r6("features_per_s").alias("features_per_s"))
 
 
+def q_latency_by_batch_size(spark, sf_dir):
+    """batches = a user's requests within one hour."""
+    t = T(spark, sf_dir)
+    b = telemetry.latency_by_batch_size(telemetry.batches_from_log(t.request_log))
+    return b.select("batch_size", "batches", r6("mean_ms").alias("mean_ms"),
+                    r6("ms_per_entity").alias("ms_per_entity"))
+
+
+def q_batch_size_histogram(spark, sf_dir):
+    """Cumulative histogram of batch sizes per entity type."""
+    t = T(spark, sf_dir)
+    b = telemetry.batches_from_log(t.request_log).withColumn(
+        "entity_type", F.substring_index("entity_id", "_", 1))
+    return telemetry.histogram(b, "batch_size", telemetry.BATCH_SIZE_BUCKETS, by=("entity_type",))
+
+
 QUERIES = {
     "pit_lookup": q_pit_lookup,
     "pit_ttl": q_pit_ttl,
@@ -480,4 +496,6 @@ QUERIES = {
     "request_rate": q_request_rate,
     "tenant_requests": q_tenant_requests,
     "throughput": q_throughput,
+    "latency_by_batch_size": q_latency_by_batch_size,
+    "batch_size_histogram": q_batch_size_histogram,
 }

@@ -541,4 +541,20 @@ SELECT endpoint, count(*) AS requests,
        round(count(*) * 3 / nullif((epoch_us(max(request_ts)) - epoch_us(min(request_ts))) / 1000000.0, 0), 6)
          AS features_per_s
 FROM log GROUP BY endpoint""",
+
+    "latency_by_batch_size": with_ctes(LOG_CTE) + """
+, b AS (SELECT entity_id, time_bucket(INTERVAL '1 hour', request_ts) AS batch_start, count(*) AS batch_size,
+               sum(latency_ms) AS latency_ms FROM log GROUP BY ALL)
+SELECT batch_size, count(*) AS batches, round(avg(latency_ms), 6) AS mean_ms,
+       round(avg(latency_ms / batch_size), 6) AS ms_per_entity
+FROM b GROUP BY batch_size""",
+
+    "batch_size_histogram": with_ctes(LOG_CTE) + """
+, b AS (SELECT split_part(entity_id, '_', 1) AS entity_type, count(*) AS batch_size
+        FROM log GROUP BY entity_id, time_bucket(INTERVAL '1 hour', request_ts)),
+bk AS (SELECT CAST(le AS DOUBLE) AS le, bucket FROM (VALUES ('1', 0), ('10', 1), ('50', 2), ('100', 3),
+        ('250', 4), ('500', 5), ('1000', 6), ('inf', 7)) t(le, bucket))
+SELECT b.entity_type, bk.le, CAST(bk.bucket AS INTEGER) AS bucket,
+       CAST(sum(CASE WHEN bk.bucket = 7 OR b.batch_size <= bk.le THEN 1 ELSE 0 END) AS BIGINT) AS cum
+FROM b, bk GROUP BY ALL""",
 })

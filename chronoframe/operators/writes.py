@@ -50,13 +50,14 @@ def with_day(values: DataFrame, ts_col: str = "event_ts") -> DataFrame:
 
 
 def write_history(values: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """U8: day-partitioned Parquet (zstd), range-partitioned on (dt, entity)
-    so a hot day is split across tasks, and sorted within files by
-    (feature, entity, time) so row-group min/max prune entity lookups.
+    """U8: day-partitioned Parquet (zstd).  A ``rebalance`` on ``dt`` lets AQE
+    split a big (hot) day into advisory-size tasks and coalesce small days,
+    so file sizes follow the data, not a fixed partition count; files are
+    sorted by (feature, entity, time) so row-group min/max prune lookups.
     ``mode='overwrite'`` with dynamic partition overwrite replaces only the
     days present in ``values``."""
     v = values if "dt" in values.columns else with_day(values)
-    (v.repartitionByRange("dt", "entity_id")
+    (v.hint("rebalance", "dt")
       .sortWithinPartitions("dt", "feature_id", "entity_id", "event_ts")
       .write.mode(mode).option("compression", "zstd")
       .partitionBy("dt").parquet(path))

@@ -383,6 +383,12 @@ def q_invalidate(spark, sf_dir):
     return remaining.select("entity_id", "feature_name", r6("value_num").alias("value"))
 
 
+def q_flush(spark, sf_dir):
+    """The snapshot after a flush (empty, same schema)."""
+    t = T(spark, sf_dir)
+    return online.flush(warm_snapshot(t)).select("entity_id", "feature_name", r6("value_num").alias("value"))
+
+
 def q_snapshot_stats(spark, sf_dir):
     t = T(spark, sf_dir)
     p = online.probe(warm_snapshot(t), online_requests(t))
@@ -489,6 +495,7 @@ QUERIES = {
     "hit_rate": q_hit_rate,
     "freshness_gauge": q_freshness_gauge,
     "invalidate": q_invalidate,
+    "flush": q_flush,
     "snapshot_stats": q_snapshot_stats,
     "latency_summary": q_latency_summary,
     "latency_histogram": q_latency_histogram,

@@ -557,4 +557,7 @@ bk AS (SELECT CAST(le AS DOUBLE) AS le, bucket FROM (VALUES ('1', 0), ('10', 1),
 SELECT b.entity_type, bk.le, CAST(bk.bucket AS INTEGER) AS bucket,
        CAST(sum(CASE WHEN bk.bucket = 7 OR b.batch_size <= bk.le THEN 1 ELSE 0 END) AS BIGINT) AS cum
 FROM b, bk GROUP BY ALL""",
+
+    "flush": with_ctes(REGISTRY_CTE, SNAP_CTE) + """
+SELECT entity_id, feature_name, round(value_num, 6) AS value FROM snap WHERE false""",
 })

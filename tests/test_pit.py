@@ -87,3 +87,12 @@ def test_plans_have_no_nested_loop(spark):
     for name in ("pit_lookup", "pit_asof_wide", "online_replay", "purchase_count_7d", "session_duration",
                  "latency_summary", "latency_histogram"):
         assert_scalable_plan(QUERIES[name](spark, SF))
+
+
+def test_asof_window_partitions_by_entity_and_bucket(spark):
+    from chronoframe.plans.catalog import QUERIES
+    from chronoframe.plans.guards import physical_plan
+    from conftest import SF
+    plan = physical_plan(QUERIES["pit_asof_join"](spark, SF))
+    exchanges = [l for l in plan.splitlines() if "hashpartitioning(" in l]
+    assert any("entity_id" in l and "_b" in l for l in exchanges), exchanges

@@ -1,18 +1,21 @@
 """Session defaults and the shared scratch location.
 
 Every job reads ``spark.checkpoint.dir`` from the session: on a cluster it
-names a shared folder (HDFS/S3/ABFS).  Only when it is unset -- local runs
-and tests -- do we create one ourselves.
+names a shared folder (HDFS/S3/ABFS).  Only a single-process session (master
+``local[...]``: tests and trial runs) may leave it unset; any other raises.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import SparkSession
 
+# Folder of single-process runs that name none.
+LOCAL_ROOT = "/tmp/chronoframe"
+
 # Settings that matter at scale; all can be overridden by the caller's conf.
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -54,8 +57,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     if conf_dir:
         spark.sparkContext.setCheckpointDir(conf_dir)
         return spark.sparkContext.getCheckpointDir() or conf_dir
-    # Unset: local run or test.  Never reached on a configured cluster.
-    local = tempfile.mkdtemp(prefix="chronoframe-ckpt-")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
+    local = os.path.join(LOCAL_ROOT, spark.sparkContext.applicationId)
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir() or local

@@ -100,7 +100,7 @@ WITH RECURSIVE w AS (
                                     '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws
-    ELSE list_distinct(list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1])) END AS sh FROM w),
+    ELSE list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) END AS sh FROM w),
 e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
 f AS (SELECT g, count(*) AS df FROM e GROUP BY g),
 r AS (SELECT e.doc_id, e.n, e.g, row_number() OVER (PARTITION BY e.doc_id ORDER BY f.df, e.g) AS k
@@ -144,10 +144,10 @@ SELECT conv_id, speaker, seq, segment, target, CAST(stop - length(segment) AS BI
 FROM o""",
     "op10_embedding_near_dedup": f"""
 WITH RECURSIVE v AS (
-  SELECT vec_id, embedding, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS x FROM embeddings),
-u AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, y -> y * y))) AS norm FROM v
-      WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, y -> y IS NULL OR NOT isfinite(y))) = 0
-        AND list_sum(list_transform(x, y -> abs(y))) > 0),
+  SELECT vec_id, embedding, [CAST(y AS DOUBLE) for y in embedding] AS x FROM embeddings),
+u AS (SELECT vec_id, x, sqrt(list_sum([y * y for y in x])) AS norm FROM v
+      WHERE x IS NOT NULL AND len(x) > 0 AND len([y for y in x if y IS NULL OR NOT isfinite(y)]) = 0
+        AND list_sum([abs(y) for y in x]) > 0),
 pairs AS (SELECT p.vec_id AS a, q.vec_id AS b FROM u p JOIN u q ON p.vec_id < q.vec_id
           WHERE list_dot_product(p.x, q.x) / (p.norm * q.norm) >= 0.9),
 {_COMPONENTS},

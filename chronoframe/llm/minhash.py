@@ -265,7 +265,8 @@ def confirm(docs: DataFrame, coarse: DataFrame, size: int, percent: int, id_col:
     groups = coarse.groupBy("component").agg(F.count("*").alias("n"))
     named = coarse.join(groups, "component").select(F.col("node").alias("rep"), F.col("component").alias("grp"), "n")
     texts = docs.select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    joined = texts.join(named, "rep").select("grp", "n", "rep", "text")
+    # A sort-merge join at every size: a broadcast of the members would grow with the documents.
+    joined = texts.join(named.hint("merge"), "rep").select("grp", "n", "rep", "text")
     chunks = F.ceil(F.col("n") / chunk)
     members = write_table(
         _full_sets(joined, size).withColumn("chunks", chunks.cast("int"))

@@ -27,11 +27,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forest, map_arrow, write_table
+from .common import forest, map_arrow, runs, starts_of, write_table
 from .graph import components
 
 BLOCK = 4096
@@ -86,8 +85,8 @@ def _bounds(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return z.min(axis=0), z.max(axis=0)
 
 
-def _blocks(vectors: DataFrame, turn, width: int, eps: float, block: int) -> DataFrame:
-    """Blocks of the vectors in grid order: (part, k, n, ids, copies, data, lo, hi)."""
+def _blocks(vectors: DataFrame, turn, width: int, eps: float, block: int) -> tuple[DataFrame, int]:
+    """Blocks of the vectors in grid order, (block, ids, copies, data, lo, hi), and their number."""
     def cells(batches):
         for batch in batches:
             if batch.num_rows:
@@ -100,52 +99,43 @@ def _blocks(vectors: DataFrame, turn, width: int, eps: float, block: int) -> Dat
 
     kind = vectors.schema["vector"].dataType.simpleString()
     order = ["cell", "lead", "rep"]
-    seq = (vectors.select("rep", "copies", "vector")
-           .transform(map_arrow, cells, f"rep bigint, copies bigint, vector {kind}, cell array<int>, lead double")
-           .repartitionByRange(*order).sortWithinPartitions(*order).select("rep", "copies", "vector"))
+    seq = write_table(
+        vectors.select("rep", "copies", "vector")
+        .transform(map_arrow, cells, f"rep bigint, copies bigint, vector {kind}, cell array<int>, lead double")
+        .repartitionByRange(*order).sortWithinPartitions(*order)
+        .select("rep", "copies", "vector", F.monotonically_increasing_id().alias("at")), "vector-sequence")
+    # The place in the whole sequence, from the row count of each partition; then blocks of one size.
+    part = F.shiftright("at", 33).cast("int")
+    offset, total = {}, 0
+    for r in sorted(seq.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
+        offset[r["part"]] = total
+        total += r["n"]
+    known = seq.sparkSession.createDataFrame(list(offset.items()), "part int, before bigint")
+    place = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = (seq.withColumn("part", part).join(known, "part").withColumn("place", place)
+              .withColumn("block", F.floor(F.col("place") / block).cast("int")))
+    n_blocks = -(-total // block)
 
     def pack(batches):
-        part, k, held, n = TaskContext.get().partitionId(), 0, [], 0
-
-        def row(table):
-            nonlocal k
-            unit = _unit(_padded(table.column("vector"), width))
-            lo, hi = _bounds(unit @ turn.value)
-            k += 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([k - 1], pa.int32()), pa.array([len(unit)], pa.int32()),
-                 pa.array([table.column("rep").to_numpy().tobytes()], pa.binary()),
-                 pa.array([table.column("copies").to_numpy().tobytes()], pa.binary()),
-                 pa.array([_padded(table.column("vector"), width).astype(dtype).tobytes()], pa.binary()),
-                 pa.array([lo.tolist()], pa.list_(pa.float64())), pa.array([hi.tolist()], pa.list_(pa.float64()))],
-                names=["part", "k", "n", "ids", "copies", "data", "lo", "hi"])
-
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            while n >= block:
-                table = pa.Table.from_batches(held)
-                yield row(table.slice(0, block))
-                held, n = table.slice(block).to_batches(), n - block
-        if n:
-            yield row(pa.Table.from_batches(held))
+        for table in runs(batches, ["block"]):
+            begin = starts_of(table.column("block").to_numpy()).tolist()
+            for s, e in zip(begin, [*begin[1:], table.num_rows], strict=True):
+                rows = table.slice(s, e - s)
+                raw = _padded(rows.column("vector"), width)
+                lo, hi = _bounds(_unit(raw) @ turn.value)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([rows.column("block")[0].as_py()], pa.int32()),
+                     *[pa.array([x.tobytes()], pa.binary()) for x in (
+                         rows.column("rep").to_numpy(), rows.column("copies").to_numpy(), raw.astype(dtype))],
+                     pa.array([lo.tolist()], pa.list_(pa.float64())), pa.array([hi.tolist()], pa.list_(pa.float64()))],
+                    names=["block", "ids", "copies", "data", "lo", "hi"])
 
     dtype = "<f4" if "float" in kind else "<f8"
-    return write_table(seq.transform(map_arrow, pack, "part int, k int, n int, ids binary, copies binary, data binary, "
-                                            "lo array<double>, hi array<double>"), "vector-blocks")
-
-
-def _numbered(blocks: DataFrame) -> tuple[DataFrame, int]:
-    """The blocks with their number in the sequence, from the block count of each partition."""
-    parts = sorted((r["part"], r["n"]) for r in blocks.groupBy("part").agg(F.count("*").alias("n")).collect())
-    offset, total = {}, 0
-    for part, n in parts:
-        offset[part] = total
-        total += n
-    if not total:
-        return blocks.withColumn("block", F.lit(0)), 0
-    known = blocks.sparkSession.createDataFrame(list(offset.items()), "part int, offset int")
-    return blocks.join(known, "part").withColumn("block", F.col("k") + F.col("offset")), total
+    packed = (placed.select("block", "place", "rep", "copies", "vector").repartition(max(1, n_blocks), "block")
+              .sortWithinPartitions("block", "place")
+              .transform(map_arrow, pack, "block int, ids binary, copies binary, data binary, "
+                                          "lo array<double>, hi array<double>"))
+    return write_table(packed, "vector-blocks"), n_blocks
 
 
 def interval_join(blocks: DataFrame, total: int, eps: float) -> DataFrame:
@@ -226,7 +216,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, block: int = BLO
                           .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
     width = classes.agg(F.max(F.size("vector")).alias("w")).first()["w"] or 1
     turn = embeddings.sparkSession.sparkContext.broadcast(axes(classes, width))
-    blocks, total = _numbered(_blocks(classes, turn, width, eps, block))
+    blocks, total = _blocks(classes, turn, width, eps, block)
     pairs = interval_join(blocks, total, eps)
     kind = "<f4" if "float" in rows.schema["vector"].dataType.simpleString() else "<f8"
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import write_table
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Count and order-free digest of the edges: equal marks mean that a round changed nothing."""
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _written(edges: DataFrame, seen_as) -> tuple[DataFrame, int]:
+    """The written edges, and a number that is observed while they are written."""
+    seen = Observation()
+    table = write_table(edges.observe(seen, seen_as.alias("n")), "links")
+    return table, seen.get["n"] or 0
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,22 +20,21 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round does a large star (every larger neighbour of a node moves to the node's smallest
     neighbour) and a small star (every smaller neighbour does), which ends after a number of rounds
-    that grows with the logarithm of the longest path.  A hot node is one row in each minimum, summed
-    before the shuffle, and one key of a join that Spark may split; no neighbour list is built.  Every
-    round is written to the shared folder.  Links with a null end and loops don't count.
+    that grows with the logarithm of the longest path.  An edge becomes one edge in each step, so the
+    table never grows.  A node with many larger neighbours, as a hub is, is one row in the minimum,
+    summed before the shuffle, and one key of a join that Spark may split; no neighbour list is built.
+    Every round is written to the shared folder.  Links with a null end and loops don't count.
     """
-    edges = write_table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                        .where("a is not null and b is not null and a <> b").distinct(), "links")
-    mark = _mark(edges)
-    while mark[0]:
-        both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("low"))
-        moved = large.join(least, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        edges = write_table(moved.union(least).distinct(), "links")
-        before, mark = mark, _mark(edges)
-        if mark == before:
-            break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        edges.select("v", "v").distinct())
+    edges, open_ = _written(links.where("a is not null and b is not null and a <> b")
+                            .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
+                            F.count(F.lit(1)))
+    while open_:
+        both = edges.select("u", "v").union(edges.select("v", "u"))
+        low = both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("v"), F.least("u", "low").alias("low"))
+        large = edges.join(low, "v").withColumn("least", F.min("low").over(Window.partitionBy("u")))
+        smallest = F.col("low") == F.col("least")
+        moved = large.select(F.when(smallest, F.col("u")).otherwise(F.col("low")).alias("u"), F.col("least").alias("v"),
+                             ((F.col("low") != F.col("v")) | ~smallest).alias("changed"))
+        edges, open_ = _written(moved, F.count_if("changed"))
+    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).distinct()
+    return stars.union(edges.select("v", "v").distinct())

@@ -8,13 +8,14 @@
    of at most ``LEAF`` members is compared exhaustively by sketches; larger ones branch again, down to
    ``DEPTH`` levels.  Members of a node that is still larger agree on that many minwise tokens in a row
    (a group of near copies) and count as candidates of each other, by one minimum per node.
-   A pair at 0.8 meets in a tree with probability 0.64 or more up to three levels and 0.48 at all six,
-   so that ten trees miss at most 1 in 500 of such pairs in the deepest nodes, and far fewer elsewhere.
+   A pair at 0.8 meets in a tree with probability 0.73 at two levels and 0.58 at all four, so that ten
+   trees miss about 1 in 5,000 of such pairs in the deepest nodes, and far fewer elsewhere.
 3. Candidates form coarse groups (connected components).  The full sets of a group's members meet, in
    chunks of about ``CHUNK``, and only links confirmed on the full sets count.  In a group of several
-   chunks every chunk also holds the group's hubs (about eight members).  Members that the hubs don't
-   tie together are then compared with every chunk, so that no link between different components is
-   left out, while the members that are tied together aren't compared pair by pair.
+   chunks every chunk also holds the group's hubs (about eight members).  Members that aren't tied in
+   their chunk to the main hub, the one with the most members, are then compared with every chunk, so
+   that no link between different components is left out, while the members that are tied together
+   aren't compared pair by pair.
 4. The components of the confirmed links are the result.
 
 Nothing is collected.  A hot class is one row; node and group sizes are counted before rows move.
@@ -41,7 +42,7 @@ from .words import hashes, spans, utf8
 PLACES = 64
 TREES = 10
 LEAF = 100
-DEPTH = 6
+DEPTH = 4
 #: Equal bytes of two sketches from which a pair is a candidate: four standard deviations under 0.8.
 AGREE = 37
 CHUNK = 256
@@ -95,7 +96,8 @@ def _matrix(column: pa.Array, kind) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, c1, c2, tokens): the digest of the set and its minwise tokens."""
+    """(doc_id, n_shingles, c1, c2, tokens, sketch): the digest of the set, its minwise tokens, and the
+    low byte of each."""
     def work(batches):
         for batch in by_bytes(batches, "text"):
             values, offsets = shingle_sets(batch.column("text"), size)
@@ -112,10 +114,11 @@ def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
                         digest[full, i] = np.add.reduceat(mix(values + np.uint64(i + 1)), at)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(n), *[pa.array(digest[:, i].view(np.int64), mask=~full) for i in (0, 1)],
-                 pa.array(_rows(tokens), pa.binary())], names=["id", "n_shingles", "c1", "c2", "tokens"])
+                 pa.array(_rows(tokens), pa.binary()), pa.array(_rows(tokens.astype(np.uint8)), pa.binary())],
+                names=["id", "n_shingles", "c1", "c2", "tokens", "sketch"])
 
     return (docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-            .transform(map_arrow, work, "id bigint, n_shingles bigint, c1 bigint, c2 bigint, tokens binary")
+            .transform(map_arrow, work, "id bigint, n_shingles bigint, c1 bigint, c2 bigint, tokens binary, sketch binary")
             .withColumnRenamed("id", "doc_id"))
 
 
@@ -228,22 +231,36 @@ def _ties(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _confirmed(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """(a, b): a forest of the confirmed links within each group of (keys, rep, side, shingles)."""
+    """(keys, a, b): each member a of a group of (keys, rep, side, shingles) and the smallest member b
+    that confirmed links within the group tie it to, itself if none."""
     def work(batches):
         for table in runs(batches, keys):
             begin = starts_of(*(table.column(k).to_numpy() for k in keys)).tolist()
             rep, side = table.column("rep").to_numpy(), table.column("side").to_numpy()
             sets = table.column("shingles")
-            a, b = [], []
-            for s, e in zip(begin, [*begin[1:], len(rep)], strict=True):
-                root = _ties([np.frombuffer(x, np.uint64) for x in sets.slice(s, e - s).to_pylist()], side[s:e], percent)
-                moved = np.flatnonzero(root != np.arange(e - s))
-                a.append(rep[s + moved])
-                b.append(rep[s + root[moved]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            root = np.concatenate([
+                s + _ties([np.frombuffer(x, np.uint64) for x in sets.slice(s, e - s).to_pylist()], side[s:e], percent)
+                for s, e in zip(begin, [*begin[1:], len(rep)], strict=True)])
+            yield pa.RecordBatch.from_arrays([*(table.column(k).combine_chunks() for k in keys), pa.array(rep), pa.array(rep[root])],
+                                             names=[*keys, "a", "b"])
 
+    fields = ", ".join(f"{k} {members.schema[k].dataType.simpleString()}" for k in keys)
     return (members.select(*keys, "rep", "side", "shingles").repartition(*keys).sortWithinPartitions(*keys, "rep")
-            .transform(map_arrow, work, "a bigint, b bigint"))
+            .transform(map_arrow, work, f"{fields}, a bigint, b bigint"))
+
+
+def _open(first: DataFrame, several: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(grp, rep): members of groups of several chunks that no link within their chunk ties to the main
+    hub, which is the hub with the most members tied to it."""
+    tied = first.join(several.select("grp").distinct(), "grp", "left_semi")
+    sizes = tied.groupBy("grp", "chunk", "b").agg(F.count("*").alias("k"))
+    places = (tied.join(hubs.select("grp", F.col("rep").alias("a")).distinct(), ["grp", "a"])
+              .select("grp", "chunk", "b", F.col("a").alias("hub")))
+    main = (places.join(sizes, ["grp", "chunk", "b"]).groupBy("grp", "hub").agg(F.sum("k").alias("k"))
+            .groupBy("grp").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub")))
+    held = places.join(main, ["grp", "hub"]).select("grp", "chunk", "b")
+    return (tied.join(several.select("grp", "chunk", F.col("rep").alias("a")), ["grp", "chunk", "a"], "left_semi")
+            .join(held, ["grp", "chunk", "b"], "left_anti").select("grp", F.col("a").alias("rep")))
 
 
 def _full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -279,15 +296,9 @@ def confirm(docs: DataFrame, coarse: DataFrame, size: int, percent: int, id_col:
     several = members.where("chunks > 1")
     if several.isEmpty():
         return components(first)
-    # Members outside the largest component of their group, against every chunk of it.
-    fine = components(first)
-    now = (several.select("grp", "rep").join(fine, F.col("rep") == F.col("node"), "left")
-           .select("grp", "rep", F.coalesce("component", "rep").alias("fine")))
-    main = (now.groupBy("grp", "fine").agg(F.count("*").alias("k")).groupBy("grp")
-            .agg(F.max_by("fine", F.struct("k", "fine")).alias("main")))
-    open_ = write_table(now.join(main, "grp").where("fine <> main").select("grp", "rep"), "open")
+    open_ = write_table(_open(first, several, hubs), "open")
     if open_.isEmpty():
-        return fine
+        return components(first)
     blocks = (open_.groupBy("grp").agg(F.count("*").alias("m"))
               .select("grp", F.ceil(F.col("m") / chunk).cast("int").alias("blocks")))
     theirs = several.join(blocks, "grp")
@@ -296,7 +307,7 @@ def confirm(docs: DataFrame, coarse: DataFrame, size: int, percent: int, id_col:
             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("side", F.lit(1)))
     right = theirs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(2))
     second = _confirmed(left.unionByName(right), ["grp", "chunk", "block"], percent)
-    return components(first.union(second))
+    return components(first.select("a", "b").union(second.select("a", "b")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = TREES,
@@ -305,8 +316,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
     """(doc_id, n_shingles, component_id, kept), one row per input row."""
     rows = write_table(sketches(docs, words, id_col, text_col), "sketches")
     classes = (rows.where("c1 is not null and doc_id is not null").groupBy("c1", "c2")
-               .agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens")))
-    classes = write_table(_with_sketch(classes), "classes")
+               .agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")))
+    classes = write_table(classes, "classes")
     coarse = components(candidates(classes.select("rep", "tokens", "sketch"), trees, leaf, depth))
     fine = confirm(docs, coarse, words, percent, id_col, text_col, chunk)
     named = (classes.select("c1", "c2", "rep").join(fine, F.col("rep") == F.col("node"), "left")
@@ -316,13 +327,3 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
-
-def _with_sketch(classes: DataFrame) -> DataFrame:
-    """Adds the sketch: the low byte of every minwise token."""
-    def work(batches):
-        for batch in by_bytes(batches, "tokens", 1 << 20):
-            low = _matrix(batch.column("tokens"), np.uint32).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_rows(low), pa.binary())],
-                                             names=[*batch.schema.names, "sketch"])
-
-    return classes.transform(map_arrow, work, "c1 bigint, c2 bigint, rep bigint, tokens binary, sketch binary")

@@ -203,7 +203,9 @@ def join_blocks(a, b, width: int, turn: np.ndarray, cosine: float, eps: float, s
     root = forest(len(links), np.concatenate([root, *left]), np.concatenate([np.arange(len(root)), *right]))
     ids = ids_a if same else np.concatenate([ids_a, ids_b])
     at = np.flatnonzero(links)
-    return ids[at], links[at], ids[root[at]]
+    least = ids.copy()
+    np.minimum.at(least, root, ids)
+    return ids[at], links[at], least[root[at]]
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, block: int = BLOCK,

@@ -8,16 +8,6 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Logical dtypes a definition may declare (fixed vocabulary) and the Spark
-# type a JSON value of that dtype decodes to.
-DTYPE_TO_SPARK = {
-    "float64": "double",
-    "int64": "bigint",
-    "string": "string",
-    "bool": "boolean",
-}
-
-
 def ts_lit(value) -> Column:
     """A TIMESTAMP_NTZ literal (test data and oracle output are NTZ; the
     session time zone is UTC so NTZ and TIMESTAMP agree)."""
@@ -28,22 +18,24 @@ def ts_lit(value) -> Column:
     return F.lit(str(value)).cast("timestamp_ntz")
 
 
-def to_ntz(col: Column | str) -> Column:
-    c = F.col(col) if isinstance(col, str) else col
-    return c.cast("timestamp_ntz")
-
-
-def epoch_seconds(col: Column | str) -> Column:
-    """Seconds since the epoch as DOUBLE with microsecond precision."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.unix_micros(c.cast("timestamp")) / F.lit(1_000_000.0)
-
-
 def seconds_between(later: Column | str, earlier: Column | str) -> Column:
     """``later - earlier`` in seconds (R7 freshness, N6 durations)."""
     a = F.col(later) if isinstance(later, str) else later
     b = F.col(earlier) if isinstance(earlier, str) else earlier
-    return (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / F.lit(1_000_000.0)
+    return interval_micros(a - b) / F.lit(1_000_000.0)
+
+
+def interval_micros(i: Column) -> Column:
+    """Microseconds of a day-time interval.  The difference of two zone-less
+    times is one; no cast to a zoned time, so the session zone has no part."""
+    whole = ((F.extract(F.lit("DAY"), i).cast("bigint") * 24 + F.extract(F.lit("HOUR"), i)) * 60
+             + F.extract(F.lit("MINUTE"), i)) * 60
+    return whole * 1_000_000 + (F.extract(F.lit("SECOND"), i) * 1_000_000).cast("bigint")
+
+
+def micros(ts: Column) -> Column:
+    """Microseconds of a zone-less time since 1970."""
+    return interval_micros(ts - ts_lit("1970-01-01 00:00:00"))
 
 
 def add_hours(ts: Column | str, hours: Column | int) -> Column:
@@ -85,11 +77,15 @@ def split_online_key(key: Column | str) -> tuple[Column, Column]:
 
 def glob_to_regex(pattern: str) -> str:
     """Translate a cache glob (``*``, ``?``, ``[...]``) into an anchored
-    Java regex; every other character is matched literally (E12)."""
+    Java regex; a backslash takes the next character literally, an empty set
+    matches nothing, every other character is matched literally (E12)."""
     out, i = ["^"], 0
     while i < len(pattern):
         ch = pattern[i]
-        if ch == "*":
+        if ch == "\\" and i + 1 < len(pattern):
+            i += 1
+            out.append(re.escape(pattern[i]))
+        elif ch == "*":
             out.append(".*")
         elif ch == "?":
             out.append(".")
@@ -101,7 +97,8 @@ def glob_to_regex(pattern: str) -> str:
                 body = pattern[i + 1:j]
                 if body.startswith("!") or body.startswith("^"):
                     body = "^" + body[1:]
-                out.append("[" + body.replace("\\", "\\\\") + "]")
+                safe = re.sub(r"([\\\[&])", r"\\\1", body)
+                out.append("[" + safe + "]" if body not in ("", "^") else "(?!)" if not body else ".")
                 i = j
         else:
             out.append(re.escape(ch))
@@ -111,10 +108,10 @@ def glob_to_regex(pattern: str) -> str:
 
 
 def glob_match(col: Column | str, pattern: str) -> Column:
-    """Glob predicate: a literal prefix ``abc*`` becomes ``startswith`` (which
-    Parquet can push down); anything else an anchored ``rlike``."""
+    """Glob predicate: a literal prefix ``abc*`` becomes ``startswith``;
+    anything else an anchored ``rlike``."""
     c = F.col(col) if isinstance(col, str) else col
-    meta = set("*?[")
+    meta = set("*?[\\")
     if pattern.endswith("*") and not (set(pattern[:-1]) & meta):
         return c.startswith(pattern[:-1])
     if not (set(pattern) & meta):

@@ -19,8 +19,8 @@ Plan (all built-in DataFrame operators, no join on time):
    ``last(ignorenulls)`` over ``partitionBy(entity, bucket).orderBy(ts, kind)``;
    values sort before spine rows at equal time, so the bound is inclusive.
 
-All features are slots of the same scan: one Exchange and one Window for any
-number of features, never one join per feature.
+All features are slots of the same scans: the number of exchanges does not
+grow with the features, and there is no join per feature.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import add_hours
+from ..functions.scalars import add_hours, micros
 from .pit import resolved_values
 
 _UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 7 * 86400}
@@ -47,7 +47,7 @@ def interval_seconds(spec) -> int:
 
 
 def time_bucket(ts: Column, width_seconds: int) -> Column:
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(width_seconds * 1_000_000)).cast("long")
+    return F.floor(micros(ts) / F.lit(width_seconds * 1_000_000)).cast("long")
 
 
 def _asof_core(spine: DataFrame, vals: DataFrame, keys: list[str], time: str,
@@ -57,7 +57,10 @@ def _asof_core(spine: DataFrame, vals: DataFrame, keys: list[str], time: str,
     each slot takes the value rows where its condition holds.  Returns the
     spine's columns plus one payload struct column per slot."""
     spine_cols = spine.columns
+    # A NULL key equals nothing: its values are left out, its spine rows find none.
     vals = vals.where(F.col("event_ts").isNotNull())
+    for k in keys:
+        vals = vals.where(F.col(k).isNotNull())
     vb = vals.withColumn("_b", time_bucket(F.col("event_ts"), bucket_seconds))
     sp = spine.withColumn("_b", time_bucket(F.col(time), bucket_seconds))
     order = F.struct("event_ts", "feature_version", "write_seq")

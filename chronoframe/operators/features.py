@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import safe_ratio, seconds_between
+from ..functions.scalars import micros, safe_ratio, seconds_between
 from .asof import interval_seconds, time_bucket
 
 
@@ -28,7 +28,7 @@ def trailing_count(events: DataFrame, range_spec="7 days", entity: str = "entity
     width = interval_seconds(range_spec)
     us = width * 1_000_000
     base = events.withColumn("_b", time_bucket(F.col(time), width)) \
-        .withColumn("_us", F.unix_micros(F.col(time).cast("timestamp")))
+        .withColumn("_us", micros(F.col(time)))
     copies = base.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_shift")) \
         .withColumn("_pb", F.col("_b") + F.col("_shift"))
     w = Window.partitionBy(entity, "_pb").orderBy("_us").rangeBetween(-us, 0)

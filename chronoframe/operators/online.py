@@ -17,16 +17,20 @@ from ..functions.scalars import add_seconds, glob_match, online_key, percent_or_
 from ..session import cut_lineage
 from .asof import as_of_join_long
 
-SNAPSHOT_COLS = ["entity_id", "feature_name", "value_num", "value_ts", "written_at", "expires_at", "write_seq"]
+SNAPSHOT_COLS = ["entity_id", "feature_name", "value_num", "value_json", "value_ts", "written_at", "expires_at", "write_seq"]
 DEFAULT_TTL_SECONDS = 3600
 
 
 def snapshot_merge(snapshot: DataFrame | None, updates: DataFrame, ttl_seconds=DEFAULT_TTL_SECONDS) -> DataFrame:
     """Set-many with TTL.  ``updates`` has entity_id, feature_name,
-    value_num, value_ts, written_at, write_seq and optionally ttl_seconds
+    value_num, value_ts, written_at, write_seq and optionally value_json (the
+    value of any type as JSON; by default that of value_num) and ttl_seconds
     (per-feature TTL); the newest write per key wins."""
     ttl = F.col("ttl_seconds") if "ttl_seconds" in updates.columns else F.lit(ttl_seconds)
-    u = updates.where(F.col("value_num").isNotNull()) \
+    if "value_json" not in updates.columns:
+        updates = updates.withColumn("value_json", F.to_json(F.struct("value_num")))
+        updates = updates.withColumn("value_json", F.get_json_object("value_json", "$.value_num"))
+    u = updates.where(F.col("value_num").isNotNull() | F.col("value_json").isNotNull()) \
         .withColumn("expires_at", add_seconds(F.col("written_at"), ttl)) \
         .select(*SNAPSHOT_COLS)
     allrows = u if snapshot is None else snapshot.select(*SNAPSHOT_COLS).unionByName(u)
@@ -40,18 +44,21 @@ def warm_up(pit: DataFrame, written_at, registry: DataFrame | None = None,
             ttl_seconds=DEFAULT_TTL_SECONDS) -> DataFrame:
     """A snapshot from a point-in-time read (TTL per feature from the
     registry's ttl_hours when given)."""
-    u = pit.select("entity_id", "feature_name", "value_num", F.col("event_ts").alias("value_ts"),
+    u = pit.select("entity_id", "feature_name", "value_num", "value_json", F.col("event_ts").alias("value_ts"),
                    ts_lit(written_at).alias("written_at"), "write_seq",
                    *([(F.col("ttl_hours") * 3600).alias("ttl_seconds")] if registry is not None
                      and "ttl_hours" in pit.columns else []))
     return snapshot_merge(None, u, ttl_seconds)
 
 
-def stream_updates(stats: DataFrame, batch_id, ttl_seconds=DEFAULT_TTL_SECONDS) -> DataFrame:
+def stream_updates(stats: DataFrame, batch_id, ttl_seconds=DEFAULT_TTL_SECONDS, as_of=None) -> DataFrame:
     """Window stats of one micro-batch -> snapshot updates.  One entry
-    per (entity, feature): the newest *closed-or-open* window end wins."""
+    per (entity, feature): the newest window end wins.  With ``as_of`` only
+    windows closed by then count (``window_end <= as_of``)."""
     from .windows import stats_to_features
     f = stats_to_features(stats)
+    if as_of is not None:
+        f = f.where(F.col("event_ts") <= ts_lit(as_of))
     return f.select("entity_id", "feature_name", "value_num", F.col("event_ts").alias("value_ts"),
                     F.col("event_ts").alias("written_at"), F.lit(batch_id).cast("long").alias("write_seq"),
                     F.lit(ttl_seconds).alias("ttl_seconds"))
@@ -129,22 +136,13 @@ def invalidate(snapshot: DataFrame, pattern: str | None = None, entities=None) -
     return remaining, removed.agg(F.count(F.lit(1)).alias("removed"))
 
 
-def flush(snapshot: DataFrame) -> DataFrame:
-    """An empty snapshot of the same schema."""
-    return snapshot.limit(0)
-
-
 def snapshot_stats(snapshot: DataFrame, probed: DataFrame, as_of) -> DataFrame:
-    """Live keys at ``as_of``, approximate size in MB (E13), hits,
-    misses, hit rate -- one row."""
+    """Live keys at ``as_of``, hits, misses, hit rate -- one row."""
     t = ts_lit(as_of)
     live = snapshot.where((F.col("written_at") <= t) & (t < F.col("expires_at")))
-    size = F.length(online_key("entity_id", "feature_name")) + F.lit(8 + 8 + 8 + 8)
-    k = live.agg(F.count(F.lit(1)).alias("total_keys"), F.coalesce(F.sum(size), F.lit(0)).alias("_bytes"))
+    k = live.agg(F.count(F.lit(1)).alias("total_keys"))
     h = probed.agg(F.sum(F.col("hit").cast("int")).cast("long").alias("hits"),
                    F.sum((~F.col("hit")).cast("int")).cast("long").alias("misses"))
-    both = k.unionByName(h, allowMissingColumns=True).agg(F.max("total_keys").alias("total_keys"), F.max("_bytes").alias("_bytes"),
-             F.max("hits").alias("hits"), F.max("misses").alias("misses"))
-    return both.select("total_keys", F.round(F.col("_bytes") / (1024 * 1024), 6).alias("memory_mb"),
-                       "hits", "misses", percent_or_zero(F.col("hits"), F.col("hits") + F.col("misses"))
+    both = k.unionByName(h, allowMissingColumns=True).agg(F.max("total_keys").alias("total_keys"), F.max("hits").alias("hits"), F.max("misses").alias("misses"))
+    return both.select("total_keys", "hits", "misses", percent_or_zero(F.col("hits"), F.col("hits") + F.col("misses"))
                        .alias("hit_rate_pct"))

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import add_hours, seconds_between, ts_lit
-from ..plans.guards import bounded_broadcast
 from .registry import latest_versions
 
 PAYLOAD = ["value_num", "value_json", "event_ts", "metadata", "feature_id", "feature_version", "write_seq"]
@@ -25,25 +24,25 @@ def _registry_side(registry: DataFrame, features=None, versions: str = "all") ->
         r = r.where(F.col("name").isin(list(features)))
     if versions == "latest":
         r = latest_versions(r)
-    return bounded_broadcast(r.select(
+    return (r.select(
         "feature_id", F.col("name").alias("feature_name"),
         F.col("version").alias("feature_version"), "ttl_hours", "dtype"))
 
 
 def _restrict_entities(values: DataFrame, entities) -> DataFrame:
     """a Python list becomes an IN filter (pushed to the scan); a
-    DataFrame a left-semi join (broadcast only when its size is bounded)."""
+    DataFrame a left-semi join (Spark picks the strategy from its measured size)."""
     if entities is None:
         return values
     if isinstance(entities, DataFrame):
         keys = entities.select(F.col(entities.columns[0]).alias("entity_id")).distinct()
-        return values.join(bounded_broadcast(keys), "entity_id", "left_semi")
+        return values.join(keys, "entity_id", "left_semi")
     return values.where(F.col("entity_id").isin(list(entities)))
 
 
 def resolved_values(values: DataFrame, registry: DataFrame, features=None,
                     versions: str = "all", entities=None) -> DataFrame:
-    """Values joined to their definition (broadcast registry)."""
+    """Values joined to their definition (a dimension table; Spark broadcasts it while it is small)."""
     v = _restrict_entities(values, entities)
     return v.join(_registry_side(registry, features, versions), "feature_id")
 
@@ -130,19 +129,24 @@ def to_matrix(pit: DataFrame, features, value_col: str = "value_num") -> DataFra
 
 
 def batch_retrieval(values: DataFrame, registry: DataFrame, requests: DataFrame,
-                    max_entities: int = 1000) -> DataFrame:
+                    max_entities: int | None = None) -> tuple[DataFrame, DataFrame]:
     """H2 over a table of batch requests ``(request_id, entity_ids ARRAY,
     feature_names ARRAY, as_of)``: V2 per request, then one J2 per
-    (request, entity, feature) via the as-of join, returning the matched
-    count per request (A11).  Oversize requests are answered with a
-    violation and no rows."""
+    (request, entity, feature) via the as-of join.
+
+    Returns ``(answers, rejects)``.  Invalid requests are in ``rejects``; a
+    valid request for which nothing was found has no rows in either.
+    ``answers`` carries the number of entities of the request that have a
+    value (A11); ``rejects`` the request with its violations."""
     from .asof import as_of_join_long
+    from .quality import validate_requests
 
-    ok = requests.where((F.size("entity_ids") >= 1) & (F.size("entity_ids") <= max_entities) &
-                        (F.size("feature_names") >= 1))
+    checked = validate_requests(requests, max_entities)
+    ok = checked.where("valid")
     spine = (ok.select("request_id", "as_of", F.explode(F.array_distinct("entity_ids")).alias("entity_id"),
                        "feature_names")
                .select("request_id", "as_of", "entity_id", F.explode(F.array_distinct("feature_names"))
                        .alias("feature_name")))
     hits = as_of_join_long(spine, values, registry, time="as_of").where(F.col("value_ts").isNotNull())
-    return hits
+    found = hits.groupBy("request_id").agg(F.count_distinct("entity_id").alias("entities_returned"))
+    return hits.join(found, "request_id"), checked.where("not valid").drop("valid")

@@ -6,21 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import decode_json_value
-from ..plans.guards import bounded_broadcast
 
 MAX_BATCH_ENTITIES = 1000
 
 
-def validate_requests(requests: DataFrame, max_entities: int = MAX_BATCH_ENTITIES) -> DataFrame:
+def validate_requests(requests: DataFrame, max_entities: int | None = MAX_BATCH_ENTITIES) -> DataFrame:
     """V2 per request row: entity ids 1..max_entities and non-empty, at
     least one feature.  Adds ``violations`` and ``valid``; the cap is per
     request, never on a table join."""
-    n = F.size("entity_ids")
+    n = F.coalesce(F.size("entity_ids"), F.lit(-1))
     checks = [
         (n < 1, "no_entities"),
-        (n > max_entities, "too_many_entities"),
+        (F.lit(False) if max_entities is None else n > max_entities, "too_many_entities"),
         (F.exists("entity_ids", lambda e: e.isNull() | (F.length(e) < 1)), "empty_entity_id"),
-        (F.size("feature_names") < 1, "no_features"),
+        (F.coalesce(F.size("feature_names"), F.lit(-1)) < 1, "no_features"),
     ]
     viol = F.filter(F.array(*[F.when(c, F.lit(name)) for c, name in checks]), lambda x: x.isNotNull())
     return requests.withColumn("violations", viol).withColumn("valid", F.size("violations") == 0)
@@ -29,7 +28,7 @@ def validate_requests(requests: DataFrame, max_entities: int = MAX_BATCH_ENTITIE
 def decode_values(values: DataFrame, registry: DataFrame) -> DataFrame:
     """Decode each stored JSON value by its definition's dtype; NULL
     where the JSON does not hold that type (then ``violation`` is true)."""
-    reg = bounded_broadcast(registry.select("feature_id", F.col("name").alias("feature_name"),
+    reg = (registry.select("feature_id", F.col("name").alias("feature_name"),
                                            F.col("version").alias("feature_version"), "dtype"))
     v = values.join(reg, "feature_id")
     dec = decode_json_value(F.col("value_json"), F.col("dtype"))
@@ -48,14 +47,29 @@ def dtype_violations(values: DataFrame, registry: DataFrame) -> DataFrame:
 
 def orphans(values: DataFrame, registry: DataFrame) -> DataFrame:
     """V5: values whose feature id has no definition."""
-    return values.join(bounded_broadcast(registry.select("feature_id")), "feature_id", "left_anti")
+    return values.join(registry.select("feature_id"), "feature_id", "left_anti")
 
 
 def cascade_delete(values: DataFrame, registry_after: DataFrame) -> DataFrame:
     """V5 cascade: keep only values whose feature still exists."""
-    return values.join(bounded_broadcast(registry_after.select("feature_id")), "feature_id", "left_semi")
+    return values.join(registry_after.select("feature_id"), "feature_id", "left_semi")
 
 
 def json_path_equals(col: str, path: str, value) -> F.Column:
-    """predicate on a JSON field (``$.k == value``)."""
-    return F.get_json_object(F.col(col), path) == F.lit(str(value))
+    """predicate on a JSON field (``$.k == value``) by the value's type:
+    booleans equal booleans, numbers equal numbers of any notation (10 and
+    10.0), strings equal strings, None equals JSON null."""
+    v = F.try_variant_get(F.try_parse_json(F.col(col)), path, "variant")
+    kind = F.schema_of_variant(v)
+    text = kind == "STRING"
+    if value is None:
+        hit = F.is_variant_null(v)
+    elif isinstance(value, bool):
+        hit = (kind == "BOOLEAN") & (F.try_variant_get(v, "$", "boolean") == F.lit(value))
+    elif isinstance(value, int):
+        hit = ~text & (kind != "BOOLEAN") & (F.try_variant_get(v, "$", "decimal(38,9)") == F.lit(value).cast("decimal(38,9)"))
+    elif isinstance(value, float):
+        hit = ~text & (kind != "BOOLEAN") & (F.try_variant_get(v, "$", "double") == F.lit(value))
+    else:
+        hit = text & (F.try_variant_get(v, "$", "string") == F.lit(value))
+    return F.coalesce(hit, F.lit(False))

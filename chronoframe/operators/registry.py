@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ts_lit
-from ..plans.guards import bounded_broadcast
 
 DEF_COLS = ["name", "version", "dtype", "entity_type", "ttl_hours", "description", "tags"]
 REG_COLS = ["feature_id"] + DEF_COLS + ["created_at", "updated_at"]
@@ -96,6 +95,12 @@ def register(registry: DataFrame, definitions: DataFrame, as_of) -> DataFrame:
         .select(*REG_COLS)
 
 
+def register_with_rejects(registry: DataFrame, definitions: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+    """G1 with V1's other half: the next registry, and the definitions that
+    were not applied with their violations."""
+    return register(registry, definitions, as_of), validate_definitions(definitions).where("not valid").drop("valid")
+
+
 def resolve(registry: DataFrame, names=None, version: int | None = None) -> DataFrame:
     """By name (and version); version None or 0 -> latest."""
     r = registry
@@ -144,7 +149,7 @@ def expand_groups(groups: DataFrame, registry: DataFrame) -> tuple[DataFrame, Da
     """Group -> members -> latest definition.  Returns (members with
     their definition, NULL where none) and the dangling member report."""
     members = groups.select("group", F.posexplode("members").alias("pos", "member"))
-    latest = bounded_broadcast(latest_versions(registry).select(
+    latest = (latest_versions(registry).select(
         F.col("name").alias("member"), "feature_id", "version", "dtype", "entity_type"))
     joined = members.join(latest, "member", "left")
     dangling = members.join(latest.select("member"), "member", "left_anti")

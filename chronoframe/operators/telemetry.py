@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import percent_or_zero
-from ..plans.guards import bounded_broadcast
 
 # --- fixed values: histogram bucket upper bounds of the reference's metrics
 LATENCY_BUCKETS_S = [0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5]
@@ -24,7 +23,7 @@ QUANTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 def attribute_tenant(log: DataFrame, keys: DataFrame) -> DataFrame:
     """Tenant per request; a missing or unknown key is a 401."""
-    j = log.join(bounded_broadcast(keys), "api_key", "left")
+    j = log.join(keys, "api_key", "left")
     return j.withColumn("auth_status", F.when(F.col("api_key").isNull() | F.col("tenant").isNull(), 401)
                         .otherwise(F.col("status")))
 
@@ -51,9 +50,11 @@ def exact_quantiles(df: DataFrame, by, col: str, quantiles: dict) -> DataFrame:
 
 def latency_summary(log: DataFrame, by=("endpoint",), col: str = "latency_ms",
                     approx: bool = False) -> DataFrame:
-    """N, min, max, mean, median/p90/p95/p99, population stddev, errors
-    (status >= 400), success percent."""
+    """N, errors (status >= 400) and success percent of all requests;
+    min, max, mean, median/p90/p95/p99 and population stddev of the latency of
+    the successful ones (NULL if none is)."""
     by = list(by)
+    log = log.withColumn(col, F.when(F.col("status") < 400, F.col(col)))
     base = log.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.min(col).alias("min_ms"), F.max(col).alias("max_ms"),
         F.avg(col).alias("mean_ms"), F.stddev_pop(col).alias("stddev_ms"),
@@ -127,8 +128,9 @@ def hit_rate(probed: DataFrame, by=("feature_name",)) -> DataFrame:
 
 def freshness_gauge(answers: DataFrame, by=("feature_name",)) -> DataFrame:
     """The last observed freshness per feature (gauge semantics: the
-    value set by the latest request)."""
-    return answers.where(F.col("freshness_seconds").isNotNull()).groupBy(*by).agg(
+    value set by the latest request).  Only values fetched from the history
+    set it; cache hits do not."""
+    return answers.where(F.col("freshness_seconds").isNotNull() & ~F.col("hit")).groupBy(*by).agg(
         F.max_by("freshness_seconds", F.struct("request_ts", "request_id")).alias("freshness_seconds"),
         F.max("request_ts").alias("observed_at"))
 

@@ -30,11 +30,16 @@ def first_writer_wins(rows: DataFrame, keys, seq: str = "write_seq") -> DataFram
 
 
 def upsert(history: DataFrame, updates: DataFrame, keys, seq: str = "write_seq") -> DataFrame:
-    """``INSERT .. ON CONFLICT DO UPDATE``.  Updates carry higher
-    ``seq`` than the history they replace (writes are sequenced), and within
-    one batch the last row in write order wins.  An empty update is a no-op;
-    applying the same update twice equals applying it once."""
-    return last_writer_wins(history.unionByName(updates.select(*history.columns)), keys, seq)
+    """``INSERT .. ON CONFLICT DO UPDATE``.  An update replaces the stored
+    row of its key whatever the order numbers say; within the updates the last
+    row in write order wins.  Missing metadata becomes ``{}``.  An empty update
+    is a no-op; applying the same update twice equals applying it once."""
+    new = updates.select(*history.columns)
+    if "metadata" in new.columns:
+        new = new.withColumn("metadata", F.coalesce("metadata", F.lit("{}")))
+    both = history.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    ranked = both.withColumn("_rank", F.struct("_new", seq))
+    return last_writer_wins(ranked, keys, "_rank").select(*history.columns)
 
 
 def insert_ignore(target: DataFrame, rows: DataFrame, keys, seq: str = "write_seq") -> DataFrame:
@@ -54,10 +59,10 @@ def write_history(values: DataFrame, path: str, mode: str = "overwrite") -> None
     split a big (hot) day into advisory-size tasks and coalesce small days,
     so file sizes follow the data, not a fixed partition count; files are
     sorted by (feature, entity, time) so row-group min/max prune lookups.
-    ``mode='overwrite'`` with dynamic partition overwrite replaces only the
-    days present in ``values``."""
+    ``mode='overwrite'`` replaces only the days present in ``values``,
+    whatever the session's overwrite mode."""
     v = values if "dt" in values.columns else with_day(values)
     (v.hint("rebalance", "dt")
       .sortWithinPartitions("dt", "feature_id", "entity_id", "event_ts")
-      .write.mode(mode).option("compression", "zstd")
+      .write.mode(mode).option("compression", "zstd").option("partitionOverwriteMode", "dynamic")
       .partitionBy("dt").parquet(path))

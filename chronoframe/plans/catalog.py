@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.scalars import ts_lit
 from ..operators import asof, features, online, pit, quality, registry as reg, telemetry, upkeep, windows, writes
 from ..sources import adapters as A
-from ..sources.synthetic import seed_history
 from .context import Tables
 
 # --- query parameters (shared with the SQL oracles) --------------------------
@@ -21,7 +20,7 @@ HIST_START, HIST_END = "2024-01-10 00:00:00", "2024-01-12 00:00:00"
 EVENT_FEATURES = ["purchase", "view", "click", "signup", "error"]
 ASOF_FEATURES = ["purchase", "view", "click"]
 SNAPSHOT_AT = "2024-01-15 00:00:00"
-REFRESH_BASE_UNTIL, REFRESH_AT = "2024-01-15 00:00:00", "2024-01-20 12:30:00"
+REFRESH_BASE_UNTIL, REFRESH_AT = "2024-01-20 10:00:00", "2024-01-20 12:30:00"
 RETAIN_AT, RETAIN_DAYS = "2024-01-31 12:00:00", 10
 COMPACT_AT, COMPACT_DAYS = "1998-01-01 00:00:00", 7
 REREGISTER_AT = "2024-02-01 00:00:00"
@@ -120,20 +119,31 @@ def q_days_since_purchase(spark, sf_dir):
 
 
 def batch_requests(t: Tables) -> DataFrame:
-    """One batch request per click: the user, three features, as of the click."""
-    return t.events_raw.where(F.col("event_type") == "click").select(
-        F.col("event_id").alias("request_id"), F.array(A.user_entity()).alias("entity_ids"),
-        F.array(*[F.lit(f) for f in ("purchase", "view", "signup")]).alias("feature_names"),
-        F.col("ts").alias("as_of"))
+    """One batch request per user and day with clicks: the users whose id is
+    the user's, the next and the one after, three features, as of the last
+    click.  Days divisible by ten ask for no feature."""
+    c = t.events_raw.where(F.col("event_type") == "click").groupBy(
+        "user_id", F.to_date("ts").alias("d")).agg(F.max("event_id").alias("request_id"), F.max("ts").alias("as_of"))
+    names = F.array(*[F.lit(f) for f in ("purchase", "view", "signup")])
+    return c.select(
+        "request_id", F.array(*[F.concat(F.lit("user_"), (F.col("user_id") + i).cast("string")) for i in range(3)])
+        .alias("entity_ids"),
+        F.when(F.dayofmonth("d") % 10 == 0, F.array().cast("array<string>")).otherwise(names).alias("feature_names"),
+        "as_of")
 
 
 def q_batch_retrieval(spark, sf_dir):
     t = T(spark, sf_dir)
-    hits = pit.batch_retrieval(t.values, t.registry, batch_requests(t))
-    from pyspark.sql import Window
-    n = F.size(F.collect_set("entity_id").over(Window.partitionBy("request_id")))
+    hits, _ = pit.batch_retrieval(t.values, t.registry, batch_requests(t))
     return hits.select("request_id", "entity_id", "feature_name", r6("value_num").alias("value"),
-                       "value_ts", n.alias("entities_returned"))
+                       "value_ts", "entities_returned")
+
+
+def q_request_rejects(spark, sf_dir):
+    """V2: the batch requests that are not answered, with their violations."""
+    t = T(spark, sf_dir)
+    _, rejects = pit.batch_retrieval(t.values, t.registry, batch_requests(t), max_entities=3)
+    return rejects.select("request_id", F.array_join("violations", ",").alias("violations"))
 
 
 # --- windows ---------------------------------------------------------------------
@@ -160,6 +170,14 @@ def q_window_long(spark, sf_dir):
     return f.select("entity_id", "feature_name", r6("value_num").alias("value"), "event_ts", "window_start")
 
 
+def q_closed_window_snapshot(spark, sf_dir):
+    """The snapshot of the windows closed by SNAPSHOT_AT."""
+    t = T(spark, sf_dir)
+    stats = windows.window_stats(t.events, "5 minutes", "1 minute")
+    u = online.stream_updates(stats, 0, as_of=SNAPSHOT_AT)
+    return online.snapshot_merge(None, u).select("entity_id", "feature_name", r6("value_num").alias("value"), "value_ts")
+
+
 def q_stream_window_stats(spark, sf_dir):
     from ..streaming.replay import drain_events_stream
     t = T(spark, sf_dir)
@@ -186,13 +204,6 @@ def q_session_duration(spark, sf_dir):
     return features.sessions(t.events, "30 minutes")
 
 
-def q_seed_history(spark, sf_dir):
-    t = T(spark, sf_dir)
-    users = t.events_raw.select("user_id").distinct()
-    return seed_history(users, days_back=30, as_of="2024-01-31 00:00:00") \
-        .select("feature_name", "entity_id", "event_ts", r6("value_num").alias("value"))
-
-
 def q_seed_counts(spark, sf_dir):
     """Rows, distinct entities and time extent per feature."""
     t = T(spark, sf_dir)
@@ -216,6 +227,21 @@ def q_upsert_last_wins(spark, sf_dir):
     return u.select("entity_id", "event_ts", r6("value_num").alias("value"), "write_seq")
 
 
+def q_upsert_replaces(spark, sf_dir):
+    """U1 where updates carry lower order numbers than what they replace."""
+    t = T(spark, sf_dir)
+    hist, upd = _order_history(t)
+    u = writes.upsert(hist, upd.withColumn("write_seq", -F.col("write_seq")), ["entity_id", "event_ts"])
+    return u.select("entity_id", "event_ts", r6("value_num").alias("value"), "write_seq")
+
+
+def q_recent_order_dates(spark, sf_dir):
+    """The five newest rows, ties by entity and order number."""
+    t = T(spark, sf_dir)
+    return t.orders.orderBy(F.desc("event_ts"), "entity_id", "write_seq").limit(5).select(
+        "entity_id", "event_ts", r6("value_num").alias("value"), "write_seq")
+
+
 def q_insert_ignore(spark, sf_dir):
     t = T(spark, sf_dir)
     hist, upd = _order_history(t)
@@ -274,6 +300,34 @@ def q_registry_upsert(spark, sf_dir):
     return r.select("feature_id", "name", "version", "ttl_hours", "description", "created_at", "updated_at")
 
 
+def q_feature_by_id(spark, sf_dir):
+    """The public columns of every definition, fetched by its id, in id order (T5)."""
+    t = T(spark, sf_dir)
+    used = t.values.select("feature_id").distinct()
+    return reg.metadata_view(t.registry.join(used, "feature_id", "left_semi")).orderBy("feature_id").select(
+        "feature_id", "name", "version", "dtype", "entity_type", "ttl_hours")
+
+
+def q_feature_resolve(spark, sf_dir):
+    """Purchase by name and version, and by name alone (the latest)."""
+    t = T(spark, sf_dir)
+    one, last = reg.resolve(t.registry, "purchase", 1), reg.resolve(t.registry, "purchase")
+    return one.withColumn("asked", F.lit("v1")).unionByName(last.withColumn("asked", F.lit("latest"))).select(
+        "asked", "feature_id", "name", "version", "ttl_hours")
+
+
+def q_definition_rejects(spark, sf_dir):
+    """V1: one definition per page host, named by the host; hosts over 18 characters lose their
+    type, and the ttl is the number of pages less one."""
+    t = T(spark, sf_dir)
+    host = F.parse_url("url", F.lit("HOST"))
+    defs = t.raw("pages").groupBy(host.alias("name")).agg((F.count(F.lit(1)) - 1).cast("int").alias("ttl_hours")).select(
+        "name", "ttl_hours", F.lit(1).alias("version"), F.lit("page").alias("entity_type"),
+        F.when(F.length("name") <= 18, "float64").alias("dtype"))
+    _, rejects = reg.register_with_rejects(t.registry, defs, REREGISTER_AT)
+    return rejects.select("name", F.array_join("violations", ",").alias("violations"))
+
+
 def q_group_members(spark, sf_dir):
     t = T(spark, sf_dir)
     members, _ = reg.expand_groups(A.feature_groups(spark), t.registry)
@@ -299,6 +353,24 @@ def q_orphans(spark, sf_dir):
     return quality.orphans(t.values, remaining).select("feature_id", "entity_id", "event_ts", "write_seq")
 
 
+def q_cascade_delete(spark, sf_dir):
+    """V5: values per feature id once ``error`` and what hangs on it are deleted."""
+    t = T(spark, sf_dir)
+    left = quality.cascade_delete(t.values, t.registry.where(F.col("name") != "error"))
+    return left.groupBy("feature_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_json_filter_typed(spark, sf_dir):
+    """F10 by type: numbers in another notation, booleans and strings, made of the events' own columns."""
+    t = T(spark, sf_dir)
+    e = t.events_raw.select("event_id", F.to_json(F.struct(
+        "value", F.col("event_type").alias("kind"), (F.col("value") > 50).alias("high"),
+        F.get_json_object("props", "$.k").cast("double").alias("k"))).alias("doc"))
+    tests = {"k_42": ("$.k", 42), "high": ("$.high", True), "kind_click": ("$.kind", "click"), "kind_true": ("$.kind", True)}
+    return e.select("event_id", *[quality.json_path_equals("doc", p, v).alias(c) for c, (p, v) in tests.items()]).where(
+        "k_42 or high or kind_click or kind_true")
+
+
 def q_dtype_violations(spark, sf_dir):
     """V3: values checked against a registry that declares ``click`` int64."""
     t = T(spark, sf_dir)
@@ -383,17 +455,11 @@ def q_invalidate(spark, sf_dir):
     return remaining.select("entity_id", "feature_name", r6("value_num").alias("value"))
 
 
-def q_flush(spark, sf_dir):
-    """The snapshot after a flush (empty, same schema)."""
-    t = T(spark, sf_dir)
-    return online.flush(warm_snapshot(t)).select("entity_id", "feature_name", r6("value_num").alias("value"))
-
-
 def q_snapshot_stats(spark, sf_dir):
     t = T(spark, sf_dir)
     p = online.probe(warm_snapshot(t), online_requests(t))
     s = online.snapshot_stats(warm_snapshot(t), p, "2024-01-15 01:00:00")
-    return s.select("total_keys", "memory_mb", "hits", "misses", r6("hit_rate_pct").alias("hit_rate_pct"))
+    return s.select("total_keys", "hits", "misses", r6("hit_rate_pct").alias("hit_rate_pct"))
 
 
 # --- serving telemetry --------------------------------------------------------------------
@@ -471,9 +537,17 @@ QUERIES = {
     "purchase_count_7d": q_purchase_count_7d,
     "product_stats": q_product_stats,
     "session_duration": q_session_duration,
-    "seed_history": q_seed_history,
     "seed_counts": q_seed_counts,
     "upsert_last_wins": q_upsert_last_wins,
+    "upsert_replaces": q_upsert_replaces,
+    "request_rejects": q_request_rejects,
+    "cascade_delete": q_cascade_delete,
+    "definition_rejects": q_definition_rejects,
+    "json_filter_typed": q_json_filter_typed,
+    "recent_order_dates": q_recent_order_dates,
+    "feature_by_id": q_feature_by_id,
+    "feature_resolve": q_feature_resolve,
+    "closed_window_snapshot": q_closed_window_snapshot,
     "insert_ignore": q_insert_ignore,
     "compaction": q_compaction,
     "retention": q_retention,
@@ -495,7 +569,6 @@ QUERIES = {
     "hit_rate": q_hit_rate,
     "freshness_gauge": q_freshness_gauge,
     "invalidate": q_invalidate,
-    "flush": q_flush,
     "snapshot_stats": q_snapshot_stats,
     "latency_summary": q_latency_summary,
     "latency_histogram": q_latency_histogram,

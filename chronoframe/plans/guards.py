@@ -1,11 +1,4 @@
-"""Size-checked broadcast and plan assertions.
-
-``bounded_broadcast`` marks a side for broadcast only after proving it holds
-at most ``max_rows`` rows (a ``limit(max_rows + 1).count()`` probe, which
-stops early on a big input).  Above the bound the DataFrame is returned
-unchanged and Spark plans a shuffle join (AQE may still broadcast it at run
-time when its measured size is under ``autoBroadcastJoinThreshold``).
-"""
+"""Plan assertions."""
 
 from __future__ import annotations
 
@@ -13,15 +6,6 @@ import contextlib
 import io
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-DIMENSION_ROW_BOUND = 100_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DIMENSION_ROW_BOUND) -> DataFrame:
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def physical_plan(df: DataFrame) -> str:
     """The formatted physical plan, captured from ``explain``."""

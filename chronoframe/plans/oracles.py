@@ -242,17 +242,24 @@ FROM spine s ASOF LEFT JOIN p ON s.entity_id = p.entity_id AND s.label_ts >= p.e
 
     "batch_retrieval": with_ctes(REGISTRY_CTE) + """
 , breq AS (
-  SELECT e.event_id AS request_id, 'user_' || CAST(e.user_id AS VARCHAR) AS entity_id, e.ts AS as_of,
-         f.feature_name
-  FROM events e, (VALUES ('purchase'), ('view'), ('signup')) f(feature_name) WHERE e.event_type = 'click'
+  SELECT max(event_id) AS request_id, user_id, CAST(ts AS DATE) AS d, max(ts) AS as_of
+  FROM events WHERE event_type = 'click' GROUP BY user_id, CAST(ts AS DATE)), ask AS (
+  SELECT request_id, 'user_' || CAST(user_id + i AS VARCHAR) AS entity_id, as_of, feature_name
+  FROM breq, (VALUES (0), (1), (2)) n(i), (VALUES ('purchase'), ('view'), ('signup')) f(feature_name)
+  WHERE day(d) % 10 <> 0
 ), hits AS (
   SELECT b.request_id, b.entity_id, b.feature_name, f.value_num, f.event_ts AS value_ts
-  FROM breq b ASOF JOIN fv f ON b.entity_id = f.entity_id AND b.feature_name = f.feature_name
+  FROM ask b ASOF JOIN fv f ON b.entity_id = f.entity_id AND b.feature_name = f.feature_name
                            AND b.as_of >= f.event_ts
-)
-SELECT request_id, entity_id, feature_name, round(value_num, 6) AS value, value_ts,
-       CAST(count(DISTINCT entity_id) OVER (PARTITION BY request_id) AS INTEGER) AS entities_returned
-FROM hits""",
+), cnt AS (SELECT request_id, count(DISTINCT entity_id) AS entities_returned FROM hits GROUP BY request_id)
+SELECT request_id, entity_id, feature_name, round(value_num, 6) AS value, value_ts, entities_returned
+FROM hits JOIN cnt USING (request_id)""",
+
+    "request_rejects": with_ctes(REGISTRY_CTE) + """
+, breq AS (
+  SELECT max(event_id) AS request_id, user_id, CAST(ts AS DATE) AS d, max(ts) AS as_of
+  FROM events WHERE event_type = 'click' GROUP BY user_id, CAST(ts AS DATE))
+SELECT request_id, 'no_features' AS violations FROM breq WHERE day(d) % 10 = 0""",
 
     "sliding_stats": with_ctes(EV_CTE, sliding_cte("st", "5 minutes", "1 minute", 5, "5min"))
         + stats_select("st", "5min"),
@@ -301,22 +308,6 @@ SELECT entity_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS
        CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0) AS BIGINT) AS session_duration_seconds
 FROM s GROUP BY entity_id, sid""",
 
-    "seed_history": """
-WITH u AS (SELECT DISTINCT user_id FROM events),
-g AS (
-  SELECT u.user_id, d.day, f.fidx, f.feature_name,
-         (u.user_id * 1103515245 + d.day * 12345 + f.fidx * 2654435761) % 2147483648 AS h
-  FROM u, range(30) d(day),
-       (VALUES (0, 'user_age'), (1, 'user_lifetime_value'), (2, 'last_purchase_days'),
-               (3, 'avg_5min_purchase_value')) f(fidx, feature_name)
-)
-SELECT feature_name, 'user_' || CAST(user_id AS VARCHAR) AS entity_id,
-       TIMESTAMP '2024-01-31 00:00:00' + (day - 30) * INTERVAL '1 day' + (h % 24) * INTERVAL '1 hour' AS event_ts,
-       round(CASE fidx WHEN 0 THEN 18 + h % 58
-                       WHEN 1 THEN round(100.0 + (h % 990001) / 100.0, 2)
-                       WHEN 2 THEN h % 366
-                       ELSE round((h % 50001) / 100.0, 2) END, 6)::DOUBLE AS value
-FROM g""",
 
     "seed_counts": with_ctes(REGISTRY_CTE) + """
 SELECT feature_name, count(*) AS n_rows, count(DISTINCT entity_id) AS n_entities,
@@ -324,8 +315,56 @@ SELECT feature_name, count(*) AS n_rows, count(DISTINCT entity_id) AS n_entities
 FROM fv GROUP BY feature_name""",
 
     "upsert_last_wins": with_ctes(ORDERS_CTE) + """
-SELECT entity_id, event_ts, round(arg_max(value_num, write_seq), 6) AS value, max(write_seq) AS write_seq
-FROM o GROUP BY entity_id, event_ts""",
+SELECT entity_id, event_ts, round(value_num, 6) AS value, write_seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY entity_id, event_ts ORDER BY side DESC, write_seq DESC) AS rn FROM (
+    SELECT entity_id, event_ts, value_num, write_seq, 0 AS side FROM o WHERE status = 'F'
+    UNION ALL
+    SELECT entity_id, event_ts, value_num, write_seq, 1 FROM o WHERE status <> 'F')) WHERE rn = 1""",
+
+    "upsert_replaces": with_ctes(ORDERS_CTE) + """
+SELECT entity_id, event_ts, round(value_num, 6) AS value, write_seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY entity_id, event_ts ORDER BY side DESC, write_seq DESC) AS rn FROM (
+    SELECT entity_id, event_ts, value_num, write_seq, 0 AS side FROM o WHERE status = 'F'
+    UNION ALL
+    SELECT entity_id, event_ts, value_num, -write_seq, 1 FROM o WHERE status <> 'F')) WHERE rn = 1""",
+
+    "recent_order_dates": with_ctes(ORDERS_CTE) + """
+SELECT entity_id, event_ts, round(value_num, 6) AS value, write_seq FROM o
+ORDER BY event_ts DESC, entity_id, write_seq LIMIT 5""",
+
+    "feature_by_id": with_ctes(REGISTRY_CTE) + """
+SELECT feature_id, name, version, dtype, entity_type, ttl_hours FROM registry
+WHERE feature_id IN (SELECT feature_id FROM fv)""",
+
+    "feature_resolve": with_ctes(REGISTRY_CTE) + """
+SELECT 'v1' AS asked, feature_id, name, version, ttl_hours FROM registry WHERE name = 'purchase' AND version = 1
+UNION ALL
+SELECT 'latest', feature_id, name, version, ttl_hours FROM registry
+WHERE name = 'purchase' AND version = (SELECT max(version) FROM registry WHERE name = 'purchase')""",
+
+    "definition_rejects": """
+WITH h AS (SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS name, count(*) - 1 AS ttl FROM pages GROUP BY 1)
+SELECT name, concat_ws(',', CASE WHEN ttl < 1 THEN 'ttl_lt_1' END,
+                       CASE WHEN length(name) > 18 THEN 'dtype_missing' END) AS violations
+FROM h WHERE ttl < 1 OR length(name) > 18""",
+
+    "cascade_delete": with_ctes(REGISTRY_CTE) + """
+SELECT feature_id, count(*) AS n_rows FROM fv WHERE feature_name <> 'error' GROUP BY feature_id""",
+
+    "json_filter_typed": """
+WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) = 42 AS a, value > 50 AS b,
+                  event_type = 'click' AS c FROM events)
+SELECT event_id, coalesce(a, false) AS k_42, coalesce(b, false) AS high, coalesce(c, false) AS kind_click,
+       false AS kind_true FROM e WHERE a OR b OR c""",
+
+    "closed_window_snapshot": with_ctes(EV_CTE, sliding_cte("st", "5 minutes", "1 minute", 5, "5min")) + """
+, f AS (
+  SELECT entity_id, CASE WHEN event_type = 'purchase' THEN 'avg_5min_purchase_value' ELSE 'avg_5min_' || event_type END
+           AS feature_name, avg_5min AS value, window_end FROM st
+  UNION ALL
+  SELECT entity_id, 'max_5min_' || event_type, max_5min, window_end FROM st)
+SELECT entity_id, feature_name, round(arg_max(value, window_end), 6) AS value, max(window_end) AS value_ts
+FROM f WHERE window_end <= TIMESTAMP '2024-01-15 00:00:00' AND value IS NOT NULL GROUP BY entity_id, feature_name""",
 
     "insert_ignore": with_ctes(ORDERS_CTE) + """
 , t AS (SELECT entity_id, event_ts, arg_min(value_num, write_seq) AS value_num, min(write_seq) AS write_seq
@@ -355,7 +394,7 @@ FROM fv GROUP BY ALL""",
     "rollup_refresh": with_ctes(REGISTRY_CTE) + """
 SELECT feature_id, entity_id, date_trunc('hour', event_ts) AS hour, count(*) AS update_count,
        max(event_ts) AS last_update
-FROM fv WHERE event_ts < TIMESTAMP '2024-01-15 00:00:00' GROUP BY ALL
+FROM fv WHERE event_ts < TIMESTAMP '2024-01-20 10:00:00' GROUP BY ALL
 UNION ALL
 SELECT feature_id, entity_id, date_trunc('hour', event_ts) AS hour, count(*) AS update_count,
        max(event_ts) AS last_update
@@ -476,7 +515,7 @@ FROM probe GROUP BY feature_name""",
     "freshness_gauge": with_ctes(REGISTRY_CTE, SNAP_CTE) + """
 SELECT feature_name, round(freshness_seconds, 6) AS freshness_seconds, request_ts AS observed_at FROM (
   SELECT *, row_number() OVER (PARTITION BY feature_name ORDER BY request_ts DESC, request_id DESC) AS rn
-  FROM answers WHERE freshness_seconds IS NOT NULL) WHERE rn = 1""",
+  FROM answers WHERE freshness_seconds IS NOT NULL AND NOT hit) WHERE rn = 1""",
 
     "invalidate": with_ctes(REGISTRY_CTE, SNAP_CTE) + """
 SELECT entity_id, feature_name, round(value_num, 6) AS value FROM snap
@@ -486,8 +525,6 @@ WHERE NOT ((entity_id || ':' || feature_name) GLOB 'user_1*:purchase')""",
 , live AS (SELECT * FROM snap WHERE written_at <= TIMESTAMP '2024-01-15 01:00:00'
                                AND TIMESTAMP '2024-01-15 01:00:00' < expires_at)
 SELECT (SELECT count(*) FROM live) AS total_keys,
-       round((SELECT coalesce(sum(length(entity_id || ':' || feature_name) + 32), 0) FROM live)
-             / (1024.0 * 1024.0), 6) AS memory_mb,
        CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS hits,
        CAST(sum(CASE WHEN hit THEN 0 ELSE 1 END) AS BIGINT) AS misses,
        round(coalesce(sum(CASE WHEN hit THEN 1 ELSE 0 END) * 100.0 / nullif(count(*), 0), 0), 6) AS hit_rate_pct
@@ -496,13 +533,13 @@ FROM probe""",
     "latency_summary": with_ctes(LOG_CTE) + """
 SELECT endpoint, count(*) AS n,
        CAST(sum(CASE WHEN status >= 400 THEN 1 ELSE 0 END) AS BIGINT) AS errors,
-       round(min(latency_ms), 6) AS min_ms, round(max(latency_ms), 6) AS max_ms,
-       round(avg(latency_ms), 6) AS mean_ms, round(stddev_pop(latency_ms), 6) AS stddev_ms,
+       round(min(ok_ms), 6) AS min_ms, round(max(ok_ms), 6) AS max_ms,
+       round(avg(ok_ms), 6) AS mean_ms, round(stddev_pop(ok_ms), 6) AS stddev_ms,
        round(coalesce((count(*) - sum(CASE WHEN status >= 400 THEN 1 ELSE 0 END)) * 100.0 / count(*), 0), 6)
          AS success_pct,
-       round(quantile_cont(latency_ms, 0.5), 6) AS median_ms, round(quantile_cont(latency_ms, 0.9), 6) AS p90_ms,
-       round(quantile_cont(latency_ms, 0.95), 6) AS p95_ms, round(quantile_cont(latency_ms, 0.99), 6) AS p99_ms
-FROM log GROUP BY endpoint""",
+       round(quantile_cont(ok_ms, 0.5), 6) AS median_ms, round(quantile_cont(ok_ms, 0.9), 6) AS p90_ms,
+       round(quantile_cont(ok_ms, 0.95), 6) AS p95_ms, round(quantile_cont(ok_ms, 0.99), 6) AS p99_ms
+FROM (SELECT *, CASE WHEN status < 400 THEN latency_ms END AS ok_ms FROM log) GROUP BY endpoint""",
 
     "latency_histogram": with_ctes(LOG_CTE, BUCKETS_CTE) + """
 SELECT endpoint, le, CAST(bucket AS INTEGER) AS bucket, cum FROM hist""",
@@ -558,6 +595,4 @@ SELECT b.entity_type, bk.le, CAST(bk.bucket AS INTEGER) AS bucket,
        CAST(sum(CASE WHEN bk.bucket = 7 OR b.batch_size <= bk.le THEN 1 ELSE 0 END) AS BIGINT) AS cum
 FROM b, bk GROUP BY ALL""",
 
-    "flush": with_ctes(REGISTRY_CTE, SNAP_CTE) + """
-SELECT entity_id, feature_name, round(value_num, 6) AS value FROM snap WHERE false""",
 })

@@ -49,19 +49,6 @@ EVENT_JSON = T.StructType([
     T.StructField("metadata", T.StringType()),
 ])
 
-WINDOW_STATS_COLS = ["entity_id", "event_type", "window_start", "window_end",
-                     "avg_5min", "stddev_5min", "max_5min", "min_5min", "n_events"]
-
-ONLINE_SNAPSHOT = T.StructType([
-    T.StructField("entity_id", T.StringType()),
-    T.StructField("feature_name", T.StringType()),
-    T.StructField("value_num", T.DoubleType()),
-    T.StructField("value_ts", T.TimestampNTZType()),
-    T.StructField("written_at", T.TimestampNTZType()),
-    T.StructField("expires_at", T.TimestampNTZType()),
-    T.StructField("write_seq", T.LongType()),
-])
-
 GROUPS = T.StructType([
     T.StructField("group", T.StringType()),
     T.StructField("members", T.ArrayType(T.StringType())),

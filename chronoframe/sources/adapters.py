@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.registry import register
-from ..plans.guards import bounded_broadcast
 from ..session import table_path
 
 # --- fixed values -----------------------------------------------------------
@@ -101,7 +100,7 @@ def event_version():
 def values_from_events(events: DataFrame, registry: DataFrame) -> DataFrame:
     """Feature history from events: feature = event_type (resolved to an id
     through the registry), write_seq = event_id."""
-    reg = bounded_broadcast(registry.select(F.col("name").alias("event_type"), "version", "feature_id"))
+    reg = (registry.select(F.col("name").alias("event_type"), "version", "feature_id"))
     ev = events.select(
         "event_type", event_version().alias("version"),
         user_entity().alias("entity_id"),

@@ -87,10 +87,10 @@ class WindowSink:
 def read_snapshot(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
     """The newest snapshot version under ``root`` (optionally the newest
     older than ``before``); None when there is none yet."""
-    try:
-        allv = spark.read.parquet(root)
-    except Exception:  # noqa: BLE001 -- path does not exist yet
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         return None
+    allv = spark.read.parquet(root)  # anything unreadable raises: it is not an empty snapshot
     if before is not None:
         allv = allv.where(F.col("version") < before)
     v = allv.agg(F.max("version")).first()[0]
@@ -103,7 +103,8 @@ def run_stream(raw_stream: DataFrame, log_path: str, checkpoint: str, snapshot_r
                length: str = "5 minutes", slide: str = "1 minute", watermark: str = "10 minutes",
                trigger: dict | None = None, query_name: str | None = None):
     """Start the job: K1-K6.  ``trigger`` defaults to every 10 seconds; tests
-    pass ``{"availableNow": True}``.  Returns the StreamingQuery."""
+    pass ``{"availableNow": True}``.  Returns the StreamingQuery.  Rows that do
+    not decode are ``run_quarantine``'s."""
     events, _ = decode_events(raw_stream)
     stats = window_stats(events, length, slide, watermark=watermark)
     w = (stats.writeStream.foreachBatch(WindowSink(log_path, snapshot_root))
@@ -114,6 +115,30 @@ def run_stream(raw_stream: DataFrame, log_path: str, checkpoint: str, snapshot_r
     return w.start()
 
 
+def run_quarantine(raw_stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Append every row that did not decode, with its reason, to
+    ``path``.  A query of its own beside ``run_stream``, with its own
+    checkpoint, so that each bad row is written exactly once."""
+    _, bad = decode_events(raw_stream)
+    return (bad.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(**(trigger or {"processingTime": "10 seconds"})).start())
+
+
+def kafka_options(servers: str, topic: str, starting_offsets: str = "latest",
+                  max_offsets_per_trigger: int | None = None, fail_on_data_loss: bool = True) -> dict[str, str]:
+    """Reader options of the broker source."""
+    options = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": starting_offsets,
+               "failOnDataLoss": str(fail_on_data_loss).lower()}
+    if max_offsets_per_trigger is not None:
+        options["maxOffsetsPerTrigger"] = str(max_offsets_per_trigger)
+    return options
+
+
+def read_kafka(spark: SparkSession, **source) -> DataFrame:
+    """The raw stream of a topic (``kafka_options``); needs the connector on the class path."""
+    return spark.readStream.format("kafka").options(**kafka_options(**source)).load()
+
+
 def progress_frame(spark: SparkSession, query) -> DataFrame:
     """The query's recent progress as a DataFrame (batch id, input rows,
     rows/s, batch duration, state rows, rows dropped by the watermark)."""

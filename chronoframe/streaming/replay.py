@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.windows import current_windows
 from ..session import scratch_path
-from .job import event_json, run_stream
+from .job import event_json, run_quarantine, run_stream
 
 
 def time_slices(events: DataFrame, slices: int):
@@ -35,10 +35,12 @@ def drain_events_stream(spark: SparkSession, events: DataFrame, slices: int = 4,
     for part in time_slices(events, slices):
         event_json(part).write.mode("append").text(src)
         raw = spark.readStream.format("text").load(src)
-        q = run_stream(raw, log, ckpt, snap, length, slide, watermark, trigger={"availableNow": True})
-        q.awaitTermination()
-        if q.exception():
-            raise RuntimeError(str(q.exception()))
+        now = {"availableNow": True}
+        for q in (run_stream(raw, log, ckpt, snap, length, slide, watermark, trigger=now),
+                  run_quarantine(raw, f"{root}/quarantine", f"{root}/quarantine-ckpt", trigger=now)):
+            q.awaitTermination()
+            if q.exception():
+                raise RuntimeError(str(q.exception()))
     cur = current_windows(spark.read.parquet(log))
     return cur.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")) \
         .withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))

@@ -28,6 +28,8 @@ BUCKETS = 1 << 15
 MAX_LANGS = 256
 PER_LANG = 4000
 SWITCH = 12.0
+#: UTF-8 bytes handled at once: the arrays of a step take some fifty times as much.
+SLICE = 2 << 20
 SMOOTH = 0.5
 UNKNOWN = "und"
 
@@ -74,12 +76,14 @@ class Words:
         after = np.concatenate([mask[1:] & ~first[1:-1], [False]]) if len(chars) else mask
         self.starts = np.flatnonzero(mask & ~before)
         self.ends = np.flatnonzero(mask & ~after) + 1
-        code = np.where(mask, chars, 0).astype(np.uint64)
-        left = np.concatenate([[0], code[:-1]]).astype(np.uint64) * before
-        right = np.concatenate([code[1:], [0]]).astype(np.uint64) * after if len(chars) else code
-        key = (left << np.uint64(42)) | (code << np.uint64(21)) | right
+        at = np.flatnonzero(mask)
+        key = chars[at].astype(np.uint64) << np.uint64(21)
+        inner = before[at]
+        key[inner] |= chars[at[inner] - 1].astype(np.uint64) << np.uint64(42)
+        inner = after[at]
+        key[inner] |= chars[at[inner] + 1].astype(np.uint64)
         with np.errstate(over="ignore"):
-            self.bucket = (mix(key[mask]) % np.uint64(BUCKETS)).astype(np.int32)
+            self.bucket = (mix(key) % np.uint64(BUCKETS)).astype(np.int32)
         self.lengths = self.ends - self.starts
         self.letter_starts = np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int64)
         self.script = _SCRIPT[np.searchsorted(_FROM, chars[self.starts], "right") - 1]
@@ -157,7 +161,7 @@ def learn(labelled: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id",
     width = BUCKETS + len(_NAMES)
 
     def count(batches):
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", SLICE):
             w = Words(batch.column("text").to_pylist())
             lang = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
             per_letter = np.repeat(lang[w.doc], w.lengths)
@@ -186,10 +190,15 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", switch: float
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span_type = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
 
+    def with_text(batch):
+        """The text beside the row, from the row where it is carried: it is sent once."""
+        text = batch.column("row").flatten()[carry.index(text_col)] if text_col in carry else batch.column("text")
+        return pa.RecordBatch.from_arrays([batch.column("row"), text.cast(pa.string())], names=["row", "text"])
+
     def work(batches):
         m = shared.value
         names = np.array(m.langs, object)
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(map(with_text, batches), "text", SLICE):
             n = batch.num_rows
             w = Words(batch.column("text").to_pylist())
             if not m.langs or not len(w.starts):
@@ -219,8 +228,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", switch: float
                  pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)],
                 names=["row", "lang_pred", "score", "spans"])
 
-    rows = docs.select(F.struct(*[docs[c] for c in carry or docs.columns]).alias("row"),
-                       F.col(text_col).cast("string").alias("text"))
+    carry = carry or docs.columns
+    rows = docs.select(F.struct(*[docs[c] for c in carry]).alias("row"),
+                       *([] if text_col in carry else [F.col(text_col).alias("text")]))
     kind = rows.schema["row"].dataType.simpleString()
     return rows.transform(map_arrow, work, f"row {kind}, lang_pred string, score double, "
                                  "spans array<struct<start:int,end:int,lang:string>>")

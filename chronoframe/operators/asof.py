@@ -21,6 +21,10 @@ Plan (all built-in DataFrame operators, no join on time):
 
 All features are slots of the same scans: the number of exchanges does not
 grow with the features, and there is no join per feature.
+
+Time bounds reach the history scan as scalar subqueries over the spine: no
+day after the newest spine time is read, and with ``apply_ttl`` none before
+the oldest spine time less the longest ttl asked for.
 """
 
 from __future__ import annotations
@@ -100,28 +104,55 @@ def _asof_core(spine: DataFrame, vals: DataFrame, keys: list[str], time: str,
     return picked.where(F.col("_k") == 2).select("_s.*", *[name for name, _ in slots])
 
 
-def _payload() -> Column:
-    return F.struct("value_num", "event_ts", "feature_version", "write_seq", "ttl_hours")
+def _payload(*values: str) -> Column:
+    return F.struct(*values, "event_ts", "feature_version", "write_seq", "ttl_hours")
+
+
+def _within(values: DataFrame, registry: DataFrame, spine: DataFrame, time: str, features,
+            apply_ttl: bool) -> DataFrame:
+    """The values that any spine row can take, by time; with a ``dt`` column
+    (the stored history) the bounds prune its day partitions."""
+    def newest():
+        return spine.agg(F.max(time).cast("timestamp_ntz")).scalar()
+
+    stored = "dt" in values.columns
+    values = values.where(F.col("event_ts") <= newest())
+    if stored:
+        values = values.where(F.col("dt") <= F.to_date(newest()))
+    if apply_ttl:
+        asked = registry if features is None else registry.where(F.col("name").isin(list(features)))
+
+        def oldest():
+            return add_hours(spine.agg(F.min(time).cast("timestamp_ntz")).scalar(),
+                             -asked.agg(F.max("ttl_hours")).scalar())
+
+        values = values.where(F.col("event_ts") >= oldest())
+        if stored:
+            values = values.where(F.col("dt") >= F.to_date(oldest()))
+    return values
 
 
 def as_of_join(spine: DataFrame, values: DataFrame, registry: DataFrame, features,
                entity: str = "entity_id", time: str = "label_ts", how: str = "left",
-               apply_ttl: bool = False, versions: str = "all", bucket="1 day") -> DataFrame:
+               apply_ttl: bool = False, versions: str = "all", bucket="1 day",
+               value: str = "value_num") -> DataFrame:
     """Spine + for each feature ``f`` the columns ``f`` (value) and
     ``f_ts`` (its timestamp).  ``how='inner'`` keeps spine rows that found a
-    value for every feature."""
+    value for every feature.  ``value='value_json'`` answers with the JSON
+    text, which holds values of any type (strings, booleans, objects, whole
+    numbers beyond 2^53)."""
     feats = list(features)
-    v = resolved_values(values, registry, feats, versions)
+    v = resolved_values(_within(values, registry, spine, time, feats, apply_ttl), registry, feats, versions)
     if entity != "entity_id":
         v = v.withColumnRenamed("entity_id", entity)
     slots = [(f"_f{i}", F.col("feature_name") == f) for i, f in enumerate(feats)]
-    out = _asof_core(spine, v, [entity], time, slots, _payload(), interval_seconds(bucket))
+    out = _asof_core(spine, v, [entity], time, slots, _payload(value), interval_seconds(bucket))
     cols = [c for c in spine.columns]
     for i, f in enumerate(feats):
         s = F.col(f"_f{i}")
         if apply_ttl:
             s = F.when(s["event_ts"] >= add_hours(F.col(time), -s["ttl_hours"]), s)
-        cols += [s["value_num"].alias(f), s["event_ts"].alias(f"{f}_ts")]
+        cols += [s[value].alias(f), s["event_ts"].alias(f"{f}_ts")]
     res = out.select(*cols)
     if how == "inner":
         for f in feats:
@@ -133,16 +164,17 @@ def as_of_join_long(spine: DataFrame, values: DataFrame, registry: DataFrame,
                     entity: str = "entity_id", time: str = "label_ts",
                     apply_ttl: bool = False, versions: str = "all", bucket="1 day") -> DataFrame:
     """J3 in long form: the spine names its feature per row
-    (``feature_name``); adds ``value_num``, ``value_ts``, ``feature_version``.
+    (``feature_name``); adds ``value_num``, ``value_json`` (the value of any
+    type), ``value_ts``, ``feature_version``.
     Used where each row asks for a different feature (cache misses, batch
     requests)."""
-    v = resolved_values(values, registry, None, versions)
+    v = resolved_values(_within(values, registry, spine, time, None, apply_ttl), registry, None, versions)
     if entity != "entity_id":
         v = v.withColumnRenamed("entity_id", entity)
     out = _asof_core(spine, v, [entity, "feature_name"], time, [("_v", F.lit(True))],
-                     _payload(), interval_seconds(bucket))
+                     _payload("value_num", "value_json"), interval_seconds(bucket))
     s = F.col("_v")
     if apply_ttl:
         s = F.when(s["event_ts"] >= add_hours(F.col(time), -s["ttl_hours"]), s)
-    return out.select(*spine.columns, s["value_num"].alias("value_num"),
+    return out.select(*spine.columns, s["value_num"].alias("value_num"), s["value_json"].alias("value_json"),
                       s["event_ts"].alias("value_ts"), s["feature_version"].alias("feature_version"))

@@ -7,8 +7,8 @@ entity alone, so one hot entity is spread across tasks:
   (bucket width = the trailing range), so every row's range lies inside one
   (entity, bucket) partition; each bucket answers only for its own rows.
 * ``sessions`` builds sessions inside (entity, day) buckets, then stitches
-  the partial sessions that touch across bucket edges; the second pass runs
-  over partial sessions, not events.
+  only the partial sessions within a gap of a bucket's edge: at most two per
+  (entity, day), whatever the number of events.
 """
 
 from __future__ import annotations
@@ -69,7 +69,16 @@ def sessions(events: DataFrame, gap: str = "30 minutes", entity: str = "entity_i
     # 1. sessions inside (entity, bucket) with Spark's session windows
     part = b.groupBy(entity, "_b", F.session_window(time, f"{gap_s} seconds").alias("sw")).agg(
         F.min(time).alias("s_start"), F.max(time).alias("s_end"), F.count(F.lit(1)).alias("n"))
-    # 2. stitch partial sessions across bucket edges (rows = partial sessions)
+    # 2. only a partial session within a gap of a bucket's edge can go on in the next bucket; between
+    #    two such sessions any other one lies more than a gap away from both
+    width = interval_seconds(bucket) * 1_000_000
+    near = ((micros(F.col("s_start")) - F.col("_b") * width <= gap_s * 1_000_000)
+            | ((F.col("_b") + 1) * width - micros(F.col("s_end")) <= gap_s * 1_000_000))
+    part = part.withColumn("_edge", near)
+    inside = part.where(~F.col("_edge")).select(
+        entity, F.col("s_start").alias("session_start"), F.col("s_end").alias("session_end"),
+        F.col("n").cast("long").alias("n_events"))
+    part = part.where("_edge")
     w = Window.partitionBy(entity).orderBy("s_start", "s_end")
     prev_end = F.lag("s_end").over(w)
     flagged = part.withColumn("_new", F.when(
@@ -77,7 +86,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", entity: str = "entity_i
     sid = flagged.withColumn("_sid", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     out = sid.groupBy(entity, "_sid").agg(
         F.min("s_start").alias("session_start"), F.max("s_end").alias("session_end"),
-        F.sum("n").cast("long").alias("n_events"))
-    return out.select(entity, "session_start", "session_end", "n_events",
+        F.sum("n").cast("long").alias("n_events")).drop("_sid")
+    return out.unionByName(inside).select(entity, "session_start", "session_end", "n_events",
                       F.floor(seconds_between("session_end", "session_start")).cast("long")
                       .alias("session_duration_seconds"))

@@ -77,13 +77,14 @@ def probe(snapshot: DataFrame, requests: DataFrame) -> DataFrame:
     skew handling can split a hot request key."""
     r = explode_requests(requests)
     s = snapshot.select("entity_id", "feature_name", F.col("value_num").alias("c_value"),
-                        F.col("value_ts").alias("c_ts"), "written_at", "expires_at")
+                        F.col("value_json").alias("c_json"), F.col("value_ts").alias("c_ts"), "written_at", "expires_at")
     j = r.join(s, ["entity_id", "feature_name"], "left")
     hit = F.coalesce((F.col("written_at") <= F.col("request_ts")) & (F.col("request_ts") < F.col("expires_at")),
                      F.lit(False))
     return j.withColumn("hit", hit).select(
         "request_id", "entity_id", "request_ts", "pos", "feature_name", "hit",
-        F.when(hit, F.col("c_value")).alias("cached_value"), F.when(hit, F.col("c_ts")).alias("cached_ts"))
+        F.when(hit, F.col("c_value")).alias("cached_value"), F.when(hit, F.col("c_json")).alias("cached_json"),
+        F.when(hit, F.col("c_ts")).alias("cached_ts"))
 
 
 def replay(snapshot: DataFrame, values: DataFrame, registry: DataFrame, requests: DataFrame,
@@ -103,18 +104,19 @@ def replay(snapshot: DataFrame, values: DataFrame, registry: DataFrame, requests
     probed = cut_lineage(probe(snapshot, requests).withColumn("_all", all_hit))
     hits = probed.where("hit").select(
         "request_id", "entity_id", "request_ts", "pos", "feature_name", "_all",
-        F.col("cached_value").alias("value_num"), F.col("cached_ts").alias("value_ts"), "hit")
+        F.col("cached_value").alias("value_num"), F.col("cached_json").alias("value_json"),
+        F.col("cached_ts").alias("value_ts"), "hit")
     misses = probed.where(~F.col("hit")).select("request_id", "entity_id", "request_ts", "pos",
                                                 "feature_name", "_all")
     fetched = as_of_join_long(misses, values, registry, time="request_ts", bucket=bucket) \
         .where(F.col("value_ts").isNotNull()) \
-        .select("request_id", "entity_id", "request_ts", "pos", "feature_name", "_all", "value_num",
+        .select("request_id", "entity_id", "request_ts", "pos", "feature_name", "_all", "value_num", "value_json",
                 "value_ts", F.lit(False).alias("hit"))
     answers = hits.unionByName(fetched) \
         .withColumn("source", F.when(F.col("_all") == 1, "cache").otherwise("database")) \
         .withColumn("freshness_seconds", seconds_between("request_ts", "value_ts")) \
         .drop("_all")
-    wb = fetched.select("entity_id", "feature_name", "value_num", "value_ts",
+    wb = fetched.select("entity_id", "feature_name", "value_num", "value_json", "value_ts",
                         F.col("request_ts").alias("written_at"), F.col("request_id").alias("write_seq"))
     return answers, snapshot_merge(snapshot, wb)
 

@@ -7,15 +7,22 @@ the next registry version (write it to a new directory, then switch).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ts_lit
+from ..schemas import DEFINITION
 
 DEF_COLS = ["name", "version", "dtype", "entity_type", "ttl_hours", "description", "tags"]
 REG_COLS = ["feature_id"] + DEF_COLS + ["created_at", "updated_at"]
 
 
+def load_definitions(spark: SparkSession, path: str) -> DataFrame:
+    """Definitions from JSON lines, one object per definition; absent
+    fields are NULL and get their defaults on registration."""
+    return spark.read.schema(DEFINITION).json(path)
+
+
 def normalize_definitions(defs: DataFrame) -> DataFrame:
     """Apply the definition defaults: version 1, ttl 24 h, description '',
     tags NULL -> [] (V1 defaults, E11)."""

@@ -1,10 +1,10 @@
 """Serving-log analytics.
 
 Exact quantiles without gathering a group: per group, count each distinct
-value (partial aggregation), then a running sum over the *distinct values*
-gives every value's rank range, and the two ranks around ``q * (n - 1)`` are
+value (partial aggregation), sum the counts per value range, and rank only
+the ranges that hold a wanted rank; the two ranks around ``q * (n - 1)`` are
 interpolated like numpy / ``quantile_cont``.  ``approx=True`` switches to
-``percentile_approx`` for unbounded distinct values.
+``percentile_approx``.
 """
 
 from __future__ import annotations
@@ -28,24 +28,41 @@ def attribute_tenant(log: DataFrame, keys: DataFrame) -> DataFrame:
                         .otherwise(F.col("status")))
 
 
-def exact_quantiles(df: DataFrame, by, col: str, quantiles: dict) -> DataFrame:
+def exact_quantiles(df: DataFrame, by, col: str, quantiles: dict, ranges: int = 256) -> DataFrame:
+    """The quantiles of ``col`` per group, exact.  The distinct values of a
+    group are cut into ``ranges`` value ranges of about equal size; counts per
+    range tell which ranges hold a wanted rank, and only those are ranked."""
     by = list(by)
-    counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_hi", F.sum("_c").over(w)) \
-        .withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
-    ranked = ranked.withColumn("_lo", F.col("_hi") - F.col("_c"))  # ranks [_lo, _hi)
+    group = F.struct(*by).alias("_g")  # equal also where a field is NULL
+    counts = df.where(F.col(col).isNotNull()).groupBy(group, F.col(col).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    cuts = counts.groupBy("_g").agg(F.percentile_approx("_x", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts"))
+    cut = counts.join(cuts, "_g").withColumn("_r", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))).drop("_cuts")
+    w = Window.partitionBy("_g")
+    sums = cut.groupBy("_g", "_r").agg(F.sum("_c").alias("_t")) \
+        .withColumn("_start", F.sum("_t").over(w.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")) \
+        .withColumn("_n", F.sum("_t").over(w))
+    ranks = {n: (F.lit(q) * (F.col("_n") - 1), F.floor(F.lit(q) * (F.col("_n") - 1)), F.ceil(F.lit(q) * (F.col("_n") - 1)))
+             for n, q in quantiles.items()}
+
+    def holds(start, end, rank):
+        return (start <= rank) & (rank < end)
+
+    wanted = F.lit(False)
+    for _, lo, hi in ranks.values():
+        end = F.col("_start") + F.col("_t")
+        wanted = wanted | holds(F.col("_start"), end, lo) | holds(F.col("_start"), end, hi)
+    running = Window.partitionBy("_g", "_r").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cut.join(sums.where(wanted).drop("_t"), ["_g", "_r"]) \
+        .withColumn("_hi", F.col("_start") + F.sum("_c").over(running)).withColumn("_lo", F.col("_hi") - F.col("_c"))
     aggs = []
-    for name, q in quantiles.items():
-        pos = F.lit(q) * (F.col("_n") - 1)
-        lo, hi = F.floor(pos), F.ceil(pos)
-        at_lo = F.when((F.col("_lo") <= lo) & (lo < F.col("_hi")), F.col(col))
-        at_hi = F.when((F.col("_lo") <= hi) & (hi < F.col("_hi")), F.col(col))
-        aggs += [F.max(at_lo).alias(f"_{name}_lo"), F.max(at_hi).alias(f"_{name}_hi"),
+    for name, (pos, lo, hi) in ranks.items():
+        aggs += [F.max(F.when(holds(F.col("_lo"), F.col("_hi"), lo), F.col("_x"))).alias(f"_{name}_lo"),
+                 F.max(F.when(holds(F.col("_lo"), F.col("_hi"), hi), F.col("_x"))).alias(f"_{name}_hi"),
                  F.max(pos - lo).alias(f"_{name}_f")]
-    g = ranked.groupBy(*by).agg(*aggs)
-    return g.select(*by, *[(F.col(f"_{n}_lo") + F.col(f"_{n}_f") * (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")))
-                           .alias(n) for n in quantiles])
+    g = ranked.groupBy("_g").agg(*aggs)
+    return g.select(*[F.col("_g")[c].alias(c) for c in by],
+                    *[(F.col(f"_{n}_lo") + F.col(f"_{n}_f") * (F.col(f"_{n}_hi") - F.col(f"_{n}_lo"))).alias(n)
+                      for n in quantiles])
 
 
 def latency_summary(log: DataFrame, by=("endpoint",), col: str = "latency_ms",
@@ -112,6 +129,14 @@ def request_rate(log: DataFrame, by=("endpoint",), window: str = "1 minute", sec
                     (F.col("n") / F.lit(float(seconds))).alias("rps"))
 
 
+def entities_served(log: DataFrame, window: str = "1 day") -> DataFrame:
+    """Distinct entities and successful requests by entity type and window."""
+    kind = F.substring_index("entity_id", "_", 1)
+    g = log.where(F.col("status") < 400).groupBy(kind.alias("entity_type"), F.window("request_ts", window).alias("w")).agg(
+        F.count_distinct("entity_id").alias("entities"), F.count(F.lit(1)).alias("requests"))
+    return g.select("entity_type", F.col("w.start").alias("window_start"), "entities", "requests")
+
+
 def requests_by(log: DataFrame, by=("endpoint", "auth_status", "tenant")) -> DataFrame:
     """Request counter by labels."""
     return log.groupBy(*by).agg(F.count(F.lit(1)).alias("requests"))

@@ -13,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .registry import latest_versions
+from .writes import upsert_days
+
 
 def window_stats(events: DataFrame, length: str = "5 minutes", slide: str = "1 minute",
                  watermark: str | None = None, time_col: str = "timestamp",
@@ -60,6 +63,21 @@ def stats_to_features(stats: DataFrame, name_map: dict | None = None,
         F.col("window_end").alias("event_ts"), "window_start")
 
 
+def merge_into_history(features: DataFrame, registry: DataFrame, history: DataFrame,
+                       batch_seq: int) -> tuple[DataFrame, DataFrame]:
+    """Window features (``stats_to_features``) into the history: names are
+    resolved to the id of their latest definition and upserted on (feature,
+    entity, time).  Returns the touched days' rows for ``write_history``, and
+    the names without a definition with the number of their rows."""
+    ids = latest_versions(registry).select(F.col("name").alias("feature_name"), "feature_id")
+    rows = features.join(ids, "feature_name").select(
+        "feature_id", "entity_id", F.col("event_ts").cast("timestamp_ntz").alias("event_ts"),
+        F.col("value_num").cast("string").alias("value_json"), "value_num",
+        F.lit("{}").alias("metadata"), F.lit(batch_seq).cast("long").alias("write_seq"))
+    unresolved = features.join(ids, "feature_name", "left_anti").groupBy("feature_name").agg(F.count(F.lit(1)).alias("n_rows"))
+    return upsert_days(history, rows, ["feature_id", "entity_id", "event_ts"]), unresolved
+
+
 def current_windows(log: DataFrame, keys=("entity_id", "event_type", "window_start"),
                     seq: str = "batch_id") -> DataFrame:
     """K8: collapse update-mode re-emissions; the row of the latest batch per

@@ -42,6 +42,19 @@ def upsert(history: DataFrame, updates: DataFrame, keys, seq: str = "write_seq")
     return last_writer_wins(ranked, keys, "_rank").select(*history.columns)
 
 
+def upsert_days(history: DataFrame, updates: DataFrame, keys, seq: str = "write_seq",
+                ts_col: str = "event_ts") -> DataFrame:
+    """U1 on the stored history: the rows of the touched days alone, after the
+    upsert.  The join on ``dt`` prunes the day partitions that no update
+    touches, and ``write_history`` replaces just those days.  The keys hold
+    ``ts_col``, so a key never leaves its day."""
+    if ts_col not in keys:
+        raise ValueError(f"the keys must hold {ts_col}")
+    new = with_day(updates, ts_col)
+    days = new.select("dt").distinct()
+    return upsert(history.join(days, "dt", "left_semi").select(*history.columns), new, keys, seq)
+
+
 def insert_ignore(target: DataFrame, rows: DataFrame, keys, seq: str = "write_seq") -> DataFrame:
     """``INSERT .. ON CONFLICT DO NOTHING``: the first writer of a key
     wins; rows whose key already exists are dropped."""

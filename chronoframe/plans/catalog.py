@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ts_lit
 from ..operators import asof, features, online, pit, quality, registry as reg, telemetry, upkeep, windows, writes
+from ..session import scratch_path
 from ..sources import adapters as A
 from .context import Tables
 
@@ -139,6 +140,41 @@ def q_batch_retrieval(spark, sf_dir):
                        "value_ts", "entities_returned")
 
 
+def any_type_history(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """A history of values that are no doubles, made of the events' own columns, with its registry."""
+    kinds = {"last_kind": ("string", F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))),
+             "is_high": ("bool", (F.col("value") > 50).cast("string")), "last_doc": ("json", F.col("props")),
+             "big_seq": ("int64", (F.lit(9007199254740992) + F.col("event_id")).cast("string"))}
+    defs = t.spark.createDataFrame([(n, d) for n, (d, _) in kinds.items()], "name string, dtype string")
+    registry = reg.register(t.registry, defs.withColumn("entity_type", F.lit("user")), REREGISTER_AT)
+    rows = t.events_raw.select(
+        A.user_entity().alias("entity_id"), F.col("ts").alias("event_ts"), F.col("event_id").alias("write_seq"),
+        F.inline(F.array(*[F.struct(F.lit(n).alias("name"), j.alias("value_json")) for n, (_, j) in kinds.items()])))
+    ids = registry.select("name", "feature_id")
+    return rows.join(ids, "name").select("feature_id", "entity_id", "event_ts", "value_json",
+                                         F.lit(None).cast("double").alias("value_num"), "write_seq"), registry
+
+
+ANY_TYPE_FEATURES = ["last_kind", "is_high", "last_doc", "big_seq"]
+
+
+def q_asof_any_type(spark, sf_dir):
+    """J3 on a string, a boolean, an object and whole numbers beyond 2^53."""
+    t = T(spark, sf_dir)
+    values, registry = any_type_history(t)
+    return asof.as_of_join(t.spine, values, registry, ANY_TYPE_FEATURES, value="value_json").select(
+        "spine_id", *ANY_TYPE_FEATURES, "last_doc_ts")
+
+
+def q_batch_any_type(spark, sf_dir):
+    """H2 on values of any type."""
+    t = T(spark, sf_dir)
+    values, registry = any_type_history(t)
+    ask = batch_requests(t).withColumn("feature_names", F.array(*[F.lit(f) for f in ANY_TYPE_FEATURES]))
+    hits, _ = pit.batch_retrieval(values, registry, ask)
+    return hits.select("request_id", "entity_id", "feature_name", "value_json", "value_ts", "entities_returned")
+
+
 def q_request_rejects(spark, sf_dir):
     """V2: the batch requests that are not answered, with their violations."""
     t = T(spark, sf_dir)
@@ -170,6 +206,22 @@ def q_window_long(spark, sf_dir):
     return f.select("entity_id", "feature_name", r6("value_num").alias("value"), "event_ts", "window_start")
 
 
+def _window_merge(t: Tables):
+    f = windows.stats_to_features(windows.window_stats(t.events, "5 minutes", "1 minute"))
+    return windows.merge_into_history(f, t.registry, t.values, 0)
+
+
+def q_window_merge(spark, sf_dir):
+    """The touched days of the history with the window features merged in."""
+    merged, _ = _window_merge(T(spark, sf_dir))
+    return merged.select("feature_id", "entity_id", "event_ts", r6("value_num").alias("value"), "write_seq")
+
+
+def q_window_unresolved(spark, sf_dir):
+    """Window features without a definition."""
+    return _window_merge(T(spark, sf_dir))[1]
+
+
 def q_closed_window_snapshot(spark, sf_dir):
     """The snapshot of the windows closed by SNAPSHOT_AT."""
     t = T(spark, sf_dir)
@@ -210,7 +262,7 @@ def q_seed_counts(spark, sf_dir):
     v = pit.resolved_values(t.values, t.registry)
     return v.groupBy("feature_name").agg(
         F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity_id").alias("n_entities"),
-        F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts"))
+        F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts")).orderBy(F.desc("n_rows"), "feature_name")
 
 
 # --- writes and upkeep -----------------------------------------------------------------
@@ -316,15 +368,28 @@ def q_feature_resolve(spark, sf_dir):
         "asked", "feature_id", "name", "version", "ttl_hours")
 
 
-def q_definition_rejects(spark, sf_dir):
-    """V1: one definition per page host, named by the host; hosts over 18 characters lose their
-    type, and the ttl is the number of pages less one."""
-    t = T(spark, sf_dir)
+def host_definitions(t: Tables) -> DataFrame:
+    """One definition per page host, named by the host; hosts over 18 characters lose their type, and
+    the ttl is the number of pages less one."""
     host = F.parse_url("url", F.lit("HOST"))
-    defs = t.raw("pages").groupBy(host.alias("name")).agg((F.count(F.lit(1)) - 1).cast("int").alias("ttl_hours")).select(
+    return t.raw("pages").groupBy(host.alias("name")).agg((F.count(F.lit(1)) - 1).cast("int").alias("ttl_hours")).select(
         "name", "ttl_hours", F.lit(1).alias("version"), F.lit("page").alias("entity_type"),
         F.when(F.length("name") <= 18, "float64").alias("dtype"))
-    _, rejects = reg.register_with_rejects(t.registry, defs, REREGISTER_AT)
+
+
+def q_definitions_load(spark, sf_dir):
+    """The host definitions as JSON lines, loaded and registered."""
+    t = T(spark, sf_dir)
+    path = scratch_path(spark, "definitions")
+    host_definitions(t).write.json(path)
+    r = reg.register(t.registry, reg.load_definitions(spark, path), REREGISTER_AT)
+    return r.select("feature_id", "name", "version", "dtype", "entity_type", "ttl_hours")
+
+
+def q_definition_rejects(spark, sf_dir):
+    """V1: the host definitions that are not applied."""
+    t = T(spark, sf_dir)
+    _, rejects = reg.register_with_rejects(t.registry, host_definitions(t), REREGISTER_AT)
     return rejects.select("name", F.array_join("violations", ",").alias("violations"))
 
 
@@ -501,6 +566,11 @@ def q_throughput(spark, sf_dir):
                      r6("features_per_s").alias("features_per_s"))
 
 
+def q_entities_served(spark, sf_dir):
+    """Distinct entities served by type and day."""
+    return telemetry.entities_served(T(spark, sf_dir).request_log)
+
+
 def q_latency_by_batch_size(spark, sf_dir):
     """batches = a user's requests within one hour."""
     t = T(spark, sf_dir)
@@ -530,6 +600,12 @@ QUERIES = {
     "pit_asof_wide": q_pit_asof_wide,
     "days_since_purchase": q_days_since_purchase,
     "batch_retrieval": q_batch_retrieval,
+    "batch_any_type": q_batch_any_type,
+    "asof_any_type": q_asof_any_type,
+    "window_merge": q_window_merge,
+    "window_unresolved": q_window_unresolved,
+    "definitions_load": q_definitions_load,
+    "entities_served": q_entities_served,
     "sliding_stats": q_sliding_stats,
     "sliding_stats_1d6h": q_sliding_stats_1d6h,
     "window_long": q_window_long,

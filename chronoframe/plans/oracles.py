@@ -342,6 +342,57 @@ UNION ALL
 SELECT 'latest', feature_id, name, version, ttl_hours FROM registry
 WHERE name = 'purchase' AND version = (SELECT max(version) FROM registry WHERE name = 'purchase')""",
 
+    "definitions_load": with_ctes(REGISTRY_CTE) + """
+, h AS (SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS name, CAST(count(*) - 1 AS INTEGER) AS ttl
+       FROM pages GROUP BY 1)
+SELECT feature_id, name, version, dtype, entity_type, ttl_hours FROM registry
+UNION ALL
+SELECT CAST((SELECT max(feature_id) FROM registry) + row_number() OVER (ORDER BY name) AS INTEGER), name, 1,
+       'float64', 'page', ttl FROM h WHERE ttl >= 1 AND length(name) <= 18""",
+
+    "entities_served": with_ctes(LOG_CTE) + """
+SELECT split_part(entity_id, '_', 1) AS entity_type, date_trunc('day', request_ts) AS window_start,
+       count(DISTINCT entity_id) AS entities, count(*) AS requests
+FROM log WHERE status < 400 GROUP BY 1, 2""",
+
+    "asof_any_type": """
+WITH s AS (SELECT event_id AS spine_id, user_id, ts FROM events WHERE event_type = 'signup')
+SELECT s.spine_id, '"' || e.event_type || '"' AS last_kind, CAST(e.value > 50 AS VARCHAR) AS is_high,
+       e.props AS last_doc, CAST(9007199254740992 + e.event_id AS VARCHAR) AS big_seq, e.ts AS last_doc_ts
+FROM s ASOF LEFT JOIN events e ON s.user_id = e.user_id AND s.ts >= e.ts""",
+
+    "batch_any_type": """
+WITH ask AS (
+  SELECT max(event_id) AS request_id, user_id, max(ts) AS as_of
+  FROM events WHERE event_type = 'click' GROUP BY user_id, CAST(ts AS DATE)),
+hits AS (
+  SELECT a.request_id, e.user_id, e.event_type, e.value, e.props, e.event_id, e.ts
+  FROM (SELECT request_id, user_id + i AS user_id, as_of FROM ask, (VALUES (0), (1), (2)) n(i)) a
+  ASOF JOIN events e ON a.user_id = e.user_id AND a.as_of >= e.ts),
+cnt AS (SELECT request_id, count(DISTINCT user_id) AS entities_returned FROM hits GROUP BY request_id)
+SELECT request_id, 'user_' || CAST(user_id AS VARCHAR) AS entity_id, f.feature_name, f.value_json, ts AS value_ts,
+       entities_returned
+FROM hits JOIN cnt USING (request_id), LATERAL (VALUES
+  ('last_kind', '"' || event_type || '"'), ('is_high', CAST(value > 50 AS VARCHAR)), ('last_doc', props),
+  ('big_seq', CAST(9007199254740992 + event_id AS VARCHAR))) f(feature_name, value_json)""",
+
+    "window_merge": with_ctes(REGISTRY_CTE, EV_CTE, sliding_cte("st", "5 minutes", "1 minute", 5, "5min")) + """
+, new AS (
+  SELECT r.feature_id, st.entity_id, st.window_end AS event_ts, st.avg_5min AS value_num, 0 AS write_seq
+  FROM st, registry r WHERE st.event_type = 'purchase' AND r.name = 'avg_5min_purchase_value' AND st.avg_5min IS NOT NULL),
+pooled AS (
+  SELECT feature_id, entity_id, event_ts, value_num, write_seq, 0 AS side FROM fv
+  WHERE CAST(event_ts AS DATE) IN (SELECT CAST(event_ts AS DATE) FROM new)
+  UNION ALL SELECT *, 1 FROM new)
+SELECT feature_id, entity_id, event_ts, round(value_num, 6) AS value, write_seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY feature_id, entity_id, event_ts ORDER BY side DESC, write_seq DESC) AS rn
+  FROM pooled) WHERE rn = 1""",
+
+    "window_unresolved": with_ctes(EV_CTE, sliding_cte("st", "5 minutes", "1 minute", 5, "5min")) + """
+SELECT feature_name, count(*) AS n_rows FROM (
+  SELECT 'avg_5min_' || event_type AS feature_name, avg_5min AS value FROM st WHERE event_type <> 'purchase'
+  UNION ALL SELECT 'max_5min_' || event_type, max_5min FROM st) WHERE value IS NOT NULL GROUP BY feature_name""",
+
     "definition_rejects": """
 WITH h AS (SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS name, count(*) - 1 AS ttl FROM pages GROUP BY 1)
 SELECT name, concat_ws(',', CASE WHEN ttl < 1 THEN 'ttl_lt_1' END,

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoframe.functions.scalars import glob_match, seconds_between
-from chronoframe.operators import asof, online, pit, quality, registry, writes
+from chronoframe.operators import asof, features, online, pit, quality, registry, telemetry, windows, writes
 from chronoframe.session import scratch_path
 from chronoframe.streaming import job
 
@@ -139,3 +139,82 @@ def test_definition_rejects_and_kafka_options(spark):
     assert job.kafka_options("h:9092", "events", "earliest", 1000, False) == {
         "kafka.bootstrap.servers": "h:9092", "subscribe": "events", "startingOffsets": "earliest",
         "failOnDataLoss": "false", "maxOffsetsPerTrigger": "1000"}
+
+
+def test_as_of_and_replay_carry_any_json(spark):
+    reg = registry_df(spark, [(1, "s", 1, 24, "string"), (2, "i", 1, 24, "int64")])
+    vals = values_df(spark, [(1, "a", "2024-01-01 00:00:00", None, 1), (2, "a", "2024-01-01 00:00:00", None, 2)]) \
+        .withColumn("value_json", F.when(F.col("feature_id") == 1, '"x"').otherwise("9007199254740993"))
+    spine = spark.createDataFrame([("a", ts("2024-01-01 01:00:00"))], "entity_id string, label_ts timestamp_ntz")
+    row = asof.as_of_join(spine, vals, reg, ["s", "i"], value="value_json").first()
+    assert (row.s, row.i) == ('"x"', "9007199254740993")
+    snap = online.snapshot_merge(None, spark.createDataFrame(
+        [("a", "s", None, '"x"', 1)], "entity_id string, feature_name string, value_num double, value_json string, write_seq long")
+        .withColumn("value_ts", F.lit(ts("2024-01-01 00:00:00"))).withColumn("written_at", F.col("value_ts")))
+    ask = spark.createDataFrame([(1, "a", ["s", "i"], ts("2024-01-01 00:30:00"))],
+                                "request_id int, entity_id string, feature_names array<string>, request_ts timestamp_ntz")
+    answers, after = online.replay(snap, vals, reg, ask)
+    assert {r.feature_name: (r.value_json, r.hit) for r in answers.collect()} == {"s": ('"x"', True), "i": ("9007199254740993", False)}
+    assert {r.feature_name: r.value_json for r in after.collect()} == {"s": '"x"', "i": "9007199254740993"}
+
+
+def test_as_of_bounds_prune_days(spark):
+    from chronoframe.plans.guards import physical_plan
+
+    path = scratch_path(spark, "bounded")
+    writes.write_history(values_df(spark, [(1, "a", f"2024-01-{d:02d} 10:00:00", float(d), d) for d in range(1, 10)]), path)
+    reg = registry_df(spark, [(1, "f", 1, 48)])
+    spine = spark.createDataFrame([("a", ts("2024-01-05 09:00:00")), ("a", ts("2024-01-06 09:00:00"))], "entity_id string, label_ts timestamp_ntz")
+    for ttl, filters in ((False, 1), (True, 2)):
+        got = asof.as_of_join(spine, spark.read.parquet(path), reg, ["f"], apply_ttl=ttl)
+        scan = [line for line in physical_plan(got).splitlines() if "PartitionFilters" in line and "dt" in line]
+        assert scan and all(line.count("subquery") >= filters for line in scan), scan
+        assert sorted(r.f for r in got.collect()) == [4.0, 5.0]
+    empty = spine.where("entity_id = 'none'")
+    assert asof.as_of_join(empty, spark.read.parquet(path), reg, ["f"]).count() == 0
+
+
+def test_sessions_across_day_edges(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = [(f"u{rnd.randint(0, 2)}", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=10 * rnd.randint(0, 1000))) for _ in range(700)]
+    rows += [("edge", dt.datetime(2024, 1, 1, 23, 45)), ("edge", dt.datetime(2024, 1, 2, 0, 15)), ("edge", dt.datetime(2024, 1, 2, 0, 46))]
+    df = spark.createDataFrame(rows, "entity_id string, timestamp timestamp_ntz")
+    want = []
+    for e in {r[0] for r in rows}:
+        run = []
+        for t in sorted(r[1] for r in rows if r[0] == e):
+            if run and t - run[-1] > dt.timedelta(minutes=30):
+                want.append((e, run[0], run[-1], len(run)))
+                run = []
+            run.append(t)
+        want.append((e, run[0], run[-1], len(run)))
+    for bucket in ("1 day", "1 hour"):
+        got = features.sessions(df, "30 minutes", bucket=bucket)
+        assert sorted((r.entity_id, r.session_start, r.session_end, r.n_events) for r in got.collect()) == sorted(want)
+
+
+def test_exact_quantiles_by_value_range(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    data = {"a": rng.normal(size=2000).round(3).tolist(), "b": [1.0] * 50, None: [3.0, 1.0], "c": [-2.5]}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs] + [("a", None), ("d", None)], "g string, x double")
+    for ranges in (4, 256):
+        got = {r.g: r for r in telemetry.exact_quantiles(df, ["g"], "x", telemetry.QUANTILES, ranges).collect()}
+        assert set(got) == set(data)
+        for g, vs in data.items():
+            for name, q in telemetry.QUANTILES.items():
+                assert abs(got[g][name] - float(np.quantile(vs, q))) < 1e-9
+
+
+def test_window_merge_touches_its_days_only(spark):
+    path = scratch_path(spark, "merge")
+    writes.write_history(values_df(spark, [(1, "a", "2024-01-01 12:05:00", 1.0, 9), (1, "a", "2024-01-02 12:05:00", 2.0, 9)]), path)
+    reg = registry_df(spark, [(1, "avg_5min_purchase_value", 1, 24)])
+    feats = spark.createDataFrame([("a", "avg_5min_purchase_value", 5.0, ts("2024-01-01 12:05:00")), ("a", "max_5min_click", 6.0, ts("2024-01-03 12:05:00"))],
+                                  "entity_id string, feature_name string, value_num double, event_ts timestamp_ntz")
+    merged, unresolved = windows.merge_into_history(feats, reg, spark.read.parquet(path), 1)
+    assert [(r.value_num, str(r.dt), r.metadata) for r in merged.collect()] == [(5.0, "2024-01-01", "{}")]
+    assert [tuple(r) for r in unresolved.collect()] == [("max_5min_click", 1)]

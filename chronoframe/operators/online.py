@@ -10,11 +10,10 @@ the as-of join at the request time, and the fetched values are written back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import add_seconds, glob_match, online_key, percent_or_zero, seconds_between, ts_lit
-from ..session import cut_lineage
 from .asof import as_of_join_long
 
 SNAPSHOT_COLS = ["entity_id", "feature_name", "value_num", "value_json", "value_ts", "written_at", "expires_at", "write_seq"]
@@ -64,27 +63,31 @@ def stream_updates(stats: DataFrame, batch_id, ttl_seconds=DEFAULT_TTL_SECONDS,
                     F.lit(ttl_seconds).alias("ttl_seconds"))
 
 
-def explode_requests(requests: DataFrame) -> DataFrame:
-    """(request_id, entity_id, feature_names, request_ts) -> one row per
-    requested feature with its position (order kept)."""
-    return requests.select("request_id", "entity_id", "request_ts",
-                           F.posexplode("feature_names").alias("pos", "feature_name"))
+def _asked(snapshot: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests (request_id, entity_id, request_ts) with ``asked``, an array
+    of one struct per requested feature: position, name, hit, cached value.
+
+    The snapshot is folded to one map per entity (its size is the number of
+    features), so the join is on the entity, requests stay whole, and AQE can
+    split a hot entity's requests."""
+    entry = F.struct("feature_name", F.struct("value_num", "value_json", "value_ts", "written_at", "expires_at"))
+    cache = snapshot.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(entry)).alias("_cache"))
+    j = requests.select("request_id", "entity_id", "request_ts", "feature_names").join(cache, "entity_id", "left")
+
+    def look_up(name, pos):
+        e = F.try_element_at("_cache", name)
+        hit = F.coalesce((e["written_at"] <= F.col("request_ts")) & (F.col("request_ts") < e["expires_at"]), F.lit(False))
+        return F.struct(pos.alias("pos"), name.alias("feature_name"), hit.alias("hit"),
+                        F.when(hit, e["value_num"]).alias("cached_value"), F.when(hit, e["value_json"]).alias("cached_json"),
+                        F.when(hit, e["value_ts"]).alias("cached_ts"))
+
+    return j.select("request_id", "entity_id", "request_ts", F.transform("feature_names", look_up).alias("asked"))
 
 
 def probe(snapshot: DataFrame, requests: DataFrame) -> DataFrame:
-    """Per requested key, hit or miss and the cached value.  The join
-    is on (entity, feature); the snapshot holds one row per key, so AQE's
-    skew handling can split a hot request key."""
-    r = explode_requests(requests)
-    s = snapshot.select("entity_id", "feature_name", F.col("value_num").alias("c_value"),
-                        F.col("value_json").alias("c_json"), F.col("value_ts").alias("c_ts"), "written_at", "expires_at")
-    j = r.join(s, ["entity_id", "feature_name"], "left")
-    hit = F.coalesce((F.col("written_at") <= F.col("request_ts")) & (F.col("request_ts") < F.col("expires_at")),
-                     F.lit(False))
-    return j.withColumn("hit", hit).select(
-        "request_id", "entity_id", "request_ts", "pos", "feature_name", "hit",
-        F.when(hit, F.col("c_value")).alias("cached_value"), F.when(hit, F.col("c_json")).alias("cached_json"),
-        F.when(hit, F.col("c_ts")).alias("cached_ts"))
+    """Per requested key, hit or miss and the cached value, in the
+    request's order.  ``snapshot`` holds one row per (entity, feature)."""
+    return _asked(snapshot, requests).select("request_id", "entity_id", "request_ts", F.inline("asked"))
 
 
 def replay(snapshot: DataFrame, values: DataFrame, registry: DataFrame, requests: DataFrame,
@@ -96,24 +99,20 @@ def replay(snapshot: DataFrame, values: DataFrame, registry: DataFrame, requests
     history as of the request time (absent stays absent) -- with
     freshness recomputed at the request time (R7), the per-row ``hit`` and
     the per-request ``source`` ('cache' only when every feature hit).
-    ``write_back``: the snapshot after caching the fetched misses."""
-    # The probe feeds hits, misses and the per-request flag: compute it once.
-    # The flag ('cache' only when every requested feature hit) is a window
-    # over one request's rows -- a group bounded by its feature list.
-    all_hit = F.min(F.col("hit").cast("int")).over(Window.partitionBy("request_id"))
-    probed = cut_lineage(probe(snapshot, requests).withColumn("_all", all_hit))
-    hits = probed.where("hit").select(
-        "request_id", "entity_id", "request_ts", "pos", "feature_name", "_all",
-        F.col("cached_value").alias("value_num"), F.col("cached_json").alias("value_json"),
-        F.col("cached_ts").alias("value_ts"), "hit")
-    misses = probed.where(~F.col("hit")).select("request_id", "entity_id", "request_ts", "pos",
-                                                "feature_name", "_all")
+    ``write_back``: the snapshot after caching the fetched misses.  Only
+    misses go on to the as-of join."""
+    asked = _asked(snapshot, requests).withColumn("_all", F.forall("asked", lambda x: x["hit"]))
+    hits = asked.select("request_id", "entity_id", "request_ts", "_all", F.inline(F.filter("asked", lambda x: x["hit"]))) \
+        .withColumnsRenamed({"cached_value": "value_num", "cached_json": "value_json", "cached_ts": "value_ts"})
+    misses = asked.select("request_id", "entity_id", "request_ts", "_all",
+                          F.inline(F.filter("asked", lambda x: ~x["hit"]))) \
+        .drop("hit", "cached_value", "cached_json", "cached_ts")
     fetched = as_of_join_long(misses, values, registry, time="request_ts", bucket=bucket) \
         .where(F.col("value_ts").isNotNull()) \
         .select("request_id", "entity_id", "request_ts", "pos", "feature_name", "_all", "value_num", "value_json",
                 "value_ts", F.lit(False).alias("hit"))
     answers = hits.unionByName(fetched) \
-        .withColumn("source", F.when(F.col("_all") == 1, "cache").otherwise("database")) \
+        .withColumn("source", F.when(F.col("_all"), "cache").otherwise("database")) \
         .withColumn("freshness_seconds", seconds_between("request_ts", "value_ts")) \
         .drop("_all")
     wb = fetched.select("entity_id", "feature_name", "value_num", "value_json", "value_ts",

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import scratch_path, table_path
 
 #: UTF-8 bytes of text that a Python worker handles in one numpy step.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import add_hours, ts_lit
-from .writes import last_writer_wins
+from .writes import last_writer_wins, with_day
 
 
 def hourly_rollup(values: DataFrame) -> DataFrame:
@@ -62,6 +62,23 @@ def compact(values: DataFrame, as_of, days: int = 7,
     return last_writer_wins(old, keys, seq).select(*values.columns).unionByName(recent)
 
 
+def compact_days(history: DataFrame, as_of, last_run=None, days: int = 7,
+                 keys=("feature_id", "entity_id", "event_ts"), seq: str = "write_seq") -> DataFrame:
+    """H4 on the stored history: the compacted rows of the days that became older than ``days`` since
+    the run at ``last_run`` (all old days without it).  Only their partitions are read and shuffled;
+    ``write_history`` replaces just those.  A day written to after its compaction needs a run whose
+    ``last_run`` lies before it."""
+    history = history if "dt" in history.columns else with_day(history)
+
+    def cutoff(t):
+        return F.to_date(F.timestamp_add("DAY", F.lit(-days), ts_lit(t)))
+
+    due = history.where(F.col("dt") < cutoff(as_of))
+    if last_run is not None:
+        due = due.where(F.col("dt") >= cutoff(last_run))
+    return last_writer_wins(due, keys, seq).select(*history.columns)
+
+
 def analyze(spark: SparkSession, table: str) -> None:
     """H6: column statistics for the cost-based optimizer (catalog tables)."""
     spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")

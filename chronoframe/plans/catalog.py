@@ -23,7 +23,7 @@ ASOF_FEATURES = ["purchase", "view", "click"]
 SNAPSHOT_AT = "2024-01-15 00:00:00"
 REFRESH_BASE_UNTIL, REFRESH_AT = "2024-01-20 10:00:00", "2024-01-20 12:30:00"
 RETAIN_AT, RETAIN_DAYS = "2024-01-31 12:00:00", 10
-COMPACT_AT, COMPACT_DAYS = "1998-01-01 00:00:00", 7
+COMPACT_AT, COMPACT_DAYS, COMPACT_LAST = "1998-01-01 00:00:00", 7, "1997-01-01 00:00:00"
 REREGISTER_AT = "2024-02-01 00:00:00"
 INVALIDATE_GLOB = "user_1*:purchase"
 
@@ -309,6 +309,14 @@ def q_compaction(spark, sf_dir):
     return c.select("entity_id", "event_ts", r6("value_num").alias("value"), "write_seq")
 
 
+def q_compaction_due(spark, sf_dir):
+    """H4: the days that became due since the run a year before."""
+    t = T(spark, sf_dir)
+    v = t.orders.select("entity_id", "event_ts", "value_num", "write_seq")
+    c = upkeep.compact_days(v, COMPACT_AT, COMPACT_LAST, COMPACT_DAYS, keys=("entity_id", "event_ts"))
+    return c.select("entity_id", "event_ts", "dt", r6("value_num").alias("value"), "write_seq")
+
+
 def q_retention(spark, sf_dir):
     t = T(spark, sf_dir)
     r = upkeep.retain(t.values, RETAIN_AT, RETAIN_DAYS)
@@ -626,6 +634,7 @@ QUERIES = {
     "closed_window_snapshot": q_closed_window_snapshot,
     "insert_ignore": q_insert_ignore,
     "compaction": q_compaction,
+    "compaction_due": q_compaction_due,
     "retention": q_retention,
     "hourly_rollup": q_hourly_rollup,
     "rollup_refresh": q_rollup_refresh,

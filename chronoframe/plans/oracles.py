@@ -433,6 +433,12 @@ FROM o WHERE CAST(event_ts AS DATE) < DATE '1997-12-25' GROUP BY entity_id, even
 UNION ALL
 SELECT entity_id, event_ts, round(value_num, 6), write_seq FROM o WHERE CAST(event_ts AS DATE) >= DATE '1997-12-25'""",
 
+    "compaction_due": with_ctes(ORDERS_CTE) + """
+SELECT entity_id, event_ts, CAST(event_ts AS DATE) AS dt, round(arg_max(value_num, write_seq), 6) AS value,
+       max(write_seq) AS write_seq
+FROM o WHERE CAST(event_ts AS DATE) >= DATE '1996-12-25' AND CAST(event_ts AS DATE) < DATE '1997-12-25'
+GROUP BY entity_id, event_ts""",
+
     "retention": with_ctes(REGISTRY_CTE) + """
 SELECT feature_id, entity_id, event_ts, round(value_num, 6) AS value, write_seq
 FROM fv WHERE CAST(event_ts AS DATE) >= DATE '2024-01-21'""",

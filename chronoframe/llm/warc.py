@@ -209,7 +209,9 @@ def export(frames: DataFrame, uri: str) -> DataFrame:
                     if out is not None:
                         out.close()
                         done.append((at, size))
-                    out, at, size = store.open_output_stream(f"{root}/archive-{archive}.warc.zst"), archive, 0
+                    # The name's suffix would have the stream compressed once more.
+                    out = store.open_output_stream(f"{root}/archive-{archive}.warc.zst", compression=None)
+                    at, size = archive, 0
                 out.write(data)
                 size += len(data)
         if out is not None:

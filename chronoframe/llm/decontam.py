@@ -3,8 +3,9 @@
 Texts become templates: words in lower case, numbers, names and units replaced by typed placeholders.
 Windows of ``WINDOW`` template words of the documents are hash-joined with those of the benchmark.
 Per document, item and alignment (place in the document minus place in the item) the slots are then
-checked: each slot value of the item must stand for one value of the document throughout.  So a question
-whose numbers, names or units were changed one for one is found, and a chance match is not.
+checked: each slot value of the item stands for the value of the document that most windows give it, and
+windows with another one are dropped.  So a question whose numbers, names or units were changed is found,
+also where two of them became equal or one place differs, and a chance match is not.
 
 A document is a leak of an item if consistent windows cover at least ``COVER_WORDS`` words of it, or
 the share ``COVER_SHARE`` of a shorter one.  Items under ``MIN_WORDS`` words can't be told from chance
@@ -15,11 +16,14 @@ benchmark has leave the worker.  For this its hashes are broadcast while there a
 ``MAX_HASHES``; beyond that every window goes into the (shuffled) join, with the same result.
 
 Cases: null texts have no words; a null document id is one document of its own; repeated rows change
-nothing; empty tables give no leaks; other columns are ignored.
+nothing; of different texts under one id each is compared on its own, and the one that covers the most
+counts; empty tables give no leaks; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -124,12 +128,12 @@ def _unit_hashes() -> np.ndarray:
 
 
 def _windows_of(rows: DataFrame, sizes: list[int] | None, wanted) -> DataFrame:
-    """(id, size, pos, h, n_words, slots) of an (id, text) table.  ``sizes`` None: benchmark items, each
+    """(id, source, size, pos, h, n_words, slots) of an (id, text) table; ``source`` tells its texts apart.  ``sizes`` None: benchmark items, each
     with the window size that fits it.  ``wanted``: broadcast sorted hashes, or None for all."""
     def work(batches):
         for batch in by_bytes(batches, "text"):
             t = Template(batch.column("text"))
-            ids = batch.column("id")
+            ids, source = batch.column("id"), batch.column("source")
             count = np.bincount(t.row, minlength=t.n_rows)
             first = np.cumsum(count) - count
             for size in sizes or range(MIN_WORDS, WINDOW + 1):
@@ -145,13 +149,47 @@ def _windows_of(rows: DataFrame, sizes: list[int] | None, wanted) -> DataFrame:
                     at, h = at[found], h[found]
                 row = t.row[at]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row)), pa.array(np.full(len(at), size), pa.int32()),
+                    [ids.take(pa.array(row)), source.take(pa.array(row)), pa.array(np.full(len(at), size), pa.int32()),
                      pa.array(at - first[row], pa.int32()), pa.array(h.view(np.int64)),
                      pa.array(count[row], pa.int32()),
                      pa.array([t.slots(int(i), size) for i in at], pa.list_(pa.string()))],
-                    names=["id", "size", "pos", "h", "n_words", "slots"])
+                    names=["id", "source", "size", "pos", "h", "n_words", "slots"])
+
+    return (rows.withColumn("source", F.xxhash64("text"))
+            .transform(map_arrow, work, "id bigint, source bigint, size int, pos int, h bigint, n_words int, "
+                                        "slots array<string>"))
+
+
+def consistent(windows: list[dict]) -> tuple[list[int], int, int]:
+    """(places, slots, changed slots) of the windows of one alignment, (pos, slots), that give each slot
+    value of the item the document value that most of them give it (of equals the unchanged one)."""
+    pairs = [{(x["i"], x["d"]) for x in w["slots"]} for w in windows]
+    votes = Counter(p for found in pairs for p in found)
+    chosen: dict[str, tuple] = {}
+    for (i, d), n in votes.items():
+        chosen[i] = max(chosen.get(i, (0, False, "")), (n, i == d, d))
+    fits = [all(chosen[i][2] == d for i, d in found) for found in pairs]
+    kept = {p for found, fine in zip(pairs, fits, strict=True) if fine for p in found}
+    at = sorted({w["pos"] for w, fine in zip(windows, fits, strict=True) if fine})
+    return at, len(kept), sum(i != d for i, d in kept)
+
+
+def _consistent(aligned: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, at, n_slots, n_changed) of the alignments (keys, windows) that keep a window."""
+    def work(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                found = [consistent(w) for w in part.column("windows").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(k) for k in keys), pa.array([x[0] for x in found], pa.list_(pa.int32())),
+                     pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.int32())],
+                    names=[*keys, "at", "n_slots", "n_changed"])
 
-    return rows.transform(map_arrow, work, "id bigint, size int, pos int, h bigint, n_words int, slots array<string>")
+    fields = ", ".join(f"{k} {aligned.schema[k].dataType.simpleString()}" for k in keys)
+    return (aligned.select(*keys, "windows")
+            .transform(map_arrow, work, f"{fields}, at array<int>, n_slots int, n_changed int")
+            .where(F.size("at") > 0))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -176,24 +214,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         found = found.limit(0)
     d, b = found.alias("d"), items.alias("b")
     pairs = d.join(b, (F.col("d.h") == F.col("b.h")) & (F.col("d.size") == F.col("b.size"))).select(
-        F.col("d.id").alias("doc_id"), F.col("b.id").alias("item_id"), (F.col("d.pos") - F.col("b.pos")).alias("shift"),
+        F.col("d.id").alias("doc_id"), F.col("d.source").alias("doc_text"), F.col("b.id").alias("item_id"),
+        F.col("b.source").alias("item_text"), (F.col("d.pos") - F.col("b.pos")).alias("shift"),
         F.col("b.pos").alias("pos"), F.col("b.size").alias("size"), F.col("b.n_words").alias("n_words"),
         F.arrays_zip(F.col("b.slots").alias("i"), F.col("d.slots").alias("d")).alias("slots"))
-    # Sets within one alignment: at most the windows and slots of the item.
-    aligned = pairs.groupBy("doc_id", "item_id", "shift", "n_words", "size").agg(
-        F.collect_set("pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    one_to_one = ((F.size(F.array_distinct(F.col("slots.i"))) == F.size("slots"))
-                  & (F.size(F.array_distinct(F.col("slots.d"))) == F.size("slots")))
-    sure = aligned.where(one_to_one)
-    per_item = sure.groupBy("doc_id", "item_id", "n_words", "size").agg(
+    texts = ["doc_id", "doc_text", "item_id", "item_text", "n_words", "size"]
+    # Sets within one alignment: at most the windows of the item.
+    aligned = pairs.groupBy(*texts, "shift").agg(F.collect_set(F.struct("pos", "slots")).alias("windows"))
+    per_item = _consistent(aligned, texts).groupBy(*texts).agg(
         F.array_distinct(F.flatten(F.collect_set("at"))).alias("at"),
-        F.max(F.size("slots")).alias("n_slots"),
-        F.max(F.size(F.filter("slots", lambda x: x["i"] != x["d"]))).alias("n_changed"))
+        F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed"))
     words = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("size") - 1))))
     counted = per_item.select("doc_id", "item_id", F.size("at").alias("n_windows"), F.size(words).alias("n_covered"),
                               "n_words", "n_slots", "n_changed")
     need = F.least(F.lit(COVER_WORDS), F.ceil(F.col("n_words") * COVER_SHARE))
-    return counted.where(F.col("n_covered") >= need)
+    columns = ["n_windows", "n_covered", "n_words", "n_slots", "n_changed"]
+    best = F.max(F.struct("n_covered", "n_windows", "n_words", "n_slots", "n_changed"))
+    return (counted.where(F.col("n_covered") >= need).groupBy("doc_id", "item_id").agg(best.alias("best"))
+            .select("doc_id", "item_id", *[F.col(f"best.{c}").alias(c) for c in columns]))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

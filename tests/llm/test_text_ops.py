@@ -280,3 +280,17 @@ def test_decontamination_odd_rows(spark, odd, empty):
     assert got == sorted([(6,), (7,), (8,), (None,)], key=repr)
     assert decontam.leaks(empty, items).collect() == [] and decontam.leaks(odd, items.limit(0)).collect() == []
     assert decontam.clean(odd, items).where("doc_id is null").count() == 1
+
+
+def test_consistency_per_window(spark):
+    """A place that differs costs its windows only; new values may coincide; texts under one id don't mix."""
+    uneven = ITEM.replace("12 apples", "45 apples")
+    equal = ITEM.replace("12", "4").replace("3 dollars", "4 dollars")
+    other = ITEM.replace("Alice", "Carol").replace("12", "77")
+    texts = [(0, "so. " + uneven + " end"), (1, "so. " + equal + " end"), (2, "so. " + ITEM), (2, "so. " + other),
+             (None, "so. " + ITEM), (None, "so. " + other), (3, "so. " + " ".join(ITEM.split()[:9]) + " and no more")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.leaks(docs, items).collect()}
+    assert set(got) == {0, 1, 2, None}
+    assert got[0]["n_covered"] == 18 and got[1]["n_covered"] == got[2]["n_covered"] == 22

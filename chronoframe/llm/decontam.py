@@ -1,7 +1,11 @@
 """Operator 6: benchmark decontamination by template windows.
 
 Texts become templates: words in lower case, numbers, names and units replaced by typed placeholders.
-Windows of ``WINDOW`` template words of the documents are hash-joined with those of the benchmark.
+Windows of ``WINDOW`` template words of the documents are hash-joined with those of the benchmark.  Every
+window also has a second key without names: its words in lower case with numbers and units replaced, or, with
+fewer than ``MIN_LITERALS`` such words, all its real words.  So a copy in other case is found, and so is a
+verbatim copy of what is mostly names and numbers.  In scripts without blanks a character (with its marks)
+is a word.
 Per document, item and alignment (place in the document minus place in the item) the slots are then
 checked: each slot value of the item stands for the value of the document that most windows give it, and
 windows with another one are dropped.  So a question whose numbers, names or units were changed is found,
@@ -22,6 +26,8 @@ counts; empty tables give no leaks; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -55,9 +61,40 @@ _STOP[[ord(c) for c in ".!?:;\n\r"]] = True
 _SLOT = series(5, 4)
 _FACTOR = series(6, 64) | np.uint64(1)
 
+# Scripts without blanks (fixed ranges): Han, kana and bopomofo; Thai, Lao, Myanmar and Khmer.
+_NO_BLANKS = ((0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x3035), (0x3038, 0x303C),
+              (0x3041, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+              (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF))
+_LEADING = (*range(0x0E40, 0x0E45), *range(0x0EC0, 0x0EC5))  # vowels written before their consonant
+PLAIN, SEPARATOR, ALONE, MARK, LEAD = range(5)
+
+
+def _code_points() -> tuple[np.ndarray, np.ndarray]:
+    """Class and lower case of each code point under 0x10000; those of another length in UTF-8 stay."""
+    kinds = np.full(1 << 16, PLAIN, np.uint8)
+    low = np.arange(1 << 16)
+    for c in range(0x80, 1 << 16):
+        ch = chr(c)
+        small = ch.lower()
+        if len(small) == 1 and (0x80 <= ord(small) < 0x800 if c < 0x800 else 0x800 <= ord(small) < 1 << 16):
+            low[c] = ord(small)
+        if unicodedata.category(ch)[0] in "PZ":
+            kinds[c] = SEPARATOR
+    for a, b in _NO_BLANKS:
+        for c in range(a, b + 1):
+            kind = unicodedata.category(chr(c))
+            if kinds[c] != SEPARATOR and kind != "Nd":
+                kinds[c] = MARK if kind in ("Mn", "Mc") else ALONE
+    kinds[list(_LEADING)] = LEAD
+    kinds[0x80:0xC0] = kinds[0x2000:0x2080] = SEPARATOR
+    return kinds, low
+
+
+_KINDS, _LOW = _code_points()
+
 
 class Template:
-    """Template words of a string column: row, class, hash and bytes of each."""
+    """Template words of a string column: row, class, hashes (``real``: of the word itself) and bytes of each."""
 
     def __init__(self, column: pa.Array):
         raw, offsets = utf8(column)
@@ -68,13 +105,32 @@ class Template:
         word = _table[raw]
         point = (raw == 44) | (raw == 46)
         word |= point & (ahead >= 48) & (ahead <= 57) & (behind >= 48) & (behind <= 57)
-        # Punctuation and blanks beyond ASCII (U+0080 to U+00BF, U+2000 to U+207F) separate words.
-        two, three = np.flatnonzero(raw == 0xC2), np.flatnonzero((raw == 0xE2) & ((ahead == 0x80) | (ahead == 0x81)))
-        word[np.concatenate([two, two + 1, three, three + 1, three + 2])] = False
         upper = ((raw >= 65) & (raw <= 90))
-        wide = (behind == 0xC3) & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97)
-        low = raw + ((upper | wide) * np.uint8(32))
-        starts, ends = spans(word, offsets)
+        low = raw + upper * np.uint8(32)
+        two = np.flatnonzero((raw[:-1] >= 0xC2) & (raw[:-1] <= 0xDF))
+        point2 = ((raw[two] & 31).astype(np.int64) << 6) | (raw[two + 1] & 63)
+        three = np.flatnonzero((raw[:-2] >= 0xE0) & (raw[:-2] <= 0xEF))
+        point3 = (((raw[three] & 15).astype(np.int64) << 12) | ((raw[three + 1] & 63).astype(np.int64) << 6)
+                  | (raw[three + 2] & 63))
+        small = _LOW[point2]
+        low[two], low[two + 1] = 0xC0 | (small >> 6), 0x80 | (small & 63)
+        upper[two] = small != point2
+        small = _LOW[point3]
+        low[three], low[three + 1], low[three + 2] = 0xE0 | (small >> 12), 0x80 | ((small >> 6) & 63), 0x80 | (small & 63)
+        upper[three] = small != point3
+        # Punctuation and blanks beyond ASCII separate words.
+        two, kind3 = two[_KINDS[point2] == SEPARATOR], _KINDS[point3]
+        apart = three[kind3 == SEPARATOR]
+        word[np.concatenate([two, two + 1, apart, apart + 1, apart + 2])] = False
+        # Scripts without blanks: cut before each character and after it, but not before its marks.
+        alone, mark, lead = three[kind3 == ALONE], three[kind3 == MARK], three[kind3 == LEAD]
+        wide = np.flatnonzero((raw[:-3] == 0xF0) & (raw[1:-2] >= 0xA0))  # ideographs from U+20000
+        cut = np.zeros(n + 4, bool)
+        cut[np.concatenate([alone, alone + 3, mark + 3, wide, wide + 4])] = True
+        cut[mark] = False
+        cut[lead] = True
+        cut[lead + 3] = False
+        starts, ends = spans(word, np.concatenate([offsets, np.flatnonzero(cut[:n])]))
         self.low, self.starts, self.ends = low, starts, ends
         self.row = np.searchsorted(offsets, starts, "right") - 1
         self.n_rows = len(column)
@@ -84,7 +140,7 @@ class Template:
         new = np.ones(m, bool)
         if m:
             new[1:] = (self.row[1:] != self.row[:-1]) | (stops[starts[1:]] > stops[ends[:-1]])
-        capital = upper[starts] | ((raw[starts] == 0xC3) & wide[np.minimum(starts + 1, max(n - 1, 0))]) if m else new
+        capital = upper[starts]
         digits = np.concatenate([[0], np.cumsum(digit)])
         self.kind = np.zeros(m, np.int8)
         self.kind[capital & ~new] = NAME
@@ -95,26 +151,39 @@ class Template:
             unit[1:] &= number[:-1] & (self.row[1:] == self.row[:-1])
             unit[0] = False
             self.kind[unit & ~number] = UNIT
+        self.real = h
         self.hash = np.where(self.kind == LITERAL, h, _SLOT[self.kind])
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, hash) of each window of ``size`` words with enough literals within a row."""
+    def windows(self, size: int, names: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of the windows of ``size`` words within a row: with ``names`` as slots those
+        with enough literals, else all, where one short of literals has the hash of its real words."""
         m = len(self.hash) - size + 1
         if m <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        literal = (self.kind == LITERAL) | ((self.kind == NAME) & (not names))
+        words = self.hash if names else np.where(literal, self.real, self.hash)
+        count = np.concatenate([[0], np.cumsum(literal)])
+        enough = count[size:] - count[:-size] >= min(size, MIN_LITERALS)
+        inside = self.row[:m] == self.row[size - 1:]
         with np.errstate(over="ignore"):
             total = np.zeros(m, np.uint64)
             for k in range(size):
-                total += self.hash[k:k + m] * _FACTOR[k]
-            total = mix(total + np.uint64(size))
-        literals = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
-        fine = (self.row[:m] == self.row[size - 1:]) & (literals[size:] - literals[:-size] >= min(size, MIN_LITERALS))
-        at = np.flatnonzero(fine)
+                total += words[k:k + m] * _FACTOR[k]
+            total = mix(total + np.uint64(size if names else size + 64))
+            if names:
+                at = np.flatnonzero(inside & enough)
+                return at, total[at]
+            short = np.flatnonzero(inside & ~enough)
+            exact = np.zeros(len(short), np.uint64)
+            for k in range(size):
+                exact += self.real[short + k] * _FACTOR[k]
+            total[short] = mix(exact + np.uint64(size + 128))
+        at = np.flatnonzero(inside)
         return at, total[at]
 
-    def slots(self, at: int, size: int) -> list[str]:
+    def slots(self, at: int, size: int, names: bool) -> list[str]:
         return [self.low[self.starts[i]:self.ends[i]].tobytes().decode("utf-8", "replace")
-                for i in range(at, at + size) if self.kind[i] != LITERAL]
+                for i in range(at, at + size) if self.kind[i] != LITERAL and (names or self.kind[i] != NAME)]
 
 
 _units: list[np.ndarray] = []
@@ -136,8 +205,8 @@ def _windows_of(rows: DataFrame, sizes: list[int] | None, wanted) -> DataFrame:
             ids, source = batch.column("id"), batch.column("source")
             count = np.bincount(t.row, minlength=t.n_rows)
             first = np.cumsum(count) - count
-            for size in sizes or range(MIN_WORDS, WINDOW + 1):
-                at, h = t.windows(size)
+            for size, names in itertools.product(sizes or range(MIN_WORDS, WINDOW + 1), (True, False)):
+                at, h = t.windows(size, names)
                 if sizes is None:
                     fits = count[t.row[at]] >= size if size == WINDOW else count[t.row[at]] == size
                     at, h = at[fits], h[fits]
@@ -152,7 +221,7 @@ def _windows_of(rows: DataFrame, sizes: list[int] | None, wanted) -> DataFrame:
                     [ids.take(pa.array(row)), source.take(pa.array(row)), pa.array(np.full(len(at), size), pa.int32()),
                      pa.array(at - first[row], pa.int32()), pa.array(h.view(np.int64)),
                      pa.array(count[row], pa.int32()),
-                     pa.array([t.slots(int(i), size) for i in at], pa.list_(pa.string()))],
+                     pa.array([t.slots(int(i), size, names) for i in at], pa.list_(pa.string()))],
                     names=["id", "source", "size", "pos", "h", "n_words", "slots"])
 
     return (rows.withColumn("source", F.xxhash64("text"))

@@ -294,3 +294,21 @@ def test_consistency_per_window(spark):
     got = {r["doc_id"]: r for r in decontam.leaks(docs, items).collect()}
     assert set(got) == {0, 1, 2, None}
     assert got[0]["n_covered"] == 18 and got[1]["n_covered"] == got[2]["n_covered"] == 22
+
+
+def test_case_numbers_and_scripts(spark):
+    """Copies in other case, items of names and numbers, and scripts without blanks."""
+    han = "小明有十二个苹果，他又买了三个，现在一共有多少个苹果？"
+    thai = "แมวตัวนี้ชอบกินปลาทุกวันและนอนหลับใต้ต้นไม้ใหญ่"
+    russian = "Сколько стоит билет если Анна купила пять билетов вчера"
+    items = [(1, ITEM), (2, "What is 12 plus 30?"), (3, "The Old Man And The Sea By Ernest Hemingway In 1952"),
+             (4, han), (5, thai), (6, russian)]
+    texts = ["xx. " + ITEM.upper() + ". yy", "xx " + ITEM.title(), "xx. " + ITEM.upper().replace("12", "99"),
+             "so: what is 12 plus 30? and", "so: what is 12 plus 31? and", "the old man and the sea by ernest hemingway in 1952",
+             "前文。" + han + "后文", "其他的文字和苹果没有任何关系，只是一些词语而已", "คำ" + thai + "ครับ", "วันนี้อากาศดีมากเราไปเดินเล่นกัน",
+             russian.upper(), ITEM.lower()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for options in ({}, {"max_hashes": 0}):
+        got = {(r["doc_id"], r["item_id"]) for r in
+               decontam.leaks(docs, spark.createDataFrame(items, "item_id long, text string"), **options).collect()}
+        assert got == {(0, 1), (1, 1), (2, 1), (3, 2), (5, 3), (6, 4), (8, 5), (10, 6), (11, 1)}

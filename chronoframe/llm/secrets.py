@@ -3,7 +3,8 @@
 Three base patterns (assignments, access keys, hexadecimal runs) run over every whole text.  The
 method then looks at each value in a credential context -- a wider list of credential words than the
 assignment pattern has, followed by a separator -- and computes its guess cost: the cheapest
-segmentation into dictionary words, dates, repeats, keyboard walks and brute-force spans, in bits.
+segmentation into dictionary words, dates, repeats, keyboard walks and brute-force spans, in bits.  A
+brute-force span costs, per character, the alphabet that the span mixes (26, 36, 52, 62, 95, ...).
 Values of at least ``min_bits`` add a span of kind ``guess``; base spans always stay.
 
 The dictionary is the list of whole words of a public vocabulary file, whose order is by frequency:
@@ -27,8 +28,11 @@ from pyspark.sql import functions as F
 from .common import by_bytes, map_arrow
 
 KINDS = ("assign", "access", "hex", "guess")
-#: Bits of guess cost from which a credential value counts as a secret.
-MIN_BITS = 36.0
+SEGMENT_BITS = 1.0
+#: Bits of guess cost from which a credential value counts as a secret: those of ten random digits.  Random
+#: values of six characters, the shortest that CONTEXT admits, have 35.2 in letters of both cases and 36.7
+#: with digits, but 32.0 in letters of one case and digits.
+MIN_BITS = 10 * math.log2(10) + SEGMENT_BITS - 1e-9
 MAX_WORDS = 1 << 18
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -48,7 +52,6 @@ DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|
                   r"|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:(?:19|20)\d\d|\d\d)"
                   r"|(?:19|20)\d\d")
 LEET = str.maketrans("013457@$!", "oieastasi")
-SEGMENT_BITS = 1.0
 
 
 def default_words() -> str:
@@ -75,6 +78,19 @@ def alphabet(ch: str) -> int:
     return 33 if ch.isascii() else 100
 
 
+def sort_of(ch: str) -> int:
+    """0 to 4: lower case, upper case, digit, other ASCII, beyond ASCII."""
+    if ch.isdigit():
+        return 2
+    if not ch.isascii():
+        return 4
+    return 0 if ch.islower() else 1 if ch.isupper() else 3
+
+
+#: Bits per character of a brute-force span that mixes the sorts of a bit mask.
+_MIX_BITS = [0.0] + [math.log2(sum(n for i, n in enumerate((26, 26, 10, 33, 100)) if m >> i & 1)) for m in range(1, 32)]
+
+
 def run_lengths(value: str) -> tuple[list[int], list[int]]:
     """For each end, the characters of the repeat and of the keyboard walk that end there."""
     low = value.lower()
@@ -99,7 +115,8 @@ def run_lengths(value: str) -> tuple[list[int], list[int]]:
 
 
 def guess_bits(value: str, words: dict[str, int], longest: int) -> float:
-    """Least bits over all segmentations of the value; brute force costs its alphabet per character."""
+    """Least bits over all segmentations of the value; brute force costs, per character,
+    the alphabet of all sorts of characters in its span."""
     n, low = len(value), value.lower()
     plain = low.translate(LEET) if len(low.translate(LEET)) == len(low) else low
     if len(low) != n:
@@ -110,11 +127,19 @@ def guess_bits(value: str, words: dict[str, int], longest: int) -> float:
         if value[i].isdigit() and (m := DATE.match(value, i)):
             dates.setdefault(m.end(), []).append(i)
     best = [0.0] + [math.inf] * n
-    brute = [False] * (n + 1)
+    sorts = [1 << sort_of(c) for c in value]
+    present = 0
+    for bit in set(sorts):
+        present |= bit
+    masks = [m for m in range(1, 32) if m & present == m]
+    brute = dict.fromkeys(masks, math.inf)  # least bits of what ends here in a brute-force span over the mask
+    other = 0.0  # least bits of what ends here in anything else: brute-force spans don't follow each other
     for j in range(1, n + 1):
         i = j - 1
-        cost = best[i] + math.log2(alphabet(value[i])) + (0 if brute[i] else SEGMENT_BITS)
-        kind = True
+        start = other + SEGMENT_BITS
+        for m in masks:
+            brute[m] = min(brute[m], start) + _MIX_BITS[m] if m & sorts[i] else math.inf
+        cost = math.inf
         for k in range(max(0, j - longest), j - 2):
             part = low[k:j]
             rank = words.get(part)
@@ -125,18 +150,17 @@ def guess_bits(value: str, words: dict[str, int], longest: int) -> float:
                 if value[k:j] != part:
                     extra += 1.0
                 c = best[k] + math.log2(rank + 1) + extra + SEGMENT_BITS
-                if c < cost:
-                    cost, kind = c, False
+                cost = min(cost, c)
         for length, base in ((same[i], math.log2(alphabet(value[i]))), (walk[i], math.log2(94))):
             if length >= 3:
                 c = best[j - length] + base + math.log2(length) + SEGMENT_BITS
-                if c < cost:
-                    cost, kind = c, False
+                cost = min(cost, c)
         for k in dates.get(j, ()):
-            c = best[k] + (math.log2(200 * 366) if j - k > 4 else math.log2(200)) + SEGMENT_BITS
-            if c < cost:
-                cost, kind = c, False
-        best[j], brute[j] = cost, kind
+            year = j - k == 4 and value[k:k + 2] in ("19", "20")
+            c = best[k] + math.log2(200 if year else 200 * 366) + SEGMENT_BITS
+            cost = min(cost, c)
+        other = cost
+        best[j] = min(cost, *brute.values())
     return best[n]
 
 

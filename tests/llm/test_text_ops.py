@@ -2,7 +2,9 @@
 
 import base64
 import math
+import random
 import re
+import string
 
 import numpy as np
 import pytest
@@ -137,6 +139,22 @@ def test_guess_cost_order():
     assert bits("correcthorsebattery") < bits("cxrrkcthqrsxbzttfry")
 
 
+def test_random_short_values():
+    """Random values in wider contexts: nearly all from 8 characters on, most of 6 and 7."""
+    words = secrets.load_words(secrets.default_words())
+    longest = max(map(len, words))
+
+    def found(text):
+        return any(k == 3 for _, k, _ in secrets.scan_text(text, words, longest, secrets.MIN_BITS)[0])
+
+    assert found("pwd=aB3xK9qL") and found("login: q7Zt2Xw") and found("auth: 8361529407") and not found("login: monkey")
+    rng = random.Random(4)
+    for n, least in ((6, 100), (7, 170), (8, 190), (9, 195), (10, 195)):
+        values = ["".join(rng.choices(string.ascii_letters + string.digits, k=n)) for _ in range(200)]
+        hits = sum(found(f"see pwd={v} there") for v in values)
+        assert hits >= least, (n, hits)
+
+
 def brute_bits(value, words):
     """All segmentations of a short value into words, dates, walks, repeats and single characters."""
     same, walk = secrets.run_lengths(value)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, minhash, secrets, sharding, tokencount, vectors, warc
+from . import bpe, chat, decontam, langid, minhash, resample, secrets, sharding, tokencount, vectors, warc
 from .common import read
 
 N_SHARDS = 8
@@ -74,6 +74,10 @@ def op10_embedding_near_dedup(spark, sf_dir):
     return vectors.near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op13_importance_resampling(spark, sf_dir):
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -82,7 +86,7 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_token_counts, op3_secret_scan, op4_warc_bundles, op5_chat_rotation,
-    op6_decontamination, op7_byte_bpe, op8_sharding, op9_language_id, op10_embedding_near_dedup, pipeline)}
+    op6_decontamination, op7_byte_bpe, op8_sharding, op9_language_id, op10_embedding_near_dedup, op13_importance_resampling, pipeline)}
 
 _COMPONENTS = """
 links AS (SELECT DISTINCT a, b FROM pairs UNION SELECT DISTINCT b, a FROM pairs),
@@ -92,7 +96,50 @@ reach(node, other) AS (
   SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other),
 comp AS (SELECT node, least(node, min(other)) AS component_id FROM reach GROUP BY node)"""
 
+def _crc_nibbles():
+    """crc32 remainders of the 16 values of a half byte."""
+    out = []
+    for c in range(16):
+        for _ in range(4):
+            c = (c >> 1) ^ 0xEDB88320 if c & 1 else c >> 1
+        out.append(c)
+    return out
+
+
 ORACLES = {
+    # crc32 goes over half bytes, the lower one of each byte first.
+    "op13_importance_resampling": f"""
+WITH texts AS (
+  SELECT 'd' AS side, row_number() OVER () AS r, doc_id, text FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+w AS (
+  SELECT side, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM texts),
+f AS (
+  SELECT side, r, unnest(ws || [ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) AS g FROM w),
+c AS (SELECT side, r, g, count(*) AS n FROM f GROUP BY ALL),
+h AS (SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM c)),
+crc AS (
+  SELECT g, xor(list_reduce([CAST(4294967295 AS UBIGINT)] || list_transform(range(len(x)),
+      lambda i: CAST(instr('0123456789ABCDEF', x[i + 2 - 2 * (i % 2)]) - 1 AS UBIGINT)),
+    lambda s, d: xor(s >> 4, ({_crc_nibbles()}::UBIGINT[])[CAST(xor(s, d) & 15 AS BIGINT) + 1])), 4294967295) % 10000 AS b
+  FROM h),
+k AS (SELECT side, r, b, sum(n) AS n FROM c JOIN crc USING (g) GROUP BY ALL),
+tot AS (SELECT coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t FROM k),
+gain AS (
+  SELECT b, floor(1000 * ln((coalesce(sum(n) FILTER (side = 'b'), 0)::DOUBLE + 1) * (any_value(tot.s)::DOUBLE + 10000)
+                  / ((coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE + 1) * (any_value(tot.t)::DOUBLE + 10000)))) AS v
+  FROM k, tot GROUP BY b),
+m AS (SELECT r, sum(n) AS n, sum(n * v) AS v FROM k JOIN gain USING (b) WHERE side = 'd' GROUP BY r),
+d AS (
+  SELECT w.doc_id, len(ws) AS words, coalesce(m.n, 0)::BIGINT AS n_features, coalesce(floor(m.v / m.n), 0)::BIGINT AS weight,
+    ('0x' || sha256('7:' || coalesce(w.doc_id::VARCHAR, ''))[:8])::BIGINT AS h
+  FROM w LEFT JOIN m USING (r) WHERE side = 'd'),
+e AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS i,
+    count(*) OVER (PARTITION BY words >= 20) AS total FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND i <= 25 * total // 100 THEN i END AS rank FROM o""",
     # Pairs at 0.8 share a shingle among the n - ceil(0.8 n) + 1 rarest of either set.
     "op1_minhash_near_dedup": f"""
 WITH RECURSIVE w AS (

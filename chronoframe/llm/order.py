@@ -20,10 +20,11 @@ def by_range(table: DataFrame, *keys) -> DataFrame:
             .drop("_place"))
 
 
-def numbered(table: DataFrame, keys: list, name: str) -> DataFrame:
-    """The rows, written, with ``name``: 1, 2, 3... in the order of ``keys`` over the whole table.  What
-    the driver sees is one count per partition."""
-    sorted_ = write_table(by_range(table, *keys).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+def numbered(table: DataFrame, keys: list, name: str, keep: list | None = None) -> DataFrame:
+    """The rows (columns ``keep``), written, with ``name``: 1, 2, 3... in the order of ``keys`` over the
+    whole table.  What the driver sees is one count per partition."""
+    placed = by_range(table, *keys).withColumn("_at", F.monotonically_increasing_id())
+    sorted_ = write_table(placed.select(*(keep or table.columns), "_at"), "ordered")
     part = F.shiftright("_at", _SHIFT)
     before, total = [], 0
     for r in sorted(sorted_.groupBy(part.alias("p")).count().collect()):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, minhash, resample, secrets, sharding, tokencount, vectors, warc
+from . import bpe, chat, convtrie, decontam, langid, minhash, resample, secrets, sharding, tokencount, vectors, warc
 from .common import read
 
 N_SHARDS = 8
@@ -74,6 +74,10 @@ def op10_embedding_near_dedup(spark, sf_dir):
     return vectors.near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return convtrie.trie(convtrie.rebuilt(convtrie.ordered_turns(read(spark, sf_dir, "conversations"))))
+
+
 def op13_importance_resampling(spark, sf_dir):
     return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -86,7 +90,7 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_token_counts, op3_secret_scan, op4_warc_bundles, op5_chat_rotation,
-    op6_decontamination, op7_byte_bpe, op8_sharding, op9_language_id, op10_embedding_near_dedup, op13_importance_resampling, pipeline)}
+    op6_decontamination, op7_byte_bpe, op8_sharding, op9_language_id, op10_embedding_near_dedup, op11_prefix_trie, op13_importance_resampling, pipeline)}
 
 _COMPONENTS = """
 links AS (SELECT DISTINCT a, b FROM pairs UNION SELECT DISTINCT b, a FROM pairs),
@@ -107,6 +111,38 @@ def _crc_nibbles():
 
 
 ORACLES = {
+    # A node is named by its smallest member and depth; its subtree is the nodes whose first member goes through it.
+    "op11_prefix_trie": f"""
+WITH h AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, role, text
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+o AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY i) AS own FROM h GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id::VARCHAR AS g FROM o),
+nibbles AS (SELECT g, hex(encode(g)) AS x FROM ids),
+crc AS (
+  SELECT g, xor(list_reduce([CAST(4294967295 AS UBIGINT)] || list_transform(range(len(x)),
+      lambda i: CAST(instr('0123456789ABCDEF', x[i + 2 - 2 * (i % 2)]) - 1 AS UBIGINT)),
+    lambda s, d: xor(s >> 4, ({_crc_nibbles()}::UBIGINT[])[CAST(xor(s, d) & 15 AS BIGINT) + 1])), 4294967295) % 6 AS h
+  FROM nibbles),
+c AS (
+  SELECT o.conv_id, coalesce(b.own[1:h::BIGINT], []) || o.own[h::BIGINT + 1:] AS turns
+  FROM o JOIN crc ON crc.g = o.conv_id::VARCHAR LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 100),
+p AS (SELECT conv_id, len(turns) AS n, d, turns[1:d] AS prefix, CASE WHEN d = 0 THEN 0 ELSE length(turns[d].t) END AS chars
+      FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM c)),
+node AS (
+  SELECT d, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+  FROM p GROUP BY d, prefix),
+path AS (SELECT p.conv_id AS member, node.d, node.conv_id FROM p JOIN node ON p.d = node.d AND p.prefix = node.prefix),
+up AS (SELECT n.*, m.conv_id AS parent_conv_id FROM node n LEFT JOIN path m ON m.member = n.conv_id AND m.d = n.d - 1),
+kids AS (SELECT parent_conv_id AS c, d - 1 AS d, count(*) AS n FROM up WHERE d > 0 GROUP BY ALL),
+sub AS (
+  SELECT a.conv_id AS c, a.d, count(*) FILTER (k.n IS NULL) AS n_leaves, sum((x.n_convs - 1) * x.chars) AS saved
+  FROM node x LEFT JOIN kids k ON k.c = x.conv_id AND k.d = x.d
+  JOIN path a ON a.member = x.conv_id AND a.d <= x.d GROUP BY ALL)
+SELECT u.conv_id, u.d AS depth, u.parent_conv_id, u.n_convs, coalesce(k.n, 0) AS n_children, s.n_leaves,
+  s.saved::BIGINT AS saved_tokens, u.ends_sha256
+FROM up u LEFT JOIN kids k ON k.c = u.conv_id AND k.d = u.d JOIN sub s ON s.c = u.conv_id AND s.d = u.d""",
     # crc32 goes over half bytes, the lower one of each byte first.
     "op13_importance_resampling": f"""
 WITH texts AS (

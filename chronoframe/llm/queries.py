@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, convtrie, decontam, langid, minhash, resample, secrets, sharding, tokencount, vectors, warc
+from . import bpe, chat, convtrie, decontam, fingerprint, langid, minhash, resample, secrets, sharding, tokencount, vectors, warc
 from .common import read
 
 N_SHARDS = 8
@@ -78,6 +78,10 @@ def op11_prefix_trie(spark, sf_dir):
     return convtrie.trie(convtrie.rebuilt(convtrie.ordered_turns(read(spark, sf_dir, "conversations"))))
 
 
+def op12_fingerprints(spark, sf_dir):
+    return fingerprint.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark, sf_dir):
     return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -90,7 +94,7 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_token_counts, op3_secret_scan, op4_warc_bundles, op5_chat_rotation,
-    op6_decontamination, op7_byte_bpe, op8_sharding, op9_language_id, op10_embedding_near_dedup, op11_prefix_trie, op13_importance_resampling, pipeline)}
+    op6_decontamination, op7_byte_bpe, op8_sharding, op9_language_id, op10_embedding_near_dedup, op11_prefix_trie, op12_fingerprints, op13_importance_resampling, pipeline)}
 
 _COMPONENTS = """
 links AS (SELECT DISTINCT a, b FROM pairs UNION SELECT DISTINCT b, a FROM pairs),

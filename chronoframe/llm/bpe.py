@@ -4,7 +4,8 @@
 Long texts are cut first, at boundaries where the split pattern starts a match whatever
 precedes it, so the ids equal those of the whole text and no call holds more than about
 ``PIECE_CHARS`` characters unless a text has no boundary.  ``decode`` joins the raw bytes of the
-ids, which need not be valid UTF-8 on their own.
+ids, which need not be valid UTF-8 on their own.  ``encode(decoded=True)`` does both in one Python
+pass, so that a task has one worker with one rank table.
 
 Cases: a null text counts as empty (0 ids, empty bytes); null or repeated ids pass through with
 their row; an empty table gives an empty table; other columns of the input are ignored.
@@ -72,9 +73,22 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
+def _token_ids(enc, text: str | None) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return b"".join(enc.encode_to_numpy(p, allowed_special=set(), disallowed_special=())
+                    .astype("<u4").tobytes() for p in pieces(text)) if text else b""
+
+
+def _bytes_of(enc, ids: bytes) -> bytes:
+    """The raw bytes of the ids, decoded in pieces of ``PIECE_CHARS`` ids."""
+    flat = np.frombuffer(ids, "<u4")
+    return b"".join(enc.decode_bytes(flat[i:i + PIECE_CHARS].tolist()) for i in range(0, len(flat), PIECE_CHARS))
+
+
 def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None,
-           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids): ids as little-endian unsigned 32-bit integers in one binary."""
+           id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, n_tokens, ids): ids as little-endian unsigned 32-bit integers in one binary.  With ``decoded``
+    the same pass decodes the ids again, and the raw bytes are a last column."""
     default_path, default_pattern = default_ranks()
     blob = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path or default_path))
     split = pattern or default_pattern
@@ -82,16 +96,17 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
     def work(batches):
         enc = codec(blob.value, split)
         for batch in by_bytes(batches, "text"):
-            ids = [b"".join(enc.encode_to_numpy(p, allowed_special=set(), disallowed_special=())
-                            .astype("<u4").tobytes() for p in pieces(t)) if t else b""
-                   for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                names=["id", "n_tokens", "ids"])
+            ids = [_token_ids(enc, t) for t in batch.column("text").to_pylist()]
+            columns = {"id": batch.column("id"), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                       "ids": pa.array(ids, pa.binary())}
+            if decoded:
+                columns["decoded"] = pa.array([_bytes_of(enc, x) for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return out.transform(map_arrow, work, f"id {kind}, n_tokens bigint, ids binary").withColumnRenamed("id", id_col)
+    fields = f"id {kind}, n_tokens bigint, ids binary" + (", decoded binary" if decoded else "")
+    return out.transform(map_arrow, work, fields).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -104,8 +119,7 @@ def decode(encoded: DataFrame, ranks_path: str | None = None, pattern: str | Non
     def work(batches):
         enc = codec(blob.value, split)
         for batch in by_bytes(batches, "ids"):
-            raw = [None if x is None else enc.decode_bytes(np.frombuffer(x, "<u4").tolist())
-                   for x in batch.column("ids").to_pylist()]
+            raw = [None if x is None else _bytes_of(enc, x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())],
                                              names=[*batch.schema.names, "decoded"])
 

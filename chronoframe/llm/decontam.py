@@ -12,8 +12,9 @@ windows with another one are dropped.  So a question whose numbers, names or uni
 also where two of them became equal or one place differs, and a chance match is not.
 
 A document is a leak of an item if consistent windows cover at least ``COVER_WORDS`` words of it, or
-the share ``COVER_SHARE`` of a shorter one.  Items under ``MIN_WORDS`` words can't be told from chance
-and match nothing; items shorter than a window are matched as one window of their own length.
+the share ``COVER_SHARE`` of a shorter one.  Items shorter than a window are matched as one window of their
+own length; those under ``MIN_WORDS`` words, which prose may hold by chance, by their real words and only where
+they are a whole sentence or line of the document.
 
 The documents are templated whole, in numpy, in one pass without a shuffle; only windows whose hash the
 benchmark has leave the worker.  For this its hashes are broadcast while there are at most
@@ -137,7 +138,7 @@ class Template:
         h = hashes(low, word, starts, ends)
         stops = np.concatenate([[0], np.cumsum(_STOP[raw] & ~word)])
         m = len(starts)
-        new = np.ones(m, bool)
+        self.new = new = np.ones(m, bool)  # a sentence or line begins here
         if m:
             new[1:] = (self.row[1:] != self.row[:-1]) | (stops[starts[1:]] > stops[ends[:-1]])
         capital = upper[starts]
@@ -165,6 +166,11 @@ class Template:
         count = np.concatenate([[0], np.cumsum(literal)])
         enough = count[size:] - count[:-size] >= min(size, MIN_LITERALS)
         inside = self.row[:m] == self.row[size - 1:]
+        if size < MIN_WORDS:  # whole sentences and lines, by their real words
+            at = np.flatnonzero(inside & self.new[:m] & np.append(self.new, True)[size:size + m])
+            with np.errstate(over="ignore"):
+                exact = sum((self.real[at + k] * _FACTOR[k] for k in range(size)), np.zeros(len(at), np.uint64))
+                return at, mix(exact + np.uint64(size + 128))
         with np.errstate(over="ignore"):
             total = np.zeros(m, np.uint64)
             for k in range(size):
@@ -205,10 +211,12 @@ def _windows_of(rows: DataFrame, sizes: list[int] | None, wanted) -> DataFrame:
             ids, source = batch.column("id"), batch.column("source")
             count = np.bincount(t.row, minlength=t.n_rows)
             first = np.cumsum(count) - count
-            for size, names in itertools.product(sizes or range(MIN_WORDS, WINDOW + 1), (True, False)):
+            for size, names in itertools.product(sizes or range(1, WINDOW + 1), (True, False)):
+                if names and size < MIN_WORDS:
+                    continue
                 at, h = t.windows(size, names)
                 if sizes is None:
-                    fits = count[t.row[at]] >= size if size == WINDOW else count[t.row[at]] == size
+                    fits = count[t.row[at]] >= size if size == WINDOW else count[t.row[at]] == size  # a short item is one window
                     at, h = at[fits], h[fits]
                 if wanted is not None and len(h):
                     there, bits = wanted.value
@@ -261,10 +269,10 @@ def _consistent(aligned: DataFrame, keys: list[str]) -> DataFrame:
             .where(F.size("at") > 0))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          item_col: str = "item_id", item_text_col: str = "text", max_hashes: int = MAX_HASHES) -> DataFrame:
-    """(doc_id, item_id, n_windows, n_covered, n_words, n_slots, n_changed): the leaks, one row per
-    document and item.  ``n_changed``: slots whose value differs from the item's."""
+def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str,
+           max_hashes: int) -> DataFrame:
+    """(doc_id, doc_text, item_id, counts) of the leaks, per text: ``doc_text`` is a hash that tells apart the texts of
+    one id."""
     spark = docs.sparkSession
     items = write_table(_windows_of(benchmark.select(F.col(item_col).cast("bigint").alias("id"),
                                                      F.col(item_text_col).cast("string").alias("text")), None, None),
@@ -294,16 +302,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         F.array_distinct(F.flatten(F.collect_set("at"))).alias("at"),
         F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed"))
     words = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("size") - 1))))
-    counted = per_item.select("doc_id", "item_id", F.size("at").alias("n_windows"), F.size(words).alias("n_covered"),
+    counted = per_item.select("doc_id", "doc_text", "item_id", F.size("at").alias("n_windows"), F.size(words).alias("n_covered"),
                               "n_words", "n_slots", "n_changed")
     need = F.least(F.lit(COVER_WORDS), F.ceil(F.col("n_words") * COVER_SHARE))
+    return counted.where(F.col("n_covered") >= need)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          item_col: str = "item_id", item_text_col: str = "text", max_hashes: int = MAX_HASHES) -> DataFrame:
+    """(doc_id, item_id, n_windows, n_covered, n_words, n_slots, n_changed): the leaks, one row per
+    document and item.  ``n_changed``: slots whose value differs from the item's."""
     columns = ["n_windows", "n_covered", "n_words", "n_slots", "n_changed"]
     best = F.max(F.struct("n_covered", "n_windows", "n_words", "n_slots", "n_changed"))
-    return (counted.where(F.col("n_covered") >= need).groupBy("doc_id", "item_id").agg(best.alias("best"))
-            .select("doc_id", "item_id", *[F.col(f"best.{c}").alias(c) for c in columns]))
+    return (_leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, max_hashes).groupBy("doc_id", "item_id")
+            .agg(best.alias("best")).select("doc_id", "item_id", *[F.col(f"best.{c}").alias(c) for c in columns]))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that leak no item, with their columns; a document without id stays."""
-    bad = leaks(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(bad, docs[id_col] == F.col("leaked"), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          item_col: str = "item_id", item_text_col: str = "text", max_hashes: int = MAX_HASHES) -> DataFrame:
+    """The rows whose text leaks no item, with their columns: of several texts under one id, or without id, only those
+    that leak go."""
+    bad = (_leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, max_hashes)
+           .select(F.col("doc_id").alias("leaked"), "doc_text").distinct())
+    source = F.xxhash64(docs[text_col].cast("string"))
+    return docs.join(bad, (source == F.col("doc_text")) & docs[id_col].cast("bigint").eqNullSafe(F.col("leaked")), "left_anti")

@@ -5,18 +5,22 @@ over at most about ``per_lang`` labelled rows of each language (a bounded sample
 ``predict`` scores every word of every whole text: the script of a word narrows its candidate
 languages, its trigrams give a log-likelihood for each, and a Viterbi pass over the words of a text,
 with a penalty for each switch, labels them.  Runs of one label are the spans; the prediction is the
-language with the most letters, the score its share of the letters (0 to 1).
+language with the most letters, the score its share of the letters (0 to 1).  A text of more than ``LONG``
+characters is scored in pieces, and the words of a piece go forward in blocks, from every label before
+the block at once; so time is linear with few steps, and memory is that of a piece and of one label per word.
 
 The model has languages x ``BUCKETS`` values; more than ``MAX_LANGS`` languages are refused.
 
 Cases: ``und`` with score 0 and no spans if the text is null or has no letter; ties go to the name
-that sorts first; repeated rows get the same result; without any labelled row every text is ``und``;
+that sorts first; a word of more than twice ``LONG`` letters is cut; repeated rows get the same result; without any labelled row every text is ``und``;
 an empty table gives an empty table.  ``predict`` carries the input columns in one struct ``row``, so
 clashing names can't arise.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +33,12 @@ MAX_LANGS = 256
 PER_LANG = 4000
 SWITCH = 12.0
 #: UTF-8 bytes handled at once: the arrays of a step take some fifty times as much.
-SLICE = 2 << 20
+SLICE = 1 << 19
+#: Characters from which a text is labelled in pieces of that length.
+LONG = 1 << 18
+#: Words of a block of a long text, and values of the blocks that go forward together.
+BLOCK = 256
+CELLS = 1 << 20
 SMOOTH = 0.5
 UNKNOWN = "und"
 
@@ -107,8 +116,10 @@ class Model:
         return out
 
 
-def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH, start: np.ndarray | None = None,
+            end: np.ndarray | None = None) -> np.ndarray:
     """Best label of each word.  ``scores``: words of all texts in order, ``counts``: words per text.
+    ``start``: values of the labels before each text, ``end``: the label of its last word, where known.
     All texts go forward together, the long ones first in order so that the active ones are a prefix."""
     n, k = scores.shape
     label = np.zeros(n, np.int16)
@@ -119,20 +130,21 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> n
     begin = (np.cumsum(counts) - counts)[order]
     longest = int(sorted_counts[0])
     active = np.searchsorted(-sorted_counts, -np.arange(longest), "left")
-    value = np.zeros((len(counts), k))
+    value = np.zeros((len(counts), k)) if start is None else start[order].astype(float)
     stay, source = [], []
     for t in range(longest):
         m = active[t]
         now = value[:m]
-        if t:
+        if t or start is not None:
             top = now.argmax(axis=1)
             jump = now[np.arange(m), top][:, None] - switch
             keep = now >= jump
-            stay.append(keep)
-            source.append(top.astype(np.int16))
+            if t:
+                stay.append(keep)
+                source.append(top.astype(np.uint8))
             now = np.where(keep, now, jump)
         value[:m] = now + scores[begin[:m] + t]
-    last = value.argmax(axis=1).astype(np.int16)
+    last = (value.argmax(axis=1) if end is None else end[order]).astype(np.int16)
     for t in range(longest - 1, -1, -1):
         m = active[t]
         label[begin[:m] + t] = last[:m]
@@ -142,6 +154,79 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> n
     return label
 
 
+def transfer(scores: np.ndarray, switch: float) -> tuple[np.ndarray, np.ndarray]:
+    """(best, counts): the words of one text in blocks, ``best[b, i, j]`` the best value of block b from label
+    i before it to label j at its end.  All blocks go forward together."""
+    n, k = scores.shape
+    blocks = max(1, min(-(-n // BLOCK), CELLS // (k * k)))
+    size = -(-n // blocks)
+    blocks = -(-n // size)
+    counts = np.full(blocks, size)
+    counts[-1] = n - size * (blocks - 1)
+    best = np.broadcast_to(np.where(np.eye(k, dtype=bool), 0.0, -np.inf), (blocks, k, k)).copy()
+    for t in range(size):
+        m = blocks if t < counts[-1] else blocks - 1
+        now = best[:m]
+        best[:m] = np.maximum(now, now.max(axis=2, keepdims=True) - switch) + scores[t::size][:m, None, :]
+    return best, counts
+
+
+def _forward(best: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Values of the labels before each block, and at the end."""
+    values = [value]
+    for block in best:
+        values.append((values[-1][:, None] + block).max(axis=0))
+    return np.stack(values)
+
+
+def _backward(scores: np.ndarray, best: np.ndarray, counts: np.ndarray, value: np.ndarray, end: int,
+              switch: float) -> tuple[np.ndarray, int]:
+    """Labels of the words, and the label before the first one."""
+    values = _forward(best, value)
+    ends = [end]
+    for b in range(len(best) - 1, -1, -1):
+        ends.append(int((values[b] + best[b][:, ends[-1]]).argmax()))
+    ends = np.array(ends[::-1])
+    start = np.where(np.arange(scores.shape[1]) == ends[:-1, None], 0.0, -np.inf)
+    return viterbi(scores, counts, switch, start, ends[1:]), int(ends[0])
+
+
+def pieces(text: str, size: int) -> list[tuple[int, int]]:
+    """Cuts of a text after ``size`` characters each, where a word ends or, within a word, at twice that."""
+    out, start = [], 0
+    while len(text) - start > size:
+        cut = next((i for i in range(start + size, min(len(text), start + 2 * size)) if not text[i].isalpha()),
+                   min(len(text), start + 2 * size))
+        out.append((start, cut))
+        start = cut
+    return [*out, (start, len(text))]
+
+
+def label_long(text: str, model: Model, switch: float = SWITCH, size: int | None = None):
+    """(start, end, label) arrays of the words of one long text.  Forward, only the values of the labels
+    before each piece are kept; backward, each piece is scored once more and labelled."""
+    cuts = pieces(text, size or LONG)
+
+    def scored(cut):
+        w = Words([text[slice(*cut)]])
+        return w, model.word_scores(w)
+
+    before, value = [], np.zeros(len(model.langs))
+    for cut in cuts:
+        before.append(value)
+        w, scores = scored(cut)
+        if len(w.starts):
+            value = _forward(transfer(scores, switch)[0], value)[-1]
+    end, found = int(value.argmax()), []
+    for cut, value in zip(reversed(cuts), reversed(before), strict=True):
+        w, scores = scored(cut)
+        if len(w.starts):
+            label, end = _backward(scores, *transfer(scores, switch), value, end, switch)
+            found.append((w.starts + cut[0], w.ends + cut[0], label))
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16))
+    return tuple(np.concatenate(c) for c in zip(*(found[::-1] or [none]), strict=True))
+
+
 def learn(labelled: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id",
           text_col: str = "text", lang_col: str = "lang") -> Model:
     """Model of the labelled rows; rows without text or language don't count."""
@@ -195,32 +280,43 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", switch: float
         text = batch.column("row").flatten()[carry.index(text_col)] if text_col in carry else batch.column("text")
         return pa.RecordBatch.from_arrays([batch.column("row"), text.cast(pa.string())], names=["row", "text"])
 
+    def apart(batches):
+        """(batch, long): long texts each alone."""
+        for batch in by_bytes(map(with_text, batches), "text", SLICE):
+            chars = pa.compute.utf8_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(chars > LONG)
+            cuts = sorted({0, *at.tolist(), *(at + 1).tolist(), batch.num_rows})
+            for a, b in itertools.pairwise(cuts):
+                yield batch.slice(a, b - a), bool(chars[a] > LONG)
+
     def work(batches):
         m = shared.value
         names = np.array(m.langs, object)
-        for batch in by_bytes(map(with_text, batches), "text", SLICE):
+        for batch, long in apart(batches):
             n = batch.num_rows
-            w = Words(batch.column("text").to_pylist())
-            if not m.langs or not len(w.starts):
-                label, pred, score = np.zeros(0, np.int16), [UNKNOWN] * n, [0.0] * n
-                words = slice(0, 0)
+            texts = batch.column("text").to_pylist()
+            if not m.langs:
+                doc = start = end = label = np.zeros(0, np.int64)
+            elif long:
+                start, end, label = label_long(texts[0], m, switch)
+                doc = np.zeros(len(start), np.int64)
             else:
-                words = slice(None)
-                label = viterbi(m.word_scores(w), w.counts, switch)
-                letters = np.bincount(w.doc * len(names) + label, w.lengths, n * len(names)).reshape(n, -1)
+                w = Words(texts)
+                doc, label = w.doc, viterbi(m.word_scores(w), w.counts, switch)
+                start, end = w.starts - w.offsets[doc], w.ends - w.offsets[doc]
+            pred, score = [UNKNOWN] * n, np.zeros(n)
+            if len(doc):
+                letters = np.bincount(doc * len(names) + label, end - start, n * len(names)).reshape(n, -1)
                 every = letters.sum(axis=1)
                 best = letters.argmax(axis=1)
-                has = every > 0
-                score = np.where(has, letters[np.arange(n), best] / np.maximum(every, 1), 0.0)
-                pred = np.where(has, names[best], UNKNOWN)
-            doc, start, end = w.doc[words], w.starts[words], w.ends[words]
+                score = np.where(every > 0, letters[np.arange(n), best] / np.maximum(every, 1), 0.0)
+                pred = np.where(every > 0, names[best], UNKNOWN)
             new = np.ones(len(doc), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])
             at = np.flatnonzero(new)
             stop = np.concatenate([at[1:], [len(doc)]]).astype(np.int64) - 1
-            base = w.offsets[doc[at]] if len(at) else np.zeros(0, np.int64)
             flat = pa.StructArray.from_arrays(
-                [pa.array(start[at] - base, pa.int32()), pa.array(end[stop[:len(at)]] - base, pa.int32()),
+                [pa.array(start[at], pa.int32()), pa.array(end[stop[:len(at)]], pa.int32()),
                  pa.array(names[label[at]].tolist() if len(at) else [], pa.string())], fields=list(span_type))
             cuts = np.concatenate([[0], np.cumsum(np.bincount(doc[at], minlength=n))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(

@@ -330,3 +330,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of every group of near-duplicate rows the one with the smallest id (null last), with its columns.  Rows are told
+    apart by a 64-bit hash of id and text, so texts that share an id, or have none, are documents each; rows that
+    are equal in both are one document."""
+    text = F.col(text_col).cast("string")
+    key = F.xxhash64(F.col(id_col).isNull(), id_col, text.isNull(), text).alias("key")
+    found = near_duplicates(docs.select(key, text.alias("text")), words, percent, id_col="key").select(
+        F.col("doc_id").alias("key"), F.col("component_id").alias("grp"))
+    ids = docs.select(key, F.col(id_col).alias("id")).distinct()
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    kept = (found.distinct().join(ids, "key").groupBy("grp").agg(F.min(order).alias("best"))
+            .select(F.col("best.key").alias("key")))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key).dropDuplicates(["key"])
+    return rows.join(kept, "key", "left_semi").select("row.*")

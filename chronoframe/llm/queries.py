@@ -39,7 +39,7 @@ def op6_decontamination(spark, sf_dir):
 
 
 def op7_byte_bpe(spark, sf_dir):
-    coded = bpe.decode(bpe.encode(read(spark, sf_dir, "documents")))
+    coded = bpe.encode(read(spark, sf_dir, "documents"), decoded=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 

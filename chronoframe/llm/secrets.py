@@ -183,11 +183,14 @@ def scan_text(text: str, words: dict[str, int], longest: int,
     most = None
     low = text.lower()
     if any(h in low for h in HINTS):
-        covered = list(spans)
+        base, at, reach = sorted(spans), 0, -1  # reach: the furthest end of the base spans that begin by the value
         for m in CONTEXT.finditer(text):
+            while at < len(base) and base[at][0] <= m.start(1):
+                reach = max(reach, base[at][2])
+                at += 1
             bits = guess_bits(m[1], words, longest)
             most = bits if most is None else max(most, bits)
-            if bits >= min_bits and not any(s <= m.start(1) and m.end(1) <= e for s, _, e in covered):
+            if bits >= min_bits and reach < m.end(1):
                 spans.append((m.start(1), 3, m.end(1)))
     return sorted(spans), most
 

@@ -176,3 +176,16 @@ def test_odd_vectors(spark):
     got = sorted((tuple(r) for r in vectors.near_duplicates(df).collect()), key=repr)
     assert got == brute_vectors(rows)
     assert vectors.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_keep_one_per_text(spark, odd, empty):
+    """Of each group one row stays, whatever ids its rows share or lack; other texts of an id stay."""
+    a, b = " ".join(f"w{i}" for i in range(60)), "a text of its own that nobody else has here"
+    rows = [(1, a, 0), (2, a, 1), (2, b, 2), (None, a, 3), (None, a, 3), (None, "no id and no copy of it", 4), (3, a + " more", 5),
+            (4, None, 6), (5, "", 7), (5, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key long")
+    got = minhash.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(
+        [rows[0], rows[2], rows[5], rows[7], rows[8]], key=repr)
+    assert minhash.keep_one(empty).collect() == [] and minhash.keep_one(odd).columns == odd.columns

@@ -1,17 +1,20 @@
 """Operators 2, 3, 6, 7 and 9 against brute force, round trips and held-out accuracy."""
 
 import base64
+import itertools
 import math
 import random
 import re
 import string
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chronoframe.llm import bpe, decontam, langid, queries, secrets, tokencount
-from chronoframe.llm.common import read
+from chronoframe.llm.common import mix, read
 
 from .conftest import SF
 
@@ -47,6 +50,8 @@ def test_pieces_keep_ids(plain):
 def test_round_trip(spark, docs, odd, empty, plain):
     for df in (docs, odd):
         rows = bpe.decode(bpe.encode(df)).collect()
+        both = bpe.encode(df, decoded=True)
+        assert sorted(map(repr, both.collect())) == sorted(map(repr, rows))
         want = sorted(((r["doc_id"], plain.encode_ordinary(r["text"] or ""), (r["text"] or "").encode())
                        for r in df.select("doc_id", "text").collect()), key=repr)
         got = sorted(((r["doc_id"], np.frombuffer(bytes(r["ids"]), "<u4").tolist(), bytes(r["decoded"])) for r in rows), key=repr)
@@ -155,6 +160,20 @@ def test_random_short_values():
         assert hits >= least, (n, hits)
 
 
+def test_many_lines_of_one_text():
+    """Linear in the text: base spans and context values go along together."""
+    words = secrets.load_words(secrets.default_words())
+    longest = max(map(len, words))
+    line = "password=q7Zt2XwPl9Kf\n"
+    began = time.perf_counter()
+    spans, _ = secrets.scan_text(line * 4000, words, longest, secrets.MIN_BITS)
+    one = time.perf_counter() - began
+    assert [k for _, k, _ in spans] == [0] * 4000
+    began = time.perf_counter()
+    assert len(secrets.scan_text(line * 16000, words, longest, secrets.MIN_BITS)[0]) == 16000
+    assert time.perf_counter() - began < 8 * one + 1
+
+
 def brute_bits(value, words):
     """All segmentations of a short value into words, dates, walks, repeats and single characters."""
     same, walk = secrets.run_lengths(value)
@@ -227,6 +246,95 @@ def test_viterbi_is_best():
         at += n
 
 
+def test_viterbi_in_blocks(monkeypatch):
+    """Pieces and blocks of any size give a best path."""
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(langid, "BLOCK", 5)
+    for n, k in ((1, 3), (4, 2), (23, 3), (200, 4)):
+        scores = rng.integers(-9, 0, (n, k)).astype(np.float32) + rng.random((n, k)).astype(np.float32)
+        want = plain_viterbi(scores.astype(float), 4.0)
+        for cells in (1 << 20, k * k * 2):
+            monkeypatch.setattr(langid, "CELLS", cells)
+            best, counts = langid.transfer(scores, 4.0)
+            assert counts.sum() == n
+            values = langid._forward(best, np.zeros(k))[-1]
+            assert values.max() == pytest.approx(want, abs=1e-4)
+            label, _ = langid._backward(scores, best, counts, np.zeros(k), int(values.argmax()), 4.0)
+            assert path_value(scores.astype(float), label.tolist(), 4.0) == pytest.approx(want, abs=1e-4)
+
+
+def test_long_texts(spark, docs, monkeypatch):
+    """A long text in pieces has the spans that it has at once."""
+    model = langid.learn(docs)
+    by = {r["lang"]: r["text"] for r in docs.where("length(text) between 400 and 900").orderBy("doc_id").collect()}
+    text = "\n".join([by["en"], by["fr"], "12 34 !!", by["en"]] * 3)
+    w = langid.Words([text])
+    want = langid.viterbi(model.word_scores(w), w.counts)
+    for size in (50, 333, len(text)):
+        start, end, label = langid.label_long(text, model, size=size)
+        assert (start.tolist(), end.tolist(), label.tolist()) == (w.starts.tolist(), w.ends.tolist(), want.tolist())
+    assert langid.pieces("a" * 25, 10) == [(0, 20), (20, 25)] and len(langid.label_long("1 2 " * 50, model, size=20)[0]) == 0
+    table = spark.createDataFrame([(1, text), (2, "x"), (3, text * 400), (4, None)], "doc_id long, text string")
+    assert len(text) * 400 > 2 * langid.LONG
+    rows = {r["row"]["doc_id"]: r for r in langid.predict(table, model).collect()}
+    n = len(rows[1]["spans"])
+    assert rows[3]["lang_pred"] == rows[1]["lang_pred"] and abs(rows[3]["score"] - rows[1]["score"]) < 0.01
+    assert 300 * n < len(rows[3]["spans"]) <= 400 * n and rows[4]["lang_pred"] == "und"
+
+
+def test_language_against_brute_force(spark, docs):
+    """Model and labels, recomputed word by word from the counts of trigrams and scripts."""
+    learned = docs.where(~queries.held_out(F.col("doc_id")))
+    model = langid.learn(learned)
+    assert learned.groupBy("lang").count().where(f"count > {langid.PER_LANG}").count() == 0  # the sample is all of them
+    grams, scripts = {x: Counter() for x in model.langs}, {x: Counter() for x in model.langs}
+
+    def words(text):
+        low = text.lower() if len(text.lower()) == len(text) else text
+        return ["".join(g) for is_letter, g in itertools.groupby(low, str.isalpha) if is_letter]
+
+    def buckets(word):
+        at = [0, *map(ord, word), 0]
+        key = np.array([at[i] << 42 | at[i + 1] << 21 | at[i + 2] for i in range(len(word))], np.uint64)
+        with np.errstate(over="ignore"):
+            return (mix(key) % np.uint64(langid.BUCKETS)).tolist()
+
+    def script(ch):
+        return next(name for first, name in reversed(langid.SCRIPTS) if ord(ch) >= first)
+
+    for r in learned.where("lang is not null and text is not null").collect():
+        for w in words(r["text"]):
+            grams[r["lang"]].update(buckets(w))
+            scripts[r["lang"]][script(w[0])] += len(w)
+
+    def score(word, lang):
+        total = sum(grams[lang].values()) + langid.SMOOTH * langid.BUCKETS
+        own = [x for x in model.langs if scripts[x][script(word[0])] >= langid.SCRIPT_SHARE * max(1, sum(scripts[x].values()))]
+        return sum(math.log((grams[lang][b] + langid.SMOOTH) / total) for b in buckets(word)) - (1e4 if own and lang not in own else 0)
+
+    found = {r["doc_id"]: r for r in queries.op9_language_id(spark, SF).collect()}
+    for r in docs.where("length(text) < 400").orderBy("doc_id").limit(25).collect():
+        ws = words(r["text"] or "")
+        if not ws:
+            assert found[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        scores = np.array([[score(w, x) for x in model.langs] for w in ws])
+        back, value = [], scores[0]
+        for row in scores[1:]:
+            options = value[:, None] - langid.SWITCH * (1 - np.eye(len(value)))
+            back.append(options.argmax(axis=0))
+            value = options.max(axis=0) + row
+        path = [int(value.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        letters = Counter()
+        for w, j in zip(ws, reversed(path), strict=True):
+            letters[model.langs[j]] += len(w)
+        best = max(sorted(letters), key=letters.get)
+        assert found[r["doc_id"]]["lang_pred"] == best
+        assert found[r["doc_id"]]["score"] == pytest.approx(letters[best] / sum(letters.values()), abs=1e-6)
+
+
 def test_language_accuracy_and_contract(spark):
     found = queries.op9_language_id(spark, SF).join(read(spark, SF, "documents").select("doc_id", "lang"), "doc_id")
     rows = found.where("held_out").collect()
@@ -277,7 +385,7 @@ def test_reparameterised_questions(spark):
              "Before. " + ITEM.upper()[:10]]
     for options in ({}, {"max_hashes": 0}):
         got = leaked(spark, texts, **options)
-        assert set(got) == {(0, 1), (1, 1), (6, 2)}
+        assert set(got) == {(0, 1), (1, 1), (2, 1), (6, 2), (7, 3)}
         assert got[0, 1]["n_changed"] == 0 and got[1, 1]["n_changed"] >= 3
 
 
@@ -297,7 +405,25 @@ def test_decontamination_odd_rows(spark, odd, empty):
     got = tuples(decontam.leaks(odd, items).select("doc_id"))
     assert got == sorted([(6,), (7,), (8,), (None,)], key=repr)
     assert decontam.leaks(empty, items).collect() == [] and decontam.leaks(odd, items.limit(0)).collect() == []
-    assert decontam.clean(odd, items).where("doc_id is null").count() == 1
+    assert decontam.clean(odd, items).where("doc_id in (6, 7, 8) or doc_id is null").count() == 0
+
+
+def test_short_items_are_whole_sentences(spark):
+    items = [(1, "What is two plus"), (2, "Name three primary colours."), (3, "Paris"), (4, "12 + 30")]
+    texts = ["Q: What is two plus?", "what is two plus", "I ask what is two plus", "What is two plus two?", "so\nname three PRIMARY colours\nok",
+             "name three primary colours and more", "paris", "we saw paris", "12 30", "12 31", "What is. two plus"]
+    for options in ({}, {"max_hashes": 0}):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = decontam.leaks(docs, spark.createDataFrame(items, "item_id long, text string"), **options)
+        assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(0, 1), (1, 1), (4, 2), (6, 3), (8, 4), (10, 1)}
+
+
+def test_clean_by_text(spark):
+    """Of the texts under one id, or under none, only those that leak go."""
+    docs = spark.createDataFrame([(5, "so. " + ITEM), (5, "clean words"), (None, "so. " + ITEM), (None, "clean too"), (6, None)],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
+    assert tuples(decontam.clean(docs, items)) == sorted([(5, "clean words"), (None, "clean too"), (6, None)], key=repr)
 
 
 def test_consistency_per_window(spark):

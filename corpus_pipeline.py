@@ -30,15 +30,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are near-duplicates on five-word shingles the one with the smallest doc_id
-    stays; rows that share its doc_id, and rows without doc_id, stay too."""
-    found = minhash.near_duplicates(docs, words=5, percent=80)
-    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    """Of documents that are near-duplicates on five-word shingles the one with the smallest doc_id stays.
+    Texts that share a doc_id, or have none, are documents each; rows equal in both are one."""
+    return minhash.keep_one(docs, words=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a benchmark item go."""
+    """Documents that leak a benchmark item go, each text of a doc_id on its own."""
     return decontam.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
@@ -49,7 +47,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256) of every text; the digest is that of the decoded ids."""
-    coded = bpe.decode(bpe.encode(docs))
+    coded = bpe.encode(docs, decoded=True)
     return coded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

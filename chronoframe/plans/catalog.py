@@ -230,10 +230,28 @@ def q_closed_window_snapshot(spark, sf_dir):
     return online.snapshot_merge(None, u).select("entity_id", "feature_name", r6("value_num").alias("value"), "value_ts")
 
 
+def q_stream_closed_snapshot(spark, sf_dir):
+    """The snapshot that the append-mode sink wrote, from base and deltas."""
+    from ..streaming.replay import drain_events_stream
+    s = drain_events_stream(spark, T(spark, sf_dir).events, closed=True).snapshot()
+    return s.select("entity_id", "feature_name", r6("value_num").alias("value"), "value_ts", "written_at", "expires_at")
+
+
+def q_stream_closed_log(spark, sf_dir):
+    """The windows that left the stream, each once, with the days of its log."""
+    from ..streaming.replay import drain_events_stream
+    log = drain_events_stream(spark, T(spark, sf_dir).events, closed=True).log()
+    g = log.groupBy("dt").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("n_events").alias("n_events"),
+                              F.count_distinct("entity_id", "event_type", "window_start").alias("n_distinct"),
+                              F.max(F.col("window_end").cast("timestamp_ntz")).alias("last_end"))
+    return g
+
+
 def q_stream_window_stats(spark, sf_dir):
     from ..streaming.replay import drain_events_stream
     t = T(spark, sf_dir)
-    s = drain_events_stream(spark, t.events)
+    s = drain_events_stream(spark, t.events).windows()
+    s = s.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
     return _stats_out(s, "5min")
 
 
@@ -618,6 +636,8 @@ QUERIES = {
     "sliding_stats_1d6h": q_sliding_stats_1d6h,
     "window_long": q_window_long,
     "stream_window_stats": q_stream_window_stats,
+    "stream_closed_snapshot": q_stream_closed_snapshot,
+    "stream_closed_log": q_stream_closed_log,
     "purchase_count_7d": q_purchase_count_7d,
     "product_stats": q_product_stats,
     "session_duration": q_session_duration,

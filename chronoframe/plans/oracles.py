@@ -114,6 +114,12 @@ SELECT entity_id, event_type, window_start, window_end,
 FROM {src}"""
 
 
+CLOSED_CTE = """
+closed AS (
+  SELECT * FROM st
+  WHERE window_end <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '10 minutes' FROM ev)
+)"""
+
 ORDERS_CTE = """
 o AS (
   SELECT 'cust_' || CAST(o_custkey AS VARCHAR) AS entity_id, o_orderdate AS event_ts,
@@ -417,6 +423,21 @@ SELECT event_id, coalesce(a, false) AS k_42, coalesce(b, false) AS high, coalesc
 SELECT entity_id, feature_name, round(arg_max(value, window_end), 6) AS value, max(window_end) AS value_ts
 FROM f WHERE window_end <= TIMESTAMP '2024-01-15 00:00:00' AND value IS NOT NULL GROUP BY entity_id, feature_name""",
 
+    # The watermark is kept in milliseconds; windows that end at it or before have left the stream.
+    "stream_closed_snapshot": with_ctes(EV_CTE, sliding_cte("st", "5 minutes", "1 minute", 5, "5min"), CLOSED_CTE) + """
+, f AS (
+  SELECT entity_id, CASE WHEN event_type = 'purchase' THEN 'avg_5min_purchase_value' ELSE 'avg_5min_' || event_type END
+           AS feature_name, avg_5min AS value, window_end FROM closed
+  UNION ALL
+  SELECT entity_id, 'max_5min_' || event_type, max_5min, window_end FROM closed)
+SELECT entity_id, feature_name, round(arg_max(value, window_end), 6) AS value, max(window_end) AS value_ts,
+       max(window_end) AS written_at, max(window_end) + INTERVAL '1 hour' AS expires_at
+FROM f WHERE value IS NOT NULL GROUP BY entity_id, feature_name""",
+
+    "stream_closed_log": with_ctes(EV_CTE, sliding_cte("st", "5 minutes", "1 minute", 5, "5min"), CLOSED_CTE) + """
+SELECT CAST(window_start AS DATE) AS dt, count(*) AS n_windows, CAST(sum(n_events) AS BIGINT) AS n_events,
+       count(*) AS n_distinct, max(window_end) AS last_end FROM closed GROUP BY 1""",
+
     "insert_ignore": with_ctes(ORDERS_CTE) + """
 , t AS (SELECT entity_id, event_ts, arg_min(value_num, write_seq) AS value_num, min(write_seq) AS write_seq
         FROM o WHERE status = 'F' GROUP BY entity_id, event_ts),

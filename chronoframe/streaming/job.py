@@ -3,15 +3,10 @@ log + online snapshot (S1-S4, F8, K1-K10, U3-U5, U7).
 
 The source is injected (Kafka on a cluster, a file stream in tests); the
 transform is ``windows.window_stats`` -- the same one the batch backfill uses
-(K11).  Each micro-batch is persisted once and written to
-
-* the window log, under ``batch_id=N`` with overwrite, so a replayed batch
-  replaces itself (K9, idempotent), and
-* the online snapshot: a new ``version=N`` directory merged from the newest
-  older version (O1/U5); readers take the highest version.
-
+(K11).  Each micro-batch is persisted once and written to a ``store.WindowStore``:
+log rows and changed snapshot keys, made visible together by one manifest.
 Sink failures are raised, so Spark retries the batch instead of committing a
-lost one.
+lost one.  ``progress.ProgressTable`` keeps the progress of every batch (K10).
 """
 
 from __future__ import annotations
@@ -20,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators.online import snapshot_merge, stream_updates
 from ..operators.windows import window_stats
+from .store import StoreSink
 
 
 def decode_events(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -50,69 +45,21 @@ def event_json(events: DataFrame) -> DataFrame:
         "metadata")).alias("value"))
 
 
-class WindowSink:
-    """foreachBatch sink."""
-
-    def __init__(self, log_path: str, snapshot_root: str | None = None,
-                 ttl_seconds: int = 3600):
-        self.log_path = log_path
-        self.snapshot_root = snapshot_root
-        self.ttl_seconds = ttl_seconds
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        b = batch.persist()
-        try:
-            if b.isEmpty():
-                return
-            (b.withColumn("batch_id", F.lit(batch_id).cast("long"))
-              .write.mode("overwrite").partitionBy("batch_id")
-              .option("partitionOverwriteMode", "dynamic").parquet(self.log_path))
-            if self.snapshot_root:
-                self._merge_snapshot(spark, b, batch_id)
-        finally:
-            b.unpersist()
-
-    def _merge_snapshot(self, spark: SparkSession, b: DataFrame, batch_id: int) -> None:
-        old = read_snapshot(spark, self.snapshot_root, before=batch_id)
-        upd = stream_updates(b.select(*[c for c in b.columns if c != "last_updated"])
-                             .withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
-                             .withColumn("window_end", F.col("window_end").cast("timestamp_ntz")),
-                             batch_id, self.ttl_seconds)
-        # a new version directory per batch; never overwrite what we read
-        snapshot_merge(old, upd).write.mode("overwrite") \
-            .parquet(f"{self.snapshot_root.rstrip('/')}/version={batch_id}")
-
-
-def read_snapshot(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
-    """The newest snapshot version under ``root`` (optionally the newest
-    older than ``before``); None when there is none yet."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        return None
-    allv = spark.read.parquet(root)  # anything unreadable raises: it is not an empty snapshot
-    if before is not None:
-        allv = allv.where(F.col("version") < before)
-    v = allv.agg(F.max("version")).first()[0]
-    if v is None:
-        return None
-    return allv.where(F.col("version") == v).drop("version")
-
-
-def run_stream(raw_stream: DataFrame, log_path: str, checkpoint: str, snapshot_root: str | None = None,
-               length: str = "5 minutes", slide: str = "1 minute", watermark: str = "10 minutes",
-               trigger: dict | None = None, query_name: str | None = None):
-    """Start the job: K1-K6.  ``trigger`` defaults to every 10 seconds; tests
-    pass ``{"availableNow": True}``.  Returns the StreamingQuery.  Rows that do
-    not decode are ``run_quarantine``'s."""
+def run_stream(raw_stream: DataFrame, root: str, checkpoint: str, closed: bool = True, length: str = "5 minutes",
+              slide: str = "1 minute", watermark: str = "10 minutes", ttl_seconds: int = 3600, compact_every: int = 20,
+              trigger: dict | None = None, query_name: str | None = None):
+    """Start the job (K1-K6, U3, U5, O1): window stats into the ``WindowStore`` at ``root``, log and snapshot
+    visible together.  With ``closed`` (append mode) a window leaves once, when the watermark has passed its end, so
+    the snapshot holds values of closed windows alone; without it (update mode) every change of a window does.
+    ``trigger`` defaults to every 10 seconds; tests pass ``{"availableNow": True}``.  Returns the
+    StreamingQuery.  Rows that do not decode are ``run_quarantine``'s."""
     events, _ = decode_events(raw_stream)
     stats = window_stats(events, length, slide, watermark=watermark)
-    w = (stats.writeStream.foreachBatch(WindowSink(log_path, snapshot_root))
-         .outputMode("update").option("checkpointLocation", checkpoint))
+    w = (stats.writeStream.foreachBatch(StoreSink(root, ttl_seconds, compact_every))
+         .outputMode("append" if closed else "update").option("checkpointLocation", checkpoint))
     if query_name:
         w = w.queryName(query_name)
-    w = w.trigger(**(trigger or {"processingTime": "10 seconds"}))
-    return w.start()
+    return w.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
 def run_quarantine(raw_stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
@@ -137,19 +84,3 @@ def kafka_options(servers: str, topic: str, starting_offsets: str = "latest",
 def read_kafka(spark: SparkSession, **source) -> DataFrame:
     """The raw stream of a topic (``kafka_options``); needs the connector on the class path."""
     return spark.readStream.format("kafka").options(**kafka_options(**source)).load()
-
-
-def progress_frame(spark: SparkSession, query) -> DataFrame:
-    """The query's recent progress as a DataFrame (batch id, input rows,
-    rows/s, batch duration, state rows, rows dropped by the watermark)."""
-    rows = []
-    for p in query.recentProgress:
-        ops = p.get("stateOperators") or [{}]
-        rows.append((p.get("batchId"), p.get("numInputRows"), p.get("inputRowsPerSecond"),
-                     p.get("processedRowsPerSecond"), (p.get("durationMs") or {}).get("triggerExecution"),
-                     sum(o.get("numRowsTotal", 0) for o in ops),
-                     sum(o.get("numRowsDroppedByWatermark", 0) for o in ops),
-                     (p.get("eventTime") or {}).get("watermark")))
-    return spark.createDataFrame(rows, "batch_id long, input_rows long, input_rps double, processed_rps double, "
-                                       "duration_ms long, state_rows long, dropped_by_watermark long, "
-                                       "watermark string")

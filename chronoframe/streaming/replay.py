@@ -1,15 +1,15 @@
 """Drive the streaming job over events derived from the given tables: JSON
-files appended in event-time slices, the real foreachBatch sink, then the
-window log's current view (K8).  Used by the stream-equals-batch check."""
+files appended in event-time slices and the real foreachBatch sink.  Used by
+the stream-equals-batch checks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.windows import current_windows
 from ..session import scratch_path
 from .job import event_json, run_quarantine, run_stream
+from .store import WindowStore
 
 
 def time_slices(events: DataFrame, slices: int):
@@ -24,23 +24,21 @@ def time_slices(events: DataFrame, slices: int):
         yield events.where(cond)
 
 
-def drain_events_stream(spark: SparkSession, events: DataFrame, slices: int = 4,
-                        length: str = "5 minutes", slide: str = "1 minute",
-                        watermark: str = "10 minutes") -> DataFrame:
+def drain_events_stream(spark: SparkSession, events: DataFrame, slices: int = 4, closed: bool = False,
+                        length: str = "5 minutes", slide: str = "1 minute", watermark: str = "10 minutes",
+                        compact_every: int = 3) -> WindowStore:
     """Append one time slice of broker-style JSON files at a time and restart
     the stream from its checkpoint with ``availableNow`` after each, so every
     slice is one micro-batch (and each restart exercises recovery)."""
     root = scratch_path(spark, "stream")
-    src, log, ckpt, snap = f"{root}/in", f"{root}/log", f"{root}/ckpt", f"{root}/snapshot"
+    src, now = f"{root}/in", {"availableNow": True}
     for part in time_slices(events, slices):
         event_json(part).write.mode("append").text(src)
         raw = spark.readStream.format("text").load(src)
-        now = {"availableNow": True}
-        for q in (run_stream(raw, log, ckpt, snap, length, slide, watermark, trigger=now),
+        for q in (run_stream(raw, f"{root}/store", f"{root}/ckpt", closed, length, slide, watermark,
+                             compact_every=compact_every, trigger=now),
                   run_quarantine(raw, f"{root}/quarantine", f"{root}/quarantine-ckpt", trigger=now)):
             q.awaitTermination()
             if q.exception():
                 raise RuntimeError(str(q.exception()))
-    cur = current_windows(spark.read.parquet(log))
-    return cur.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")) \
-        .withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
+    return WindowStore(spark, f"{root}/store")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from chronoframe.functions.scalars import glob_match, seconds_between
 from chronoframe.operators import asof, features, online, pit, quality, registry, telemetry, windows, writes
 from chronoframe.session import scratch_path
+from chronoframe.sources import files
 from chronoframe.streaming import job
+from chronoframe.streaming.store import StoreSink, WindowStore
 
 from helpers import registry_df, ts, values_df
 
@@ -35,10 +37,12 @@ def test_rewritten_day_keeps_other_days(spark):
 
 def test_unreadable_snapshot_raises(spark):
     root = scratch_path(spark, "snap")
-    assert job.read_snapshot(spark, root) is None
-    spark.createDataFrame([("x",)], "value string").write.text(f"{root}/version=1")
+    assert WindowStore(spark, root).snapshot() is None
+    spark.createDataFrame([("x",)], "value string").write.text(f"{root}/delta/batch=1")
+    files.write_once(spark, f"{root}/manifest/000000000001.json",
+                     json.dumps({"seq": 1, "batch_id": 1, "base": None, "deltas": ["delta/batch=1"]}))
     with pytest.raises(Exception, match="(?i)parquet"):
-        job.read_snapshot(spark, root).collect()
+        WindowStore(spark, root).snapshot().collect()
 
 
 def test_quarantine_is_written_once(spark):
@@ -53,13 +57,14 @@ def test_quarantine_is_written_once(spark):
 
 def test_replayed_batch_replaces_itself(spark):
     root = scratch_path(spark, "sink")
-    sink = job.WindowSink(f"{root}/log", f"{root}/snap")
+    sink = StoreSink(root)
     batch = spark.createDataFrame([("e", "purchase", ts("2024-01-01 12:00:00"), ts("2024-01-01 12:05:00"), 2.0, 0.0, 3.0, 1.0, 2)],
                                   "entity_id string, event_type string, window_start timestamp, window_end timestamp, "
                                   "avg_5min double, stddev_5min double, max_5min double, min_5min double, n_events long")
     for _ in range(2):
         sink(batch, 7)
-    assert spark.read.parquet(f"{root}/log").count() == 1 and job.read_snapshot(spark, f"{root}/snap").count() == 2
+    store = WindowStore(spark, root)
+    assert store.log().count() == 1 and store.snapshot().count() == 2
 
 
 def test_request_of_1001_entities(spark):

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from chronoframe.operators.windows import current_windows
 from chronoframe.session import scratch_path
-from chronoframe.streaming.job import decode_events, read_snapshot, run_stream
+from chronoframe.streaming.job import decode_events, run_stream
+from chronoframe.streaming.store import WindowStore
 
 
 def _line(ts, value, entity="e1", etype="purchase"):
@@ -19,20 +20,20 @@ def _drain(spark, batches):
     availableNow after each file, so each file is one micro-batch."""
     root = scratch_path(spark, "test-stream")
     root = root[len("file:"):] if root.startswith("file:") else root  # local test files
-    src, log, ckpt, snap = (os.path.join(root, x) for x in ("in", "log", "ckpt", "snap"))
+    src, store, ckpt = (os.path.join(root, x) for x in ("in", "store", "ckpt"))
     os.makedirs(src, exist_ok=True)
     dropped = 0
     for i, lines in enumerate(batches):
         with open(os.path.join(src, f"b{i:03d}.json"), "w") as fh:
             fh.write("\n".join(lines) + "\n")
         raw = spark.readStream.format("text").load(src)
-        q = run_stream(raw, log, ckpt, snap, trigger={"availableNow": True})
+        q = run_stream(raw, store, ckpt, closed=False, trigger={"availableNow": True})
         q.awaitTermination()
         assert q.exception() is None
         for p in q.recentProgress:
             for op in p.get("stateOperators") or []:
                 dropped += op.get("numRowsDroppedByWatermark", 0)
-    return spark.read.parquet(log), read_snapshot(spark, snap), dropped
+    return WindowStore(spark, store).log(), WindowStore(spark, store).snapshot(), dropped
 
 
 def test_late_rows_per_window(spark):

@@ -9,8 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 def ts_lit(value) -> Column:
-    """A TIMESTAMP_NTZ literal (test data and oracle output are NTZ; the
-    session time zone is UTC so NTZ and TIMESTAMP agree)."""
+    """A TIMESTAMP_NTZ literal (test data and oracle output are NTZ)."""
     if isinstance(value, Column):
         return value
     if isinstance(value, (_dt.datetime, _dt.date)):
@@ -38,6 +37,11 @@ def micros(ts: Column) -> Column:
     return interval_micros(ts - ts_lit("1970-01-01 00:00:00"))
 
 
+def hour_of(ts: Column) -> Column:
+    """The start of the hour of a zone-less time (E5); the session zone has no part."""
+    return F.timestamp_add("HOUR", F.floor(micros(ts) / 3_600_000_000).cast("int"), ts_lit("1970-01-01 00:00:00"))
+
+
 def add_hours(ts: Column | str, hours: Column | int) -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
     h = hours if isinstance(hours, Column) else F.lit(hours)
@@ -75,35 +79,47 @@ def split_online_key(key: Column | str) -> tuple[Column, Column]:
     return entity, feature
 
 
+def _set_regex(pattern: str, i: int) -> tuple[str, int] | None:
+    """The regex of the character set whose body begins at ``i``, and the place after its bracket; None
+    if it has none.  The ends of a range may come in either order."""
+    negated = pattern[i:i + 1] in ("!", "^") and pattern[i:i + 1] != ""
+    j, chars = i + negated, []
+    while j < len(pattern) and pattern[j] != "]":
+        j += pattern[j] == "\\" and j + 1 < len(pattern)
+        last = j
+        if pattern[j + 1:j + 2] == "-" and j + 2 < len(pattern) and pattern[j + 2] != "]":
+            last = j + 2 + (pattern[j + 2] == "\\" and j + 3 < len(pattern))
+        lo, hi = sorted((pattern[j], pattern[last]))
+        chars.append("-".join(re.sub(r"([\[\]\\^&-])", r"\\\1", c) for c in ((lo, hi) if last > j else (lo,))))
+        j = last + 1
+    if j >= len(pattern):
+        return None
+    if not chars:
+        return ("." if negated else "(?!)"), j + 1
+    return f"[{'^' if negated else ''}{''.join(chars)}]", j + 1
+
+
 def glob_to_regex(pattern: str) -> str:
     """Translate a cache glob (``*``, ``?``, ``[...]``) into an anchored
     Java regex; a backslash takes the next character literally, an empty set
-    matches nothing, every other character is matched literally (E12)."""
-    out, i = ["^"], 0
+    matches nothing, every other character is matched literally, and any
+    character may be a line break (E12)."""
+    out, i = ["(?s)^"], 0
     while i < len(pattern):
         ch = pattern[i]
+        found = _set_regex(pattern, i + 1) if ch == "[" else None
+        if found:
+            out.append(found[0])
+            i = found[1]
+            continue
         if ch == "\\" and i + 1 < len(pattern):
             i += 1
-            out.append(re.escape(pattern[i]))
-        elif ch == "*":
-            out.append(".*")
-        elif ch == "?":
-            out.append(".")
-        elif ch == "[":
-            j = pattern.find("]", i + 1)
-            if j == -1:
-                out.append(re.escape(ch))
-            else:
-                body = pattern[i + 1:j]
-                if body.startswith("!") or body.startswith("^"):
-                    body = "^" + body[1:]
-                safe = re.sub(r"([\\\[&])", r"\\\1", body)
-                out.append("[" + safe + "]" if body not in ("", "^") else "(?!)" if not body else ".")
-                i = j
-        else:
+            ch = pattern[i]
             out.append(re.escape(ch))
+        else:
+            out.append({"*": ".*", "?": "."}.get(ch) or re.escape(ch))
         i += 1
-    out.append("$")
+    out.append("\\z")
     return "".join(out)
 
 

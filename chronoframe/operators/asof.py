@@ -24,7 +24,9 @@ grow with the features, and there is no join per feature.
 
 Time bounds reach the history scan as scalar subqueries over the spine: no
 day after the newest spine time is read, and with ``apply_ttl`` none before
-the oldest spine time less the longest ttl asked for.
+the oldest spine time less the longest ttl asked for.  With a stored index
+(``asof_index``) no day before the spine's first one is read either: the
+summaries of step 2 come from the index.
 """
 
 from __future__ import annotations
@@ -55,22 +57,27 @@ def time_bucket(ts: Column, width_seconds: int) -> Column:
 
 
 def _asof_core(spine: DataFrame, vals: DataFrame, keys: list[str], time: str,
-               slots: list[tuple[str, Column]], payload: Column, bucket_seconds: int) -> DataFrame:
+               slots: list[tuple[str, Column]], payload: Column, bucket_seconds: int,
+               older: DataFrame | None = None) -> DataFrame:
     """Generic as-of scan.  ``vals`` has the keys, ``event_ts``,
     ``feature_version``, ``write_seq`` and the columns used by ``payload``;
-    each slot takes the value rows where its condition holds.  Returns the
-    spine's columns plus one payload struct column per slot."""
+    each slot takes the value rows where its condition holds.  ``older``: the
+    rows that the carry-in comes from (an index), by default all ``vals``.
+    Returns the spine's columns plus one payload struct column per slot."""
     spine_cols = spine.columns
+
     # A NULL key equals nothing: its values are left out, its spine rows find none.
-    vals = vals.where(F.col("event_ts").isNotNull())
-    for k in keys:
-        vals = vals.where(F.col(k).isNotNull())
-    vb = vals.withColumn("_b", time_bucket(F.col("event_ts"), bucket_seconds))
+    def bucketed(rows):
+        for k in ["event_ts", *keys]:
+            rows = rows.where(F.col(k).isNotNull())
+        return rows.withColumn("_b", time_bucket(F.col("event_ts"), bucket_seconds))
+
+    vb = bucketed(vals)
     sp = spine.withColumn("_b", time_bucket(F.col(time), bucket_seconds))
     order = F.struct("event_ts", "feature_version", "write_seq")
 
     # 2. newest value per (keys, bucket) and slot
-    summaries = vb.groupBy(*keys, "_b").agg(
+    summaries = (vb if older is None else bucketed(older)).groupBy(*keys, "_b").agg(
         *[F.max_by(payload, F.when(cond, order)).alias(name) for name, cond in slots])
 
     # 3. carry-in for each spine bucket from earlier buckets
@@ -108,6 +115,17 @@ def _payload(*values: str) -> Column:
     return F.struct(*values, "event_ts", "feature_version", "write_seq", "ttl_hours")
 
 
+def _indexed(values: DataFrame, registry: DataFrame, spine: DataFrame, time: str, index, bucket_seconds: int):
+    """(the history of the spine's days, the index rows that stood before them)."""
+    if bucket_seconds != 86400 or "dt" not in values.columns:
+        raise ValueError("an index needs buckets of one day and a history by day")
+
+    def day(f):
+        return F.to_date(spine.agg(f(time).cast("timestamp_ntz")).scalar())
+
+    return values.where((F.col("dt") >= day(F.min)) & (F.col("dt") <= day(F.max))), index.before(day(F.min), day(F.max))
+
+
 def _within(values: DataFrame, registry: DataFrame, spine: DataFrame, time: str, features,
             apply_ttl: bool) -> DataFrame:
     """The values that any spine row can take, by time; with a ``dt`` column
@@ -135,18 +153,25 @@ def _within(values: DataFrame, registry: DataFrame, spine: DataFrame, time: str,
 def as_of_join(spine: DataFrame, values: DataFrame, registry: DataFrame, features,
                entity: str = "entity_id", time: str = "label_ts", how: str = "left",
                apply_ttl: bool = False, versions: str = "all", bucket="1 day",
-               value: str = "value_num") -> DataFrame:
+               value: str = "value_num", index=None) -> DataFrame:
     """Spine + for each feature ``f`` the columns ``f`` (value) and
     ``f_ts`` (its timestamp).  ``how='inner'`` keeps spine rows that found a
     value for every feature.  ``value='value_json'`` answers with the JSON
     text, which holds values of any type (strings, booleans, objects, whole
-    numbers beyond 2^53)."""
+    numbers beyond 2^53).  With ``index`` (an ``AsofIndex`` of ``values``) the
+    history is read on the spine's days alone, and what stood before them
+    comes from the index."""
     feats = list(features)
-    v = resolved_values(_within(values, registry, spine, time, feats, apply_ttl), registry, feats, versions)
-    if entity != "entity_id":
-        v = v.withColumnRenamed("entity_id", entity)
+    width = interval_seconds(bucket)
+    older = None
+    if index is not None:
+        values, older = _indexed(values, registry, spine, time, index, width)
+        older = resolved_values(older, registry, feats, versions).withColumnRenamed("entity_id", entity)
+    else:
+        values = _within(values, registry, spine, time, feats, apply_ttl)
+    v = resolved_values(values, registry, feats, versions).withColumnRenamed("entity_id", entity)
     slots = [(f"_f{i}", F.col("feature_name") == f) for i, f in enumerate(feats)]
-    out = _asof_core(spine, v, [entity], time, slots, _payload(value), interval_seconds(bucket))
+    out = _asof_core(spine, v, [entity], time, slots, _payload(value), width, older)
     cols = [c for c in spine.columns]
     for i, f in enumerate(feats):
         s = F.col(f"_f{i}")
@@ -162,17 +187,22 @@ def as_of_join(spine: DataFrame, values: DataFrame, registry: DataFrame, feature
 
 def as_of_join_long(spine: DataFrame, values: DataFrame, registry: DataFrame,
                     entity: str = "entity_id", time: str = "label_ts",
-                    apply_ttl: bool = False, versions: str = "all", bucket="1 day") -> DataFrame:
+                    apply_ttl: bool = False, versions: str = "all", bucket="1 day", index=None) -> DataFrame:
     """J3 in long form: the spine names its feature per row
     (``feature_name``); adds ``value_num``, ``value_json`` (the value of any
     type), ``value_ts``, ``feature_version``.
     Used where each row asks for a different feature (cache misses, batch
     requests)."""
-    v = resolved_values(_within(values, registry, spine, time, None, apply_ttl), registry, None, versions)
-    if entity != "entity_id":
-        v = v.withColumnRenamed("entity_id", entity)
+    width = interval_seconds(bucket)
+    older = None
+    if index is not None:
+        values, older = _indexed(values, registry, spine, time, index, width)
+        older = resolved_values(older, registry, None, versions).withColumnRenamed("entity_id", entity)
+    else:
+        values = _within(values, registry, spine, time, None, apply_ttl)
+    v = resolved_values(values, registry, None, versions).withColumnRenamed("entity_id", entity)
     out = _asof_core(spine, v, [entity, "feature_name"], time, [("_v", F.lit(True))],
-                     _payload("value_num", "value_json"), interval_seconds(bucket))
+                     _payload("value_num", "value_json"), width, older)
     s = F.col("_v")
     if apply_ttl:
         s = F.when(s["event_ts"] >= add_hours(F.col(time), -s["ttl_hours"]), s)

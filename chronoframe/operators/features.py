@@ -74,19 +74,16 @@ def sessions(events: DataFrame, gap: str = "30 minutes", entity: str = "entity_i
     width = interval_seconds(bucket) * 1_000_000
     near = ((micros(F.col("s_start")) - F.col("_b") * width <= gap_s * 1_000_000)
             | ((F.col("_b") + 1) * width - micros(F.col("s_end")) <= gap_s * 1_000_000))
-    part = part.withColumn("_edge", near)
-    inside = part.where(~F.col("_edge")).select(
-        entity, F.col("s_start").alias("session_start"), F.col("s_end").alias("session_end"),
-        F.col("n").cast("long").alias("n_events"))
-    part = part.where("_edge")
-    w = Window.partitionBy(entity).orderBy("s_start", "s_end")
+    # each other one is a group of its own, so all go through one window
+    part = part.withColumn("_own", F.when(~near, F.struct("_b", "s_start")))
+    w = Window.partitionBy(entity, "_own").orderBy("s_start", "s_end")
     prev_end = F.lag("s_end").over(w)
     flagged = part.withColumn("_new", F.when(
         prev_end.isNull() | (seconds_between(F.col("s_start"), prev_end) > gap_s), 1).otherwise(0))
     sid = flagged.withColumn("_sid", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = sid.groupBy(entity, "_sid").agg(
+    out = sid.groupBy(entity, "_own", "_sid").agg(
         F.min("s_start").alias("session_start"), F.max("s_end").alias("session_end"),
-        F.sum("n").cast("long").alias("n_events")).drop("_sid")
-    return out.unionByName(inside).select(entity, "session_start", "session_end", "n_events",
+        F.sum("n").cast("long").alias("n_events"))
+    return out.select(entity, "session_start", "session_end", "n_events",
                       F.floor(seconds_between("session_end", "session_start")).cast("long")
                       .alias("session_duration_seconds"))

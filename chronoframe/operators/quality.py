@@ -73,3 +73,25 @@ def json_path_equals(col: str, path: str, value) -> F.Column:
     else:
         hit = text & (F.try_variant_get(v, "$", "string") == F.lit(value))
     return F.coalesce(hit, F.lit(False))
+
+
+def to_variant(values: DataFrame, column: str = "value_json") -> DataFrame:
+    """The JSON text as a VARIANT column ``value``, as it is stored; NULL where it isn't JSON."""
+    return values.withColumn("value", F.try_parse_json(column))
+
+
+def typed_values(values: DataFrame, registry: DataFrame) -> DataFrame:
+    """Values with a VARIANT ``value``, decoded by the declared dtype into typed columns: ``int64`` (whole
+    numbers of 64 bits), ``float64``, ``bool``, ``string`` and ``json`` (a VARIANT).  The other columns are NULL, and so
+    is the declared one if the value is of another type; ``matches`` tells."""
+    v = values.join(registry.select("feature_id", F.col("name").alias("feature_name"), "dtype"), "feature_id")
+    kind = F.schema_of_variant("value")
+    whole = kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT")
+    number = whole | kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    is_of = {"int64": whole, "float64": number, "bool": kind == "BOOLEAN", "string": kind == "STRING",
+             "json": kind.startswith("OBJECT") | kind.startswith("ARRAY")}
+    sql = {"int64": "bigint", "float64": "double", "bool": "boolean", "string": "string"}
+    typed = {d: F.when((F.col("dtype") == d) & ok, F.try_variant_get("value", "$", sql[d]) if d in sql else F.col("value"))
+             for d, ok in is_of.items()}
+    matches = F.coalesce(F.element_at(F.create_map(*[x for d, ok in is_of.items() for x in (F.lit(d), ok)]), F.col("dtype")), F.lit(False))
+    return v.select(*[c for c in v.columns if c != "value"], *[c.alias(d) for d, c in typed.items()], matches.alias("matches"))

@@ -7,11 +7,12 @@ the next registry version (write it to a new directory, then switch).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ts_lit
 from ..schemas import DEFINITION
+from .numbering import number_rows
 
 DEF_COLS = ["name", "version", "dtype", "entity_type", "ttl_hours", "description", "tags"]
 REG_COLS = ["feature_id"] + DEF_COLS + ["created_at", "updated_at"]
@@ -77,29 +78,24 @@ def register(registry: DataFrame, definitions: DataFrame, as_of) -> DataFrame:
     New keys get ids ``max(id) + 1, 2, ...`` in (name, version) order and
     ``created_at = updated_at = as_of``; existing keys keep id and created_at,
     take the new dtype/entity_type/ttl/description/tags and move updated_at.
-    Invalid definitions (V1) are not applied.  The id assignment is a window
-    over the registry, a bounded dimension table (one row per definition).
+    Invalid definitions (V1) are not applied.  The new keys are numbered in
+    range partitions, so a large load of definitions goes through no single task.
     """
     t = ts_lit(as_of)
-    new = _dedupe_definitions(validate_definitions(definitions).where("valid")).alias("n")
-    old = registry.select(*REG_COLS).alias("o")
-    j = old.join(new, ["name", "version"], "full_outer")
-    has_new = F.col("n.dtype").isNotNull()
-    merged = j.select(
-        F.col("o.feature_id").alias("feature_id"),
-        "name", "version",
-        *[F.when(has_new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
-          for c in ("dtype", "entity_type", "ttl_hours", "description", "tags")],
-        F.coalesce(F.col("o.created_at"), t).alias("created_at"),
-        F.when(has_new, t).otherwise(F.col("o.updated_at")).alias("updated_at"),
-    )
-    is_new = F.col("feature_id").isNull()
-    whole = Window.partitionBy()
-    ordered = Window.orderBy(is_new, "name", "version").rowsBetween(Window.unboundedPreceding, 0)
-    new_id = F.coalesce(F.max("feature_id").over(whole), F.lit(0)) + \
-        F.sum(is_new.cast("int")).over(ordered)
-    return merged.withColumn("feature_id", F.coalesce(F.col("feature_id"), new_id).cast("int")) \
-        .select(*REG_COLS)
+    payload = ["dtype", "entity_type", "ttl_hours", "description", "tags"]
+    new = _dedupe_definitions(validate_definitions(definitions).where("valid"))
+    old = registry.select(*REG_COLS)
+    fresh = number_rows(new.join(old.select("name", "version"), ["name", "version"], "left_anti"), ["name", "version"], "_n")
+    top = old.agg(F.max("feature_id")).first()[0] or 0
+    n = new.select("name", "version", F.struct(*payload).alias("n"))
+    has_new = F.col("n").isNotNull()
+    kept = old.join(n, ["name", "version"], "left").select(
+        "feature_id", "name", "version",
+        *[F.when(has_new, F.col("n")[c]).otherwise(F.col(c)).alias(c) for c in payload],
+        "created_at", F.when(has_new, t).otherwise(F.col("updated_at")).alias("updated_at"))
+    added = fresh.select((F.col("_n") + top).cast("int").alias("feature_id"), "name", "version", *payload,
+                         t.alias("created_at"), t.alias("updated_at"))
+    return kept.select(*REG_COLS).unionByName(added.select(*REG_COLS))
 
 
 def register_with_rejects(registry: DataFrame, definitions: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:

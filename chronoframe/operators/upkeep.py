@@ -4,17 +4,19 @@ an external scheduler calls them."""
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import add_hours, ts_lit
+from ..functions.scalars import add_hours, hour_of, ts_lit
 from .writes import last_writer_wins, with_day
 
 
 def hourly_rollup(values: DataFrame) -> DataFrame:
     """Per (feature, entity, hour): update_count, last_update."""
     return values.groupBy("feature_id", "entity_id",
-                          F.date_trunc("hour", F.col("event_ts")).cast("timestamp_ntz").alias("hour")) \
+                          hour_of(F.col("event_ts")).alias("hour")) \
         .agg(F.count(F.lit(1)).alias("update_count"), F.max("event_ts").alias("last_update"))
 
 
@@ -23,10 +25,8 @@ def refresh_window(as_of, start_offset_hours: int = 3, end_offset_hours: int = 1
     t = ts_lit(as_of)
     lo = add_hours(t, -start_offset_hours)
     hi = add_hours(t, -end_offset_hours)
-    first = F.when(F.date_trunc("hour", lo).cast("timestamp_ntz") == lo, lo) \
-        .otherwise(add_hours(F.date_trunc("hour", lo).cast("timestamp_ntz"), 1))
-    last_end = F.date_trunc("hour", hi).cast("timestamp_ntz")
-    return first, last_end
+    first = F.when(hour_of(lo) == lo, lo).otherwise(add_hours(hour_of(lo), 1))
+    return first, hour_of(hi)
 
 
 def refresh_rollup(rollup: DataFrame, values: DataFrame, as_of,
@@ -42,6 +42,57 @@ def refresh_rollup(rollup: DataFrame, values: DataFrame, as_of,
     return kept.unionByName(fresh)
 
 
+# --- H5 by invalidation: buckets that a write touched, whenever they lie -----------------------------
+BUCKET = ["feature_id", "entity_id", "hour"]
+
+
+def with_hour_folder(rollup: DataFrame) -> DataFrame:
+    return rollup.withColumn("dt", F.to_date("hour")).withColumn("hh", F.extract(F.lit("HOUR"), F.col("hour")).cast("int"))
+
+
+def write_rollup(rollup: DataFrame, path: str) -> None:
+    """The rollup by day and hour; only the hours present in ``rollup`` are replaced."""
+    r = with_hour_folder(rollup)
+    (r.hint("rebalance", "dt", "hh").sortWithinPartitions("dt", "hh", *BUCKET[:2]).write.mode("overwrite")
+     .option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "hh").parquet(path))
+
+
+def log_invalidations(updates: DataFrame, path: str, run: int) -> None:
+    """Note the (feature, entity, hour) buckets that the rows written by ``run`` touch; a run that is repeated
+    replaces its notes.  To be called with the rows that an upsert or a deletion takes."""
+    touched = updates.where(F.col("event_ts").isNotNull()).select(
+        "feature_id", "entity_id", hour_of(F.col("event_ts")).alias("hour")).distinct()
+    (touched.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run").parquet(path))
+
+
+def invalidations(spark: SparkSession, path: str, after: int | None = None) -> DataFrame:
+    """The touched buckets noted by the runs after ``after``."""
+    rows = spark.read.schema("feature_id int, entity_id string, hour timestamp_ntz, run int").parquet(path)
+    return (rows if after is None else rows.where(F.col("run") > after)).select(*BUCKET).distinct()
+
+
+def refresh_invalidated(rollup: DataFrame, values: DataFrame, touched: DataFrame, as_of=None,
+                        end_offset_hours: int = 1) -> DataFrame:
+    """H5: the rows of the touched hours after a recount of the touched buckets, for ``write_rollup``.  ``rollup``
+    and ``values`` are the stored tables (by hour and by day): other hours of the rollup and other days of the
+    history are not read.  With ``as_of``, hours that end after ``as_of`` less the offset are left for a later run."""
+    if as_of is not None:
+        touched = touched.where(F.col("hour") < hour_of(add_hours(ts_lit(as_of), -end_offset_hours)))
+    touched = with_hour_folder(touched)
+    recount = (values.join(touched.select("dt").distinct(), "dt", "left_semi")
+               .withColumn("hour", hour_of(F.col("event_ts"))).join(touched.select(*BUCKET), BUCKET, "left_semi"))
+    kept = (rollup.join(touched.select("dt", "hh").distinct(), ["dt", "hh"], "left_semi")
+            .join(touched.select(*BUCKET), BUCKET, "left_anti"))
+    fresh = hourly_rollup(recount)
+    return kept.select(*fresh.columns).unionByName(fresh)
+
+
+def cutoff_day(as_of, days: int) -> str:
+    """The first day that retention keeps."""
+    return str(datetime.date.fromisoformat(str(as_of)[:10]) - datetime.timedelta(days))
+
+
 def retain(values: DataFrame, as_of, days: int = 90) -> DataFrame:
     """H3: drop whole days older than the horizon (a day partition goes once
     its end is at or before ``as_of - days``); the straddling day stays."""

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ts_lit
 from ..operators import asof, features, online, pit, quality, registry as reg, telemetry, upkeep, windows, writes
-from ..session import scratch_path
+from ..operators.asof_index import AsofIndex
+from ..session import cut_lineage, scratch_path
 from ..sources import adapters as A
 from .context import Tables
 
@@ -99,38 +100,115 @@ def q_history_range(spark, sf_dir):
 
 def q_pit_asof_join(spark, sf_dir):
     t = T(spark, sf_dir)
-    j = asof.as_of_join(t.spine, t.values, t.registry, ["purchase"])
+    j = asof.as_of_join(t.spine, t.values, t.registry, ["purchase"], index=t.asof_index)
     return j.select("spine_id", "entity_id", "label_ts", r6("purchase").alias("purchase_value"),
                     F.col("purchase_ts"))
 
 
 def q_pit_asof_wide(spark, sf_dir):
     t = T(spark, sf_dir)
-    j = asof.as_of_join(t.spine, t.values, t.registry, ASOF_FEATURES)
+    j = asof.as_of_join(t.spine, t.values, t.registry, ASOF_FEATURES, index=t.asof_index)
     cols = ["spine_id", "entity_id", "label_ts"]
     for f in ASOF_FEATURES:
         cols += [r6(f).alias(f"{f}_value"), F.col(f"{f}_ts")]
     return j.select(*cols)
 
 
+def late_values(t: Tables) -> DataFrame:
+    """A late write: for every signup a purchase (version 1) the day before, with the signup's value."""
+    purchase = t.registry.where((F.col("name") == "purchase") & (F.col("version") == 1)).select("feature_id")
+    rows = t.events_raw.where(F.col("event_type") == "signup").select(
+        A.user_entity().alias("entity_id"), F.timestamp_add("DAY", F.lit(-1), F.col("ts")).alias("event_ts"),
+        F.col("value").cast("string").alias("value_json"), F.col("value").alias("value_num"),
+        F.col("props").alias("metadata"), F.col("event_id").alias("write_seq"), purchase.scalar().alias("feature_id"))
+    return rows
+
+
+def after_late_write(t: Tables):
+    """(history, as-of index, rollup) after a late write: the stored history is copied, indexed and rolled up;
+    then the late rows go in, and index and rollup are brought up to date from what the write touched."""
+    spark = t.spark
+    path = t.folder("late", lambda root: _write_late(t, root))
+    return spark.read.parquet(f"{path}/history"), AsofIndex(spark, f"{path}/index"), spark.read.parquet(f"{path}/rollup")
+
+
+def _write_late(t: Tables, root: str) -> None:
+    spark, history = t.spark, f"{root}/history"
+    writes.write_history(t.values, history)
+    index = AsofIndex(spark, f"{root}/index").build(spark.read.parquet(history))
+    upkeep.write_rollup(upkeep.hourly_rollup(spark.read.parquet(history)), f"{root}/rollup")
+    late = late_values(t)
+    merged = cut_lineage(writes.upsert_days(spark.read.parquet(history), late, ["feature_id", "entity_id", "event_ts"]))
+    upkeep.log_invalidations(late, f"{root}/touched", run=1)
+    writes.write_history(merged, history)
+    stored = spark.read.parquet(history)
+    index.correct(stored, [r["dt"] for r in merged.select("dt").distinct().collect()])
+    fresh = cut_lineage(upkeep.refresh_invalidated(spark.read.parquet(f"{root}/rollup"), stored,
+                                                   upkeep.invalidations(spark, f"{root}/touched")))
+    upkeep.write_rollup(fresh, f"{root}/rollup")
+
+
+def q_pit_asof_late_write(spark, sf_dir):
+    """J3 from the index, after old days were written to again."""
+    t = T(spark, sf_dir)
+    history, index, _ = after_late_write(t)
+    j = asof.as_of_join(t.spine, history, t.registry, ["purchase", "view"], index=index)
+    return j.select("spine_id", r6("purchase").alias("purchase_value"), "purchase_ts", r6("view").alias("view_value"), "view_ts")
+
+
+def q_rollup_invalidated(spark, sf_dir):
+    """H5: the rollup after a late write, recounted in the touched buckets only."""
+    return after_late_write(T(spark, sf_dir))[2].select("feature_id", "entity_id", "hour", "update_count", "last_update")
+
+
+def q_retention_dropped(spark, sf_dir):
+    """H3: what a copy of the stored history holds once its old day folders are removed."""
+    t = T(spark, sf_dir)
+    path = t.folder("retained", lambda root: (writes.write_history(t.values, root),
+                                              writes.drop_days(spark, root, upkeep.cutoff_day(RETAIN_AT, RETAIN_DAYS))))
+    return spark.read.parquet(path).select("feature_id", "entity_id", "event_ts", r6("value_num").alias("value"), "write_seq")
+
+
+def q_typed_values(spark, sf_dir):
+    """Values of every type, stored as VARIANT and read as typed columns."""
+    t = T(spark, sf_dir)
+    values, registry = any_type_history(t)
+    path = t.folder("variants", lambda root: quality.to_variant(values).drop("value_json", "value_num").write.parquet(root))
+    v = quality.typed_values(spark.read.parquet(path), registry)
+    return v.select("write_seq", "feature_name", F.col("int64").alias("as_int64"), F.col("bool").alias("as_bool"),
+                    F.col("string").alias("as_string"), F.try_variant_get("json", "$.k", "bigint").alias("as_object_k"),
+                    F.col("float64").alias("as_float64"), "matches")
+
+
+def q_stream_sessions(spark, sf_dir):
+    """Sessions that left the stream, drained in four slices."""
+    from ..streaming.sessions import drain_sessions
+    return drain_sessions(spark, T(spark, sf_dir).events, gap="30 minutes")
+
+
 def q_days_since_purchase(spark, sf_dir):
     t = T(spark, sf_dir)
-    j = asof.as_of_join(t.spine, t.values, t.registry, ["purchase"])
+    j = asof.as_of_join(t.spine, t.values, t.registry, ["purchase"], index=t.asof_index)
     return features.days_since(j).select("spine_id", "entity_id", "label_ts", "last_purchase_days")
 
 
 def batch_requests(t: Tables) -> DataFrame:
-    """One batch request per user and day with clicks: the users whose id is
-    the user's, the next and the one after, three features, as of the last
-    click.  Days divisible by ten ask for no feature."""
-    c = t.events_raw.where(F.col("event_type") == "click").groupBy(
-        "user_id", F.to_date("ts").alias("d")).agg(F.max("event_id").alias("request_id"), F.max("ts").alias("as_of"))
+    """One batch request per click: the users whose id is the user's, the next and the one after, three
+    features, as of the click."""
     names = F.array(*[F.lit(f) for f in ("purchase", "view", "signup")])
-    return c.select(
-        "request_id", F.array(*[F.concat(F.lit("user_"), (F.col("user_id") + i).cast("string")) for i in range(3)])
-        .alias("entity_ids"),
-        F.when(F.dayofmonth("d") % 10 == 0, F.array().cast("array<string>")).otherwise(names).alias("feature_names"),
-        "as_of")
+    return t.events_raw.where(F.col("event_type") == "click").select(
+        F.col("event_id").alias("request_id"),
+        F.array(*[F.concat(F.lit("user_"), (F.col("user_id") + i).cast("string")) for i in range(3)]).alias("entity_ids"),
+        names.alias("feature_names"), F.col("ts").alias("as_of"))
+
+
+def odd_requests(t: Tables) -> DataFrame:
+    """The batch requests with, on days divisible by ten, no feature, and for users divisible by seven no entity."""
+    r = batch_requests(t)
+    none = F.array().cast("array<string>")
+    return r.select("request_id", F.when(F.substring_index(F.col("entity_ids")[0], "_", -1).cast("bigint") % 7 == 0, none)
+                    .otherwise(F.col("entity_ids")).alias("entity_ids"),
+                    F.when(F.dayofmonth("as_of") % 10 == 0, none).otherwise(F.col("feature_names")).alias("feature_names"), "as_of")
 
 
 def q_batch_retrieval(spark, sf_dir):
@@ -178,7 +256,7 @@ def q_batch_any_type(spark, sf_dir):
 def q_request_rejects(spark, sf_dir):
     """V2: the batch requests that are not answered, with their violations."""
     t = T(spark, sf_dir)
-    _, rejects = pit.batch_retrieval(t.values, t.registry, batch_requests(t), max_entities=3)
+    _, rejects = pit.batch_retrieval(t.values, t.registry, odd_requests(t), max_entities=3)
     return rejects.select("request_id", F.array_join("violations", ",").alias("violations"))
 
 
@@ -491,7 +569,7 @@ def online_requests(t: Tables) -> DataFrame:
 def warm_snapshot(t: Tables) -> DataFrame:
     """The online snapshot as the U6 warm-up job writes it (a stored table)."""
     def build():
-        p = pit.point_in_time(t.values, t.registry, SNAPSHOT_AT, features=ASOF_FEATURES)
+        p = pit.point_in_time(t.values, t.registry, SNAPSHOT_AT, features=EVENT_FEATURES)
         return online.warm_up(p, SNAPSHOT_AT, registry=t.registry)
     return t.stored("snapshot", build)
 
@@ -586,7 +664,8 @@ def q_tenant_requests(spark, sf_dir):
 
 def q_throughput(spark, sf_dir):
     t = T(spark, sf_dir)
-    log = t.request_log.withColumn("n_features", F.lit(3))
+    asked = online_requests(t).select("request_id", F.size("feature_names").alias("n_features"))
+    log = t.request_log.join(asked, "request_id")
     th = telemetry.throughput(log, features_col="n_features")
     return th.select("endpoint", "requests", r6("elapsed_s").alias("elapsed_s"), r6("rps").alias("rps"),
                      r6("features_per_s").alias("features_per_s"))
@@ -636,6 +715,11 @@ QUERIES = {
     "sliding_stats_1d6h": q_sliding_stats_1d6h,
     "window_long": q_window_long,
     "stream_window_stats": q_stream_window_stats,
+    "stream_sessions": q_stream_sessions,
+    "pit_asof_late_write": q_pit_asof_late_write,
+    "rollup_invalidated": q_rollup_invalidated,
+    "retention_dropped": q_retention_dropped,
+    "typed_values": q_typed_values,
     "stream_closed_snapshot": q_stream_closed_snapshot,
     "stream_closed_log": q_stream_closed_log,
     "purchase_count_7d": q_purchase_count_7d,

@@ -13,6 +13,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.asof_index import AsofIndex
 from ..operators.writes import write_history
 from ..session import scratch_path
 from ..sources import adapters as A
@@ -69,6 +70,22 @@ class Tables:
         return _stored(self.spark, self.sf_dir, "feature_values",
                        lambda: A.values_from_events(self.events_raw, self.registry), write_history)
 
+    def folder(self, name: str, build) -> str:
+        """A folder that ``build(path)`` fills once per application and data folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        with _LOCK:
+            if key not in _STORED:
+                path = scratch_path(self.spark, name)
+                build(path)
+                _STORED[key] = path
+            return _STORED[key]
+
+    @cached_property
+    def asof_index(self) -> AsofIndex:
+        """The stored index of the history."""
+        path = self.folder("asof_index", lambda root: AsofIndex(self.spark, root).build(self.values))
+        return AsofIndex(self.spark, path)
+
     @cached_property
     def spine(self) -> DataFrame:
         return A.spine_from_events(self.events_raw)

@@ -114,6 +114,14 @@ SELECT entity_id, event_type, window_start, window_end,
 FROM {src}"""
 
 
+LATE_CTE = """
+late AS (
+  SELECT feature_id, feature_name, entity_id, event_ts, value_num FROM fv
+  UNION ALL
+  SELECT r.feature_id, 'purchase', 'user_' || CAST(e.user_id AS VARCHAR), e.ts - INTERVAL '1 day', e.value
+  FROM events e, registry r WHERE e.event_type = 'signup' AND r.name = 'purchase' AND r.version = 1
+)"""
+
 CLOSED_CTE = """
 closed AS (
   SELECT * FROM st
@@ -155,7 +163,7 @@ hist AS (
   FROM log l, buckets b GROUP BY l.endpoint, b.le, b.bucket
 )"""
 
-SNAP_CTE = pit_at("pit15", "2024-01-15 00:00:00", "feature_name IN ('purchase', 'view', 'click')") + """,
+SNAP_CTE = pit_at("pit15", "2024-01-15 00:00:00", "feature_name IN ('purchase', 'view', 'click', 'signup', 'error')") + """,
 snap AS (
   SELECT entity_id, feature_name, value_num, event_ts AS value_ts, write_seq,
          TIMESTAMP '2024-01-15 00:00:00' AS written_at,
@@ -247,12 +255,10 @@ SELECT s.spine_id, s.entity_id, s.label_ts,
 FROM spine s ASOF LEFT JOIN p ON s.entity_id = p.entity_id AND s.label_ts >= p.event_ts""",
 
     "batch_retrieval": with_ctes(REGISTRY_CTE) + """
-, breq AS (
-  SELECT max(event_id) AS request_id, user_id, CAST(ts AS DATE) AS d, max(ts) AS as_of
-  FROM events WHERE event_type = 'click' GROUP BY user_id, CAST(ts AS DATE)), ask AS (
-  SELECT request_id, 'user_' || CAST(user_id + i AS VARCHAR) AS entity_id, as_of, feature_name
-  FROM breq, (VALUES (0), (1), (2)) n(i), (VALUES ('purchase'), ('view'), ('signup')) f(feature_name)
-  WHERE day(d) % 10 <> 0
+, ask AS (
+  SELECT event_id AS request_id, 'user_' || CAST(user_id + i AS VARCHAR) AS entity_id, ts AS as_of, feature_name
+  FROM events, (VALUES (0), (1), (2)) n(i), (VALUES ('purchase'), ('view'), ('signup')) f(feature_name)
+  WHERE event_type = 'click'
 ), hits AS (
   SELECT b.request_id, b.entity_id, b.feature_name, f.value_num, f.event_ts AS value_ts
   FROM ask b ASOF JOIN fv f ON b.entity_id = f.entity_id AND b.feature_name = f.feature_name
@@ -261,11 +267,10 @@ FROM spine s ASOF LEFT JOIN p ON s.entity_id = p.entity_id AND s.label_ts >= p.e
 SELECT request_id, entity_id, feature_name, round(value_num, 6) AS value, value_ts, entities_returned
 FROM hits JOIN cnt USING (request_id)""",
 
-    "request_rejects": with_ctes(REGISTRY_CTE) + """
-, breq AS (
-  SELECT max(event_id) AS request_id, user_id, CAST(ts AS DATE) AS d, max(ts) AS as_of
-  FROM events WHERE event_type = 'click' GROUP BY user_id, CAST(ts AS DATE))
-SELECT request_id, 'no_features' AS violations FROM breq WHERE day(d) % 10 = 0""",
+    "request_rejects": """
+SELECT event_id AS request_id, concat_ws(',', CASE WHEN user_id % 7 = 0 THEN 'no_entities' END,
+                                         CASE WHEN day(ts) % 10 = 0 THEN 'no_features' END) AS violations
+FROM events WHERE event_type = 'click' AND (user_id % 7 = 0 OR day(ts) % 10 = 0)""",
 
     "sliding_stats": with_ctes(EV_CTE, sliding_cte("st", "5 minutes", "1 minute", 5, "5min"))
         + stats_select("st", "5min"),
@@ -368,9 +373,7 @@ SELECT s.spine_id, '"' || e.event_type || '"' AS last_kind, CAST(e.value > 50 AS
 FROM s ASOF LEFT JOIN events e ON s.user_id = e.user_id AND s.ts >= e.ts""",
 
     "batch_any_type": """
-WITH ask AS (
-  SELECT max(event_id) AS request_id, user_id, max(ts) AS as_of
-  FROM events WHERE event_type = 'click' GROUP BY user_id, CAST(ts AS DATE)),
+WITH ask AS (SELECT event_id AS request_id, user_id, ts AS as_of FROM events WHERE event_type = 'click'),
 hits AS (
   SELECT a.request_id, e.user_id, e.event_type, e.value, e.props, e.event_id, e.ts
   FROM (SELECT request_id, user_id + i AS user_id, as_of FROM ask, (VALUES (0), (1), (2)) n(i)) a
@@ -423,6 +426,26 @@ SELECT event_id, coalesce(a, false) AS k_42, coalesce(b, false) AS high, coalesc
 SELECT entity_id, feature_name, round(arg_max(value, window_end), 6) AS value, max(window_end) AS value_ts
 FROM f WHERE window_end <= TIMESTAMP '2024-01-15 00:00:00' AND value IS NOT NULL GROUP BY entity_id, feature_name""",
 
+    "pit_asof_late_write": with_ctes(REGISTRY_CTE, LATE_CTE, SPINE_CTE) + """
+, p AS (SELECT * FROM late WHERE feature_name = 'purchase'), v AS (SELECT * FROM late WHERE feature_name = 'view'),
+a AS (SELECT s.*, p.value_num AS pv, p.event_ts AS pt FROM spine s ASOF LEFT JOIN p
+      ON s.entity_id = p.entity_id AND s.label_ts >= p.event_ts)
+SELECT a.spine_id, round(pv, 6) AS purchase_value, pt AS purchase_ts, round(v.value_num, 6) AS view_value, v.event_ts AS view_ts
+FROM a ASOF LEFT JOIN v ON a.entity_id = v.entity_id AND a.label_ts >= v.event_ts""",
+
+    "rollup_invalidated": with_ctes(REGISTRY_CTE, LATE_CTE) + """
+SELECT feature_id, entity_id, date_trunc('hour', event_ts) AS hour, count(*) AS update_count, max(event_ts) AS last_update
+FROM late GROUP BY ALL""",
+
+    "typed_values": """
+SELECT event_id AS write_seq, f.feature_name,
+       CASE WHEN feature_name = 'big_seq' THEN 9007199254740992 + event_id END AS as_int64,
+       CASE WHEN feature_name = 'is_high' THEN value > 50 END AS as_bool,
+       CASE WHEN feature_name = 'last_kind' THEN event_type END AS as_string,
+       CASE WHEN feature_name = 'last_doc' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS as_object_k,
+       CAST(NULL AS DOUBLE) AS as_float64, true AS matches
+FROM events, (VALUES ('last_kind'), ('is_high'), ('last_doc'), ('big_seq')) f(feature_name)""",
+
     # The watermark is kept in milliseconds; windows that end at it or before have left the stream.
     "stream_closed_snapshot": with_ctes(EV_CTE, sliding_cte("st", "5 minutes", "1 minute", 5, "5min"), CLOSED_CTE) + """
 , f AS (
@@ -674,3 +697,6 @@ SELECT b.entity_type, bk.le, CAST(bk.bucket AS INTEGER) AS bucket,
 FROM b, bk GROUP BY ALL""",
 
 })
+
+ORACLES["retention_dropped"] = ORACLES["retention"]
+ORACLES["stream_sessions"] = ORACLES["session_duration"]

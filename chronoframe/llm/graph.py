@@ -22,8 +22,8 @@ def components(links: DataFrame) -> DataFrame:
     neighbour) and a small star (every smaller neighbour does), which ends after a number of rounds
     that grows with the logarithm of the longest path.  An edge becomes one edge in each step, so the
     table never grows.  A node with many larger neighbours, as a hub is, is one row in the minimum,
-    summed before the shuffle, and one key of a join that Spark may split; no neighbour list is built.
-    Every round is written to the shared folder.  Links with a null end and loops don't count.
+    summed before the shuffle, and one key of a join that Spark may split, as both of its sides are read from
+    files; no neighbour list is built.  Every round is written to the shared folder.  Links with a null end and loops don't count.
     """
     edges, open_ = _written(links.where("a is not null and b is not null and a <> b")
                             .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
@@ -31,6 +31,7 @@ def components(links: DataFrame) -> DataFrame:
     while open_:
         both = edges.select("u", "v").union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("v"), F.least("u", "low").alias("low"))
+        low = write_table(low, "low")
         large = edges.join(low, "v").withColumn("least", F.min("low").over(Window.partitionBy("u")))
         smallest = F.col("low") == F.col("least")
         moved = large.select(F.when(smallest, F.col("u")).otherwise(F.col("low")).alias("u"), F.col("least").alias("v"),

@@ -33,7 +33,7 @@ MAX_LANGS = 256
 PER_LANG = 4000
 SWITCH = 12.0
 #: UTF-8 bytes handled at once: the arrays of a step take some fifty times as much.
-SLICE = 1 << 19
+SLICE = 1 << 20
 #: Characters from which a text is labelled in pieces of that length.
 LONG = 1 << 18
 #: Words of a block of a long text, and values of the blocks that go forward together.

@@ -3,8 +3,8 @@
 Three base patterns (assignments, access keys, hexadecimal runs) run over every whole text.  The
 method then looks at each value in a credential context -- a wider list of credential words than the
 assignment pattern has, followed by a separator -- and computes its guess cost: the cheapest
-segmentation into dictionary words, dates, repeats, keyboard walks and brute-force spans, in bits.  A
-brute-force span costs, per character, the alphabet that the span mixes (26, 36, 52, 62, 95, ...).
+segmentation into dictionary words, dates, repeats (of a character or a block), keyboard walks and
+brute-force spans, in bits.  A brute-force span costs, per character, the alphabet that the span mixes (26, 36, 52, 62, 95, ...).
 Values of at least ``min_bits`` add a span of kind ``guess``; base spans always stay.
 
 The dictionary is the list of whole words of a public vocabulary file, whose order is by frequency:
@@ -29,21 +29,28 @@ from .common import by_bytes, map_arrow
 
 KINDS = ("assign", "access", "hex", "guess")
 SEGMENT_BITS = 1.0
-#: Bits of guess cost from which a credential value counts as a secret: those of ten random digits.  Random
-#: values of six characters, the shortest that CONTEXT admits, have 35.2 in letters of both cases and 36.7
-#: with digits, but 32.0 in letters of one case and digits.
-MIN_BITS = 10 * math.log2(10) + SEGMENT_BITS - 1e-9
+#: Bits of guess cost from which a credential value counts as a secret: one that a hundred million guesses don't reach.
+#: Random values of six characters, the shortest that a context admits, have 32 bits or more, less where they
+#: hold a short word or a date.
+MIN_BITS = math.log2(1e8)
+#: Characters of the longest block whose repeats are a segment.
+MAX_BLOCK = 32
 MAX_WORDS = 1 << 18
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                     re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-# Credential words (fixed values), a separator, then the value.
-CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|bearer|credentials?|login)"""
-    r"""["']?(?:\x20*(?:[:=]|=>|:=)\x20*|\x20+is\x20+)["']?([^\s"'<>,;]{6,})""", re.IGNORECASE | re.ASCII)
-HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "login")
+# Credential words (fixed values) and what separates them from the value.  A credential word that is followed by a
+# separator of its own is no value, so "auth: login: x" has the value x.
+_WORD = (r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth(?:orization)?"""
+         r"""|bearer|credentials?|login)["']?(?:\x20*(?:[:=]|=>|:=)\x20*|\x20+is\x20+)["']?""")
+CONTEXTS = (
+    re.compile(rf"""{_WORD}(?:{_WORD})*(?:(?:bearer|basic)\x20+)?([^\s"'<>,;]{{6,}})""", re.IGNORECASE | re.ASCII),
+    re.compile(r"""\b(?:bearer|basic)\x20+([^\s"'<>,;]{6,})""", re.IGNORECASE | re.ASCII),  # an authorization line
+    re.compile(r"""\b[a-z][a-z0-9+.-]{0,30}://[^\s/:@"'<>]{0,256}:([^\s/@"'<>]{6,256})@""", re.IGNORECASE | re.ASCII),  # user:value@host
+)
+HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "basic", "credential", "login", "://")
 BASE_HINTS = ("passw", "secret", "token", "api")
 
 # Keyboard rows and the two plain sequences (fixed values).
@@ -114,6 +121,19 @@ def run_lengths(value: str) -> tuple[list[int], list[int]]:
     return same, walk
 
 
+def block_repeats(value: str) -> list[list[tuple[int, int]]]:
+    """For each end, (block length, copies after the first) of the blocks of 2 to ``MAX_BLOCK`` characters that repeat up
+    to there."""
+    out: list[list[tuple[int, int]]] = [[] for _ in value]
+    for p in range(2, min(MAX_BLOCK, len(value) // 2) + 1):
+        same = 0
+        for i in range(p, len(value)):
+            same = same + 1 if value[i] == value[i - p] else 0
+            if same >= p:
+                out[i].append((p, same // p))
+    return out
+
+
 def guess_bits(value: str, words: dict[str, int], longest: int) -> float:
     """Least bits over all segmentations of the value; brute force costs, per character,
     the alphabet of all sorts of characters in its span."""
@@ -126,6 +146,7 @@ def guess_bits(value: str, words: dict[str, int], longest: int) -> float:
     for i in range(n):
         if value[i].isdigit() and (m := DATE.match(value, i)):
             dates.setdefault(m.end(), []).append(i)
+    blocks = block_repeats(value)
     best = [0.0] + [math.inf] * n
     sorts = [1 << sort_of(c) for c in value]
     present = 0
@@ -155,6 +176,8 @@ def guess_bits(value: str, words: dict[str, int], longest: int) -> float:
             if length >= 3:
                 c = best[j - length] + base + math.log2(length) + SEGMENT_BITS
                 cost = min(cost, c)
+        for p, copies in blocks[i]:
+            cost = min(cost, best[j - p * copies] + math.log2(p) + math.log2(copies) + SEGMENT_BITS)
         for k in dates.get(j, ()):
             year = j - k == 4 and value[k:k + 2] in ("19", "20")
             c = best[k] + math.log2(200 if year else 200 * 366) + SEGMENT_BITS
@@ -183,8 +206,12 @@ def scan_text(text: str, words: dict[str, int], longest: int,
     most = None
     low = text.lower()
     if any(h in low for h in HINTS):
-        base, at, reach = sorted(spans), 0, -1  # reach: the furthest end of the base spans that begin by the value
-        for m in CONTEXT.finditer(text):
+        # reach: the furthest end of the base spans that begin by the value; taken: the end of the last value.
+        base, at, reach, taken = sorted(spans), 0, -1, 0
+        for m in sorted((m for c in CONTEXTS for m in c.finditer(text)), key=lambda m: m.span(1)):
+            if m.start(1) < taken:
+                continue
+            taken = m.end(1)
             while at < len(base) and base[at][0] <= m.start(1):
                 reach = max(reach, base[at][2])
                 at += 1

@@ -154,12 +154,38 @@ def test_random_short_values():
 
     assert found("pwd=aB3xK9qL") and found("login: q7Zt2Xw") and found("auth: 8361529407") and not found("login: monkey")
     rng = random.Random(4)
-    for n, least in ((6, 100), (7, 170), (8, 190), (9, 195), (10, 195)):
+    for n, least in ((6, 190), (7, 195), (8, 198), (9, 198), (10, 198)):
         values = ["".join(rng.choices(string.ascii_letters + string.digits, k=n)) for _ in range(200)]
         hits = sum(found(f"see pwd={v} there") for v in values)
         assert hits >= least, (n, hits)
 
 
+def test_contexts_and_repeats(spark):
+    words = secrets.load_words(secrets.default_words())
+    longest = max(map(len, words))
+
+    def found(text):
+        return [text[s:e] for s, k, e in secrets.scan_text(text, words, longest, secrets.MIN_BITS)[0] if k == 3]
+
+    v = "q7Zt2XwPl9KfR4sVb8Nm"
+    assert found(f"Authorization: Bearer {v}\nnext") == [v] and found(f"curl -H 'bearer {v}'") == [v]
+    assert found(f"postgres://bob:{v[:10]}@db/x and http://a/b") == [v[:10]]
+    assert found(f"auth: login: {v[:10]}") == [v[:10]] and found(f"password: token: {v[:10]}") == [v[:10]]
+    assert found("login: hunter2hunter2 auth: xkq7xkq7xkq7xkq7 login: abcabcabcabcabc") == []
+    assert found("the bearer certificate; a basic understanding; see https://host:8080/path@x") == []
+
+    def bits(value):
+        return secrets.guess_bits(value, words, longest)
+
+    assert bits("xkq7" * 4) < bits("xkq7") + 8 and bits("abcabcabcabcabc") < 20 and bits("xkq7" * 4) < secrets.MIN_BITS
+    assert secrets.block_repeats("ababab")[5] == [(2, 2)] and secrets.block_repeats("") == []
+    text = "é " * 600_000 + f"\npwd={v}"
+    df = spark.createDataFrame([(1, text, 1, "x"), (2, None, 1, "x")], "doc_id long, text string, n_assign long, base_spans string")
+    rows = {r["doc_id"]: r for r in secrets.scan(df).collect()}
+    assert rows[1]["spans"] == f"guess:{len(text) - len(v)}:{len(text)}" and rows[2]["spans"] == ""
+    assert secrets.redact(df).columns == df.columns
+
+
 def test_many_lines_of_one_text():
     """Linear in the text: base spans and context values go along together."""
     words = secrets.load_words(secrets.default_words())

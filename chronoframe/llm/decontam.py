@@ -17,8 +17,9 @@ own length; those under ``MIN_WORDS`` words, which prose may hold by chance, by
 they are a whole sentence or line of the document.
 
 The documents are templated whole, in numpy, in one pass without a shuffle; only windows whose hash the
-benchmark has leave the worker.  For this its hashes are broadcast while there are at most
-``MAX_HASHES``; beyond that every window goes into the (shuffled) join, with the same result.
+benchmark has leave the worker.  For this its hashes are broadcast: themselves while there are at most
+``MAX_HASHES``, beyond that as a Bloom filter of ``BLOOM_BITS``, so that the windows in the (shuffled) join
+stay few at every size of the benchmark; the result is the same.
 
 Cases: null texts have no words; a null document id is one document of its own; repeated rows change
 nothing; of different texts under one id each is compared on its own, and the one that covers the most
@@ -36,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import by_bytes, map_arrow, mix, series, write_table
 from .words import hashes, spans, utf8
 
@@ -45,6 +47,8 @@ MIN_LITERALS = 4
 COVER_WORDS = 13
 COVER_SHARE = 0.6
 MAX_HASHES = 1 << 21
+#: Bits of the Bloom filter of a larger benchmark's hashes: 32 MB.
+BLOOM_BITS = 1 << 28
 
 # Units (fixed values), after a number only.
 UNITS = ("kg", "g", "mg", "lb", "lbs", "oz", "km", "m", "cm", "mm", "mi", "mile", "miles", "ft", "feet", "foot",
@@ -204,7 +208,8 @@ def _unit_hashes() -> np.ndarray:
 
 def _windows_of(rows: DataFrame, sizes: list[int] | None, wanted) -> DataFrame:
     """(id, source, size, pos, h, n_words, slots) of an (id, text) table; ``source`` tells its texts apart.  ``sizes`` None: benchmark items, each
-    with the window size that fits it.  ``wanted``: broadcast sorted hashes, or None for all."""
+    with the window size that fits it.  ``wanted``: broadcast (sorted hashes, their low bits) or (None, Bloom
+    filter); None for all."""
     def work(batches):
         for batch in by_bytes(batches, "text"):
             t = Template(batch.column("text"))
@@ -220,9 +225,12 @@ def _windows_of(rows: DataFrame, sizes: list[int] | None, wanted) -> DataFrame:
                     at, h = at[fits], h[fits]
                 if wanted is not None and len(h):
                     there, bits = wanted.value
-                    maybe = np.flatnonzero(bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)])
-                    near = np.minimum(np.searchsorted(there, h[maybe]), len(there) - 1)
-                    found = maybe[there[near] == h[maybe]]
+                    if there is None:
+                        found = np.flatnonzero(bloom.maybe(bits, h.view(np.int64), 8 * len(bits)))
+                    else:
+                        maybe = np.flatnonzero(bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)])
+                        near = np.minimum(np.searchsorted(there, h[maybe]), len(there) - 1)
+                        found = maybe[there[near] == h[maybe]]
                     at, h = at[found], h[found]
                 row = t.row[at]
                 yield pa.RecordBatch.from_arrays(
@@ -270,7 +278,7 @@ def _consistent(aligned: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str,
-           max_hashes: int) -> DataFrame:
+           max_hashes: int, bloom_bits: int = BLOOM_BITS) -> DataFrame:
     """(doc_id, doc_text, item_id, counts) of the leaks, per text: ``doc_text`` is a hash that tells apart the texts of
     one id."""
     spark = docs.sparkSession
@@ -279,12 +287,13 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
                         "benchmark-windows")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     known = items.select("h").distinct()
-    wanted = None
     if known.limit(max_hashes + 1).count() <= max_hashes:
         there = np.sort(known.toArrow()["h"].to_numpy().view(np.uint64)) if sizes else np.zeros(0, np.uint64)
         bits = np.zeros(1 << max(10, (16 * len(there)).bit_length()), bool)
         bits[(there & np.uint64(len(bits) - 1)).astype(np.int64)] = True
         wanted = spark.sparkContext.broadcast((there, bits))
+    else:
+        wanted = spark.sparkContext.broadcast((None, bloom.build(known, bloom_bits)))
     found = _windows_of(docs.select(F.col(id_col).cast("bigint").alias("id"),
                                     F.col(text_col).cast("string").alias("text")), sizes or [WINDOW], wanted)
     if not sizes:

@@ -5,7 +5,8 @@ that speaker as assistant and the others as named users.  A sample is (conversat
 returned as its segments, one row per turn: the segments in order of ``seq`` are the text, ``target``
 says which are trained on, and [start, end) is the place of the segment and [mask_start, mask_end) that
 of its trained part, in code points.  So a conversation of any length needs no buffer: places are
-prefix sums in two steps, within blocks of ``BLOCK`` turn numbers and over the blocks.
+prefix sums in two steps, within blocks of ``BLOCK`` turn numbers and over the blocks.  Turns of a conversation
+that are null or equal are one block, whose rows go through one task's window, which streams and spills.
 ``render`` joins the segments of each sample into one text with its mask spans.
 
 Cases: a null text counts as empty; a null role is the participant ``unknown``; a null turn comes

@@ -3,7 +3,8 @@
 Pass 1 scatters whole records by seeded hashes into buckets of about ``bucket_bytes``.  The shard is
 the rendezvous winner of (doc_id, shard number): doc_id and the shard count alone decide, and one
 more shard takes records only into itself.  Within a shard the bucket is a second hash, of the id
-and the text, so that many rows without an id still spread.  Pass 2 puts each bucket in a fixed
+and the text, so that many rows without an id still spread.  Rows that repeat one id and text more than ``HOT``
+times are written with their place in the table first, which joins the hash, so that they spread as well.  Pass 2 puts each bucket in a fixed
 order and applies a seeded Fisher-Yates shuffle (``shuffle``); the slot is the place in the bucket
 plus the rows of the shard's earlier buckets.
 
@@ -23,7 +24,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import write_table
+
 BUCKET_BYTES = 8 << 20
+#: Equal rows from which their places in the table spread them over buckets.
+HOT = 1000
 
 
 def rendezvous(key: Column, n_shards: int, seed: int) -> Column:
@@ -38,19 +43,29 @@ def record_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1
 
 
+def _placed(docs: DataFrame, hash_: Column, hot: int) -> DataFrame:
+    """(row, place): the records, with a place in the table where they repeat more than ``hot`` times, else 0.  Places
+    are written before they are used, as a second reading could number the rows in another way."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), hash_.alias("h"))
+    often = rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("h")
+    often = write_table(often, "hot")
+    if often.isEmpty():
+        return rows.select("row", F.lit(0).cast("bigint").alias("place"))
+    spread = rows.join(often, "h", "left_semi").select("row", F.monotonically_increasing_id().alias("place"))
+    rest = rows.join(often, "h", "left_anti").select("row", F.lit(0).cast("bigint").alias("place"))
+    return rest.unionByName(write_table(spread, "placed"))
+
+
 def shard(docs: DataFrame, n_shards: int, seed: int = 7, bucket_bytes: int = BUCKET_BYTES,
-          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+          id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(row, shard, slot, grown_shard): ``row`` is the input record as a struct."""
-    def keyed(n_buckets: int) -> DataFrame:
-        key, text = F.col(id_col), F.col(text_col)
-        return docs.select(
-            rendezvous(key, n_shards, seed).alias("shard"),
-            F.pmod(F.xxhash64(key, text, F.lit(seed + 1)), F.lit(n_buckets)).cast("int").alias("bucket"),
-            F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-
     total = docs.agg(F.sum(record_size(F.col(text_col))).alias("b")).first()["b"] or 0
     per_shard = max(1, math.ceil(total / n_shards / bucket_bytes))
-    rows = keyed(per_shard)
+    key, text = F.col(f"row.{id_col}"), F.col(f"row.{text_col}")
+    same = F.xxhash64(docs[id_col].isNull(), docs[id_col], docs[text_col].isNull(), docs[text_col])
+    rows = _placed(docs, same, hot).select(
+        rendezvous(key, n_shards, seed).alias("shard"),
+        F.pmod(F.xxhash64(key, text, F.lit(seed + 1), F.col("place")), F.lit(per_shard)).cast("int").alias("bucket"), "row")
     offsets = (rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
                .select("shard", "bucket", F.coalesce(F.sum("n").over(
                    Window.partitionBy("shard").orderBy("bucket")

@@ -26,7 +26,7 @@ def op3_secret_scan(spark, sf_dir):
 
 
 def op4_warc_bundles(spark, sf_dir):
-    return warc.read(warc.write(read(spark, sf_dir, "pages"))).select(
+    return warc.read_bundles(warc.write_bundles(read(spark, sf_dir, "pages"))).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -4,8 +4,13 @@ Pages are dealt to archives of about ``ARCHIVE_BYTES`` by a hash of id and paylo
 archive by page and packs records into independent Zstandard frames of about ``FRAME_BYTES``; the last
 row of an archive is its seek table, a skippable frame, so the frames in order are one valid
 ``.warc.zst`` bundle.  Each frame row also maps its record ids to offsets within the decompressed
-frame, so one record is read by decompressing one frame.  Bundles stay in a table, which reaches any
-store Spark writes; ``export`` also writes them as files.
+frame, so one record is read by decompressing one frame.
+
+``write_bundles`` has each task write its archive as one file and returns the record index; ``read_bundles`` goes
+from a record's index row to the seek table at the end of its file, from there to the frame's bytes, and
+to the record's place in the frame.  Files go to a store that pyarrow's file systems reach from all
+executors.  ``write`` and ``read`` keep the same frames in a table, which reaches any store that Spark
+writes, and ``export`` makes files of it.
 
 Of records with equal payloads of at least ``MIN_DUPLICATE`` bytes the one with the smallest page_id is
 a response and the others revisit it.  Only (digest, id) pairs meet for this, summed before the shuffle.
@@ -20,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 import struct
+import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -28,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_root, scratch_path
 from .common import by_bytes, map_arrow, write_table
 
 ARCHIVE_BYTES = 32 << 20
@@ -129,9 +136,8 @@ def _pack(batches: Iterator[pa.RecordBatch], archive: int) -> Iterator[tuple]:
         yield archive, len(sizes), seek_table(sizes), [], [], []
 
 
-def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, id_col: str = "page_id",
-          url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write the bundles as a table of frames (see FRAMES) in the shared folder."""
+def _dealt(pages: DataFrame, archive_bytes: int, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(page_id, url, payload, digest, refers_to), one partition per archive, sorted."""
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
@@ -142,19 +148,113 @@ def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, id_col: str = "p
     revisits = (ids.join(first, "digest").where(F.col("page_id") > F.col("refers_to"))
                 .groupBy("page_id", "digest").agg(F.min("refers_to").alias("refers_to")))
     keys = ["page_id", "digest"]
-    dealt = (rows.repartition(n, *keys).join(revisits.repartition(n, *keys), keys, "left")
-             .sortWithinPartitions(*keys).select("page_id", "url", "payload", "digest", "refers_to"))
+    return (rows.repartition(n, *keys).join(revisits.repartition(n, *keys), keys, "left")
+            .sortWithinPartitions(*keys).select("page_id", "url", "payload", "digest", "refers_to"))
 
+
+_FRAME = pa.schema([("archive", pa.int32()), ("frame", pa.int32()), ("data", pa.binary()),
+                    *[(c, pa.list_(pa.int64())) for c in ("record_ids", "record_offsets", "record_lengths")]])
+
+
+def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, id_col: str = "page_id",
+          url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Write the bundles as a table of frames (see FRAMES) in the shared folder."""
     def work(batches):
-        schema = pa.schema([("archive", pa.int32()), ("frame", pa.int32()), ("data", pa.binary()),
-                            *[(c, pa.list_(pa.int64())) for c in ("record_ids", "record_offsets", "record_lengths")]])
         for row in _pack(batches, TaskContext.get().partitionId()):
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)],
-                                             schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _FRAME, strict=True)],
+                                             schema=_FRAME)
 
+    dealt = _dealt(pages, archive_bytes, id_col, url_col, html_col)
     return write_table(dealt.transform(map_arrow, work, FRAMES), "warc")
 
 
+def _store(uri: str):
+    """pyarrow's file system of a URI, and the path in it."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
+def write_bundles(pages: DataFrame, uri: str | None = None, archive_bytes: int = ARCHIVE_BYTES, id_col: str = "page_id",
+                  url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Write one seekable file per archive under ``uri`` (by default in the shared folder); the record index,
+    written: (file, frame, record_ids, record_offsets, record_lengths) per frame.  A task writes beside the
+    file and renames at its end, so a task that runs again replaces its file by an equal one."""
+    uri = uri or scratch_path(pages.sparkSession, "warc")
+    names = ["file", "frame", "record_ids", "record_offsets", "record_lengths"]
+
+    def work(batches):
+        store, root = _store(uri)
+        archive = TaskContext.get().partitionId()
+        file = f"{root}/archive-{archive}.warc.zst"
+        beside, out = f"{root}/.archive-{archive}-{uuid.uuid4().hex}", None
+        for _, frame, data, ids, offsets, lengths in _pack(batches, archive):
+            if out is None:
+                store.create_dir(root, recursive=True)
+                out = store.open_output_stream(beside, compression=None)
+            out.write(data)
+            if ids:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([file]), pa.array([frame], pa.int32()), *[pa.array([v], pa.list_(pa.int64())) for v in (ids, offsets, lengths)]],
+                    names=names)
+        if out is not None:
+            out.close()
+            store.move(beside, file)
+
+    dealt = _dealt(pages, archive_bytes, id_col, url_col, html_col)
+    return write_table(dealt.transform(map_arrow, work, "file string, frame int, record_ids array<bigint>, "
+                                       "record_offsets array<bigint>, record_lengths array<bigint>"), "warc-index")
+
+
+def frame_places(f) -> list[tuple[int, int]]:
+    """(offset, compressed size) of the frames of an open bundle file, from the seek table at its end."""
+    size = f.size()
+    n = struct.unpack("<I", f.read_at(9, size - 9)[:4])[0]
+    return read_seek_table(f.read_at(9 + 8 * n, size - 9 - 8 * n))
+
+
+def read_bundles(index: DataFrame, uri: str | None = None, page_ids: list[int] | None = None) -> DataFrame:
+    """The records (see RECORDS) of the bundle files, all or those of a few pages: seek table, frame, record.
+    ``uri``: of the store, where it isn't that of the shared folder."""
+    uri = uri or checkpoint_root(index.sparkSession)
+    n = max(1, index.select("file").distinct().count())
+    if page_ids is not None:
+        index = index.where(F.arrays_overlap("record_ids", F.array(*[F.lit(i).cast("bigint") for i in page_ids])))
+
+    def work(batches):
+        import zstandard
+
+        press = zstandard.ZstdDecompressor()
+        store, _ = _store(uri)
+        at, f, places = None, None, []
+        for batch in batches:
+            for file, frame, ids, offsets, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if file != at:
+                    at, f = file, store.open_input_file(file)
+                    places = frame_places(f)
+                offset, size = places[frame]
+                plain = press.decompress(f.read_at(size, offset))
+                yield _records(plain, ids, offsets, lengths, page_ids)
+
+    # By frame, not by the index' few bytes; frames of one file come together.
+    spread = index.repartition(n, "file", F.floor(F.col("frame") / 8)).sortWithinPartitions("file", "frame")
+    return spread.select("file", "frame", "record_ids", "record_offsets", "record_lengths").transform(map_arrow, work, RECORDS)
+
+
+def _records(plain: bytes, ids, offsets, lengths, page_ids) -> pa.RecordBatch:
+    """The records (see RECORDS) of one decompressed frame; a response's digest is that of the payload read."""
+    names = [f.split(" ")[0] for f in RECORDS.split(", ")]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+    got = [parse(plain[o:o + n]) for i, o, n in zip(ids, offsets, lengths, strict=True) if page_ids is None or i in page_ids]
+    for r in got:
+        if r["payload"] is not None:
+            r["payload_digest"] = hashlib.sha256(r["payload"]).hexdigest()
+            r["payload_bytes"] = len(r["payload"])
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in got], t) for c, t in zip(names, types, strict=True)], names=names)
+
+
 def index(frames: DataFrame) -> DataFrame:
     """(page_id, archive, frame, offset, length): where each record lies in its plain frame."""
     zipped = F.arrays_zip(F.col("record_ids").alias("i"), F.col("record_offsets").alias("o"),
@@ -175,19 +275,9 @@ def read(frames: DataFrame, page_ids: list[int] | None = None) -> DataFrame:
         import zstandard
 
         press = zstandard.ZstdDecompressor()
-        names = [f.split(" ")[0] for f in RECORDS.split(", ")]
-        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         for batch in batches:
             for data, ids, offsets, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                plain = press.decompress(data)
-                got = [parse(plain[o:o + n]) for i, o, n in zip(ids, offsets, lengths, strict=True)
-                       if page_ids is None or i in page_ids]
-                for r in got:
-                    if r["payload"] is not None:
-                        r["payload_digest"] = hashlib.sha256(r["payload"]).hexdigest()
-                        r["payload_bytes"] = len(r["payload"])
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in got], t)
-                                                  for c, t in zip(names, types, strict=True)], names=names)
+                yield _records(press.decompress(data), ids, offsets, lengths, page_ids)
 
     return wanted.select("data", "record_ids", "record_offsets", "record_lengths").transform(map_arrow, work, RECORDS)
 
@@ -199,9 +289,7 @@ def export(frames: DataFrame, uri: str) -> DataFrame:
                .sortWithinPartitions("archive", "frame"))
 
     def work(batches):
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(uri)
+        store, root = _store(uri)
         out, at, size, done = None, None, 0, []
         for batch in batches:
             for archive, data in zip(batch.column("archive").to_pylist(), batch.column("data").to_pylist(), strict=True):

@@ -9,7 +9,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from chronoframe.llm import chat, decontam, minhash, queries, secrets, sharding, warc
-from chronoframe.llm.common import read
+from chronoframe.llm.common import read, write_table
 
 from .conftest import SF
 
@@ -66,6 +66,70 @@ def test_seekable_bundles(spark, tmp_path):
     assert seen == len(where) == read(spark, SF, "pages").count()
 
 
+def test_bundle_files(spark, tmp_path):
+    """Files from tasks, read back by seek table, frame and record; a rerun leaves the same files."""
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string").selectExpr("*", "1 as file", "2 as frame")
+    cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    for uri in (None, f"file://{tmp_path}/out"):
+        index = warc.write_bundles(df, uri, archive_bytes=300_000)
+        got = warc.read_bundles(index, uri)
+        assert sorted((tuple(r) for r in got.select(*cols).collect()), key=repr) == brute_pages(PAGES)
+        assert [r["page_id"] for r in warc.read_bundles(index, uri, [8]).collect()] == [8]
+    first = {n: (tmp_path / "out" / n).read_bytes() for n in os.listdir(tmp_path / "out") if not n.endswith(".crc")}
+    assert len(first) > 1 and all(n.endswith(".warc.zst") for n in first)
+    warc.write_bundles(df, f"file://{tmp_path}/out", archive_bytes=300_000)
+    assert {n: (tmp_path / "out" / n).read_bytes() for n in os.listdir(tmp_path / "out") if not n.endswith(".crc")} == first
+    assert warc.read_bundles(warc.write_bundles(df.limit(0))).collect() == []
+    pages = read(spark, SF, "pages")
+    index = warc.write_bundles(pages, archive_bytes=1 << 16)
+    assert index.select("file").distinct().count() > 1 and warc.read_bundles(index).count() == pages.count()
+
+
+def test_equal_rows_spread(spark):
+    """Rows that repeat one id and text fill several buckets; the others stay where they are."""
+    hot = [(None, "the same text in many rows")] * 3000
+    rest = [(i, f"text {i}") for i in range(300)]
+    df = write_table(spark.createDataFrame(hot + rest, "doc_id long, text string").repartition(4), "rows")
+    sizes = dict(bucket_bytes=2000, hot=100)
+    out = sharding.shard(df, 4, **sizes)
+    rows = out.collect()
+    slots = {}
+    for r in rows:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(rows) == 3300 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    place = {r["row"]["doc_id"]: r["shard"] for r in rows}
+    assert place == {r["row"]["doc_id"]: r["shard"] for r in sharding.shard(df, 4).collect()}
+    assert len({r["shard"] for r in rows if r["row"]["doc_id"] is None}) == 1
+    same = sharding._placed(df, F.xxhash64("doc_id", "text"), 100)
+    assert same.where("place > 0").select("place").distinct().count() >= 2999
+
+
+def test_shards_against_brute_force(spark, docs):
+    """The winning hash of each document, computed apart; one more shard takes rows only into itself."""
+    import xxhash
+
+    def weight(key, i, seed):
+        h = 42
+        for x, size in ((key, 8), (i, 4), (seed, 4)):
+            if x is not None:
+                h = xxhash.xxh64_intdigest(int(x).to_bytes(size, "little", signed=True), h)
+        return h - 2**64 if h >= 2**63 else h
+
+    for r in sharding.shard(docs, 8).collect():
+        d = r["row"]["doc_id"]
+        assert r["shard"] == max(range(8), key=lambda i, d=d: (weight(d, i, 7), i))
+        assert r["grown_shard"] == max(range(9), key=lambda i, d=d: (weight(d, i, 7), i))
+
+
+def test_chat_with_null_turns(spark):
+    rows = [(1, None, "ann" if i % 2 else "bob", f"t{i:03d}") for i in range(500)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.rotate(df).where("speaker = 'ann'").orderBy("seq").collect()
+    want = sorted((r[2], r[3]) for r in rows)
+    assert [(s["seq"], w[1] in s["segment"]) for s, w in zip(got, want, strict=True)] == [(i, True) for i in range(500)]
+    assert all(a["end"] == b["start"] for a, b in zip(got, got[1:], strict=False))
+
+
 def test_chat_rotation(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|x|>"), (1, 5000, "bob", "yo"), (1, 5000, "bob", "yo"),
             (1, 9000, "cy", None), (2, 0, "system", "alone"), (None, 1, None, "lost"), (3, None, "ann", "first"), (3, 0, "bob", "b")]

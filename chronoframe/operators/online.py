@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import add_seconds, glob_match, online_key, percent_or_zero, seconds_between, ts_lit
 from ..session import cut_lineage
 from .asof import as_of_join_long
+from .pit import resolved_values
 
 SNAPSHOT_COLS = ["entity_id", "feature_name", "value_num", "value_json", "value_ts", "written_at", "expires_at", "write_seq"]
 DEFAULT_TTL_SECONDS = 3600
@@ -121,6 +122,23 @@ def replay(snapshot: DataFrame, values: DataFrame, registry: DataFrame, requests
     return answers, snapshot_merge(snapshot, wb)
 
 
+def freshness_gauge(snapshot: DataFrame, values: DataFrame, registry: DataFrame, requests: DataFrame) -> DataFrame:
+    """A21 without a whole replay: per feature, the freshness that the newest request set which missed the snapshot
+    and found a value in the history.  A miss finds one if the key's first value isn't later, so the newest such
+    miss is an aggregate, and only one key per feature is looked up as of its time."""
+    first = resolved_values(values, registry).groupBy("entity_id", "feature_name").agg(F.min("event_ts").alias("first_ts"))
+    misses = probe(snapshot, requests).where(~F.col("hit")).join(first, ["entity_id", "feature_name"])
+    newest = misses.where(F.col("first_ts") <= F.col("request_ts")).groupBy("feature_name").agg(
+        F.max_by(F.struct("request_id", "entity_id", "request_ts"), F.struct("request_ts", "request_id")).alias("r"))
+    asked = cut_lineage(newest.select("feature_name", "r.*"))  # one row per feature
+    keys = asked.select("entity_id", "feature_name")
+    there = (resolved_values(values, registry).join(keys, ["entity_id", "feature_name"], "left_semi")
+             .select("entity_id", "feature_name", "event_ts"))
+    found = asked.join(there, ["entity_id", "feature_name"]).where(F.col("event_ts") <= F.col("request_ts"))
+    return found.groupBy("feature_name").agg(F.max("event_ts").alias("value_ts"), F.max("request_ts").alias("observed_at")).select(
+        "feature_name", seconds_between("observed_at", "value_ts").alias("freshness_seconds"), "observed_at")
+
+
 def invalidate(snapshot: DataFrame, pattern: str | None = None, entities=None) -> tuple[DataFrame, DataFrame]:
     """O3: remove keys matching a glob on ``entity:feature`` (E12), or all keys
     of the given entities (exact match: ids are not patterns).  Returns

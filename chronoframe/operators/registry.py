@@ -148,12 +148,15 @@ def tag_search(registry: DataFrame, any_of=None, all_of=None) -> DataFrame:
     return r
 
 
+def expand_members(members: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """J7 for groups of any size, one row per member: (``members`` with their latest definition, NULL where
+    none; those without one)."""
+    latest = (latest_versions(registry).select(
+        F.col("name").alias("member"), "feature_id", "version", "dtype", "entity_type"))
+    return members.join(latest, "member", "left"), members.join(latest.select("member"), "member", "left_anti")
+
+
 def expand_groups(groups: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Group -> members -> latest definition.  Returns (members with
     their definition, NULL where none) and the dangling member report."""
-    members = groups.select("group", F.posexplode("members").alias("pos", "member"))
-    latest = (latest_versions(registry).select(
-        F.col("name").alias("member"), "feature_id", "version", "dtype", "entity_type"))
-    joined = members.join(latest, "member", "left")
-    dangling = members.join(latest.select("member"), "member", "left_anti")
-    return joined, dangling
+    return expand_members(groups.select("group", F.posexplode("members").alias("pos", "member")), registry)

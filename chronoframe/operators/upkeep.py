@@ -133,3 +133,14 @@ def compact_days(history: DataFrame, as_of, last_run=None, days: int = 7,
 def analyze(spark: SparkSession, table: str) -> None:
     """H6: column statistics for the cost-based optimizer (catalog tables)."""
     spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")
+
+
+def column_statistics(spark: SparkSession, table: str, columns: list[str]) -> DataFrame:
+    """(column, num_nulls, min, max, n_rows) as the catalog has them after ``analyze``; texts."""
+    size = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}
+    n_rows = int(size["Statistics"].split(",")[-1].split()[0])
+    rows = []
+    for c in columns:
+        d = {r["info_name"]: r["info_value"] for r in spark.sql(f"DESCRIBE EXTENDED {table} {c}").collect()}
+        rows.append((c, int(d["num_nulls"]), d["min"], d["max"], n_rows))
+    return spark.createDataFrame(rows, "column string, num_nulls bigint, min string, max string, n_rows bigint")

@@ -321,7 +321,8 @@ def q_stream_closed_log(spark, sf_dir):
     log = drain_events_stream(spark, T(spark, sf_dir).events, closed=True).log()
     g = log.groupBy("dt").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("n_events").alias("n_events"),
                               F.count_distinct("entity_id", "event_type", "window_start").alias("n_distinct"),
-                              F.max(F.col("window_end").cast("timestamp_ntz")).alias("last_end"))
+                              F.max(F.col("window_end").cast("timestamp_ntz")).alias("last_end"),
+                              F.count_if(F.col("last_updated") <= F.current_timestamp()).alias("n_stamped"))
     return g
 
 
@@ -503,6 +504,70 @@ def q_group_members(spark, sf_dir):
     return members.select("group", "pos", "member", "feature_id", "version")
 
 
+def host_groups(t: Tables) -> DataFrame:
+    """One group per last label of the page hosts: its hosts."""
+    host = F.parse_url("url", F.lit("HOST"))
+    return t.raw("pages").select(F.substring_index(host, ".", -1).alias("group"), host.alias("member")).distinct()
+
+
+def q_group_hosts(spark, sf_dir):
+    """J7 over groups that grow with the pages; hosts that no valid definition names dangle."""
+    t = T(spark, sf_dir)
+    registry = reg.register(t.registry, host_definitions(t), REREGISTER_AT)
+    members, dangling = reg.expand_members(host_groups(t), registry)
+    lost = dangling.withColumn("dangling", F.lit(True))
+    return members.join(lost, ["group", "member"], "left").select(
+        "group", "member", "feature_id", "version", F.coalesce("dangling", F.lit(False)).alias("dangling"))
+
+
+def q_table_statistics(spark, sf_dir):
+    """H6: statistics of the stored history as a catalog table."""
+    t = T(spark, sf_dir)
+    path = t.folder("analyzed", lambda root: t.values.select("entity_id", "event_ts", "value_num", "write_seq").write.parquet(root))
+    name = "chronoframe_history_" + path.rsplit("-", 1)[-1]
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING PARQUET LOCATION '{path}'")
+    upkeep.analyze(spark, name)
+    s = upkeep.column_statistics(spark, name, ["write_seq", "value_num"])
+    return s.select("column", "num_nulls", r6(F.col("min").cast("double")).alias("min"), r6(F.col("max").cast("double")).alias("max"), "n_rows")
+
+
+def broken_events(t: Tables) -> DataFrame:
+    """Every event as JSON; errors have a bad time, signups no entity, clicks no type, and views are cut off."""
+    from ..streaming.job import event_json
+    kind = F.col("event_type")
+    e = t.events.withColumn("entity_id", F.when(kind != "signup", F.col("entity_id")))
+    text = F.get_json_object("value", "$.event_type")
+    j = event_json(e.select("entity_id", "event_type", "value", "timestamp", "metadata")).withColumn("kind", text)
+    return j.select(F.when(F.col("kind") == "error", F.regexp_replace("value", '"timestamp":"', '"timestamp":"x'))
+                    .when(F.col("kind") == "click", F.regexp_replace("value", '"event_type":"click",', ""))
+                    .when(F.col("kind") == "view", F.substring("value", 1, 20)).otherwise(F.col("value")).alias("value"))
+
+
+def q_stream_quarantine(spark, sf_dir):
+    """Rows per reason that did not decode, from the quarantine stream's table."""
+    from ..streaming.job import run_quarantine
+    root = scratch_path(spark, "quarantine")
+    broken_events(T(spark, sf_dir)).write.text(f"{root}/in")
+    run_quarantine(spark.readStream.format("text").load(f"{root}/in"), f"{root}/out", f"{root}/ckpt",
+                   trigger={"availableNow": True}).awaitTermination()
+    return spark.read.schema("_raw string, reason string").parquet(f"{root}/out").groupBy("reason").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+LATE_AT = "2024-01-20 00:00:00"
+
+
+def q_stream_late_rows(spark, sf_dir):
+    """K1/K7: the clicks of a day come after that day has passed: they count in windows that the watermark
+    hadn't closed, and in no other."""
+    from ..streaming.replay import drain_batches
+    t = T(spark, sf_dir)
+    ts, at = F.col("timestamp"), ts_lit(LATE_AT)
+    held = (F.col("event_type") == "click") & (ts < at) & (ts >= F.timestamp_add("DAY", F.lit(-1), at))
+    store = drain_batches(spark, [t.events.where((ts < at) & ~held), t.events.where((ts >= at) | held)], closed=False)
+    s = store.windows().withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+    return _stats_out(s, "5min")
+
+
 def q_group_dangling(spark, sf_dir):
     t = T(spark, sf_dir)
     _, dangling = reg.expand_groups(A.feature_groups(spark), t.registry)
@@ -613,8 +678,7 @@ def q_hit_rate(spark, sf_dir):
 
 def q_freshness_gauge(spark, sf_dir):
     t = T(spark, sf_dir)
-    answers, _ = _replay(t)
-    g = telemetry.freshness_gauge(answers)
+    g = online.freshness_gauge(warm_snapshot(t), t.values, t.registry, online_requests(t))
     return g.select("feature_name", r6("freshness_seconds").alias("freshness_seconds"), "observed_at")
 
 
@@ -715,6 +779,10 @@ QUERIES = {
     "sliding_stats_1d6h": q_sliding_stats_1d6h,
     "window_long": q_window_long,
     "stream_window_stats": q_stream_window_stats,
+    "group_hosts": q_group_hosts,
+    "table_statistics": q_table_statistics,
+    "stream_quarantine": q_stream_quarantine,
+    "stream_late_rows": q_stream_late_rows,
     "stream_sessions": q_stream_sessions,
     "pit_asof_late_write": q_pit_asof_late_write,
     "rollup_invalidated": q_rollup_invalidated,

@@ -459,7 +459,39 @@ FROM f WHERE value IS NOT NULL GROUP BY entity_id, feature_name""",
 
     "stream_closed_log": with_ctes(EV_CTE, sliding_cte("st", "5 minutes", "1 minute", 5, "5min"), CLOSED_CTE) + """
 SELECT CAST(window_start AS DATE) AS dt, count(*) AS n_windows, CAST(sum(n_events) AS BIGINT) AS n_events,
-       count(*) AS n_distinct, max(window_end) AS last_end FROM closed GROUP BY 1""",
+       count(*) AS n_distinct, max(window_end) AS last_end, count(*) AS n_stamped FROM closed GROUP BY 1""",
+
+    "group_hosts": with_ctes(REGISTRY_CTE) + """
+, h AS (SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, count(*) - 1 AS ttl FROM pages GROUP BY 1),
+d AS (SELECT host, (SELECT max(feature_id) FROM registry) + row_number() OVER (ORDER BY host) AS id
+      FROM h WHERE length(host) <= 18 AND ttl >= 1)
+SELECT split_part(h.host, '.', -1) AS "group", h.host AS member, CAST(d.id AS INTEGER) AS feature_id,
+       CASE WHEN d.id IS NOT NULL THEN 1 END AS version, d.id IS NULL AS dangling
+FROM h LEFT JOIN d USING (host)""",
+
+    "table_statistics": """
+SELECT 'write_seq' AS "column", count(*) - count(event_id) AS num_nulls, CAST(min(event_id) AS DOUBLE) AS min,
+       CAST(max(event_id) AS DOUBLE) AS max, count(*) AS n_rows FROM events
+UNION ALL
+SELECT 'value_num', count(*) - count(value), round(min(value), 6), round(max(value), 6), count(*) FROM events""",
+
+    "stream_quarantine": """
+SELECT CASE event_type WHEN 'error' THEN 'bad_timestamp' WHEN 'click' THEN 'no_event_type' ELSE 'unparsed_or_no_entity' END
+         AS reason, count(*) AS n_rows
+FROM events WHERE event_type IN ('error', 'click', 'signup', 'view') GROUP BY 1""",
+
+    "stream_late_rows": with_ctes(EV_CTE) + """
+, b AS (SELECT *, event_type = 'click' AND ts < TIMESTAMP '2024-01-20 00:00:00' AND ts >= TIMESTAMP '2024-01-19 00:00:00' AS held
+        FROM ev),
+wm AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '10 minutes' AS w FROM b
+       WHERE ts < TIMESTAMP '2024-01-20 00:00:00' AND NOT held),
+x AS (SELECT b.*, time_bucket(INTERVAL '1 minute', ts, TIMESTAMP '1970-01-01') - k * INTERVAL '1 minute' AS window_start
+      FROM b, range(5) r(k)),
+st AS (
+  SELECT entity_id, event_type, window_start, window_start + INTERVAL '5 minutes' AS window_end, avg(value) AS avg_5min,
+         stddev_samp(value) AS stddev_5min, max(value) AS max_5min, min(value) AS min_5min, count(value) AS n_events
+  FROM x, wm WHERE NOT held OR window_start + INTERVAL '5 minutes' > w GROUP BY entity_id, event_type, window_start)"""
+        + stats_select("st", "5min"),
 
     "insert_ignore": with_ctes(ORDERS_CTE) + """
 , t AS (SELECT entity_id, event_ts, arg_min(value_num, write_seq) AS value_num, min(write_seq) AS write_seq

@@ -24,15 +24,14 @@ def time_slices(events: DataFrame, slices: int):
         yield events.where(cond)
 
 
-def drain_events_stream(spark: SparkSession, events: DataFrame, slices: int = 4, closed: bool = False,
-                        length: str = "5 minutes", slide: str = "1 minute", watermark: str = "10 minutes",
-                        compact_every: int = 3) -> WindowStore:
-    """Append one time slice of broker-style JSON files at a time and restart
-    the stream from its checkpoint with ``availableNow`` after each, so every
-    slice is one micro-batch (and each restart exercises recovery)."""
+def drain_batches(spark: SparkSession, batches, closed: bool = False, length: str = "5 minutes", slide: str = "1 minute",
+                  watermark: str = "10 minutes", compact_every: int = 3) -> WindowStore:
+    """Append one batch of broker-style JSON files at a time and restart the
+    stream from its checkpoint with ``availableNow`` after each, so every
+    one is a micro-batch (and each restart exercises recovery)."""
     root = scratch_path(spark, "stream")
     src, now = f"{root}/in", {"availableNow": True}
-    for part in time_slices(events, slices):
+    for part in batches:
         event_json(part).write.mode("append").text(src)
         raw = spark.readStream.format("text").load(src)
         for q in (run_stream(raw, f"{root}/store", f"{root}/ckpt", closed, length, slide, watermark,
@@ -42,3 +41,8 @@ def drain_events_stream(spark: SparkSession, events: DataFrame, slices: int = 4,
             if q.exception():
                 raise RuntimeError(str(q.exception()))
     return WindowStore(spark, f"{root}/store")
+
+
+def drain_events_stream(spark: SparkSession, events: DataFrame, slices: int = 4, closed: bool = False) -> WindowStore:
+    """The events in time slices, each a micro-batch."""
+    return drain_batches(spark, time_slices(events, slices), closed)

@@ -98,11 +98,11 @@ def replay(snapshot: DataFrame, values: DataFrame, registry: DataFrame, requests
     freshness recomputed at the request time (R7), the per-row ``hit`` and
     the per-request ``source`` ('cache' only when every feature hit).
     ``write_back``: the snapshot after caching the fetched misses."""
-    # The probe feeds hits, misses and the per-request flag: compute it once.
-    # The flag ('cache' only when every requested feature hit) is a window
-    # over one request's rows -- a group bounded by its feature list.
+    # The flag ('cache' only when every requested feature hit) is a window over one
+    # request's rows -- a group bounded by its feature list.  Hits and misses both
+    # start from that window's exchange, which Spark reuses; nothing is written.
     all_hit = F.min(F.col("hit").cast("int")).over(Window.partitionBy("request_id"))
-    probed = cut_lineage(probe(snapshot, requests).withColumn("_all", all_hit))
+    probed = probe(snapshot, requests).withColumn("_all", all_hit)
     hits = probed.where("hit").select(
         "request_id", "entity_id", "request_ts", "pos", "feature_name", "_all",
         F.col("cached_value").alias("value_num"), F.col("cached_json").alias("value_json"),

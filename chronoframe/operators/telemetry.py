@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import percent_or_zero, seconds_between
-from ..session import cut_lineage
 
 # --- fixed values: histogram bucket upper bounds of the reference's metrics
 LATENCY_BUCKETS_S = [0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5]
@@ -30,19 +29,21 @@ def attribute_tenant(log: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def value_counts(df: DataFrame, by, col: str) -> DataFrame:
-    """(_g, _x, _c): how often each value occurs per group, kept: what follows reads ``df`` once."""
+    """(_g, _x, _c): how often each value occurs per group.  What follows is built on these counts alone, so
+    their exchange is one that Spark reuses, behind one scan of ``df``."""
     group = F.struct(*by).alias("_g")  # equal also where a field is NULL
-    return cut_lineage(df.groupBy(group, F.col(col).alias("_x")).agg(F.count(F.lit(1)).alias("_c")))
+    return df.groupBy(group, F.col(col).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
 
 
-def exact_quantiles(df: DataFrame, by, col: str, quantiles: dict, ranges: int = 64, counts: DataFrame | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, by, col: str, quantiles: dict, ranges: int = 64) -> DataFrame:
     """The quantiles of ``col`` per group, exact, from the counts per value.  Approximate cuts part the distinct values
     of a group into ``ranges``, a value equal to a cut being a range of its own; exact sums per range tell which
     ranges hold a wanted rank, and only those are ranked.  A poor approximation makes a ranked range longer
     and changes no result."""
     by = list(by)
-    counts = (value_counts(df, by, col) if counts is None else counts).where(F.col("_x").isNotNull())
-    cuts = counts.groupBy("_g").agg(F.percentile_approx("_x", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts"))
+    counts = value_counts(df.where(F.col(col).isNotNull()), by, col)
+    # The condition on the count keeps it in both uses, so that they share one exchange.
+    cuts = counts.where("_c > 0").groupBy("_g").agg(F.percentile_approx("_x", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts"))
     below = F.aggregate("_cuts", F.lit(0), lambda n, c: n + (c < F.col("_x")).cast("int") + (c <= F.col("_x")).cast("int"))
     cut = counts.join(cuts, "_g").withColumn("_r", below).drop("_cuts")
     w = Window.partitionBy("_g")
@@ -73,31 +74,23 @@ def exact_quantiles(df: DataFrame, by, col: str, quantiles: dict, ranges: int =
                       for n in quantiles])
 
 
-def latency_summary(log: DataFrame, by=("endpoint",), col: str = "latency_ms", approx: bool = False) -> DataFrame:
+def latency_summary(log: DataFrame, by=("endpoint",), col: str = "latency_ms",
+                    approx: bool = False) -> DataFrame:
     """N, errors (status >= 400) and success percent of all requests;
     min, max, mean, median/p90/p95/p99 and population stddev of the latency of
-    the successful ones (NULL if none is).  One scan of the log gives the counts per value
-    and outcome; the rest works on those.  ``approx`` takes ``percentile_approx`` of the log instead of ranks."""
+    the successful ones (NULL if none is).  Two scans of the log, each summed
+    before its exchange: one per group, one per value."""
     by = list(by)
-    failed = F.coalesce(F.col("status") >= 400, F.lit(False))
-    counts = value_counts(log.withColumn("_failed", failed), [*by, "_failed"], col)
-    ok = F.when(~F.col("_g")["_failed"], F.col("_x"))
-    group = F.struct(*[F.col("_g")[c].alias(c) for c in by]).alias("_g")
-    rows = counts.select(group, ok.alias("_x"), "_c", F.col("_g")["_failed"].alias("_failed"))
-    known = F.when(F.col("_x").isNotNull(), F.col("_c"))
-    base = rows.groupBy("_g").agg(
-        F.sum("_c").alias("n"), F.min("_x").alias("min_ms"), F.max("_x").alias("max_ms"),
-        F.try_divide(F.sum(F.col("_x") * F.col("_c")), F.sum(known)).alias("mean_ms"), F.sum(known).alias("_known"),
-        F.sum(F.when(F.col("_failed"), F.col("_c")).otherwise(0)).alias("errors"))
-    spread = rows.join(base.select("_g", "mean_ms", "_known"), "_g").groupBy("_g").agg(F.sqrt(F.try_divide(
-        F.sum(F.col("_c") * (F.col("_x") - F.col("mean_ms")) * (F.col("_x") - F.col("mean_ms"))), F.max("_known"))).alias("stddev_ms"))
+    log = log.withColumn(col, F.when(F.col("status") < 400, F.col(col)))
+    base = log.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.min(col).alias("min_ms"), F.max(col).alias("max_ms"),
+        F.avg(col).alias("mean_ms"), F.stddev_pop(col).alias("stddev_ms"),
+        F.sum(F.when(F.col("status") >= 400, 1).otherwise(0)).cast("long").alias("errors"))
+    base = base.withColumn("success_pct", percent_or_zero(F.col("n") - F.col("errors"), F.col("n")))
     if approx:
-        value = F.when(~failed, F.col(col))
-        q = log.groupBy(*by).agg(*[F.percentile_approx(value, v, 10000).alias(k) for k, v in QUANTILES.items()])
+        q = log.groupBy(*by).agg(*[F.percentile_approx(col, v, 10000).alias(k) for k, v in QUANTILES.items()])
     else:
-        q = exact_quantiles(log, by, col, QUANTILES, counts=rows.groupBy("_g", "_x").agg(F.sum("_c").alias("_c")))
-    base = base.join(spread, "_g").withColumn("success_pct", percent_or_zero(F.col("n") - F.col("errors"), F.col("n")))
-    base = base.select(*[F.col("_g")[c].alias(c) for c in by], "n", "min_ms", "max_ms", "mean_ms", "stddev_ms", "errors", "success_pct")
+        q = exact_quantiles(log, by, col, QUANTILES)
     q = q.select(F.struct(*by).alias("_q"), *QUANTILES)
     return base.join(q, F.struct(*by).eqNullSafe(F.col("_q")), "left").drop("_q") \
         .withColumnsRenamed({"p50": "median_ms", "p90": "p90_ms", "p95": "p95_ms", "p99": "p99_ms"})

@@ -414,6 +414,41 @@ def q_compaction_due(spark, sf_dir):
     return c.select("entity_id", "event_ts", "dt", r6("value_num").alias("value"), "write_seq")
 
 
+COMPACTED_AT = "2024-01-31 00:00:00"
+
+
+def q_compaction_written(spark, sf_dir):
+    """H4 on stored files: clicks are written a second time with new values; then the days older than a week
+    are compacted in place, and the whole history is read back."""
+    t = T(spark, sf_dir)
+    clicks = t.registry.where("name = 'click'").select("feature_id")
+    again = t.values.join(clicks, "feature_id", "left_semi").withColumns(
+        {"value_num": F.col("value_num") + 1, "write_seq": F.col("write_seq") + 1_000_000_000})
+
+    def build(root):
+        writes.write_history(t.values, root)
+        writes.write_history(again, root, mode="append")
+        due = cut_lineage(upkeep.compact_days(spark.read.parquet(root), COMPACTED_AT, None, COMPACT_DAYS))
+        writes.write_history(due, root)
+
+    h = spark.read.parquet(t.folder("compacted", build))
+    return h.select("feature_id", "entity_id", "event_ts", r6("value_num").alias("value"), "write_seq")
+
+
+def q_window_merge_written(spark, sf_dir):
+    """U7 on stored files: the history after the window features were merged into their days."""
+    t = T(spark, sf_dir)
+
+    def build(root):
+        writes.write_history(t.values, root)
+        f = windows.stats_to_features(windows.window_stats(t.events, "5 minutes", "1 minute"))
+        merged, _ = windows.merge_into_history(f, t.registry, spark.read.parquet(root), 0)
+        writes.write_history(cut_lineage(merged), root)
+
+    h = spark.read.parquet(t.folder("merged", build))
+    return h.select("feature_id", "entity_id", "event_ts", r6("value_num").alias("value"), "write_seq")
+
+
 def q_retention(spark, sf_dir):
     t = T(spark, sf_dir)
     r = upkeep.retain(t.values, RETAIN_AT, RETAIN_DAYS)
@@ -688,6 +723,15 @@ def q_invalidate(spark, sf_dir):
     return remaining.select("entity_id", "feature_name", r6("value_num").alias("value"))
 
 
+INVALIDATE_RANGE = "user_[3-1]*:[!c-p]*"
+
+
+def q_invalidate_count(spark, sf_dir):
+    """Entries removed by a glob with a reversed range and a negated one."""
+    t = T(spark, sf_dir)
+    return online.invalidate(warm_snapshot(t), pattern=INVALIDATE_RANGE)[1]
+
+
 def q_snapshot_stats(spark, sf_dir):
     t = T(spark, sf_dir)
     p = online.probe(warm_snapshot(t), online_requests(t))
@@ -779,6 +823,9 @@ QUERIES = {
     "sliding_stats_1d6h": q_sliding_stats_1d6h,
     "window_long": q_window_long,
     "stream_window_stats": q_stream_window_stats,
+    "compaction_written": q_compaction_written,
+    "window_merge_written": q_window_merge_written,
+    "invalidate_count": q_invalidate_count,
     "group_hosts": q_group_hosts,
     "table_statistics": q_table_statistics,
     "stream_quarantine": q_stream_quarantine,

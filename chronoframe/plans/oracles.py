@@ -461,6 +461,27 @@ FROM f WHERE value IS NOT NULL GROUP BY entity_id, feature_name""",
 SELECT CAST(window_start AS DATE) AS dt, count(*) AS n_windows, CAST(sum(n_events) AS BIGINT) AS n_events,
        count(*) AS n_distinct, max(window_end) AS last_end, count(*) AS n_stamped FROM closed GROUP BY 1""",
 
+    "compaction_written": with_ctes(REGISTRY_CTE) + """
+, all_rows AS (
+  SELECT feature_id, entity_id, event_ts, value_num, write_seq FROM fv
+  UNION ALL
+  SELECT feature_id, entity_id, event_ts, value_num + 1, write_seq + 1000000000 FROM fv WHERE feature_name = 'click')
+SELECT feature_id, entity_id, event_ts, round(value_num, 6) AS value, write_seq FROM all_rows
+WHERE event_ts >= TIMESTAMP '2024-01-24 00:00:00'
+UNION ALL
+SELECT feature_id, entity_id, event_ts, round(arg_max(value_num, write_seq), 6), max(write_seq) FROM all_rows
+WHERE event_ts < TIMESTAMP '2024-01-24 00:00:00' GROUP BY ALL""",
+
+    "window_merge_written": with_ctes(REGISTRY_CTE, EV_CTE, sliding_cte("st", "5 minutes", "1 minute", 5, "5min")) + """
+SELECT feature_id, entity_id, event_ts, round(value_num, 6) AS value, write_seq FROM fv
+UNION ALL
+SELECT r.feature_id, st.entity_id, st.window_end, round(st.avg_5min, 6), 0
+FROM st, registry r WHERE st.event_type = 'purchase' AND r.name = 'avg_5min_purchase_value' AND st.avg_5min IS NOT NULL""",
+
+    "invalidate_count": with_ctes(REGISTRY_CTE, SNAP_CTE) + """
+SELECT count(*) AS removed FROM snap
+WHERE regexp_matches(entity_id || ':' || feature_name, '^user_[1-3].*:[^c-p].*$')""",
+
     "group_hosts": with_ctes(REGISTRY_CTE) + """
 , h AS (SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, count(*) - 1 AS ttl FROM pages GROUP BY 1),
 d AS (SELECT host, (SELECT max(feature_id) FROM registry) + row_number() OVER (ORDER BY host) AS id

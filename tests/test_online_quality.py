@@ -77,7 +77,7 @@ def test_key_split_and_glob(spark):
     e, f = split_online_key("k")
     r = df.select(e.alias("e"), f.alias("f")).collect()[0]
     assert (r.e, r.f) == ("a:b", "feat")
-    assert glob_to_regex("user_1*:p?") == "^user_1.*:p.$"
+    assert glob_to_regex("user_1*:p?") == "(?s)^user_1.*:p.\\z"
 
 
 def test_validate_requests_oversize(spark):

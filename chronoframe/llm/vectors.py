@@ -6,7 +6,8 @@ cosine.  The sequence is cut into blocks of about ``BLOCK`` vectors, with the bo
 leading ``BOUND_AXES`` axes and of the norm of the rest.  The join starts from the whole sequence with
 itself and halves into intervals ``FAN`` at a time, as joins with the table of interval bounds; a pair of
 intervals whose bounds are provably further apart than epsilon is dropped.  The pairs of blocks that are
-left are joined in tasks: again by sub-blocks with their bounds, then a matrix product in single
+left are joined in tasks, in tiles of ``TILE`` by ``TILE`` blocks, so that a block is sent once per tile and not
+once per partner: again by sub-blocks with their bounds, then a matrix product in single
 precision with a margin, and the cosine in double precision wherever it is within the margin.
 
 Equal vectors are one vector with a count.  A block pair returns at most one row per vector, with its
@@ -35,6 +36,8 @@ from .graph import components
 
 BLOCK = 4096
 SUB_BLOCK = 512
+#: Blocks on each side of the pairs that one task joins.
+TILE = 4
 FAN = 8
 GRID_AXES = 6
 BOUND_AXES = 12
@@ -222,21 +225,35 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, block: int = BLO
     pairs = interval_join(blocks, total, eps)
     kind = "<f4" if "float" in rows.schema["vector"].dataType.simpleString() else "<f8"
 
-    def side(name):
-        return blocks.select(F.col("block").alias(name), F.struct("ids", "copies", "data").alias(f"{name}_block"))
+    def block_of(row) -> tuple:
+        return (np.frombuffer(row["ids"], np.int64), np.frombuffer(row["copies"], np.int64),
+                np.frombuffer(row["data"], kind).reshape(-1, width).astype(np.float64))
 
     def work(batches):
+        tile, left = None, {}
         for batch in batches:
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "a_block", "b_block")), strict=True):
-                two = [(np.frombuffer(v["ids"], np.int64), np.frombuffer(v["copies"], np.int64),
-                        np.frombuffer(v["data"], kind).reshape(-1, width).astype(np.float64)) for v in (x, y)]
-                ids, links, root = join_blocks(*two, width, turn.value, cosine, eps, a == b)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(root)],
-                                                 names=["rep", "n", "root"])
-
-    # One block pair a task: a row holds two whole blocks.
-    joined = (pairs.join(side("a"), "a").join(side("b"), "b")
-              .repartition(max(1, min(total * (total + 1) // 2, 20_000)), "a", "b"))
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if (row["ta"], row["tb"]) != tile:
+                    tile, left = (row["ta"], row["tb"]), {}
+                if row["partners"] is None:  # the left side of a tile comes first
+                    left[row["block"]] = block_of(row)
+                    continue
+                right = block_of(row)
+                for a in sorted(row["partners"]):
+                    ids, links, root = join_blocks(left[a], right, width, turn.value, cosine, eps, a == row["block"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(root)],
+                                                     names=["rep", "n", "root"])
+
+    tiled = write_table(pairs.withColumns({"ta": F.floor(F.col("a") / TILE).cast("int"), "tb": F.floor(F.col("b") / TILE).cast("int")}),
+                        "vector-pairs")
+    none = F.lit(None).cast("array<int>").alias("partners")
+    sides = (tiled.select("ta", "tb", F.col("a").alias("block"), none).distinct()
+             .unionByName(tiled.groupBy("ta", "tb", F.col("b").alias("block")).agg(F.collect_list("a").alias("partners"))))
+    n_tiles = -(-total // TILE)
+    joined = (sides.join(blocks.select("block", "ids", "copies", "data"), "block")
+              .repartition(max(1, min(4 * n_tiles * (n_tiles + 1), 20_000)), "ta", "tb")
+              .sortWithinPartitions("ta", "tb", F.col("partners").isNotNull(), "block"))
     found = write_table(joined.transform(map_arrow, work, "rep bigint, n bigint, root bigint"), "vector-links")
     counts = found.groupBy("rep").agg(F.sum("n").alias("links"))
     tied = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))

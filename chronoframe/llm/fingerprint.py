@@ -24,6 +24,7 @@ are documents each; an empty table gives an empty table; other columns are ignor
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,9 @@ _LOWER[ord("A"):ord("Z") + 1] += 32
 _INK = np.ones(256, bool)
 _INK[[0x20, *range(0x09, 0x0E)]] = False
 _CODEC = "zstd"
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of one text from which it is shingled in pieces.
+PIECE_BYTES = 4 << 20
 
 
 def shingles(column: pa.Array, size: int = WORDS) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -78,16 +82,48 @@ def shingles(column: pa.Array, size: int = WORDS) -> list[tuple[np.ndarray, np.n
         return [(mix(rolled[whole]), row[whole]), (mix(short + count[few].astype(np.uint64)), few)]
 
 
-def minima(column: pa.Array, size: int = WORDS, n: int = PERMUTATIONS) -> np.ndarray:
-    """(texts, n): the least value of each text's shingles under each permutation."""
-    out = np.full((len(column), n), _NONE)
-    for values, row in shingles(column, size):
-        if not len(values):
-            continue
+def _least(out: np.ndarray, values: np.ndarray, row: np.ndarray) -> None:
+    """Lower the minima ``out`` of the texts ``row`` to those of their shingles."""
+    if len(values):
         at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         with np.errstate(over="ignore"):
-            for i in range(n):
-                out[row[at], i] = np.minimum.reduceat(values * _TIMES[i] + _PLUS[i], at)
+            for i in range(out.shape[1]):
+                low = np.minimum.reduceat(values * _TIMES[i] + _PLUS[i], at)
+                out[row[at], i] = np.minimum(out[row[at], i], low)
+
+
+def pieces(raw: bytes, size: int, limit: int) -> Iterator[bytes]:
+    """A long text in pieces of about ``limit`` bytes, cut at blanks; each begins with the last ``size`` - 1 words of the
+    one before, so that no shingle is lost."""
+    start, before = 0, b""
+    while start < len(raw):
+        found = _BLANK.search(raw, start + limit)
+        stop = found.start() if found else len(raw)
+        piece = before + raw[start:stop]
+        yield piece
+        before = b" ".join(piece.split()[1 - size:]) + b" " if size > 1 else b""
+        start = stop
+
+
+def minima(column: pa.Array, size: int = WORDS, n: int = PERMUTATIONS) -> np.ndarray:
+    """(texts, n): the least value of each text's shingles under each permutation.  A text of more than
+    ``PIECE_BYTES`` goes through in pieces."""
+    out = np.full((len(column), n), _NONE)
+    raw = column.cast(pa.large_binary())
+    long = np.flatnonzero(pa.compute.binary_length(raw).fill_null(0).to_numpy(zero_copy_only=False) > PIECE_BYTES)
+    if len(long):
+        texts = raw.to_pylist()
+        for i in long.tolist():
+            few = None
+            for piece in pieces(texts[i], size, PIECE_BYTES):
+                (values, row), few = shingles(pa.array([piece], pa.large_binary()), size)
+                _least(out[i:i + 1], values, row)
+            if (out[i] == _NONE).all() and few is not None:  # too few words for a shingle, however long
+                _least(out[i:i + 1], *few)
+            texts[i] = None
+        raw = pa.array(texts, pa.large_binary())
+    for values, row in shingles(raw, size):
+        _least(out, values, row)
     return out
 
 

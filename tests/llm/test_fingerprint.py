@@ -81,6 +81,16 @@ def test_minima_against_python():
             assert int(low[i, j]) == want
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "bb", "é", "word"]) + rng.choice(["", "\n", "\t "]) for _ in range(400)), "x" * 900,
+             " " * 900, "one two " + "y" * 900, None, "short text"]
+    want = fingerprint.minima(pa.array(texts), 5, 9)
+    for limit in (7, 100, 899):
+        monkeypatch.setattr(fingerprint, "PIECE_BYTES", limit)
+        assert (fingerprint.minima(pa.array(texts), 5, 9) == want).all()
+
+
 def test_bloom_keeps_every_member(spark):
     keys = spark.range(0, 5000, 3)
     made = bloom.broadcast(keys, 1 << 17)

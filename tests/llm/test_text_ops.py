@@ -434,6 +434,107 @@ def test_decontamination_odd_rows(spark, odd, empty):
     assert decontam.clean(odd, items).where("doc_id in (6, 7, 8) or doc_id is null").count() == 0
 
 
+def plain_words(text):
+    """(word in lower case, kind, begins a sentence) of an ASCII text: L literal, # number, N name, U unit."""
+    out, end = [], 0
+    for m in re.finditer(r"(?:[A-Za-z0-9]|(?<=[0-9])[.,](?=[0-9]))+", text):
+        new = not out or bool(re.search(r"[.!?:;\n\r]", text[end:m.start()]))
+        word, end = m[0], m.end()
+        if re.search(r"\d", word):
+            kind = "#"
+        elif out and out[-1][1] == "#" and word.lower() in decontam.UNITS:
+            kind = "U"
+        else:
+            kind = "N" if word[0].isupper() and not new else "L"
+        out.append((word.lower(), kind, new))
+    return out
+
+
+def plain_windows(words, size):
+    """(place, key, slots) of the windows of both kinds."""
+    for at in range(len(words) - size + 1):
+        w = words[at:at + size]
+        if size < decontam.MIN_WORDS:
+            if w[0][2] and (at + size == len(words) or words[at + size][2]):
+                yield at, ("whole", *(x[0] for x in w)), [x[0] for x in w if x[1] in "#U"]
+            continue
+        least = min(size, decontam.MIN_LITERALS)
+        if sum(x[1] == "L" for x in w) >= least:
+            yield at, ("names", *(x[0] if x[1] == "L" else x[1] for x in w)), [x[0] for x in w if x[1] != "L"]
+        slots = [x[0] for x in w if x[1] in "#U"]
+        if sum(x[1] in "LN" for x in w) >= least:
+            yield at, ("plain", *(x[0] if x[1] in "LN" else x[1] for x in w)), slots
+        else:
+            yield at, ("exact", *(x[0] for x in w)), slots
+
+
+def plain_leaks(docs, items):
+    out = {}
+    for d, text in docs:
+        words = plain_words(text)
+        for i, item in items:
+            theirs = plain_words(item)
+            size = min(len(theirs), decontam.WINDOW)
+            if not size:
+                continue
+            by = {}
+            for at, key, slots in plain_windows(theirs, size):
+                by.setdefault(key, []).append((at, slots))
+            shifts = {}
+            for at, key, slots in plain_windows(words, size):
+                for place, own in by.get(key, ()):
+                    shifts.setdefault(at - place, set()).add((place, tuple(zip(own, slots, strict=True))))
+            covered, places, n_slots, n_changed = set(), set(), 0, 0
+            for windows in shifts.values():
+                votes = Counter(p for _, pairs in windows for p in set(pairs))
+                chosen = {}
+                for (a, b), n in votes.items():
+                    chosen[a] = max(chosen.get(a, (0, False, "")), (n, a == b, b))
+                fine = [(p, pairs) for p, pairs in windows if all(chosen[a][2] == b for a, b in pairs)]
+                kept = {x for _, pairs in fine for x in pairs}
+                if fine:
+                    places |= {p for p, _ in fine}
+                    covered |= {p + k for p, _ in fine for k in range(size)}
+                    n_slots, n_changed = max(n_slots, len(kept)), max(n_changed, sum(a != b for a, b in kept))
+            if covered and len(covered) >= min(decontam.COVER_WORDS, math.ceil(len(theirs) * decontam.COVER_SHARE)):
+                out[d, i] = (len(places), len(covered), len(theirs), n_slots, n_changed)
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    """Random questions, copied, cut, re-parameterised and shouted, against plain Python, all columns."""
+    rng = random.Random(11)
+    names, units = ["Alice", "Bob", "Carol", "Dan"], ["kg", "km", "dollars", "cents"]
+    verbs = ["buys", "sells", "drops", "paints", "finds", "counts", "eats"]
+
+    def question():
+        parts = [f"{rng.choice(names)} {rng.choice(verbs)} {rng.randrange(40)} {rng.choice(units)} of {rng.choice(['rice', 'wool', 'sand'])}"
+                 for _ in range(rng.randrange(1, 4))]
+        return rng.choice(["If ", "", "So "]) + " and then ".join(parts) + rng.choice(["", "? How much is left", ". What now"])
+
+    items = [(i, question()) for i in range(25)] + [(25, "Two plus two"), (26, "12"), (27, ""), (28, "What is 12 plus 30?")]
+    docs = []
+    for d in range(120):
+        text = rng.choice(items)[1]
+        how = rng.randrange(5)
+        if how == 1:
+            text = re.sub(r"\d+", lambda m: str(rng.randrange(40)), text)
+        elif how == 2:
+            text = text.replace(rng.choice(names), rng.choice(names))
+        elif how == 3:
+            text = rng.choice([str.upper, str.lower, str.title])(text)
+        elif how == 4:
+            text = " ".join(text.split()[rng.randrange(4):][:rng.randrange(5, 20)])
+        docs.append((d, rng.choice(["", "well. ", "and so it goes, ", "x\n"]) + text + rng.choice(["", ". Next one", " and on"]) + " " + rng.choice(["", question()])))
+    want = plain_leaks(docs, items)
+    columns = ["doc_id", "item_id", "n_windows", "n_covered", "n_words", "n_slots", "n_changed"]
+    assert len(want) > 60 and any(v[4] for v in want.values())
+    for options in ({}, {"max_hashes": 0}):
+        got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), **options)
+        rows = {(r[0], r[1]): tuple(r[2:]) for r in got.select(*columns).collect()}
+        assert rows == want
+
+
 def test_short_items_are_whole_sentences(spark):
     items = [(1, "What is two plus"), (2, "Name three primary colours."), (3, "Paris"), (4, "12 + 30")]
     texts = ["Q: What is two plus?", "what is two plus", "I ask what is two plus", "What is two plus two?", "so\nname three PRIMARY colours\nok",

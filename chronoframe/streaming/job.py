@@ -22,8 +22,8 @@ from .store import StoreSink
 def decode_events(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
     """bytes/string JSON -> typed events, plus the quarantine of
     rows that did not parse (no entity, or an unparseable timestamp).
-    Timestamps with an offset are normalised to UTC; event time is TIMESTAMP
-    (watermarks need it)."""
+    Event time is TIMESTAMP (watermarks need it): one with an offset is that instant, one without is read in
+    the session's zone, which ``build_session`` sets to UTC."""
     parsed = raw.select(F.col(value_col).cast("string").alias("_raw"),
                         F.from_json(F.col(value_col).cast("string"), schemas.EVENT_JSON).alias("d"))
     ev = parsed.select("_raw", "d.entity_id", "d.event_type", "d.value",

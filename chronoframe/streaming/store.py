@@ -8,7 +8,8 @@ names; its replay writes them again.  A batch that the manifest already has is n
 
 The manifest holds the last batch id, the base and the deltas since the base: its size is bounded by
 ``compact_every``, after which a batch folds the deltas into a new base.  There is one writer, as a
-streaming query has; a second one that loses the race for a manifest's name gets an error.
+streaming query has; a second one that loses the race for a manifest's name gets an error.  The store must rename
+a file in one step, as HDFS, ABFS and local disks do; a plain object store needs a commit service for that.
 """
 
 from __future__ import annotations

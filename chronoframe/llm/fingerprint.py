@@ -133,8 +133,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, (share - 1 / 256) / (1 - 1 / 256))
 
 
-def _hex(prints: np.ndarray) -> list[str]:
-    return [x.tobytes().hex() for x in prints]
+def _shown(rows: DataFrame) -> DataFrame:
+    """Digests and fingerprints, binary in tables, as lower-case hex."""
+    return rows.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
 
 
 def replaced(text: str, following: str) -> str:
@@ -149,15 +150,15 @@ def _pairs(ids: list, texts: list[str], size: int) -> dict:
     own = minima(pa.array(texts, pa.large_string()), size).astype(np.uint8)
     new = minima(pa.array(edits, pa.large_string()), size).astype(np.uint8)
     return {"doc_id": ids, "n_chars": [len(t) for t in texts[:-1]],
-            "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in edits],
-            "fingerprint": _hex(own[:-1]), "edited_fingerprint": _hex(new),
+            "edited_sha256": [hashlib.sha256(t.encode()).digest() for t in edits],
+            "fingerprint": [x.tobytes() for x in own[:-1]], "edited_fingerprint": [x.tobytes() for x in new],
             "near_edited": likeness(own[:-1], new), "near_next": likeness(own[:-1], own[1:])}
 
 
-_TYPES = {"kind": pa.int32(), "doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(),
-          "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(),
+_TYPES = {"kind": pa.int32(), "doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.binary(),
+          "fingerprint": pa.binary(), "edited_fingerprint": pa.binary(), "near_edited": pa.float64(),
           "near_next": pa.float64(), "c1": pa.int64(), "c2": pa.int64(), "part": pa.int32(), "size": pa.int64(), "z": pa.binary()}
-_SCHEMA = ("kind int, doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+_SCHEMA = ("kind int, doc_id bigint, n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
            "near_edited double, near_next double, c1 bigint, c2 bigint, part int, size bigint, z binary")
 RESULT = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 FIRST, LAST, ALONE, MAYBE = range(4)
@@ -202,7 +203,7 @@ def _by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def edited(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id", text_col: str = "text", copies=None) -> DataFrame:
-    """(kind, RESULT, c1, c2), one row per document, written: kind ``MAYBE`` where the hash c1 may be in
+    """(kind, RESULT, c1, c2), one row per document, written, digests and fingerprints binary: kind ``MAYBE`` where the hash c1 may be in
     the broadcast Bloom filter ``copies``, else ``ALONE``."""
     def rows(ids, c1, c2, texts):
         c = np.array(c1, np.int64)
@@ -295,4 +296,4 @@ def fingerprints(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, id_
     tied = rows.where(F.col("kind") == MAYBE).join(copies, ["c1", "c2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     alone = rows.where(F.col("kind") == ALONE).select(*RESULT, F.col("doc_id").alias("component_id"))
-    return tied.select(*RESULT, component).unionByName(alone)
+    return _shown(tied.select(*RESULT, component).unionByName(alone))

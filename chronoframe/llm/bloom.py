@@ -43,7 +43,7 @@ def build(keys: DataFrame, bits: int = BITS) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([page]), pa.array([np.packbits(held).tobytes()])], names=["page", "bytes"])
 
     out = np.zeros(max(bits, _PAGE) // 8, np.uint8)
-    made = (keys.transform(map_arrow, spread, "page bigint, bit bigint").distinct().repartition("page").sortWithinPartitions("page")
+    made = (keys.transform(map_arrow, spread, "page bigint, bit bigint").repartition("page").sortWithinPartitions("page")
             .transform(map_arrow, pages, "page bigint, bytes binary"))
     for r in made.collect():
         out[r["page"] * _PAGE // 8:(r["page"] + 1) * _PAGE // 8] = np.frombuffer(r["bytes"], np.uint8)

@@ -9,7 +9,7 @@ row per map task and feature before it is exchanged.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import add_hours, seconds_between, ts_lit
@@ -147,6 +147,9 @@ def batch_retrieval(values: DataFrame, registry: DataFrame, requests: DataFrame,
                        "feature_names")
                .select("request_id", "as_of", "entity_id", F.explode(F.array_distinct("feature_names"))
                        .alias("feature_name")))
-    hits = as_of_join_long(spine, values, registry, time="as_of").where(F.col("value_ts").isNotNull())
-    found = hits.groupBy("request_id").agg(F.count_distinct("entity_id").alias("entities_returned"))
-    return hits.join(found, "request_id"), checked.where("not valid").drop("valid")
+    hits = as_of_join_long(spine, values, registry, time="as_of").where("value_ts is not null and request_id is not null")
+    # The entities are counted over the hits as they pass: a join with their count would do the as-of join twice.
+    request = Window.partitionBy("request_id")
+    nth = F.dense_rank().over(request.orderBy("entity_id")).cast("long")
+    answers = hits.withColumn("_nth", nth).withColumn("entities_returned", F.max("_nth").over(request)).drop("_nth")
+    return answers, checked.where("not valid").drop("valid")

@@ -10,7 +10,7 @@ the as-of join at the request time, and the fetched values are written back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import add_seconds, glob_match, online_key, percent_or_zero, seconds_between, ts_lit
@@ -28,17 +28,25 @@ def snapshot_merge(snapshot: DataFrame | None, updates: DataFrame, ttl_seconds=D
     value of any type as JSON; by default that of value_num) and ttl_seconds
     (per-feature TTL); the newest write per key wins."""
     ttl = F.col("ttl_seconds") if "ttl_seconds" in updates.columns else F.lit(ttl_seconds)
-    if "value_json" not in updates.columns:
-        updates = updates.withColumn("value_json", F.to_json(F.struct("value_num")))
-        updates = updates.withColumn("value_json", F.get_json_object("value_json", "$.value_num"))
+    # Without a snapshot to merge with, the JSON of a number is made for the newest writes alone.
+    late = snapshot is None and "value_json" not in updates.columns
+    if late:
+        updates = updates.withColumn("value_json", F.lit(None).cast("string"))
+    elif "value_json" not in updates.columns:
+        updates = updates.withColumn("value_json", _number_json())
     u = updates.where(F.col("value_num").isNotNull() | F.col("value_json").isNotNull()) \
         .withColumn("expires_at", add_seconds(F.col("written_at"), ttl)) \
         .select(*SNAPSHOT_COLS)
     allrows = u if snapshot is None else snapshot.select(*SNAPSHOT_COLS).unionByName(u)
     rest = [c for c in SNAPSHOT_COLS if c not in ("entity_id", "feature_name")]
-    return allrows.groupBy("entity_id", "feature_name").agg(
+    merged = allrows.groupBy("entity_id", "feature_name").agg(
         F.max_by(F.struct(*rest), F.struct("written_at", "write_seq")).alias("r")) \
         .select("entity_id", "feature_name", *[F.col(f"r.{c}").alias(c) for c in rest])
+    return merged.withColumn("value_json", _number_json()) if late else merged
+
+
+def _number_json() -> Column:
+    return F.get_json_object(F.to_json(F.struct("value_num")), "$.value_num")
 
 
 def warm_up(pit: DataFrame, written_at, registry: DataFrame | None = None,

@@ -24,6 +24,9 @@ from ..operators.online import SNAPSHOT_COLS, snapshot_merge, stream_updates
 from ..operators.windows import current_windows
 from ..sources import files
 
+#: Window rows of a batch from which its days get another log file each, and its delta another file.
+LOG_ROWS, DELTA_ROWS = 4_000_000, 100_000
+
 
 class WindowStore:
     def __init__(self, spark: SparkSession, root: str, compact_every: int = 20):
@@ -71,22 +74,28 @@ class WindowStore:
         head = self.head()
         if batch_id <= head["batch_id"]:
             return False
-        self._write_log(stats, batch_id)
-        delta = self._write_delta(stats, batch_id, ttl_seconds)
+        n = stats.count()
+        self._write_log(stats, batch_id, n)
+        delta = self._write_delta(stats, batch_id, ttl_seconds, n)
         head = head | {"seq": head["seq"] + 1, "batch_id": batch_id, "deltas": [*head["deltas"], delta]}
         self._commit(head)
         if len(head["deltas"]) >= self.compact_every:
             self.compact()
         return True
 
-    def _write_log(self, stats: DataFrame, batch_id: int) -> None:
+    def _write_log(self, stats: DataFrame, batch_id: int, n: int) -> None:
+        """The rows of a day come together, in as many files as the batch's size asks for: a stateful query runs without
+        adaptive execution, so each of its many tasks would write a small file for every day otherwise."""
+        part = F.pmod(F.xxhash64("entity_id", "event_type", "window_start"), F.lit(-(-n // LOG_ROWS) or 1))
         (stats.withColumn("dt", F.to_date("window_start")).withColumn("batch_id", F.lit(batch_id).cast("long"))
+         .repartition("dt", part)
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "batch_id").parquet(f"{self.root}/log"))
 
-    def _write_delta(self, stats: DataFrame, batch_id: int, ttl_seconds: int) -> str:
+    def _write_delta(self, stats: DataFrame, batch_id: int, ttl_seconds: int, n: int) -> str:
         name = f"delta/batch={batch_id:012d}"
         rows = stream_updates(_zone_free(stats), batch_id, ttl_seconds)
-        snapshot_merge(None, rows).write.mode("overwrite").parquet(f"{self.root}/{name}")
+        (snapshot_merge(None, rows).coalesce(-(-n // DELTA_ROWS) or 1)
+         .write.mode("overwrite").parquet(f"{self.root}/{name}"))
         return name
 
     def compact(self) -> None:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import ts_lit
 from ..operators import asof, features, online, pit, quality, registry as reg, telemetry, upkeep, windows, writes
 from ..operators.asof_index import AsofIndex
-from ..session import cut_lineage, scratch_path
+from ..session import scratch_path, written
 from ..sources import adapters as A
 from .context import Tables
 
@@ -138,13 +138,13 @@ def _write_late(t: Tables, root: str) -> None:
     index = AsofIndex(spark, f"{root}/index").build(spark.read.parquet(history))
     upkeep.write_rollup(upkeep.hourly_rollup(spark.read.parquet(history)), f"{root}/rollup")
     late = late_values(t)
-    merged = cut_lineage(writes.upsert_days(spark.read.parquet(history), late, ["feature_id", "entity_id", "event_ts"]))
+    merged = written(writes.upsert_days(spark.read.parquet(history), late, ["feature_id", "entity_id", "event_ts"]), "upserted")
     upkeep.log_invalidations(late, f"{root}/touched", run=1)
     writes.write_history(merged, history)
     stored = spark.read.parquet(history)
     index.correct(stored, [r["dt"] for r in merged.select("dt").distinct().collect()])
-    fresh = cut_lineage(upkeep.refresh_invalidated(spark.read.parquet(f"{root}/rollup"), stored,
-                                                   upkeep.invalidations(spark, f"{root}/touched")))
+    fresh = written(upkeep.refresh_invalidated(spark.read.parquet(f"{root}/rollup"), stored,
+                                               upkeep.invalidations(spark, f"{root}/touched")), "refreshed")
     upkeep.write_rollup(fresh, f"{root}/rollup")
 
 
@@ -428,7 +428,7 @@ def q_compaction_written(spark, sf_dir):
     def build(root):
         writes.write_history(t.values, root)
         writes.write_history(again, root, mode="append")
-        due = cut_lineage(upkeep.compact_days(spark.read.parquet(root), COMPACTED_AT, None, COMPACT_DAYS))
+        due = written(upkeep.compact_days(spark.read.parquet(root), COMPACTED_AT, None, COMPACT_DAYS), "compacted_days")
         writes.write_history(due, root)
 
     h = spark.read.parquet(t.folder("compacted", build))
@@ -443,7 +443,7 @@ def q_window_merge_written(spark, sf_dir):
         writes.write_history(t.values, root)
         f = windows.stats_to_features(windows.window_stats(t.events, "5 minutes", "1 minute"))
         merged, _ = windows.merge_into_history(f, t.registry, spark.read.parquet(root), 0)
-        writes.write_history(cut_lineage(merged), root)
+        writes.write_history(written(merged, "merged_days"), root)
 
     h = spark.read.parquet(t.folder("merged", build))
     return h.select("feature_id", "entity_id", "event_ts", r6("value_num").alias("value"), "write_seq")

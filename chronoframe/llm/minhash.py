@@ -5,9 +5,12 @@
 2. ``TREES`` trees branch the classes: a node picks one of the places, or for a
    quarter of the nodes two (1.25 on average, which for pairs at 0.8 keeps one expected path per
    level), by a hash of its path, and its members go to children by their minwise token there.  A node
-   of at most ``LEAF`` members is compared exhaustively by sketches; larger ones branch again, down to
-   ``DEPTH`` levels.  Members of a node that is still larger agree on that many minwise tokens in a row
-   (a group of near copies) and count as candidates of each other, by one minimum per node.
+   of at most ``LEAF`` members is compared exhaustively by sketches.  A larger one is compared in parts of
+   about ``LEAF`` that all hold the node's hubs (about eight members).  Members that no candidate of their part
+   ties to the main hubs are open: up to ``LEAF`` open ones are compared with every part, which ends the node,
+   as the others are tied together already; so a group of near copies doesn't branch.  Nodes with more
+   branch again, whole, down to ``DEPTH`` levels.  Members of a node that is still larger agree on that many
+   minwise tokens in a row and count as candidates of each other, by one minimum per node.
    A pair at 0.8 meets in a tree with probability 0.73 at two levels and 0.58 at all four.  The trees share
    the places, so a pair whose tokens agree at few of them is missed by several trees together: all of
    them missed 99 of 1,000,000 isolated pairs at 0.8 in the deepest nodes (measured on random sets of 45),
@@ -154,30 +157,95 @@ def _branch(members: DataFrame, trees: int | None) -> DataFrame:
     return members.transform(map_arrow, work, "node bigint, rep bigint")
 
 
-def _leaf_links(leaves: DataFrame) -> DataFrame:
-    """(a, b): a forest of the candidate pairs within each leaf; rows are (node, rep, sketch)."""
+def _close(sketch: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(left, right): the candidate pairs by sketch within each of the groups that start at ``begin``."""
+    n = len(sketch)
+    group = np.searchsorted(begin, np.arange(n), "right")
+    left, right = [], []
+    here = np.arange(n)
+    step = 0
+    while len(here):
+        step += 1
+        here = here[here + step < n]
+        here = here[group[here] == group[here + step]]
+        close = here[(sketch[here] == sketch[here + step]).sum(axis=1) >= AGREE]
+        left.append(close)
+        right.append(close + step)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _leaf_links(leaves: DataFrame, keys: list[str]) -> DataFrame:
+    """(a, b): a forest of the candidate pairs within each group of (keys, rep, sketch)."""
     def work(batches):
-        for table in runs(batches, ["node"]):
-            node = table.column("node").to_numpy()
+        for table in runs(batches, keys):
             rep = table.column("rep").to_numpy()
             sketch = _matrix(table.column("sketch").combine_chunks(), np.uint8)
-            begin = starts_of(node)
-            group = np.searchsorted(begin, np.arange(len(node)), "right")
-            left, right = [], []
-            here = np.arange(len(node))
-            step = 0
-            while len(here):
-                step += 1
-                here = here[here + step < len(node)]
-                here = here[group[here] == group[here + step]]
-                close = here[(sketch[here] == sketch[here + step]).sum(axis=1) >= AGREE]
-                left.append(close)
-                right.append(close + step)
-            root = forest(len(node), np.concatenate(left), np.concatenate(right))
-            moved = np.flatnonzero(root != np.arange(len(node)))
+            root = forest(len(rep), *_close(sketch, starts_of(*(table.column(k).to_numpy() for k in keys))))
+            moved = np.flatnonzero(root != np.arange(len(rep)))
             yield pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[root[moved]])], names=["a", "b"])
 
-    return leaves.transform(map_arrow, work, "a bigint, b bigint")
+    return (leaves.select(*keys, "rep", "sketch").repartition(*keys).sortWithinPartitions(*keys, "rep")
+            .transform(map_arrow, work, "a bigint, b bigint"))
+
+
+def main_hubs(hub: np.ndarray, begin: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hub of each group's largest set of hubs that candidate pairs between hubs tie together, of equal ones
+    that with the first hub; -1 in groups without hubs.  Hubs alone decide, so all parts of a node agree."""
+    both = hub[left] & hub[right]
+    root = forest(len(hub), left[both], right[both])
+    size = np.bincount(root[hub], minlength=len(hub))
+    size[~hub] = 0
+    main = []
+    for s, e in zip(begin.tolist(), [*begin[1:].tolist(), len(hub)], strict=True):
+        best = s + int(size[s:e].argmax())
+        main.append(best if size[best] else -1)
+    return np.array(main, np.int64)
+
+
+def _part_links(parts: DataFrame) -> DataFrame:
+    """(node, a, b, open) from (node, part, rep, hub, own, sketch), ``own`` false for the hubs of other parts: a forest of
+    the candidate pairs within each part, and the members a that it doesn't tie to the main hubs."""
+    def work(batches):
+        for table in runs(batches, ["node", "part"]):
+            node, rep = table.column("node").to_numpy(), table.column("rep").to_numpy()
+            hub, own = (table.column(k).to_numpy().astype(bool) for k in ("hub", "own"))
+            begin = starts_of(node, table.column("part").to_numpy())
+            left, right = _close(_matrix(table.column("sketch").combine_chunks(), np.uint8), begin)
+            root = forest(len(rep), left, right)
+            main = np.repeat(main_hubs(hub, begin, left, right), np.diff([*begin, len(rep)]))
+            open_ = own & ((main < 0) | (root != root[main]))
+            out = np.flatnonzero(open_ | (root != np.arange(len(rep))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (node[out], rep[out], rep[root[out]], open_[out])], names=["node", "a", "b", "open"])
+
+    return (parts.select("node", "part", "rep", "hub", "own", "sketch").repartition("node", "part")
+            .sortWithinPartitions("node", "part", "rep").transform(map_arrow, work, "node bigint, a bigint, b bigint, open boolean"))
+
+
+def _every_part(members: DataFrame) -> DataFrame:
+    """Each row in every part of its node but its own."""
+    return (members.withColumn("at", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .where("part <> at").drop("at").withColumn("own", F.lit(False)))
+
+
+def _settle(large: DataFrame, reps: DataFrame, leaf: int) -> tuple[list[DataFrame], DataFrame]:
+    """Links (a, b) within nodes of more than ``leaf`` members, and (node) of those which must branch: the
+    links connect all similar members of the others.  ``large``: (node, rep, n)."""
+    members = write_table(
+        large.join(reps.select("rep", "sketch"), "rep").withColumn("parts", F.ceil(F.col("n") / leaf).cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64("rep", F.lit(34)), F.col("parts")).cast("int"))
+        .withColumn("hub", F.pmod(F.xxhash64("rep", F.lit(35)), F.greatest(F.lit(1), F.floor(F.col("n") / HUBS))) == 0)
+        .withColumn("own", F.lit(True)), "parts")
+    found = write_table(_part_links(members.unionByName(_every_part(members.where("hub")))), "parted")
+    links = [found.where("a <> b").select("a", "b")]
+    open_ = found.where("open").select("node", F.col("a").alias("rep"))
+    counts = write_table(open_.groupBy("node").agg(F.count("*").alias("m")), "open_nodes")
+    few = counts.where(F.col("m") <= leaf).select("node")
+    if not few.isEmpty():
+        theirs = members.join(few, "node", "left_semi")
+        links.append(_leaf_links(theirs.unionByName(_every_part(theirs.join(open_, ["node", "rep"], "left_semi"))),
+                                 ["node", "part"]))
+    return links, counts.where(F.col("m") > leaf).select("node")
 
 
 def candidates(reps: DataFrame, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
@@ -196,10 +264,14 @@ def candidates(reps: DataFrame, trees: int = TREES, leaf: int = LEAF, depth: int
             least = large.groupBy("node").agg(F.min("rep").alias("low"))
             links.append(large.join(least, "node").select(F.col("rep").alias("a"), F.col("low").alias("b")))
         else:
+            tied, mixed = _settle(large, reps, leaf)
+            links += tied
+            if mixed.isEmpty():
+                break
+            large = large.join(mixed, "node", "left_semi")
             rows = _branch(large.join(reps.select("rep", "tokens"), "rep").select("node", "rep", "tokens"), None)
     leaves = reduce(DataFrame.union, small).select("node", "rep").join(reps.select("rep", "sketch"), "rep")
-    leaves = leaves.select("node", "rep", "sketch").repartition("node").sortWithinPartitions("node", "rep")
-    return reduce(DataFrame.union, links, _leaf_links(leaves))
+    return reduce(DataFrame.union, links, _leaf_links(leaves, ["node"]))
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

@@ -189,3 +189,59 @@ def test_keep_one_per_text(spark, odd, empty):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(
         [rows[0], rows[2], rows[5], rows[7], rows[8]], key=repr)
     assert minhash.keep_one(empty).collect() == [] and minhash.keep_one(odd).columns == odd.columns
+
+
+def test_near_copies_do_not_branch(spark, monkeypatch):
+    """Large nodes whose members their hubs tie together end, with a few strangers among them too; nodes with
+    two groups branch, and the rows of the levels follow the members."""
+    made, branch = [], minhash._branch
+
+    def counted(members, trees):
+        out = branch(members, trees)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "_branch", counted)
+    near = family(300, 400, 2)
+    rows = near + [(1000 + i, t) for i, t in family(3, 60, 1, 5)]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2, leaf=30)
+    check(rows, found, 2)
+    assert made[0] >= minhash.TREES * len(rows) and made[1:] == []
+
+
+def groups_of(links):
+    ids = sorted({x for ab in links for x in ab})
+    at = {x: i for i, x in enumerate(ids)}
+    root = forest(len(ids), np.array([at[a] for a, _ in links]), np.array([at[b] for _, b in links]))
+    return {frozenset(x for x in ids if root[at[x]] == r) for r in set(root.tolist())}
+
+
+def test_settle(spark):
+    """Nodes 1: one group and a few strangers, of which two are a pair and one is like a single member of the group alone;
+    2: two large groups; 3: strangers."""
+    rng = np.random.default_rng(8)
+    base, other = rng.integers(0, 256, (2, minhash.SKETCH), dtype=np.uint8)
+
+    def like(sketch, away):
+        out = sketch.copy()
+        out[away] += np.uint8(rng.integers(1, 100))
+        return out
+
+    near = {i: like(base, rng.choice(64, 6, replace=False)) for i in range(60)}
+    far = {100 + i: like(other, rng.choice(64, 6, replace=False)) for i in range(60)}
+    near[70] = like(base, np.arange(24))
+    alone = rng.integers(0, 256, (50, minhash.SKETCH), dtype=np.uint8)
+    strangers = {200 + i: s for i, s in enumerate(alone)}
+    pair, bridged = like(alone[0], np.arange(5)), like(near[70], np.arange(40, 64))
+    extra = {300: pair, 301: bridged}
+    assert all((bridged == s).sum() < minhash.AGREE for k, s in near.items() if k != 70)
+    reps = {**near, **far, **strangers, **extra}
+    nodes = {1: [*near, 200, 201, *extra], 2: [*near, *far], 3: [*strangers]}
+    table = spark.createDataFrame([(k, bytes(s)) for k, s in reps.items()], "rep long, sketch binary")
+    large = spark.createDataFrame([(n, r, len(m)) for n, m in nodes.items() for r in m], "node long, rep long, n long")
+    for n, mixed in {1: [], 2: [2], 3: [3]}.items():
+        links, branch = minhash._settle(large.where(f"node = {n}"), table, 20)
+        assert [r["node"] for r in branch.collect()] == mixed
+        if n == 1:
+            got = groups_of([(r["a"], r["b"]) for part in links for r in part.collect()])
+            assert got == {frozenset([*near, 301]), frozenset([200, 300])}

@@ -64,11 +64,10 @@ def stream_updates(stats: DataFrame, batch_id, ttl_seconds=DEFAULT_TTL_SECONDS,
     """Window stats of one micro-batch -> snapshot updates.  One entry
     per (entity, feature): the newest window end wins.  With ``as_of`` only
     windows closed by then count (``window_end <= as_of``)."""
-    from .windows import stats_to_features
-    f = stats_to_features(stats)
+    from .windows import newest_features
     if as_of is not None:
-        f = f.where(F.col("event_ts") <= ts_lit(as_of))
-    return f.select("entity_id", "feature_name", "value_num", F.col("event_ts").alias("value_ts"),
+        stats = stats.where(F.col("window_end") <= ts_lit(as_of))
+    return newest_features(stats).select("entity_id", "feature_name", "value_num", F.col("event_ts").alias("value_ts"),
                     F.col("event_ts").alias("written_at"), F.lit(batch_id).cast("long").alias("write_seq"),
                     F.lit(ttl_seconds).alias("ttl_seconds"))
 

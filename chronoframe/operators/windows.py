@@ -10,7 +10,7 @@ row ``length / slide`` times before that.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .registry import latest_versions
@@ -51,18 +51,37 @@ def stats_to_features(stats: DataFrame, name_map: dict | None = None,
     """Wide window stats -> long ``(entity_id, feature_name,
     value_num, event_ts = window_end)``; names ``{stat}_{suffix}_{event_type}``
     mapped through ``name_map``.  NULL values are skipped, 0.0 is kept."""
-    name_map = DEFAULT_NAME_MAP if name_map is None else name_map
     cols = [f"{s}_{suffix}" for s in stats_kept]
     long = stats.unpivot(["entity_id", "event_type", "window_start", "window_end"], cols, "stat", "value_num")
-    name = F.concat(F.col("stat"), F.lit("_"), F.col("event_type"))
-    if name_map:
-        mapping = F.create_map(*[x for k, v in name_map.items() for x in (F.lit(k), F.lit(v))])
-        name = F.coalesce(F.element_at(mapping, name), name)
     return long.where(F.col("value_num").isNotNull()).select(
-        "entity_id", name.alias("feature_name"), "value_num",
+        "entity_id", _feature_name(name_map).alias("feature_name"), "value_num",
         F.col("window_end").alias("event_ts"), "window_start")
 
 
+def newest_features(stats: DataFrame, name_map: dict | None = None,
+                    stats_kept=("avg", "max"), suffix: str = "5min") -> DataFrame:
+    """``stats_to_features`` of the newest window with a value, per entity, event type and statistic: ``(entity_id,
+    feature_name, value_num, event_ts)``.  Values and times are fixed-width, so the windows pass a hash aggregate once
+    for all statistics, before any name is made."""
+    cols = [f"{s}_{suffix}" for s in stats_kept]
+    end = {c: F.when(F.col(c).isNotNull(), F.col("window_end")) for c in cols}
+    newest = stats.groupBy("entity_id", "event_type").agg(
+        *[a for c in cols for a in (F.max_by(c, end[c]).alias(f"v_{c}"), F.max(end[c]).alias(f"t_{c}"))])
+    long = newest.select("entity_id", "event_type", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("stat"), F.col(f"v_{c}").alias("value_num"), F.col(f"t_{c}").alias("event_ts")) for c in cols])))
+    return long.where(F.col("event_ts").isNotNull()).select(
+        "entity_id", _feature_name(name_map).alias("feature_name"), "value_num", "event_ts")
+
+
+def _feature_name(name_map: dict | None) -> Column:
+    name_map = DEFAULT_NAME_MAP if name_map is None else name_map
+    name = F.concat(F.col("stat"), F.lit("_"), F.col("event_type"))
+    if not name_map:
+        return name
+    mapping = F.create_map(*[x for k, v in name_map.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(F.element_at(mapping, name), name)
+
+
 def merge_into_history(features: DataFrame, registry: DataFrame, history: DataFrame,
                        batch_seq: int) -> tuple[DataFrame, DataFrame]:
     """Window features (``stats_to_features``) into the history: names are

@@ -11,6 +11,8 @@ lost one.  ``progress.ProgressTable`` keeps the progress of every batch (K10).
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,17 +20,23 @@ from .. import schemas
 from ..operators.windows import window_stats
 from .store import StoreSink
 
+#: Where ``run_stream`` keeps the windows of a batch: on the executors' disks, with bounded memory.  Spark's default holds them
+#: all in the heap, where those of a large batch don't fit.  A checkpoint goes on with the store that it was begun with.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true"}
+
 
 def decode_events(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
     """bytes/string JSON -> typed events, plus the quarantine of
     rows that did not parse (no entity, or an unparseable timestamp).
     Event time is TIMESTAMP (watermarks need it): one with an offset is that instant, one without is read in
     the session's zone, which ``build_session`` sets to UTC."""
-    parsed = raw.select(F.col(value_col).cast("string").alias("_raw"),
-                        F.from_json(F.col(value_col).cast("string"), schemas.EVENT_JSON).alias("d"))
-    ev = parsed.select("_raw", "d.entity_id", "d.event_type", "d.value",
-                       F.try_to_timestamp(F.col("d.timestamp")).alias("timestamp"),
-                       F.col("d.metadata").alias("metadata"))
+    text = F.col(value_col).cast("string")
+    # By a generator, so that a row is parsed once: the filters below would take from_json with them otherwise, once per column.
+    parsed = raw.select(text.alias("_raw"), F.inline(F.array(F.from_json(text, schemas.EVENT_JSON))))
+    ev = parsed.select("_raw", "entity_id", "event_type", "value",
+                       F.try_to_timestamp("timestamp").alias("timestamp"), "metadata")
     good = (F.col("entity_id").isNotNull() & F.col("timestamp").isNotNull() & F.col("event_type").isNotNull())
     events = ev.where(good).drop("_raw").withColumn("processing_time", F.current_timestamp())
     quarantine = ev.where(~good).select(
@@ -59,7 +67,21 @@ def run_stream(raw_stream: DataFrame, root: str, checkpoint: str, closed: bool =
          .outputMode("append" if closed else "update").option("checkpointLocation", checkpoint))
     if query_name:
         w = w.queryName(query_name)
-    return w.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+    with _settings(raw_stream.sparkSession, STATE_STORE):  # a query keeps those that it was started with
+        return w.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+
+
+@contextlib.contextmanager
+def _settings(spark: SparkSession, settings: dict[str, str]):
+    """The settings that the session doesn't name itself, for a while."""
+    mine = {k: v for k, v in settings.items() if k not in spark.conf.getAll}
+    for k, v in mine.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k in mine:
+            spark.conf.unset(k)
 
 
 def run_quarantine(raw_stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):

@@ -100,8 +100,8 @@ def merge_into_history(features: DataFrame, registry: DataFrame, history: DataFr
 def current_windows(log: DataFrame, keys=("entity_id", "event_type", "window_start"),
                     seq: str = "batch_id") -> DataFrame:
     """K8: collapse update-mode re-emissions; the row of the latest batch per
-    window wins (partial ``max_by``)."""
+    window wins (partial ``max_by`` per column: of fixed-width columns a hash aggregate, while one of a struct sorts
+    the whole log).  A batch has one row per window."""
     keys = list(keys)
     rest = [c for c in log.columns if c not in keys]
-    return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("r")) \
-        .select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
+    return log.groupBy(*keys).agg(*[F.max_by(c, F.col(seq)).alias(c) for c in rest])

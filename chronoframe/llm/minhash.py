@@ -33,6 +33,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -53,6 +54,8 @@ DEPTH = 4
 AGREE = 37
 CHUNK = 256
 HUBS = 8
+#: UTF-8 bytes of text that are sketched at once: the arrays of their shingles stay in a core's cache.
+TEXT_BYTES = 1 << 18
 
 _BLANK = np.ones(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = False
@@ -82,7 +85,7 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
         rolled = mix(rolled)
         for f, n in zip(first.tolist(), count.tolist(), strict=True):
             if n >= size:
-                out.append(np.unique(rolled[f:f + n - size + 1]))
+                out.append(_distinct(rolled[f:f + n - size + 1]))
             elif n:
                 out.append(mix((word[f:f + n] * order[:n]).sum(keepdims=True) + np.uint64(n)))
             else:
@@ -91,6 +94,14 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by a sort: ``np.unique`` hashes integers before it sorts them, which takes six times as long."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def _rows(matrix: np.ndarray) -> list[bytes]:
     width = matrix.shape[1] * matrix.itemsize
     flat = np.ascontiguousarray(matrix).tobytes()
@@ -105,7 +116,7 @@ def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
     """(doc_id, n_shingles, c1, c2, tokens, sketch): the digest of the set, its minwise tokens, and the
     low bytes of the first ``SKETCH``."""
     def work(batches):
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", TEXT_BYTES):
             values, offsets = shingle_sets(batch.column("text"), size)
             n = np.diff(offsets)
             full = n > 0
@@ -113,9 +124,12 @@ def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
             tokens = np.zeros((len(n), PLACES), np.uint32)
             digest = np.zeros((len(n), 2), np.uint64)
             if len(at):
+                turned = np.empty_like(values)
                 with np.errstate(over="ignore"):
                     for i in range(PLACES):
-                        tokens[full, i] = np.minimum.reduceat((values * _TIMES[i] + _PLUS[i]) >> np.uint64(32), at)
+                        np.multiply(values, _TIMES[i], out=turned)
+                        np.add(turned, _PLUS[i], out=turned)
+                        tokens[full, i] = np.minimum.reduceat(turned, at) >> np.uint64(32)
                     for i in range(2):
                         digest[full, i] = np.add.reduceat(mix(values + np.uint64(i + 1)), at)
             yield pa.RecordBatch.from_arrays(
@@ -157,18 +171,34 @@ def _branch(members: DataFrame, trees: int | None) -> DataFrame:
     return members.transform(map_arrow, work, "node bigint, rep bigint")
 
 
+def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of equal bytes in each row of two matrices of bytes, whose width is a multiple of eight: the flags are summed
+    eight at a time, as the bytes of one integer."""
+    flags = (a == b).view(np.uint64)
+    total = flags[:, 0].copy()
+    for k in range(1, flags.shape[1]):
+        total += flags[:, k]
+    with np.errstate(over="ignore"):
+        return (total * np.uint64(0x0101010101010101)) >> np.uint64(56)
+
+
 def _close(sketch: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(left, right): the candidate pairs by sketch within each of the groups that start at ``begin``."""
-    n = len(sketch)
-    group = np.searchsorted(begin, np.arange(n), "right")
+    """(left, right): the candidate pairs by sketch within each of the groups that start at ``begin``.  The second half of
+    two sketches is compared only where the first leaves ``AGREE`` within reach, which unrelated ones seldom do."""
+    n, half = len(sketch), SKETCH // 2
+    head, tail = np.ascontiguousarray(sketch[:, :half]), np.ascontiguousarray(sketch[:, half:])
+    last = np.repeat(np.array([*begin[1:], n], np.int64), np.diff([*begin, n]))  # the end of each row's group
     left, right = [], []
     here = np.arange(n)
     step = 0
     while len(here):
         step += 1
-        here = here[here + step < n]
-        here = here[group[here] == group[here + step]]
-        close = here[(sketch[here] == sketch[here + step]).sum(axis=1) >= AGREE]
+        here = here[here + step < last[here]]
+        there = here + step
+        some = _agreeing(head.take(here, 0), head.take(there, 0))
+        maybe = np.flatnonzero(some >= AGREE - (SKETCH - half))
+        close = here[maybe]
+        close = close[some[maybe] + _agreeing(tail.take(close, 0), tail.take(close + step, 0)) >= AGREE]
         left.append(close)
         right.append(close + step)
     return np.concatenate(left), np.concatenate(right)
@@ -286,23 +316,55 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _ties(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:
+def _partners(sets: list[np.ndarray], percent: int) -> Iterator[np.ndarray]:
+    """For each set the earlier ones with which it can share enough: all that have one of its rarest values among their own
+    rarest.  Of a set of n values every linked set holds at least percent of n, so in one order for all, the first
+    n - percent of n + 1 values of two linked sets have a value in common.  Nothing that is linked is left out."""
+    n = len(sets)
+    lengths = np.array([len(s) for s in sets])
+    _, value, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    key = often[value] * len(often) + value  # rare values first
+    first = np.minimum(lengths, lengths + (-percent * lengths) // 100 + 1).tolist()
+    ends = np.cumsum(lengths).tolist()
+    held = [np.partition(key[e - k:e], f - 1)[:f] if f else key[:0] for e, k, f in zip(ends, lengths.tolist(), first, strict=True)]
+    held = [h[h >= 2 * len(often)] for h in held]  # a value of one set alone leads nowhere
+    keys, owner = np.concatenate(held), np.repeat(np.arange(n), [len(h) for h in held])
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[order]
+    none = np.flatnonzero(lengths == 0)
+    for i, h in enumerate(held):
+        begin, end = np.searchsorted(keys, h).tolist(), np.searchsorted(keys, h, "right").tolist()
+        mine = np.zeros(n, bool)
+        for s, e in zip(begin, end, strict=True):
+            mine[owner[s:e]] = True
+        if not lengths[i]:
+            mine[none] = True
+        yield np.flatnonzero(mine[:i])
+
+
+def _ties(sets: list[np.ndarray], side: np.ndarray, percent: int, few: int = 16) -> np.ndarray:
     """Smallest linked index of each set.  Members of one component aren't compared again; with two
-    sides only pairs across them are."""
-    groups: list[list[int]] = []
-    for i, s in enumerate(sets):
-        hit = [g for g in groups if any((side[i] == 0 == side[m] or side[i] != side[m]) and linked(s, sets[m], percent)
-                                        for m in g)]
-        if hit:
-            merged = sorted({i, *(m for g in hit for m in g)})
-            groups = [g for g in groups if g not in hit]
-            groups.append(merged)
-        else:
-            groups.append([i])
+    sides only pairs across them are.  Equal sets of a side are compared once, and of more than ``few`` sets only
+    those that can be linked."""
+    seen: dict[tuple[int, bytes], int] = {}
+    equal = np.array([seen.setdefault((s, x.tobytes()), i) for i, (s, x) in enumerate(zip(side.tolist(), sets, strict=True))])
+    own = np.flatnonzero(equal == np.arange(len(sets)))
+    there, theirs = [sets[i] for i in own], side[own]
+    partners = _partners(there, percent) if len(own) > few else (np.arange(i) for i in range(len(own)))
+    found = np.arange(len(own))
+    for i, other in enumerate(partners):
+        other = other[(theirs[other] != theirs[i]) | (theirs[i] == 0)]
+        while len(other := other[found[other] != found[i]]):
+            m, other = other[0], other[1:]
+            if linked(there[i], there[m], percent):
+                low, high = sorted((found[i], found[m]))
+                found[found == high] = low
     root = np.arange(len(sets))
-    for g in groups:
-        root[g] = min(g)
-    return root
+    root[own] = own[found]
+    # Equal sets of one of two sides are tied by what both are linked to alone.
+    tied = (theirs == 0) | (np.bincount(found, minlength=len(own))[found] > 1)
+    at = np.searchsorted(own, equal)
+    return np.where(tied[at], root[equal], root)
 
 
 def _confirmed(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
@@ -341,7 +403,7 @@ def _open(first: DataFrame, several: DataFrame, hubs: DataFrame) -> DataFrame:
 def _full_sets(docs: DataFrame, size: int) -> DataFrame:
     """(grp, n, rep, shingles) from (grp, n, rep, text)."""
     def work(batches):
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", TEXT_BYTES):
             values, offsets = shingle_sets(batch.column("text"), size)
             flat = values.tobytes()
             sets = [flat[8 * a:8 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]

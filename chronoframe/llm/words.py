@@ -47,6 +47,9 @@ def hashes(data: np.ndarray, mask: np.ndarray, starts: np.ndarray, ends: np.ndar
     if longest > len(_PLACE):
         _PLACE = series(2, 1 << longest.bit_length()) | np.uint64(1)
     offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    place = np.arange(int(lengths.sum())) - np.repeat(offsets, lengths)
+    place = np.arange(int(lengths.sum()))
+    place -= np.repeat(offsets, lengths)
+    part = _PLACE.take(place)
     with np.errstate(over="ignore"):
-        return mix(np.add.reduceat(_BYTE[data[mask]] * _PLACE[place], offsets))
+        part *= _BYTE.take(data[mask])
+        return mix(np.add.reduceat(part, offsets))
